@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .html_extract import extract_text, fit_blocks
 from .jaccard_join import jaccard_components
 from .language_id import fit_language, predict_language
+from .line_dedup import dedup_lines
+from .mixing import mix_sources
+from .nearest import search
+from .quality import fit_quality, score_quality
+from .secret_scan import KINDS, fit_secrets, scan_secrets
 from .tables import held_out
+from .token_output import token_output
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -19,6 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = extract_text(pages, fit_blocks(pages))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = predict_language(docs, fit_language(docs))
@@ -34,10 +47,48 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, fit_secrets(docs)).select("row.doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels"))).select("row.doc_id", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_token_output": op5_token_output,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_nearest": op7_nearest,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -64,4 +115,25 @@ link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND
 reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, e.b FROM reach JOIN (SELECT a, b FROM link UNION SELECT b, a FROM link) e ON reach.y = e.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)""",
+    "op6_line_dedup": rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+m AS (SELECT k.doc_id, i, line, f.first IS NOT NULL AND f.first < k.doc_id AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+    "op10_mixing": r"""
+WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM z GROUP BY source),
+c AS (SELECT t.*, CAST(source_size * 2 AS DOUBLE) AS cap FROM t),
+g AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS fullsum,
+             sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, CAST(sum(source_size) OVER () AS BIGINT) * CAST(1.5 AS DOUBLE) AS budget FROM c),
+v AS (SELECT *, (budget - fullsum) / rest AS level FROM g),
+a AS (SELECT arg_min(level, fullsum) AS lvl FROM v WHERE level <= cap / w),
+s AS (SELECT source, source_size, budget, least(cap, coalesce(lvl * w, cap)) AS target FROM v, a),
+r AS (SELECT z.*, s.source_size, s.target, s.budget, CAST(sum(size) OVER (PARTITION BY z.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS served FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source),
+e AS (SELECT r.*, n, (served + n * source_size) / target AS fin FROM r, (SELECT unnest([0, 1]) AS n) WHERE target > 0 AND size > 0),
+o AS (SELECT doc_id, size, sum(size) OVER (ORDER BY fin, coalesce(source, chr(1114111)), key, n ROWS UNBOUNDED PRECEDING) <= budget AS ok FROM e),
+k AS (SELECT doc_id, CAST(sum(size) FILTER (ok) AS BIGINT) AS taken FROM o GROUP BY doc_id)
+SELECT r.doc_id, r.size, r.source_size, r.target, coalesce(k.taken, 0) AS taken FROM r LEFT JOIN k ON r.doc_id = k.doc_id""",
 }
