@@ -1,6 +1,67 @@
-STAGES = []
+"""A training-corpus pipeline of five operators, each stage written and read again before the next.
+
+A stage is a function ``(spark, docs, sf_dir) -> DataFrame``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterline.llm.decontaminate import decontaminate
+from meterline.llm.jaccard_join import jaccard_components
+from meterline.llm.language_id import fit_language, predict_language
+from meterline.llm.mixing import mix_sources
+from meterline.llm.tables import materialize
+from meterline.llm.token_output import token_output
+
+#: A document whose language is less certain than this goes.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in one of the corpus's languages; ``lang`` stays as it came."""
+    found = predict_language(docs, fit_language(docs), keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each component of near-equal texts; documents without id stay."""
+    gone = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, "doc_id", "left_semi")
+    return kept.join(again, "doc_id", "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that are not contaminated by a benchmark item."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
+    return found.where(~F.col("contaminated")).select("row.*")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    copies = docs.join(taken.withColumnRenamed("doc_id", "taken_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and returns what they hold of each document."""
+    return token_output(docs, with_ids=False).drop("ids")
+
+
+STAGES = [("language_id", language_id), ("jaccard_join", near_duplicates), ("decontamination", benchmark_decontamination), ("mixing", mixing), ("token_output", token_ids)]
+
+#: Language identification and tokens are not SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
