@@ -1,0 +1 @@
+"""Handlers: the metrics of each protocol as plans over normalised event tables."""
