@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_subnets(specs: Sequence[str]) -> list[tuple[str, int]]:
     """``(address, prefix length)`` of specs ``address/length``; host bits stay, bad specs are errors."""
     out = []
@@ -92,26 +97,28 @@ def cidr_truncate(ip: Column, length: int) -> Column:
     """``network/length`` of an address of either family."""
     number = ipv4_number(ip)
     v4 = F.concat(ipv4_text(F.shiftleft(F.shiftright(number, 32 - length), 32 - length)), F.lit(f"/{length}")) if length <= 32 else F.lit(None).cast("string")
-    digits = ipv6_hex(ip)
     whole, bits = divmod(length, 4)
-    kept = F.substring(digits, 1, whole)
-    if bits:
-        nibble = F.shiftleft(F.shiftright(F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int"), 4 - bits), 4 - bits)
-        kept = F.concat(kept, F.lower(F.hex(nibble)))
-    padded = F.rpad(kept, 32, "0")
-    v6 = F.when(digits.isNotNull(), F.concat(ipv6_text(padded), F.lit(f"/{length}")))
-    return F.when(is_ipv6(ip), v6).otherwise(F.when(number.isNotNull(), v4))
+
+    def network(digits: Column) -> Column:
+        kept = F.substring(digits, 1, whole)
+        if bits:
+            nibble = F.shiftleft(F.shiftright(F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int"), 4 - bits), 4 - bits)
+            kept = F.concat(kept, F.lower(F.hex(nibble)))
+        return F.concat(ipv6_text(F.rpad(kept, 32, "0")), F.lit(f"/{length}"))
+
+    return F.when(is_ipv6(ip), let(ipv6_hex(ip), network)).otherwise(F.when(number.isNotNull(), v4))
 
 
 def ipv6_text(digits: Column) -> Column:
     """32 hex digits as the usual short text: no leading zeros, the first longest run of two or more zero groups as ``::``."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
-    text = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-    out = text
-    for run in range(2, 9):
-        zeros = ":" + "0:" * run
-        out = F.when(F.contains(text, F.lit(zeros)), F.concat(F.substring_index(text, zeros, 1), F.lit("::"), F.substring(text, F.locate(zeros, text) + len(zeros), F.lit(64)))).otherwise(out)
-    return F.regexp_replace(F.regexp_replace(out, "^:(?!:)", ""), "(?<!:):$", "")
+
+    def short(text: Column) -> Column:
+        run = F.coalesce(*[F.when(F.contains(text, F.lit(":" + "0:" * n)), F.lit(":" + "0:" * n)) for n in range(8, 1, -1)])
+        cut = let(run, lambda z: F.when(z.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), F.position(z, text) - 1), F.lit("::"), F.substring(text, F.position(z, text) + F.length(z), F.lit(64)))))
+        return F.regexp_replace(F.regexp_replace(cut, "^:(?!:)", ""), "(?<!:):$", "")
+
+    groups = let(digits, lambda d: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(d, i * 4 + 1, F.lit(4)), "^0{1,3}", "")))
+    return let(F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":")), short)
 
 
 def packet_direction(src: Column, dst: Column, hosts: Sequence[str]) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import let
 from .codes import DNS_PORTS
 
 
@@ -24,16 +25,16 @@ def aggregate_domain(qname: Column, suffix_size: Column | int = 0) -> Column:
     def last_dot(limit: Column) -> Column:
         """Place, from 1, of the last dot in the first ``limit`` characters; 0 if none."""
         head = F.substring(qname, F.lit(1), F.greatest(limit, F.lit(0)))
-        back = F.locate(".", F.reverse(head))
-        return F.when(back > 0, F.length(head) - back + 1).otherwise(0)
+        return let(head, lambda h: let(F.position(F.lit("."), F.reverse(h)), lambda back: F.when(back > 0, F.length(h) - back + 1).otherwise(0)))
 
-    d1 = last_dot(upto)
-    d2 = last_dot(d1 - 1)
-    d3 = last_dot(d2 - 1)
     from_ = lambda d: F.substring(qname, d, n)
-    two = F.when((n < 5) | (d1 <= 1) | (d2 == 0), qname).otherwise(from_(d2))
-    three = F.when(n < 5, "").when(d1 <= 1, qname).when(d2 == 0, "").when((d2 == 1) | (d3 == 0), qname).otherwise(from_(d3))
-    return F.struct(two.alias("qname2"), three.alias("qname3"))
+
+    def parts(d1: Column, d2: Column, d3: Column) -> Column:
+        two = F.when((n < 5) | (d1 <= 1) | (d2 == 0), qname).otherwise(from_(d2))
+        three = F.when(n < 5, "").when(d1 <= 1, qname).when(d2 == 0, "").when((d2 == 1) | (d3 == 0), qname).otherwise(from_(d3))
+        return F.struct(two.alias("qname2"), three.alias("qname3"))
+
+    return let(last_dot(upto), lambda d1: let(last_dot(d1 - 1), lambda d2: let(last_dot(d2 - 1), lambda d3: parts(d1, d2, d3))))
 
 
 def suffix_size(qname: Column, suffixes: Sequence[str]) -> Column:
