@@ -34,12 +34,13 @@ def is_ipv6(ip: Column) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """The address as a number; null for anything but dotted IPv4."""
-    parts = F.split(ip, r"\.")
-    octet = [F.try_element_at(parts, F.lit(i + 1)).try_cast("bigint") for i in range(4)]
-    ok = F.size(parts) == 4
-    for o in octet:
-        ok = ok & o.between(0, 255)
-    return F.when(ok, octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3])
+
+    def number(parts: Column) -> Column:
+        octets = F.transform(parts, lambda o: F.when(o.rlike(r"^\d{1,3}$"), o.cast("bigint")))
+        good = (F.size(parts) == 4) & F.forall(octets, lambda o: o.isNotNull() & (o <= 255))
+        return F.when(good, F.aggregate(octets, F.lit(0).cast("bigint"), lambda n, o: n * 256 + o))
+
+    return let(F.split(ip, r"\."), number)
 
 
 def ipv4_text(number: Column) -> Column:
@@ -69,34 +70,46 @@ def _hex_prefix(hex_digits: Column, length: int) -> Column:
     return F.concat(head, F.lit("."), F.shiftright(next_digit, 4 - bits).cast("string"))
 
 
-def in_subnet(ip: Column, subnet: str) -> Column:
-    """Whether the address is in the subnet. IPv4 0.0.0.0 is in none, IPv4 /0 holds all others, IPv6 /0 holds none."""
+def _holds(subnet: str, number: Column, digits: Column) -> Column:
+    """Whether a subnet holds an address given as an IPv4 number or IPv6 hex digits (the other one null)."""
     (address, length), = parse_subnets([subnet])
     base = ipaddress.ip_address(address)
     if base.version == 4:
-        number = ipv4_number(ip)
-        same = F.lit(True) if length == 0 else F.shiftright(number, 32 - length) == (int(base) >> (32 - length))
-        return F.coalesce(number.isNotNull() & (number != 0) & same, F.lit(False))
+        if length == 0:
+            return number != 0
+        lo = (int(base) >> (32 - length)) << (32 - length)
+        return (number != 0) & number.between(lo, lo + (1 << (32 - length)) - 1)
     if length == 0:
         return F.lit(False)
     wanted = format(int(base), "032x")
-    digits, bits = divmod(length, 4)
-    text = wanted[:digits] + (f".{int(wanted[digits], 16) >> (4 - bits)}" if bits else "")
-    return F.coalesce(_hex_prefix(ipv6_hex(ip), length) == text, F.lit(False))
+    whole, bits = divmod(length, 4)
+    text = wanted[:whole] + (f".{int(wanted[whole], 16) >> (4 - bits)}" if bits else "")
+    return _hex_prefix(digits, length) == text
+
+
+def in_subnet(ip: Column, subnet: str) -> Column:
+    """Whether the address is in the subnet. IPv4 0.0.0.0 is in none, IPv4 /0 holds all others, IPv6 /0 holds none."""
+    return cidr_match(ip, [subnet]).isNotNull()
 
 
 def cidr_match(ip: Column, subnets: Sequence[str]) -> Column:
     """The first subnet of the list, as written, that holds the address; null if none."""
-    out = F.lit(None).cast("string")
-    for s in reversed(list(subnets)):
-        out = F.when(in_subnet(ip, s), F.lit(s)).otherwise(out)
-    return out
+
+    def first(number: Column, digits: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for s in reversed(list(subnets)):
+            out = F.when(_holds(s, number, digits), F.lit(s)).otherwise(out)
+        return out
+
+    if not any(":" in s for s in subnets):
+        return let(ipv4_number(ip), lambda number: first(number, F.lit(None).cast("string")))
+    return let(ipv4_number(ip), lambda number: let(ipv6_hex(ip), lambda digits: first(number, digits)))
 
 
 def cidr_truncate(ip: Column, length: int) -> Column:
     """``network/length`` of an address of either family."""
-    number = ipv4_number(ip)
-    v4 = F.concat(ipv4_text(F.shiftleft(F.shiftright(number, 32 - length), 32 - length)), F.lit(f"/{length}")) if length <= 32 else F.lit(None).cast("string")
+    cut = lambda n: F.concat(ipv4_text(F.shiftleft(F.shiftright(n, 32 - length), 32 - length)), F.lit(f"/{length}"))
+    v4 = let(ipv4_number(ip), lambda n: F.when(n.isNotNull(), cut(n))) if length <= 32 else F.lit(None).cast("string")
     whole, bits = divmod(length, 4)
 
     def network(digits: Column) -> Column:
@@ -106,7 +119,7 @@ def cidr_truncate(ip: Column, length: int) -> Column:
             kept = F.concat(kept, F.lower(F.hex(nibble)))
         return F.concat(ipv6_text(F.rpad(kept, 32, "0")), F.lit(f"/{length}"))
 
-    return F.when(is_ipv6(ip), let(ipv6_hex(ip), network)).otherwise(F.when(number.isNotNull(), v4))
+    return F.when(is_ipv6(ip), let(ipv6_hex(ip), network)).otherwise(v4)
 
 
 def ipv6_text(digits: Column) -> Column:
