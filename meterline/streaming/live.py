@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import ship
+
 WATERMARK = "2 minutes"
 
 
@@ -35,6 +37,7 @@ def pair_stream(events: DataFrame, keys: Sequence[str], is_response: str, *, ts:
 
     State is one open query a key. A timer at ``ttl_ms`` after the query, in event time, ends an unanswered one.
     """
+    ship(events.sparkSession)
     columns = [*keys, ts, seq, is_response]
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     out = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "ts timestamp, status string, elapsed_us bigint"])
@@ -73,6 +76,7 @@ def pair_stream(events: DataFrame, keys: Sequence[str], is_response: str, *, ts:
 
 def activity_stream(events: DataFrame, stream: str, *, ts: str = "ts", seq: str = "seq", seconds: int = 60) -> DataFrame:
     """Period starts of activity-anchored periods, each when it opens: ``stream, period_start``. State: the last start."""
+    ship(events.sparkSession)
     kind = events.schema[stream].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
