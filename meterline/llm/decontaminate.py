@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .bytewords import ALNUM, Words, words_of
 from .tables import STEP_BYTES, col, map_texts, steps, texts_of
 
@@ -235,6 +236,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
     Repeated documents and null ids give a row each; equal windows of several items count for each of them.
     Windows are broadcast ``index_windows`` at a time; a larger benchmark is probed in as many passes of one job.
     """
+    ship(documents.sparkSession)
     found = windows(benchmark, item_id=item_id, text=item_text, words=words)
     docs = documents.select(F.struct(*[col(c) for c in keep]).alias("row"), col(text).cast("string").alias("text"))
     hits = "struct('n_words', 0, 'starts', array(), 'ends', array(), 'items', array())"

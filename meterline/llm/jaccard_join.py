@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .bytewords import NOT_SPACE, mix, words_of
 from .components import connected_components
 from .tables import by_group, col, map_texts, materialize, steps, texts_of
@@ -334,6 +335,7 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     is never a component_id: such rows join the component of a row with equal set and an id, else they link with
     nothing and have a null component_id. Other columns are ignored.
     """
+    ship(documents.sparkSession)
     profiles = materialize(_profiles(documents.select(col(doc_id).alias("doc_id"), col(text).alias("text")), ("doc_id",), "text", k, percent), "profiles")
     tiles = materialize(_paired(materialize(_tiles(_posted(profiles)), "tiles")), "cells")
     wanted = tiles.select("set_id").distinct()

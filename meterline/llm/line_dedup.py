@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tables import col, discard, materialize, steps, texts_of
 
 _STRIP = b" \t\n\v\f\r"
@@ -93,6 +94,7 @@ def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     time they occur. Rows of one id are one document. Rows without id keep all lines and hold none against others.
     ``doc_id`` is numeric; documents are taken in ``batches`` ranges of it. Other columns are ignored.
     """
+    ship(documents.sparkSession)
     docs = documents.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 10_000)).first()[0] or []
     bounds = sorted(set(bounds)) if batches > 1 else []

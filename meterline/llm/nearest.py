@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tables import col, materialize
 
 #: Queries and rows of one cell.
@@ -96,6 +97,7 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
     coded; queries meet rows in cells of bounded size, each of which returns at most k rows a query. See
     :func:`vectors_of` for vectors that take no part. Rows that repeat an id are candidates each.
     """
+    ship(embeddings.sparkSession)
     vectors, d = vectors_of(embeddings, vec_id, vector)
     if not d:
         kind = vectors.schema["vec_id"].dataType.simpleString()

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .bytewords import WORD_OR_MARK, words_of
 from .tables import col, held_out, map_texts, materialize, steps, texts_of
 
@@ -34,6 +35,7 @@ def _buckets(h: np.ndarray) -> np.ndarray:
 
 def word_vectors(documents: DataFrame, *, text: str = "text") -> np.ndarray:
     """The context vectors of all hashed words over all texts (WORDS x DIM); one partial sum a task, then sums by slice."""
+    ship(documents.sparkSession)
     width = 256
 
     def run(batches):

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .tables import col, map_texts, texts_of
 
 KINDS = ("assign", "access", "hex")
@@ -166,6 +167,7 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
     format accepts what gains at least as much as all but ``quantile`` of its own credentials. Kinds without
     credentials have no format; without any, nothing is added to the fixed patterns.
     """
+    ship(documents.sparkSession)
     schema = pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])
 
     def run(batches):

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 _OWN: dict[str, str] = {}
 
 #: Bytes of text that one step of a row-wise pass handles at once (one longer text is a step of its own).
@@ -77,6 +79,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], fn: Callable[[pa.Ar
     ``fn`` gets a string array (null texts as null) of a bounded number of bytes and returns a list for each field.
     The kept columns travel inside a struct, so their names can't clash with those of the results.
     """
+    ship(df.sparkSession)
     inside = text in keep
     source = df.select(F.struct(*[col(c) for c in keep]).alias("row"), *([] if inside else [col(text).cast("string").alias("text")]))
     schema = T.StructType([source.schema["row"], *T.StructType.fromDDL(fields)])
@@ -104,6 +107,7 @@ def by_group(df: DataFrame, keys: Sequence[str], values: Sequence[str], fn: Call
 
     For very many small groups: groups stream through a task that holds one at a time. Callers bound group sizes.
     """
+    ship(df.sparkSession)
     schema = T.StructType.fromDDL(fields)
     n = len(keys)
 
