@@ -16,7 +16,7 @@ from meterline.llm.tables import materialize
 from meterline.llm.token_output import token_output
 
 #: A document whose language is less certain than this goes.
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
