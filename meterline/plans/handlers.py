@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ class Options:
     mode: str = "exact"
     filters: dict = field(default_factory=dict)
     dims: Sequence[str] = ()
+    event_counts: bool = True
 
 
 @dataclass
@@ -70,9 +72,25 @@ def _prepared(df: DataFrame, o: Options, key: Sequence[str] = ("stream", "seq"))
 
 def event_metrics(df: DataFrame, o: Options, handler: str, schema: str) -> DataFrame:
     """What every handler counts of all its events, filtered ones too."""
-    return _table(df, [Counter("num_events"), Counter("deep_samples", where=F.col("deep")), Rate("event_rate")], o, handler, schema)
+    return _table(df, [Counter("num_events"), Counter("num_samples", where=F.col("deep")), Rate("events_rate")], o, handler, schema)
 
 
+def counted(handler: str, schema: str):
+    """Adds the event counts of all input rows to what a handler returns."""
+
+    def wrap(fn):
+        @wraps(fn)
+        def run(events: DataFrame, *args, **options) -> DataFrame:
+            out = fn(events, *args, **options)
+            o = options.get("o") or next((a for a in args if isinstance(a, Options)), None) or Options()
+            return out.unionByName(event_metrics(_prepared(events, o), o, handler, schema)) if o.event_counts else out
+
+        return run
+
+    return wrap
+
+
+@counted("net", "net")
 def net(packets: DataFrame, o: Options | None = None, d: Dimensions | None = None) -> DataFrame:
     """Packets by direction."""
     o, d = o or Options(), d or Dimensions()
@@ -107,6 +125,7 @@ def net(packets: DataFrame, o: Options | None = None, d: Dimensions | None = Non
     return out.unionByName(_table(df, whole, o, "net", "net"))
 
 
+@counted("net", "packets")
 def net_v1(packets: DataFrame, o: Options | None = None, d: Dimensions | None = None) -> DataFrame:
     """Packets without dimensions, as the first version reported them."""
     o, d = o or Options(), d or Dimensions()
@@ -169,6 +188,7 @@ def dns_transactions(dns: DataFrame, o: Options | None = None, d: Dimensions | N
     return out.withColumn("names", names).withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
 
 
+@counted("dns", "dns")
 def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
     """DNS transactions by direction."""
     o, d = o or Options(), d or Dimensions()
@@ -195,10 +215,11 @@ def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = No
     late = _on([Counter("timeout_queries", "counters", F.col("status") == "timed_out"), Counter("orphan_responses", "counters", F.col("status") == "orphan")], groups)
     if late:
         out = out.unionByName(_table(rows, late, o, "dns", "dns", ["xact_dir"]))
-    whole = _on([Counter("filtered_packets", "counters", weight=F.col("filtered")), Counter("observed_packets"), Rate("event_rate")], groups)
+    whole = _on([Counter("filtered_packets", "counters", weight=F.col("filtered")), Counter("observed_packets")], groups)
     return out.unionByName(_table(rows, whole, o, "dns", "dns"))
 
 
+@counted("dns", "dns")
 def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
     """DNS wire packets and transactions without dimensions, as the first version reported them."""
     o, d = o or Options(), d or Dimensions()
@@ -267,6 +288,7 @@ def flow_records(exports: DataFrame, o: Options, d: Dimensions, summaries: Summa
     return r.withColumn("keep", flt.keep()).withColumn("conversation", conversation_key(F.col("src_end"), F.col("dst_end"), F.col("src_port"), F.col("dst_port")))
 
 
+@counted("flow", "flow")
 def flow(exports: DataFrame, o: Options | None = None, d: Dimensions | None = None, summaries: Summaries | None = None, scale: bool = True) -> DataFrame:
     """Flows by device, and by device and interface."""
     o, d = o or Options(), d or Dimensions()
@@ -313,6 +335,7 @@ def flow(exports: DataFrame, o: Options | None = None, d: Dimensions | None = No
     return out.unionByName(_table(r, by_device, o, "flow", "flow", ["device"])) if by_device else out
 
 
+@counted("dhcp", "dhcp")
 def dhcp(events: DataFrame, o: Options | None = None) -> DataFrame:
     o = o or Options()
     df = _prepared(events, o)
@@ -324,6 +347,7 @@ def dhcp(events: DataFrame, o: Options | None = None) -> DataFrame:
     return _table(df, metrics, o, "dhcp", "dhcp").unionByName(_table(leases, [TopN("top_clients", item=F.col("client"))], o, "dhcp", "dhcp"))
 
 
+@counted("bgp", "bgp")
 def bgp(events: DataFrame, o: Options | None = None) -> DataFrame:
     o = o or Options()
     kinds = ("open", "update", "notification", "keepalive", "routerefresh")
@@ -331,6 +355,7 @@ def bgp(events: DataFrame, o: Options | None = None) -> DataFrame:
     return _table(_prepared(events, o), metrics, o, "bgp", "bgp")
 
 
+@counted("pcap", "pcap")
 def capture(samples: DataFrame, o: Options | None = None) -> DataFrame:
     """Health of a capture: errors, and the increases of its drop counters."""
     o = o or Options()
@@ -342,6 +367,7 @@ def capture(samples: DataFrame, o: Options | None = None) -> DataFrame:
     return out
 
 
+@counted("netprobe", "netprobe")
 def netprobe(events: DataFrame, o: Options | None = None, ttl_ms: int = 2000) -> DataFrame:
     o = o or Options()
     groups = metric_groups("netprobe", o.enable, o.disable)
@@ -363,6 +389,7 @@ def netprobe(events: DataFrame, o: Options | None = None, ttl_ms: int = 2000) ->
     return out.unionByName(_table(valid, found, o, "netprobe", "netprobe", ["target"]))
 
 
+@counted("input_resources", "input_resources")
 def resources(samples: DataFrame, changes: DataFrame, o: Options | None = None) -> DataFrame:
     """CPU and memory of an input, and how many policies and handlers use it."""
     o = o or Options()

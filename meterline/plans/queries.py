@@ -48,7 +48,7 @@ _NET = ["udp_packets", "tcp_packets", "other_l4_packets", "ipv4_packets", "ipv6_
   count(*) FILTER (l3 = 'ipv6') AS ipv6_packets, count(*) FILTER (l4 = 'tcp' AND syn) AS tcp_syn_packets, count(*) AS total_packets FROM packets GROUP BY 1, 2)
 SELECT period, dir, name, 'value' AS stat, CAST(value AS DOUBLE) AS value FROM (UNPIVOT c ON udp_packets, tcp_packets, other_l4_packets, ipv4_packets, ipv6_packets, tcp_syn_packets, total_packets INTO NAME name VALUE value)""")
 def net_counters_by_minute(spark, sf_dir):
-    out = h.net(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["counters"]))
+    out = h.net(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], event_counts=False))
     return _long(out.where(F.col("name").isin(_NET) & F.col("labels")["dir"].isNotNull()), "dir")
 
 
@@ -56,13 +56,13 @@ def net_counters_by_minute(spark, sf_dir):
 SELECT period, dir, 'cardinality_ips' AS name, 'value' AS stat, CAST(count(DISTINCT ip) AS DOUBLE) AS value FROM r GROUP BY 1, 2
 UNION ALL SELECT period, dir, 'top_' || l3 || '_packets', ip, CAST(n AS DOUBLE) FROM (SELECT period, dir, l3, ip, count(*) AS n, row_number() OVER (PARTITION BY period, dir, l3 ORDER BY count(*) DESC, ip) AS r FROM r GROUP BY 1, 2, 3, 4) WHERE r <= 10""")
 def net_top_ips(spark, sf_dir):
-    out = h.net(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["cardinality", "top_ips"]))
+    out = h.net(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["cardinality", "top_ips"], event_counts=False))
     return _long(out.where(F.col("name").rlike("^(cardinality|top_ipv)")), "dir")
 
 
 @query(f"""WITH {PACKETS_SQL} SELECT period, 'payload_size' AS name, unnest(['p50', 'p90', 'p95', 'p99', 'n', 'min', 'max']) AS stat, CAST(unnest([quantile_disc(bytes, 0.5), quantile_disc(bytes, 0.9), quantile_disc(bytes, 0.95), quantile_disc(bytes, 0.99), count(*), min(bytes), max(bytes)]) AS DOUBLE) AS value FROM packets GROUP BY period""")
 def net_v1_payload(spark, sf_dir):
-    out = h.net_v1(v.packets(spark, sf_dir), h.Options(disable=["all"]))
+    out = h.net_v1(v.packets(spark, sf_dir), h.Options(disable=["all"], event_counts=False))
     return _long(out.where("name = 'payload_size'"))
 
 
@@ -83,7 +83,7 @@ def quantiles_by_type(spark, sf_dir):
 z AS (SELECT period, dir, list_sort(list_concat(l, [0 FOR x IN range(60 - len(l))])) AS l FROM g)
 SELECT period, dir, 'rates_pps' AS name, unnest(['p50', 'p90', 'p95', 'p99']) AS stat, CAST(unnest([l[30], l[54], l[57], l[60]]) AS DOUBLE) AS value FROM z""")
 def rate_per_second(spark, sf_dir):
-    out = h.net(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["quantiles"]))
+    out = h.net(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["quantiles"], event_counts=False))
     return _long(out.where("name = 'rates_pps' and stat like 'p%'"), "dir")
 
 
@@ -208,7 +208,7 @@ def filter_propagation(spark, sf_dir):
 u AS (UNPIVOT c ON xacts, udp_xacts, tcp_xacts, nxdomain_xacts, noerror_xacts, nodata_xacts, checking_disabled_xacts INTO NAME name VALUE value)
 SELECT period, name, 'value' AS stat, CAST(value AS DOUBLE) AS value FROM u UNION ALL SELECT period, unnest(['timeout_queries', 'orphan_responses']), 'value', CAST(unnest([count(*) FILTER (status = 'timed_out'), count(*) FILTER (status = 'orphan')]) AS DOUBLE) FROM x GROUP BY period""")
 def dns_counters(spark, sf_dir):
-    out = h.dns(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["counters"]), ttl_ms=TTL * 1000)
+    out = h.dns(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], event_counts=False), ttl_ms=TTL * 1000)
     wanted = ["xacts", "udp_xacts", "tcp_xacts", "nxdomain_xacts", "noerror_xacts", "nodata_xacts", "checking_disabled_xacts", "timeout_queries", "orphan_responses"]
     return _long(out.where(F.col("name").isin(wanted)))
 
@@ -216,13 +216,13 @@ def dns_counters(spark, sf_dir):
 @query("WITH " + DNS_SQL.format(ttl=TTL) + """, t AS (SELECT period, 'top_qname2_xacts' AS name, '.d' || (txid % 7) || '.example.com' AS full_, '.example.com' AS item FROM x WHERE status = 'valid' UNION ALL SELECT period, 'top_qname3_xacts', '', '.d' || (txid % 7) || '.example.com' FROM x WHERE status = 'valid'),
 g AS (SELECT period, name, item, count(*) AS n, row_number() OVER (PARTITION BY period, name ORDER BY count(*) DESC, item) AS r FROM t GROUP BY 1, 2, 3) SELECT period, name, item AS stat, CAST(n AS DOUBLE) AS value FROM g WHERE r <= 10""")
 def dns_top_qnames(spark, sf_dir):
-    return _long(h.dns(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["top_qnames"]), ttl_ms=TTL * 1000).where("name like 'top_qname%'"))
+    return _long(h.dns(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["top_qnames"], event_counts=False), ttl_ms=TTL * 1000).where("name like 'top_qname%'"))
 
 
 @query("WITH " + DNS_SQL.format(ttl=TTL) + """, c AS (SELECT period, count(*) FILTER (NOT is_response) AS wire_packets_queries, count(*) FILTER (is_response) AS wire_packets_replies, count(*) FILTER (is_response AND rcode = 5) AS wire_packets_refused, count(*) FILTER (is_response AND rcode = 2) AS wire_packets_srvfail, count(*) AS wire_packets_total FROM x GROUP BY 1)
 SELECT period, name, 'value' AS stat, CAST(value AS DOUBLE) AS value FROM (UNPIVOT c ON wire_packets_queries, wire_packets_replies, wire_packets_refused, wire_packets_srvfail, wire_packets_total INTO NAME name VALUE value)""")
 def dns_wire_counters(spark, sf_dir):
-    out = h.dns_v1(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["counters"]), ttl_ms=TTL * 1000)
+    out = h.dns_v1(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], event_counts=False), ttl_ms=TTL * 1000)
     return _long(out.where(F.col("name").isin([f"wire_packets_{n}" for n in ("queries", "replies", "refused", "srvfail", "total")])))
 
 
@@ -232,7 +232,7 @@ _DEVICE = "SELECT device, CAST(interface AS VARCHAR) AS device_interface, period
 @query(f"""WITH {FLOWS_SQL}, c AS ({_DEVICE}, coalesce(sum(bytes) FILTER (dir = 'in'), 0) AS in_bytes, coalesce(sum(bytes) FILTER (dir = 'out'), 0) AS out_bytes, coalesce(sum(bytes) FILTER (dir = 'in' AND l4 = 'udp'), 0) AS in_udp_bytes, coalesce(sum(bytes) FILTER (dir = 'out' AND l4 = 'tcp'), 0) AS out_tcp_bytes, coalesce(sum(bytes) FILTER (dir = 'in' AND l3 = 'ipv6'), 0) AS in_ipv6_bytes FROM sides GROUP BY ALL)
 SELECT period, device, device_interface, name, 'value' AS stat, CAST(value AS DOUBLE) AS value FROM (UNPIVOT c ON in_bytes, out_bytes, in_udp_bytes, out_tcp_bytes, in_ipv6_bytes INTO NAME name VALUE value)""")
 def flow_counters(spark, sf_dir):
-    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["counters", "by_bytes"]))
+    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["counters", "by_bytes"], event_counts=False))
     return _long(out.where(F.col("name").isin("in_bytes", "out_bytes", "in_udp_bytes", "out_tcp_bytes", "in_ipv6_bytes")), "device", "device_interface")
 
 
@@ -260,7 +260,7 @@ def flow_conversations(spark, sf_dir):
 
 @query(f"""WITH {FLOWS_SQL}, k AS (SELECT *, src_port BETWEEN 10 AND 99 OR dst_port = 443 OR src_port = 443 OR dst_port BETWEEN 10 AND 99 AS keep FROM f) SELECT device, count(*) FILTER (keep) AS records_flows, count(*) FILTER (NOT keep) AS records_filtered FROM k GROUP BY 1""")
 def flow_filters_ports(spark, sf_dir):
-    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], filters={"only_ports": ["99-10", 443]}))
+    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], filters={"only_ports": ["99-10", 443]}, event_counts=False))
     t = out.where("name in ('records_flows', 'records_filtered')").groupBy(F.col("labels")["device"].alias("device"))
     return t.agg(*[F.sum(F.when(F.col("name") == n, F.col("value"))).cast("bigint").alias(n) for n in ("records_flows", "records_filtered")])
 
@@ -268,7 +268,7 @@ def flow_filters_ports(spark, sf_dir):
 @query(f"""WITH {FLOWS_SQL}, i AS (SELECT device, CASE WHEN device = '10.255.0.1' AND if_in BETWEEN 2 AND 4 OR device = '10.255.0.2' THEN if_in END AS a, CASE WHEN device = '10.255.0.1' AND if_out BETWEEN 2 AND 4 OR device = '10.255.0.2' THEN if_out END AS b FROM f)
 SELECT device, count(*) FILTER (a IS NOT NULL OR b IS NOT NULL) AS records_flows, count(*) FILTER (a IS NULL AND b IS NULL) AS records_filtered FROM i GROUP BY 1""")
 def flow_filters_interfaces(spark, sf_dir):
-    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], filters={"only_device_interfaces": {"10.255.0.1": ["2-4"], "10.255.0.2": ["*"]}}))
+    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], filters={"only_device_interfaces": {"10.255.0.1": ["2-4"], "10.255.0.2": ["*"]}}, event_counts=False))
     t = out.where("name in ('records_flows', 'records_filtered')").groupBy(F.col("labels")["device"].alias("device"))
     return t.agg(*[F.sum(F.when(F.col("name") == n, F.col("value"))).cast("bigint").alias(n) for n in ("records_flows", "records_filtered")])
 
@@ -384,7 +384,7 @@ def fleet_topn(spark, sf_dir):
 @query(f"""WITH {PACKETS_SQL}, c AS (SELECT period, CAST(count(*) AS DOUBLE) AS total, CAST(count(*) FILTER (l4 = 'udp') AS DOUBLE) AS udp, CAST(count(*) FILTER (l4 = 'tcp') AS DOUBLE) AS tcp, CAST(count(*) FILTER (dir = 'in') AS DOUBLE) AS i, CAST(count(*) FILTER (dir = 'out') AS DOUBLE) AS o FROM packets GROUP BY 1)
 SELECT period, total, udp * 100.0::DOUBLE / total AS udp_pct, tcp * 100.0::DOUBLE / total AS tcp_pct, CASE WHEN i + o > 0 THEN i * 100.0::DOUBLE / (i + o) END AS in_pct FROM c""")
 def header_shares(spark, sf_dir):
-    out = reports.traffic_header(h.net_v1(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["counters"])))
+    out = reports.traffic_header(h.net_v1(v.packets(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], event_counts=False)))
     return out.select(_epoch(), "total", "udp_pct", "tcp_pct", "in_pct")
 
 
@@ -425,7 +425,7 @@ def json_document(spark, sf_dir):
 @query(f"""WITH {PACKETS_SQL}, r AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS r FROM (SELECT DISTINCT period FROM packets)) SELECT (SELECT min(period) FROM r WHERE r <= 3) AS period, 'total' AS name, CAST(count(*) AS DOUBLE) AS value FROM packets WHERE period IN (SELECT period FROM r WHERE r <= 3)
 UNION ALL SELECT (SELECT min(period) FROM r WHERE r <= 3), 'udp', CAST(count(*) FILTER (l4 = 'udp') AS DOUBLE) FROM packets WHERE period IN (SELECT period FROM r WHERE r <= 3)""")
 def summary_report(spark, sf_dir):
-    out = reports.summary_report({"net": h.net_v1}, {"net": v.packets(spark, sf_dir)}, h.Options(disable=["all"], enable=["counters"]), periods=3)
+    out = reports.summary_report({"net": h.net_v1}, {"net": v.packets(spark, sf_dir)}, h.Options(disable=["all"], enable=["counters"], event_counts=False), periods=3)
     return out.where("name in ('total', 'udp')").select(_epoch(), "name", "value")
 
 
@@ -435,3 +435,106 @@ def sliding_window(spark, sf_dir):
 
     e = v.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return sliding(e, ["event_type"], [F.count("*").alias("n")]).select("event_type", _epoch(), "n")
+
+
+@query(f"""WITH {PACKETS_SQL} SELECT period, unnest(['num_events', 'num_samples']) AS name, 'value' AS stat, CAST(count(*) AS DOUBLE) AS value FROM packets GROUP BY period""")
+def event_counts(spark, sf_dir):
+    return _long(h.net_v1(v.packets(spark, sf_dir), h.Options(disable=["all"])).where("name in ('num_events', 'num_samples')"))
+
+
+_KIND = {"view": "OPEN", "click": "UPDATE", "purchase": "KEEPALIVE", "signup": "NOTIFICATION", "error": "ROUTEREFRESH"}
+
+
+@query("""WITH c AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period, count(*) FILTER (event_type = 'view') AS wire_packets_open, count(*) FILTER (event_type = 'click') AS wire_packets_update, count(*) FILTER (event_type = 'purchase') AS wire_packets_keepalive, count(*) AS wire_packets_total FROM events GROUP BY 1)
+SELECT period, name, 'value' AS stat, CAST(value AS DOUBLE) AS value FROM (UNPIVOT c ON wire_packets_open, wire_packets_update, wire_packets_keepalive, wire_packets_total INTO NAME name VALUE value)""")
+def bgp_counters(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").select(F.lit("all").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), codes.lookup(_KIND, F.col("event_type")).alias("msg_type"), F.col("event_id").alias("seq"))
+    return _long(h.bgp(e).where("name in ('wire_packets_open', 'wire_packets_update', 'wire_packets_keepalive', 'wire_packets_total')"))
+
+
+@query("""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period FROM events WHERE event_type IN ('view', 'click', 'signup')),
+l AS (SELECT *, lag(event_type) OVER w AS was, lag(user_id) OVER w AS asker, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM e WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)),
+t AS (SELECT period, 'm' || asker || '/Unknown/10.0.0.' || k AS client FROM l WHERE event_type = 'click' AND was = 'view' AND gap < 5000000)
+SELECT period, 'top_clients' AS name, client AS stat, CAST(count(*) AS DOUBLE) AS value FROM t GROUP BY period, client
+UNION ALL SELECT period, 'wire_packets_offer', 'value', CAST(count(*) FILTER (event_type = 'signup') AS DOUBLE) FROM e GROUP BY period UNION ALL SELECT period, 'wire_packets_total', 'value', CAST(count(*) AS DOUBLE) FROM e GROUP BY period""")
+def dhcp_counters(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").where("event_type in ('view', 'click', 'signup')").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    none = F.lit(None).cast("string")
+    rows = e.select(F.lit("all").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.lit(4).alias("version"), codes.lookup({"view": "REQUEST", "click": "ACK", "signup": "OFFER"}, F.col("event_type")).alias("msg_type"), F.col("k").cast("bigint").alias("xid"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("client_mac"), none.alias("hostname"), F.when(F.col("event_type") == "click", F.concat(F.lit("10.0.0."), F.col("k").cast("string"))).alias("your_ip"), none.alias("server_id"), none.alias("src_mac"), none.alias("src_ip6"), F.col("event_id").alias("seq"))
+    return _long(h.dhcp(rows, h.Options(event_counts=False)).where("name in ('top_clients', 'wire_packets_offer', 'wire_packets_total')"))
+
+
+@query("""WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period, CAST(floor(value) AS BIGINT) AS x, ts, event_id FROM events), d AS (SELECT period, greatest(x - max(x) OVER (PARTITION BY period ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d, row_number() OVER (PARTITION BY period ORDER BY ts, event_id) AS r FROM e)
+SELECT period, 'os_drops' AS name, 'value' AS stat, CAST(coalesce(sum(d) FILTER (r > 1), 0) AS DOUBLE) AS value FROM d GROUP BY period""")
+def capture_drops(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").select(F.lit("all").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("bigint").alias("os_drops"), F.lit(0).cast("bigint").alias("if_drops"), F.lit(False).alias("tcp_error"), F.col("event_id").alias("seq"))
+    return _long(h.capture(e, h.Options(event_counts=False)).where("name = 'os_drops'"))
+
+
+@query("""WITH e AS (SELECT 't' || (user_id % 10) AS target, event_type, ts, event_id, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period FROM events),
+l AS (SELECT *, lag(event_type) OVER w AS was, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM e WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY period, target ORDER BY ts, event_id))
+SELECT period, target, 'attempts' AS name, CAST(count(*) FILTER (event_type = 'view') AS DOUBLE) AS value FROM e GROUP BY 1, 2
+UNION ALL SELECT period, target, 'dns_lookup_failures', CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) FROM e GROUP BY 1, 2
+UNION ALL SELECT period, target, 'successes', CAST(count(*) AS DOUBLE) FROM l WHERE event_type = 'click' AND was = 'view' AND gap < 30000000 GROUP BY 1, 2
+UNION ALL SELECT period, target, 'packets_timeout', CAST(count(*) AS DOUBLE) FROM l WHERE event_type = 'click' AND was = 'view' AND gap >= 30000000 GROUP BY 1, 2""")
+def netprobe_targets(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events")
+    rows = e.select(F.lit("all").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("target"), F.lit("tcp").alias("kind"), codes.lookup({"view": "send", "click": "recv", "error": "fail"}, F.col("event_type")).alias("event"), F.col("event_id").alias("probe_id"), F.when(F.col("event_type") == "error", "dns").alias("error"), F.col("event_id").alias("seq"))
+    t = h.netprobe(rows, h.Options(event_counts=False), ttl_ms=30_000).where("name in ('attempts', 'dns_lookup_failures', 'successes', 'packets_timeout')")
+    return t.select(_epoch(), F.col("labels")["target"].alias("target"), "name", "value")
+
+
+@query("""WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period, value, ts, event_id, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -2 ELSE 0 END AS d FROM events),
+s AS (SELECT *, sum(d) OVER w AS t FROM e WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, t - least(min(t) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS total FROM s)
+SELECT period, 'cpu_usage' AS name, 'p90' AS stat, quantile_disc(value, 0.9) AS value FROM e GROUP BY period UNION ALL SELECT period, 'policy_count', 'value', CAST(arg_max(total, ts) AS DOUBLE) FROM c GROUP BY period""")
+def resource_usage(spark, sf_dir):
+    e = v.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    samples = e.select(F.lit("all").alias("stream"), "ts", F.col("value").alias("cpu_pct"), F.col("event_id").alias("mem_bytes"))
+    d = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -2).otherwise(0).cast("bigint")
+    changes = e.select(F.lit("all").alias("stream"), "ts", d.alias("policy_delta"), d.alias("handler_delta"))
+    out = h.resources(samples, changes, h.Options(event_counts=False))
+    return _long(out.where("name = 'policy_count' or (name = 'cpu_usage' and stat = 'p90')"))
+
+
+@query(f"""WITH {FLOWS_SQL} SELECT device, CAST(interface AS VARCHAR) AS device_interface, period, unnest(['cardinality_src_ips_in', 'cardinality_dst_ips_out', 'cardinality_dst_ports_out']) AS name, 'value' AS stat, CAST(unnest([count(DISTINCT src_ip), count(DISTINCT dst_ip), count(DISTINCT dst_port) FILTER (dst_port > 0)]) AS DOUBLE) AS value FROM sides GROUP BY device, interface, period""")
+def flow_cardinality(spark, sf_dir):
+    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["cardinality"], event_counts=False))
+    return _long(out.where("name in ('cardinality_src_ips_in', 'cardinality_dst_ips_out', 'cardinality_dst_ports_out')"), "device", "device_interface")
+
+
+@query(f"""WITH {FLOWS_SQL}, g AS (SELECT device, period, CAST(interface AS VARCHAR) AS device_interface, src_port, sum(packets) AS n, row_number() OVER (PARTITION BY device, period, interface ORDER BY sum(packets) DESC, CAST(src_port AS VARCHAR)) AS r FROM sides WHERE dir = 'in' AND src_port > 0 GROUP BY device, period, interface, src_port)
+SELECT period, device, device_interface, 'top_in_src_ports_packets' AS name, CAST(src_port AS VARCHAR) AS stat, CAST(n AS DOUBLE) AS value FROM g WHERE r <= 10""")
+def flow_top_ports(spark, sf_dir):
+    out = h.flow(v.flows(spark, sf_dir), h.Options(disable=["all"], enable=["top_ports", "by_packets"], event_counts=False))
+    return _long(out.where("name = 'top_in_src_ports_packets'"), "device", "device_interface")
+
+
+@query("""WITH p AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) // 86400 * 86400 AS period, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last, count(*) AS num_events FROM events GROUP BY 1, 2), b AS (SELECT *, coalesce(lead(period) OVER (PARTITION BY event_type ORDER BY period), last) AS fin, max(period) OVER (PARTITION BY event_type) AS newest FROM p)
+SELECT event_type, strftime(make_timestamp(period * 1000000), '%Y-%m-%d %H:%M:%S') AS "start", strftime(make_timestamp(fin * 1000000), '%Y-%m-%d %H:%M:%S') AS "end", period != newest AS read_only, fin - period AS length, num_events FROM b""")
+def period_info(spark, sf_dir):
+    e = periods.assign_periods(v.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), seconds=86400)
+    return periods.period_info(e, keys=["event_type"])
+
+
+@query("""SELECT event_type, min(value) AS "min", max(value) AS "max" FROM events GROUP BY 1""")
+def min_max(spark, sf_dir):
+    return m.min_max(v.table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'out' WHEN 2 THEN 'in' ELSE 'unknown' END AS packet_dir, CASE o_orderkey % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'in' WHEN 2 THEN 'out' ELSE 'unknown' END AS xact_dir FROM orders""")
+def dnstap_directions(spark, sf_dir):
+    o = v.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(F.lit("CLIENT_QUERY"), F.lit("CLIENT_RESPONSE"), F.lit("FORWARDER_RESPONSE"), F.lit("NONE")), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("t"))
+    return o.select("o_orderkey", codes.dnstap_packet_direction(F.col("t")).alias("packet_dir"), codes.dnstap_xact_direction(F.col("t")).alias("xact_dir"))
+
+
+@query("""WITH e AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period, event_type FROM events), t AS (SELECT max(ts) - INTERVAL 2 MINUTE AS mark FROM events) SELECT period, event_type, count(*) AS n FROM e, t WHERE period + 60 <= epoch(mark) GROUP BY 1, 2""")
+def stream_tumbling(spark, sf_dir):
+    """The events as a stream: closed periods, appended by the rollup writer and read back."""
+    from ..storage import new_path
+    from ..streaming import live
+
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = new_path(spark, "stream")
+    live.write_rollups(live.tumbling(source, ["event_type"], [F.count("*").alias("n")]), out + "/rows", out + "/progress").awaitTermination()
+    return spark.read.parquet(out + "/rows").select(_epoch(), "event_type", "n")

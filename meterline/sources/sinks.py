@@ -78,11 +78,12 @@ def to_otel_rows(metrics: DataFrame) -> DataFrame:
     return gauges.unionByName(summaries).unionByName(histograms)
 
 
-def to_document(metrics: DataFrame) -> DataFrame:
+def to_document(metrics: DataFrame, geo: DataFrame | None = None) -> DataFrame:
     """One JSON document a period of a policy's handler: ``policy, handler, period_start, document``.
 
     Under the schema: the period, then each label set's metrics by name. Counters and distinct counts are numbers;
-    quantiles, rates and histograms objects by mark; tops arrays of ``{name, estimate}``. Empty metrics are absent.
+    quantiles, rates and histograms objects by mark; tops arrays of ``{name, estimate}``, with ``lat`` and ``lon`` for
+    locations found in ``geo(location, lat, lon)``. Empty metrics are absent.
     """
     keys = ["policy", "handler", "schema", "period_start", "period_len"]
     label = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: e["value"]), "/")
@@ -90,8 +91,12 @@ def to_document(metrics: DataFrame) -> DataFrame:
     text = _number("value")
     pairs = m.where("kind in ('quantile', 'rate', 'histogram')").groupBy(*keys, "label", "name").agg(F.array_sort(F.collect_list(F.struct("stat", text.alias("v")))).alias("s"))
     objects = pairs.select(*keys, "label", "name", F.concat(F.lit("{"), F.array_join(F.transform("s", lambda x: F.concat(F.to_json(F.struct(x["stat"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(x["stat"].alias("k")))) - 6), F.lit(":"), x["v"])), ","), F.lit("}")).alias("json"))
-    tops = m.where("kind = 'topn'").groupBy(*keys, "label", "name").agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("o"), F.col("stat").alias("name"), F.col("value").cast("bigint").alias("estimate")))).alias("s"))
-    arrays = tops.select(*keys, "label", "name", F.to_json(F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["estimate"].alias("estimate")))).alias("json"))
+    items = m.where("kind = 'topn'").withColumns({"lat": F.lit(None).cast("string"), "lon": F.lit(None).cast("string")})
+    if geo is not None:
+        places = geo.groupBy(F.col("location").alias("stat")).agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+        items = m.where("kind = 'topn'").join(places, "stat", "left").withColumns({c: F.when(F.contains("name", F.lit("geo")), F.col(c)) for c in ("lat", "lon")})
+    tops = items.groupBy(*keys, "label", "name").agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("o"), F.col("stat").alias("name"), F.col("value").cast("bigint").alias("estimate"), "lat", "lon"))).alias("s"))
+    arrays = tops.select(*keys, "label", "name", F.to_json(F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["estimate"].alias("estimate"), x["lat"].alias("lat"), x["lon"].alias("lon")))).alias("json"))
     numbers = m.where("kind in ('counter', 'cardinality')").select(*keys, "label", "name", text.alias("json"))
     fields = numbers.unionByName(objects).unionByName(arrays)
     join = lambda s, k, v: F.concat(F.lit("{"), F.array_join(F.transform(s, lambda x: F.concat(F.lit('"'), x[k], F.lit('":'), x[v])), ","), F.lit("}"))

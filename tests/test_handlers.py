@@ -105,6 +105,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_prometheus(m, str(tmp_path / "prom"))
     doc = json.loads(sinks.to_document(m).first().document)
     assert doc["default"]["net"]["net"]["out"]["tcp_packets"] == 1 and doc["default"]["net"]["net"]["out"]["top_ipv4_packets"] == [{"name": "3.3.3.3", "estimate": 1}] and doc["default"]["net"]["net"]["out"]["payload_size_bytes"]["p50"] == 300
+    geo = spark.createDataFrame([(16843009, 16843009, "EU/DE", "52.5", "13.4")], SCHEMAS["geo_ranges_v4"])
+    placed = json.loads(sinks.to_document(h.net(packets(spark), h.Options(enable=["all"]), h.Dimensions(geo_v4=geo)), geo).first().document)["default"]["net"]["net"]["in"]["top_geo_loc_packets"]
+    assert placed == [{"name": "EU/DE", "estimate": 1, "lat": "52.5", "lon": "13.4"}]
+    assert values(m)["num_events", "value"] == 3 and values(m)["num_samples", "value"] == 3
     flat = {r.path: r.value for r in sinks.flatten_document(spark.createDataFrame([('{"top_x":[{"name":"a","estimate":3}]}',)], "document string")).collect()}
     assert flat == {"top_x_0_name": "a", "top_x_0_estimate": "3"}
     sinks.write_metric_table(m, str(tmp_path / "table"))
