@@ -16,13 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from ..storage import new_path
 from . import rans
-from .tables import col, new_path, steps, texts_of
+from .tables import col, steps, texts_of
 
 #: Ids in a group: it ends with the document that reaches this.
 GROUP = 1 << 20
 #: Pieces whose ids a worker remembers at most; the memory starts anew beyond.
-PIECES = 400_000
+PIECES = 800_000
 _loaded: dict[tuple, "Encoder"] = {}
 
 
@@ -37,8 +39,8 @@ class Encoder:
     """Whole texts to ids with the tokenizers library.
 
     A byte-level vocabulary never merges across a single space between two printing characters, so a text is the
-    chain of its pieces ``" word"``, and each distinct piece goes through the library once. Texts with any other
-    white space than single characters inside go through it whole. Tests compare both ways.
+    chain of its pieces ``" word"``, and each distinct piece goes through the library once. A text with any other
+    white space than single characters inside goes through it whole. Tests compare both ways.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,41 +53,57 @@ class Encoder:
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids whose bytes start with a space
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.first: dict[str, bytes | bool] = {}
+        self.pieces: dict[str, bytes | bool] = {}  # without the space before them; False: odd white space
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        for a, b in steps([len(p) + 1 for p in pieces], 1 << 18):
-            some = pieces[a:b]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+        """Many pieces go through the library in one text, and come apart where ids start with a space."""
+        good = []
+        for p in pieces:
+            if not p or self.odd.search(p):
+                self.pieces[p] = False
+            else:
+                good.append(p)
+        groups = [good[i : i + 64] for i in range(0, len(good), 64)]
+        for some, got in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(some) and not at[0]:
-                ends = [*at[1:].tolist(), len(ids)]
-                for p, i, j in zip(some, at.tolist(), ends):
-                    self.rest[p] = ids[i:j].tobytes()
+                raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), 4 * len(ids)]
+                self.pieces.update(zip(some, [raw[i:j] for i, j in zip((at * 4).tolist(), ends)]))
             else:
                 for p in some:
-                    self.rest[p] = self.whole(" " + p)
+                    self.pieces[p] = self.whole(" " + p)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > PIECES or len(self.first) > PIECES:
-            self.rest.clear(), self.first.clear()
-        split = [None if not t or self.odd.search(t) else t.split(" ") for t in texts]
-        new = {p for s in split if s for p in s[1:] if p not in self.rest}
+        if len(self.pieces) + len(self.first) > PIECES:
+            self.pieces.clear(), self.first.clear()
+        split = [t.split(" ") for t in texts]
+        get, found, holes, new = self.pieces.get, [], [], set()
+        for s in split:
+            own = list(map(get, s))
+            own[0] = b""
+            gap = [i for i, x in enumerate(own) if x is None]
+            new.update([s[i] for i in gap])
+            found.append(own)
+            holes.append(gap)
         if new:
-            self._learn(sorted(new))
-        out, get = [], self.rest.__getitem__
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self.whole(t) if t else b"")
-                continue
+            self._learn(list(new))
+        out = []
+        for t, s, own, gap in zip(texts, split, found, holes):
+            for i in gap:
+                own[i] = get(s[i])
             head = self.first.get(s[0])
             if head is None:
-                head = self.first[s[0]] = self.whole(s[0])
-            out.append(head + b"".join(map(get, s[1:])))
+                head = self.first[s[0]] = self.whole(s[0]) if s[0] and not self.odd.search(s[0]) else False
+            own[0] = head
+            try:
+                out.append(b"".join(own))
+            except TypeError:  # odd white space
+                out.append(self.whole(t) if t else b"")
         return out
 
 
@@ -101,6 +119,7 @@ def write_tokens(documents: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     Null texts are empty; repeated rows are written as often as they come; other columns are ignored.
     One range shuffle of the texts; tokenising, coding and writing follow in the same tasks.
     """
+    ship(documents.sparkSession)
     name = tokenizer or vocabulary()
     docs = documents.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -141,6 +160,7 @@ def write_tokens(documents: DataFrame, path: str, *, doc_id: str = "doc_id", tex
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` and the ids (little-endian, 32 bits each; null without ``with_ids``) of
     every document in the files. A bad checksum fails the read."""
+    ship(spark)
     groups = spark.read.parquet(path)
     kind = groups.schema["doc_ids"].dataType.elementType.simpleString()
     sums = groups.select("shard", "number", "n_tokens")
