@@ -19,7 +19,7 @@ from ..functions.dns import aggregate_domain, metric_port, response_ratio, xact_
 from ..functions.flow import deep_flag, explode_flow_records, first_ip_roles, flow_directions
 from ..operators.filters import DnsFilter, FlowFilter, NetFilter, from_options, metric_groups
 from ..operators.lookup import asn_lookup, enrich_devices, geo_lookup, join_services
-from ..operators.metrics import Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, clamped_running_total, delta_sum, metric_table, percentiles
+from ..operators.metrics import Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, clamped_running_total, delta_sum, metric_table
 from ..operators.pairing import match_leases, match_probes, pair_transactions, propagate_query_filter
 from ..operators.periods import assign_periods, slow_rows
 
@@ -403,4 +403,4 @@ def resources(samples: DataFrame, changes: DataFrame, o: Options | None = None)
 
 
 HANDLERS = {"net": net, "net_v1": net_v1, "dns": dns, "dns_v1": dns_v1, "flow": flow, "dhcp": dhcp, "bgp": bgp, "pcap": capture, "netprobe": netprobe, "input_resources": resources}
-__all__ = ["HANDLERS", "Dimensions", "Options", "Summaries", "percentiles"]
+__all__ = ["HANDLERS", "Dimensions", "Options", "Summaries"]
