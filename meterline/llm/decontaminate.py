@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .bytewords import ALNUM, Words, words_of
-from .tables import STEP_BYTES, col, map_texts, steps, texts_of
+from .tables import STEP_BYTES, col, steps, texts_of
 
 #: Windows in one broadcast index. Larger benchmarks take several indexes, one after the other.
 INDEX_WINDOWS = 200_000

@@ -160,10 +160,11 @@ def _likely(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
-def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400, alpha: float = 0.05, quantile: float = 0.02) -> SecretModel:
+def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400, longest: int = 200, alpha: float = 0.05, quantile: float = 0.02) -> SecretModel:
     """Formats from the credentials that the fixed patterns label, the background from all candidate tokens of all texts.
 
-    A kind learns from ``per_kind`` distinct credentials at most (those of smallest hash), over all documents. A
+    A kind learns from ``per_kind`` distinct credentials at most (those of smallest hash), of up to ``longest``
+    characters, over all documents. A
     format accepts what gains at least as much as all but ``quantile`` of its own credentials. Kinds without
     credentials have no format; without any, nothing is added to the fixed patterns.
     """
@@ -177,8 +178,9 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
             for t in texts_of(batch.column(0)):
                 body = t.as_py()
                 for s in base_spans(body):
-                    kinds.append(s[0])
-                    values.append(_value(body, s)[:200])
+                    if len(value := _value(body, s)) <= longest:
+                        kinds.append(s[0])
+                        values.append(value)
                 for m in TOKEN.finditer(body):
                     word = np.array([END, *classes(m.group()), END])
                     np.add.at(pairs, (word[:-1], word[1:]), 1)
