@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .bytewords import NOT_SPACE, mix, words_of
 from .components import connected_components
-from .tables import by_group, col, map_texts, materialize, steps, texts_of
+from .tables import by_group, col, map_texts, materialize, steps, sum_vectors, texts_of
 
 #: Counters of the rarity sketch.
 SKETCH = 1 << 20
@@ -103,19 +103,13 @@ def _rarity(documents: DataFrame, text: str, k: int) -> np.ndarray:
                 if len(h):
                     total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
         part = total.reshape(-1, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)), pa.int32()), pa.array([p.astype(np.uint32).tobytes() if p.any() else None for p in part], pa.binary())], names=["part", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        n = np.zeros(width, np.int64)
-        for x in table.column("n"):
-            n += np.frombuffer(x.as_py(), np.uint32)
-        return pa.table({"part": table.column("part").slice(0, 1), "level": [np.minimum(255, np.log2(np.maximum(n, 1)) * 4).astype(np.uint8).tobytes()]}, schema=pa.schema([("part", pa.int32()), ("level", pa.binary())]))
-
-    parts = documents.select(col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "part int, n binary").where("n is not null")
-    out = np.zeros(SKETCH, np.uint8)
-    for r in parts.groupBy("part").applyInArrow(add, "part int, level binary").collect():
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)), pa.int32()), pa.array([p.tobytes() if p.any() else None for p in part], pa.binary())], names=["part", "v"])
+
+    parts = documents.select(col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "part int, v binary").where("v is not null")
+    out = np.zeros(SKETCH, np.int64)
+    for r in sum_vectors(parts, "int64").collect():
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["v"], np.int64)
+    return np.minimum(255, np.log2(np.maximum(out, 1)) * 4).astype(np.uint8)
 
 
 def _profiles(documents: DataFrame, keep: tuple[str, ...], text: str, k: int, percent: int) -> DataFrame:

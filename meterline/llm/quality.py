@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .bytewords import WORD_OR_MARK, words_of
-from .tables import col, held_out, map_texts, materialize, steps, texts_of
+from .tables import col, held_out, map_texts, steps, sum_vectors, texts_of
 
 #: Words hash into this many vectors of this many dimensions; an index vector has so many entries of +1 or -1.
 WORDS, DIM, ENTRIES, WINDOW = 1 << 13, 32, 2, 2
@@ -55,15 +55,9 @@ def word_vectors(documents: DataFrame, *, text: str = "text") -> np.ndarray:
         part = total.reshape(WORDS // width, width * DIM)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)), pa.int32()), pa.array([p.astype("<f8").tobytes() for p in part], pa.binary())], names=["part", "v"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width * DIM)
-        for x in table.column("v"):
-            total += np.frombuffer(x.as_py(), "<f8")
-        return pa.table({"part": table.column("part").slice(0, 1), "v": [total.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("v", pa.binary())]))
-
     out = np.zeros((WORDS, DIM))
     parts = documents.select(col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "part int, v binary")
-    for r in parts.groupBy("part").applyInArrow(add, "part int, v binary").collect():
+    for r in sum_vectors(parts, "<f8").collect():
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["v"], "<f8").reshape(width, DIM)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -123,6 +124,24 @@ def by_group(df: DataFrame, keys: Sequence[str], values: Sequence[str], fn: Call
     return source.repartition(*keys).sortWithinPartitions(*keys, values[0]).mapInArrow(run, schema)
 
 
+def sum_vectors(df: DataFrame, dtype: str) -> DataFrame:
+    """``part, v`` summed by part, ``v`` being the bytes of a numpy vector of ``dtype``, one row a part and task.
+
+    Sums of at most 256 tasks first, then the sums of those, so no group grows with the number of tasks as such.
+    """
+    ship(df.sparkSession)
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = iter(table.column("v"))
+        total = np.frombuffer(next(rows).as_py(), dtype).copy()
+        for x in rows:
+            total += np.frombuffer(x.as_py(), dtype)
+        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    some = df.withColumn("tasks", F.floor(F.spark_partition_id() / 256)).groupBy("part", "tasks").applyInArrow(add, "part int, v binary")
+    return some.groupBy("part").applyInArrow(add, "part int, v binary")
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id's text leaves 2 modulo 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
