@@ -44,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n + n // 4, 5 << 17)
         for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             a = np.full(size, base, dtype=np.uint64)
             a[0] = 1

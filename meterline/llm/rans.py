@@ -58,13 +58,13 @@ def encode(ids: np.ndarray, table: Table) -> list[bytes]:
     n = len(ids)
     if not n:
         return []
-    index = np.zeros(int(table.symbols[-1]) + 1, np.int64)
+    index = np.zeros(int(table.symbols[-1]) + 1, np.int32)
     index[table.symbols] = np.arange(len(table.symbols))
     symbol = index[ids]
     full = -(-n // BLOCK)
     sizes = [min(BLOCK, n - b * BLOCK) for b in range(full)]
     rows = [-(-s // LANES) for s in sizes]
-    padded = np.full(full * BLOCK, int(np.argmax(table.freq)), np.int64)
+    padded = np.full(full * BLOCK, int(np.argmax(table.freq)), np.int32)
     padded[:n] = symbol
     grid = padded.reshape(full, BLOCK // LANES, LANES)
     f_all, c_all, top = table.freq, table.start, table.freq << np.uint64(63 - table.bits)

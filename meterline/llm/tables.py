@@ -15,7 +15,7 @@ from ..shipping import ship
 from ..storage import new_path
 
 #: Bytes of text that one step of a row-wise pass handles at once (one longer text is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:

@@ -22,7 +22,7 @@ from . import rans
 from .tables import col, steps, texts_of
 
 #: Ids in a group: it ends with the document that reaches this.
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Pieces whose ids a worker remembers at most; the memory starts anew beyond.
 PIECES = 800_000
 _loaded: dict[tuple, "Encoder"] = {}
@@ -171,6 +171,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
     starts = sums.select("shard", "number", inside.alias("inside")).join(shards, "shard").select("shard", "number", (F.col("base") + F.col("inside")).alias("start"))
 
     def run(batches):
+        _loaded.clear()  # workers live on: what they learnt for writing is not needed any more
         for batch in batches:
             for r in batch.to_pylist():
                 ids = rans.decode(r["blocks"], rans.Table.from_bytes(r["table"])).astype("<u4")
