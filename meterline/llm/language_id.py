@@ -133,8 +133,11 @@ def fit_language(documents: DataFrame, *, text: str = "text", lang: str = "lang"
     language, or without a letter, teach nothing; with no row left the model knows no language.
     """
     train = documents.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang")).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = train.select("doc_id", "lang").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language).select("doc_id").distinct()
+    hashed = train.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    # first inside slices of a language, so that no task holds a whole language
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        hashed = hashed.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
+    ids = hashed.select("doc_id").distinct()
     sample = map_texts(train.join(F.broadcast(ids), "doc_id", "left_semi"), "text", ["lang", "doc_id"], _sparse, "at binary, n binary").where("at is not null")
     rows = sorted(sample.select("row.lang", "row.doc_id", "at", "n").collect(), key=lambda r: (r["lang"], str(r["doc_id"])))
     if not rows:
