@@ -1,7 +1,7 @@
 """HTML extraction (operator 1): blocks of a page labelled content or boilerplate by a minimum cut.
 
 A page is cut into text blocks at block-level tags. A logistic classifier, fitted on blocks whose landmark elements
-(article, main; nav, footer, aside, form) tell their label, and the landmarks and names of the enclosing elements
+(article, main; nav, footer, aside) tell their label, and the landmarks, names and forms of the enclosing elements
 give each block a cost for either label: the capacities of its edges to the two terminals. Neighbouring blocks, and
 blocks under one parent, are joined by smoothness edges. A maximum flow finds the cut of least cost.
 """
@@ -22,15 +22,20 @@ from pyspark.sql import functions as F
 from .tables import col, map_texts
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|['"][^>]*(?:>|\Z)|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_SHUT = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|sidebar|side|aside|widget\w*|comments?|respond|disqus|reply|replies|share|sharing|social|related|recommend\w*|popular|trending|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|toolbar|pagination|pager|copyright|legal|disclaimer|contentinfo|navigation|complementary|search)(?=$|[\s_-])", re.I)
-_GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|body|post|entry|story|text)(?=$|[\s_-])", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_BAD = r"ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|sidebar|side|aside|widget\w*|comments?|respond|disqus|reply|replies|share|sharing|social|related|recommend\w*|popular|trending|newsletter|subscribe|signup|login|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|toolbar|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|search"
+_GOOD = r"article|content|main|body|post|entry|story|text"
+_PLACE = r"site|page|global|main|top|bottom|left|right|primary|secondary"
+#: Whole names: a word of the list, alone or with words that only say where it is or what holds it ("has-sidebar" is none).
+_BAD_NAME = re.compile(rf"(?:(?:{_PLACE})[_-]+)?(?:{_BAD})(?:[_-]+(?:{_BAD}|tools?|buttons?|links?|icons?|bar|box|list|items?|area|block|section|container|wrap|wrapper|inner|form|\d+))*", re.I)
+_GOOD_NAME = re.compile(rf"(?:(?:{_PLACE}|blog)[_-]+)?(?:{_GOOD})(?:[_-]+(?:{_GOOD}|area|block|section|container|wrap|wrapper|inner|\d+))*", re.I)
+_HEADING = re.compile(r"header|masthead", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "option", "datalist"}
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr", "img", "wbr", "br"}
-_LANDMARK_BAD = {"nav", "footer", "aside", "form", "dialog", "menu"}
+_LANDMARK_BAD = {"nav", "footer", "aside", "dialog", "menu"}
 _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 FEATURES = 11
 
@@ -43,20 +48,35 @@ class Block:
     parent: int
     depth: int
     good: bool  # inside article or main
-    bad: bool  # inside a landmark of boilerplate
-    named: int  # 1 a good name, -1 a bad name on an enclosing element
+    bad: bool  # inside a landmark of boilerplate, or hidden
+    named: int  # 1 a good name, -1 a bad name on an enclosing element, since the last article or main
+    form: bool  # inside a form that was opened since the last article or main
 
 
 class _Element:
-    __slots__ = ("tag", "number", "good", "bad", "named", "link", "block")
+    __slots__ = ("tag", "number", "good", "bad", "named", "form", "link", "block")
 
-    def __init__(self, tag, number, good, bad, named, link, block):
-        self.tag, self.number, self.good, self.bad, self.named, self.link, self.block = tag, number, good, bad, named, link, block
+    def __init__(self, tag, number, good, bad, named, form, link, block):
+        # good: 2 inside an article, 1 inside main only; bad: 2 inside a landmark, 1 hidden only
+        self.tag, self.number, self.good, self.bad, self.named, self.form, self.link, self.block = tag, number, good, bad, named, form, link, block
+
+
+def _said_of(attributes: str, tag: str, good: int) -> tuple[int, bool]:
+    """Of an element's attributes: 1 for good names, -1 for bad ones (0 for both or none), and whether it is hidden."""
+    names, hidden = [], False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            names += value.strip("\"'").split()
+        elif name == "hidden" or name == "aria-hidden" and value.strip("\"'").lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            hidden = True
+    bad = tag != "main" and any(_BAD_NAME.fullmatch(x) and not (good and _HEADING.fullmatch(x)) for x in names)
+    return any(_GOOD_NAME.fullmatch(x) for x in names) - bad, hidden
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order, white space collapsed; scripts, styles, titles and comments give none."""
-    root = _Element("", 0, False, False, 0, False, "body")
+    root = _Element("", 0, 0, 0, 0, False, False, "body")
     stack, out, run, linked = [root], [], [], 0
     number, at = 0, 0
 
@@ -66,7 +86,7 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join("".join(run).split())
             if text:
                 e = stack[-1]
-                out.append(Block(text, min(linked, len(text)), e.block, next(x.number for x in reversed(stack) if x.tag not in _INLINE), len(stack), e.good, e.bad, e.named))
+                out.append(Block(text, min(linked, len(text)), e.block, next(x.number for x in reversed(stack) if x.tag not in _INLINE), len(stack), e.good > 0, e.bad > 0, e.named, e.form))
             run, linked = [], 0
 
     def said(text: str) -> None:
@@ -126,15 +146,21 @@ def blocks_of(html: str) -> list[Block]:
         if tag in _VOID or m.group(0).endswith("/>") and tag in _INLINE:
             continue
         up = stack[-1]
-        named, attributes = up.named, m.group(3)
-        bad = up.bad or tag in _LANDMARK_BAD or tag == "header" and not up.good
+        good, bad, named, form, attributes = up.good, up.bad, up.named, up.form, m.group(3)
+        if tag in ("article", "main"):
+            if good < 2:  # what was said outside does not count; an article inside an article may be a comment
+                named, form, bad = 0, False, 2 if bad == 2 else 0
+            good = 2 if tag == "article" else max(good, 1)
+        form = form or tag == "form"
+        if tag in _LANDMARK_BAD or tag == "header" and not up.good:
+            bad = 2
         if attributes and tag not in ("html", "body", "a"):
-            names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes))
-            if names and named >= 0:
-                named = -1 if _BAD_NAME.search(names) else 1 if _GOOD_NAME.search(names) else named
-            bad = bad or bool(_SHUT.search(attributes))
+            own, hidden = _said_of(attributes, tag, good)
+            if own:
+                named = own if own < 0 or named >= 0 else 0  # a good name inside a bad one leaves the matter open
+            bad = bad or int(hidden)
         number += 1
-        stack.append(_Element(tag, number, up.good or tag in ("article", "main"), bad, named, up.link or tag == "a", up.block if tag in _INLINE else tag))
+        stack.append(_Element(tag, number, good, bad, named, form, up.link or tag == "a", up.block if tag in _INLINE else tag))
     said(html[at:])
     close()
     return out
@@ -158,8 +184,8 @@ PLAIN = np.array([0.6, -4.0, 0.2, 0.0, 0.5, 0.8, 0.8, 0.6, -0.8, 0.0, -2.5])
 def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", most_pages: int = 1000, steps: int = 300) -> np.ndarray:
     """Logistic regression on the blocks of at most ``most_pages`` pages (those of the smallest hash of id).
 
-    Blocks inside article or main, and outside any boilerplate landmark and name, teach content; blocks inside nav,
-    footer, aside, form or a page header teach boilerplate, 64 of either a page at most; others teach nothing. Without either, PLAIN.
+    Blocks inside article or main, and outside any boilerplate landmark, name and form, teach content; blocks inside nav,
+    footer, aside or a page header teach boilerplate, 64 of either a page at most; others teach nothing. Without either, PLAIN.
     """
     ids = pages.select(col(page_id).alias("page_id")).where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most_pages)
     some = pages.select(col(page_id).alias("page_id"), col(html).cast("string").alias("html")).join(F.broadcast(ids), "page_id", "left_semi")
@@ -169,7 +195,7 @@ def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html"
         for t in texts:
             blocks = blocks_of(t.as_py() or "")
             x = features(blocks) if blocks else np.zeros((0, FEATURES))
-            y = np.array([0 if b.bad else 1 if b.good and b.named >= 0 else -1 for b in blocks])
+            y = np.array([0 if b.bad else 1 if b.good and b.named >= 0 and not b.form else -1 for b in blocks])
             z = np.concatenate([x, y[:, None]], axis=1)[y >= 0] if len(y) else np.zeros((0, FEATURES + 1))
             sums = [z[z[:, -1] == v] for v in (0, 1)]
             out.append(np.concatenate([s[:64] for s in sums]).astype(np.float32).tobytes())
@@ -193,15 +219,16 @@ def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html"
     return w
 
 
-def _logits(blocks: list[Block], weights: np.ndarray) -> np.ndarray:
+def _logits(blocks: list[Block], weights: np.ndarray, names: bool = True) -> np.ndarray:
+    """The logit of content of each block. Names, and forms inside article or main, cost so little that the text and its neighbours can outweigh them."""
     z = np.clip(features(blocks) @ weights, -2.5, 2.5)
     for i, b in enumerate(blocks):
         if b.bad:
             z[i] -= 9
-        if b.named < 0:
-            z[i] -= 9
-        if b.good:
-            z[i] += 4
+        if names and b.named < 0:
+            z[i] -= 3.5
+        elif b.good:
+            z[i] += 1 if names and b.form else 4
         elif b.named > 0:
             z[i] += 2
         if b.linked > 0.8 * len(b.text):
@@ -274,8 +301,6 @@ def content(html: str | None, weights: np.ndarray, adjacent: float = 0.6, siblin
     blocks = blocks_of(html or "")
     if not blocks:
         return []
-    z = _logits(blocks, weights)
-    keep, drop = np.logaddexp(0, z), np.logaddexp(0, -z)
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
@@ -285,7 +310,11 @@ def content(html: str | None, weights: np.ndarray, adjacent: float = 0.6, siblin
         if j is not None:
             edges[j, i] = edges.get((j, i), 0.0) + sibling / (i - j)
         last[b.parent] = i
-    side = minimum_cut(keep.tolist(), drop.tolist(), edges)
+    for names in (True, False):  # names and forms tell the parts of a page apart; where they take it whole they tell nothing
+        z = _logits(blocks, weights, names)
+        side = minimum_cut(np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist(), edges)
+        if any(side) or not any(b.named < 0 or b.form for b in blocks):
+            break
     return [b.text for b, s in zip(blocks, side) if s]
 
 
