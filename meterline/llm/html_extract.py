@@ -31,10 +31,20 @@ _PLACE = r"site|page|global|main|top|bottom|left|right|primary|secondary"
 _BAD_NAME = re.compile(rf"(?:(?:{_PLACE})[_-]+)?(?:{_BAD})(?:[_-]+(?:{_BAD}|tools?|buttons?|links?|icons?|bar|box|list|items?|area|block|section|container|wrap|wrapper|inner|form|\d+))*", re.I)
 _GOOD_NAME = re.compile(rf"(?:(?:{_PLACE}|blog)[_-]+)?(?:{_GOOD})(?:[_-]+(?:{_GOOD}|area|block|section|container|wrap|wrapper|inner|\d+))*", re.I)
 _HEADING = re.compile(r"header|masthead", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "option", "datalist"}
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
+#: Their text is no text of the page. The first two hold anything up to their end tag or the end of the page, those of
+#: _FLAT anything up to their end tag, the others elements; of these, _ONCE can't hold themselves.
+_OPAQUE = {"script", "style"}
+_FLAT = {"textarea", "title", "iframe"}
+_ONCE = {"noscript", "select", "button", "canvas", "audio", "video", "option", "datalist"}
+_RAW = _OPAQUE | _FLAT | _ONCE | {"template", "svg", "object", "annotation", "annotation-xml"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _OPAQUE | _FLAT}
+_AGAIN = {t: re.compile(rf"<{t}(?=[\s/>])" + (r"|</head(?=[\s/>])|<body(?=[\s/>])" if t == "title" else ""), re.I) for t in _FLAT}
+#: A control does not hold these: one that seems to was never closed.
+_CONTROLS, _NOT_IN_CONTROLS = {"select", "button", "option", "datalist"}, {"article", "main", "section", "header", "nav", "footer", "aside", "form"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr", "img", "wbr", "br"}
+_MATH = {"math", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics"}
+_INLINE |= _MATH
 _LANDMARK_BAD = {"nav", "footer", "aside", "dialog", "menu"}
 _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 FEATURES = 11
@@ -74,11 +84,49 @@ def _said_of(attributes: str, tag: str, good: int) -> tuple[int, bool]:
     return any(_GOOD_NAME.fullmatch(x) for x in names) - bad, hidden
 
 
+def _end_of_raw(html: str, at: int, tag: str, around: set[str]) -> int | None:
+    """Where a raw element whose start tag ends at ``at`` is over, None if it is never closed.
+
+    ``around``: the enclosing elements. The end of one of them, or a start that can't be inside, says that it isn't closed.
+    """
+    if tag in _RAW_END:
+        end = _RAW_END[tag].search(html, at)
+        if tag in _OPAQUE:
+            return end.end() if end else len(html)
+        return end.end() if end and not _AGAIN[tag].search(html, at, end.start()) else None
+    inside = [tag]
+    while m := _TAG.search(html, at):
+        at = m.end()
+        if m.group(2) is None:
+            continue
+        name = m.group(2).lower()
+        if m.group(1):
+            if name in inside:
+                while inside.pop() != name:
+                    pass
+                if not inside:
+                    return at
+            elif name in around and name not in _INLINE:
+                return None
+        elif name == tag and tag in _ONCE or tag in _CONTROLS and name in _NOT_IN_CONTROLS:
+            return None
+        elif name in _RAW_END:
+            end = _RAW_END[name].search(html, at)
+            at = end.end() if end else at
+        elif name not in _VOID and not m.group(0).endswith("/>"):
+            inside.append(name)
+    return None
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in order, white space collapsed; scripts, styles, titles and comments give none."""
+    """The text blocks of a page in order, white space collapsed; scripts, styles, titles and comments give none.
+
+    A raw element that is never closed takes the text up to the next block-level tag only, as boilerplate.
+    """
     root = _Element("", 0, 0, 0, 0, False, False, "body")
     stack, out, run, linked = [root], [], [], 0
     number, at = 0, 0
+    raw = 0  # where on the stack an unclosed raw element is
 
     def close() -> None:
         nonlocal run, linked
@@ -97,9 +145,7 @@ def blocks_of(html: str) -> list[Block]:
             if stack[-1].link:
                 linked += len(text.strip())
 
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(html, at):  # anew after each raw element: a match must not begin inside one
         said(html[at : m.start()])
         at = m.end()
         tag = m.group(2)
@@ -109,6 +155,9 @@ def blocks_of(html: str) -> list[Block]:
         if m.group(1):
             if tag not in _INLINE:
                 close()
+                if raw:
+                    del stack[raw:]
+                    raw = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -117,16 +166,23 @@ def blocks_of(html: str) -> list[Block]:
                     break
             continue
         if tag in _RAW:
-            if tag not in ("button", "select", "option"):
-                pass
-            end = _RAW_END[tag].search(html, at)
-            at = end.end() if end else len(html)
-            run.append(" ")
+            end = at if tag == "svg" and m.group(0).endswith("/>") else _end_of_raw(html, at, tag, {x.tag for x in stack})
+            if end is not None:
+                at = end
+                run.append(" ")
+                continue
+            close()
+            if not raw:
+                up, raw, number = stack[-1], len(stack), number + 1
+                stack.append(_Element(tag, number, up.good, 2, up.named, up.form, up.link, tag))
             continue
         if tag in ("br", "hr"):
             run.append(" ")
         if tag not in _INLINE:
             close()
+            if raw:
+                del stack[raw:]
+                raw = 0
             if stack[-1].tag != "" and any(x.tag == "p" for x in stack[-8:]):  # a block ends an open paragraph
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":

@@ -28,3 +28,27 @@ NAV = "<nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>"
 )
 def test_names_and_forms_do_not_take_articles(page):
     assert he.content(f"<html><body>{NAV}{page}<footer>Somebody, all rights reserved.</footer></body></html>", he.PLAIN) == [TITLE, FIRST, SECOND]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article><h1>{TITLE}</h1><svg class=i viewBox='0 0 1 1'/><p>{FIRST}</p><svg><path d=x /><title>t</title></svg><p>{SECOND}</p></article>",
+        f"<article><h1>{TITLE}</h1><p>{FIRST}</p><math/><p>{SECOND}</p></article>",
+        *(f"<article><h1>{TITLE}</h1><{t} id=a><p>{FIRST}</p><p>{SECOND}</p></article>" for t in ("button", "select", "object", "video", "noscript", "svg", "iframe", "textarea", "template")),
+        f"<button>Menu<article><h1>{TITLE}</h1><p>{FIRST}</p><p>{SECOND}</p></article><button>Up</button>",
+        f"<div><video src=a></div><article><h1>{TITLE}</h1><p>{FIRST}</p><p>{SECOND}</p></article><video src=b></video>",
+        f"<script>var s = '<!--';</script><article>{BODY}</article>",
+        f"<script>for (i=0;i<n; // don't\ni++);</script><article><h1>{TITLE}</h1><p>{FIRST}</p><p>{SECOND}</p></article><p class=ad>It's</p>",
+        f"<style>a<b'{{}}</style><article>{BODY}</article><!-- it's -->",
+        f"<article><h1>{TITLE}</h1><p>{FIRST.replace('rivers', '<button>x</button> rivers')}</p><template><article>None</article></template><p>{SECOND.replace('sand', '<math><mi>sand</mi></math>')}</p></article>",
+    ],
+)
+def test_raw_elements_do_not_take_the_rest(page):
+    assert he.content(f"<html><head><title>T</title></head><body>{NAV}{page}</body></html>", he.PLAIN) == [TITLE, FIRST, SECOND]
+
+
+def test_text_of_unclosed_raw_elements():
+    assert he.content(f"<article><p>{FIRST} <b>And</b> <button>Go <b>on</b><p>{SECOND}</p><p>{TITLE}", he.PLAIN) == [FIRST + " And", SECOND, TITLE]
+    assert he.content(f"<article><p>{FIRST}</p><script>var x = 1; <p>{SECOND}", he.PLAIN) == [FIRST]
+    assert [b.text for b in he.blocks_of("<p>a<sup>2</sup> is <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math>.</p>")] == ["a2 is x2 ."]
