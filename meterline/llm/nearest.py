@@ -95,7 +95,8 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
     Nearness is the inner product in double precision, ties to the smaller id; fewer candidates give fewer rows.
     ``width`` standard deviations bound an estimate's error: larger finds more and reranks more. Every row is
     coded; queries meet rows in cells of bounded size, each of which returns at most k rows a query. See
-    :func:`vectors_of` for vectors that take no part. Rows that repeat an id are candidates each.
+    :func:`vectors_of` for vectors that take no part. Rows that repeat an id are candidates each, and queries each: such
+    a query id has k rows, ranked 1 to k, for each of its rows.
     """
     ship(embeddings.sparkSession)
     vectors, d = vectors_of(embeddings, vec_id, vector)
@@ -113,22 +114,23 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
                 bits, scalars = encode(m, center, turn)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([s.tobytes() for s in scalars], pa.binary())], names=["vec_id", "v", "bits", "scalars"])
 
-    index = materialize(vectors.mapInArrow(code, f"vec_id {kind}, v binary, bits binary, scalars binary"), "codes")
+    coded = vectors.mapInArrow(code, f"vec_id {kind}, v binary, bits binary, scalars binary")
+    index = materialize(coded.withColumn("key", F.monotonically_increasing_id()), "codes")  # written, so a row keeps its key
     queries = index.where(is_query)
     n, nq = index.count(), queries.count()
     rows_in, queries_in = max(1, -(-n // row_block)), max(1, -(-nq // query_block))
-    a = index.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(rows_in)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("qb"), F.lit(False).alias("is_query"), "vec_id", "v", "bits", "scalars")
-    b = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows_in - 1).cast("bigint"))).alias("rb"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(queries_in)).cast("int").alias("qb"), F.lit(True).alias("is_query"), "vec_id", "v", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("scalars"))
+    a = index.select(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(rows_in)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(queries_in - 1))).alias("qb"), F.lit(False).alias("is_query"), "key", "vec_id", "v", "bits", "scalars")
+    b = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows_in - 1).cast("bigint"))).alias("rb"), F.pmod(F.xxhash64("key", F.lit(2)), F.lit(queries_in)).cast("int").alias("qb"), F.lit(True).alias("is_query"), "key", "vec_id", "v", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("scalars"))
 
     def cell(part: pd.DataFrame) -> pd.DataFrame:
         q, r = part[part["is_query"]], part[~part["is_query"]]
-        empty = pd.DataFrame({"query_id": q["vec_id"][:0], "vec_id": r["vec_id"][:0], "score": np.zeros(0)})
+        empty = pd.DataFrame({"key": q["key"][:0], "query_id": q["vec_id"][:0], "vec_id": r["vec_id"][:0], "score": np.zeros(0)})
         if not len(q) or not len(r):
             return empty
         matrix = np.frombuffer(b"".join(r["v"]), "<f8").reshape(-1, d)
         bits = np.frombuffer(b"".join(r["bits"]), np.uint8).reshape(len(r), -1)
         scalars = np.frombuffer(b"".join(r["scalars"]), np.float64).reshape(-1, 3)
-        ids, names = r["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+        ids, names, keys = r["vec_id"].to_numpy(), q["vec_id"].to_numpy(), q["key"].to_numpy()
         asked = np.frombuffer(b"".join(q["v"]), "<f8").reshape(-1, d)
         found = []
         for s in range(0, len(names), 64):
@@ -141,9 +143,9 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
                 at = np.flatnonzero((high[i] >= floor) & other)
                 score = (matrix[at] * asked[s + i]).sum(axis=1)
                 best = np.lexsort((ids[at], -score))[:k]
-                found.append((np.full(len(best), names[s + i]), ids[at[best]], score[best]))
-        return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+                found.append((np.full(len(best), keys[s + i]), np.full(len(best), names[s + i]), ids[at[best]], score[best]))
+        return pd.DataFrame({c: np.concatenate([f[n] for f in found]) for n, c in enumerate(("key", "query_id", "vec_id", "score"))})
 
-    near = a.unionByName(b).groupBy("rb", "qb").applyInPandas(cell, f"query_id {kind}, vec_id {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = a.unionByName(b).groupBy("rb", "qb").applyInPandas(cell, f"key bigint, query_id {kind}, vec_id {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

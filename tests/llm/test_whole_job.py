@@ -1,8 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meterline.llm import html_extract as he
+from meterline.llm import nearest
+
+from .test_html_vectors_pipeline import brute_nearest
 
 TITLE, FIRST, SECOND = "How rivers change their beds", "The first paragraph is a long sentence about rivers, floods, and the sand that they carry along.", "The second paragraph goes on about it, and says where all of the sand comes to rest in the end."
 BODY = f"<h1>{TITLE}</h1><p>{FIRST}</p><p>{SECOND}</p>"
@@ -52,3 +57,13 @@ def test_text_of_unclosed_raw_elements():
     assert he.content(f"<article><p>{FIRST} <b>And</b> <button>Go <b>on</b><p>{SECOND}</p><p>{TITLE}", he.PLAIN) == [FIRST + " And", SECOND, TITLE]
     assert he.content(f"<article><p>{FIRST}</p><script>var x = 1; <p>{SECOND}", he.PLAIN) == [FIRST]
     assert [b.text for b in he.blocks_of("<p>a<sup>2</sup> is <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math>.</p>")] == ["a2 is x2 ."]
+
+
+def test_repeated_query_rows_keep_all_neighbours(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(16).astype(np.float32).tolist()) for i in range(1, 200)]
+    rows += [(20, rows[19][1])] * 2 + [(40, r.standard_normal(16).astype(np.float32).tolist())]  # id 20 on three equal rows, 40 on two unequal ones
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    for blocks in ((2048, 8192), (3, 50)):
+        got = nearest.search(df, F.col("vec_id") % 20 == 0, query_block=blocks[0], row_block=blocks[1]).collect()
+        assert sorted((x.query_id, x["rank"], x.vec_id) for x in got) == sorted(brute_nearest(rows, 20, 20))
