@@ -36,6 +36,7 @@ class WindowIndex:
     width: np.ndarray  # words in the prefix shingle
     whole: np.ndarray  # hash of all words
     items: list[list[str]]
+    unnamed: list[bool]  # an item without id has the window
 
 
 def _window_hash(w: Words, at: np.ndarray, length: int) -> np.ndarray:
@@ -50,11 +51,11 @@ def _joined(w: Words, at: int, length: int) -> bytes:
 
 
 def windows(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text", words: int = 13) -> DataFrame:
-    """``(window binary, n_words int, items array<string>)``: the distinct windows of all items.
+    """``(window binary, n_words int, items array<string>, unnamed boolean)``: the distinct windows of all items.
 
-    A window is ``words`` consecutive words, or the whole item if it has fewer; null or wordless items have none.
+    ``unnamed``: an item without id has the window. A window is ``words`` consecutive words, or the whole item if it has fewer; null or wordless items have none.
     """
-    source = benchmark.select(col(item_id).cast("string").alias("item_id"), col(text).cast("string").alias("text")).where("item_id is not null and text is not null")
+    source = benchmark.select(col(item_id).cast("string").alias("item_id"), col(text).cast("string").alias("text")).where("text is not null")
     schema = pa.schema([("item_id", pa.string()), ("window", pa.binary()), ("n_words", pa.int32())])
 
     def run(batches):
@@ -73,7 +74,7 @@ def windows(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.binary()), pa.array(lengths, pa.int32())], schema=schema)
 
     rows = source.mapInArrow(run, "item_id string, window binary, n_words int")
-    return rows.groupBy("window", "n_words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return rows.groupBy("window", "n_words").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed"))
 
 
 def _shingles(index_words: list[bytes], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -150,7 +151,7 @@ def _index(rows: list, documents: DataFrame, text: str, width: int) -> WindowInd
         whole.append(_window_hash(w, np.zeros(1, np.int64), len(own))[0])
     order = np.argsort(np.array(key, np.uint64), kind="stable")
     pick = lambda a, t: np.array(a, t)[order] if len(order) else np.zeros(0, t)
-    return WindowIndex([words[i] for i in order], pick([r["n_words"] for r in rows], np.int64), pick(key, np.uint64), pick(offset, np.int64), pick(widths, np.int64), pick(whole, np.uint64), [list(rows[i]["items"]) for i in order])
+    return WindowIndex([words[i] for i in order], pick([r["n_words"] for r in rows], np.int64), pick(key, np.uint64), pick(offset, np.int64), pick(widths, np.int64), pick(whole, np.uint64), [list(rows[i]["items"]) for i in order], [bool(rows[i]["unnamed"]) for i in order])
 
 
 def _occurrences(w: Words, index: WindowIndex, sieves: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,31 +217,32 @@ def _probe(documents: DataFrame, index: WindowIndex) -> DataFrame:
                 bounds = np.searchsorted(doc[order], np.arange(b - a + 1))
                 for d, before in enumerate(had):
                     here = order[bounds[d] : bounds[d + 1]]
-                    start, end, items = before["starts"], before["ends"], before["items"]
+                    start, end, items, unnamed = before["starts"], before["ends"], before["items"], before["unnamed"]
                     if len(here):
                         at = s[here] - w.first[d]
                         start, end = _merged(start + at.tolist(), end + (at + own.length[j[here]]).tolist())
                         items = sorted({*items, *(i for x in set(j[here].tolist()) for i in own.items[x])})
-                    out.append({"n_words": int(w.first[d + 1] - w.first[d]), "starts": start, "ends": end, "items": items})
+                        unnamed = unnamed or any(own.unnamed[x] for x in set(j[here].tolist()))
+                    out.append({"n_words": int(w.first[d + 1] - w.first[d]), "starts": start, "ends": end, "items": items, "unnamed": unnamed})
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, target.field(2).type)], schema=target)
 
     return documents.mapInArrow(run, schema)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 13, shingle: int = 3, hit_share: int = 20, index_windows: int = INDEX_WINDOWS) -> DataFrame:
-    """``row`` (struct of the kept columns), ``n_words``, ``n_hit``, ``items``, ``starts``, ``ends``, ``contaminated`` for every document.
+    """``row`` (struct of the kept columns), ``n_words``, ``n_hit``, ``items``, ``unnamed``, ``starts``, ``ends``, ``contaminated`` for every document.
 
     ``starts`` and ``ends`` (exclusive) are merged spans of hit words, counted from 0; ``items`` the ids, as strings in
-    order, of items with a window in the document; contaminated: ``n_hit > 0 and hit_share * n_hit >= n_words``.
-    Null texts have no words and no hits. Items without id or words are ignored; an empty benchmark hits nothing.
+    order, of items with a window in the document; ``unnamed``: an item without id has one; contaminated: ``n_hit > 0 and hit_share * n_hit >= n_words``.
+    Null texts have no words and no hits. Items without id hit as others do and give no name; those without words are ignored; an empty benchmark hits nothing.
     Repeated documents and null ids give a row each; equal windows of several items count for each of them.
     Windows are broadcast ``index_windows`` at a time; a larger benchmark is probed in as many passes of one job.
     """
     ship(documents.sparkSession)
     found = windows(benchmark, item_id=item_id, text=item_text, words=words)
     docs = documents.select(F.struct(*[col(c) for c in keep]).alias("row"), col(text).cast("string").alias("text"))
-    hits = "struct('n_words', 0, 'starts', array(), 'ends', array(), 'items', array())"
-    out = docs.withColumn("hits", F.expr("named_struct" + hits.removeprefix("struct")).cast("struct<n_words:int,starts:array<int>,ends:array<int>,items:array<string>>"))
+    hits = "struct('n_words', 0, 'starts', array(), 'ends', array(), 'items', array(), 'unnamed', false)"
+    out = docs.withColumn("hits", F.expr("named_struct" + hits.removeprefix("struct")).cast("struct<n_words:int,starts:array<int>,ends:array<int>,items:array<string>,unnamed:boolean>"))
     total = found.count()
     blocks = max(1, -(-total // index_windows))
     dealt = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
@@ -248,7 +250,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
         rows = sorted(dealt.where(F.col("block") == b).collect(), key=lambda r: bytes(r["window"]))
         out = _probe(out, _index(rows, documents, text, shingle))
     n_hit = F.aggregate(F.zip_with("hits.ends", "hits.starts", lambda e, s: (e - s).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.select("row", F.col("hits.n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.col("hits.items").alias("items"), F.col("hits.starts").alias("starts"), F.col("hits.ends").alias("ends")).withColumn("contaminated", (F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words")))
+    return out.select("row", F.col("hits.n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.col("hits.items").alias("items"), F.col("hits.unnamed").alias("unnamed"), F.col("hits.starts").alias("starts"), F.col("hits.ends").alias("ends")).withColumn("contaminated", (F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words")))
 
 
 def digest(items: list[str]) -> str:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meterline.llm import decontaminate as dc
 from meterline.llm import html_extract as he
-from meterline.llm import nearest
+from meterline.llm import nearest, queries
 
 from .test_html_vectors_pipeline import brute_nearest
 
@@ -67,3 +68,11 @@ def test_repeated_query_rows_keep_all_neighbours(spark):
     for blocks in ((2048, 8192), (3, 50)):
         got = nearest.search(df, F.col("vec_id") % 20 == 0, query_block=blocks[0], row_block=blocks[1]).collect()
         assert sorted((x.query_id, x["rank"], x.vec_id) for x in got) == sorted(brute_nearest(rows, 20, 20))
+
+
+def test_items_without_id_hit(spark, tmp_path):
+    item, named = " ".join(f"q{i}" for i in range(15)), " ".join(f"n{i}" for i in range(15))
+    spark.createDataFrame([(1, item), (2, f"{item} {named}"), (3, "other words")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, item), (None, item), (7, named)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.doc_id: x for x in queries.op3_decontaminate(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) for i in (1, 2, 3)] == [(15, 1, dc.digest([]), True), (30, 2, dc.digest(["7"]), True), (0, 0, dc.digest([]), False)]
