@@ -26,9 +26,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each component of near-equal texts; documents without id stay."""
-    gone = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the document of smallest id of each component of near-equal texts; documents without id stay.
+
+    Where an id has several texts, each text is a document of its own: a component keeps one, of the smallest id and
+    then of the smallest hash of its text. Rows of equal id and text are one document.
+    """
+    hashed = F.xxhash64("text")
+    unequal = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a != b")
+    if unequal.isEmpty():
+        gone = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+        kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    else:
+        key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", hashed.alias("hash"))).alias("key")
+        gone = jaccard_components(docs.select(key, "text"), doc_id="key").where("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct()
+        kept = docs.select("*", key).join(gone.hint("shuffle_hash"), "key", "left_anti").select(*docs.columns)
     again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     if again.isEmpty():
         return kept

@@ -1,9 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from meterline.llm import decontaminate as dc
 from meterline.llm import html_extract as he
 from meterline.llm import nearest, queries
@@ -76,3 +79,14 @@ def test_items_without_id_hit(spark, tmp_path):
     spark.createDataFrame([(None, item), (None, item), (7, named)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {x.doc_id: x for x in queries.op3_decontaminate(spark, str(tmp_path)).collect()}
     assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) for i in (1, 2, 3)] == [(15, 1, dc.digest([]), True), (30, 2, dc.digest(["7"]), True), (0, 0, dc.digest([]), False)]
+
+
+def test_near_duplicates_by_row(spark):
+    r = random.Random(2)
+    text = [" ".join(r.choice("abcdef") + str(r.randrange(99)) for _ in range(40)) for _ in range(5)]
+    rows = [(1, text[0]), (2, text[0] + " tail"), (2, text[1]), (3, text[2]), (3, text[2] + " tail"), (4, text[3]), (4, text[3]), (None, text[4]), (5, text[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    third = [t for i, t in got if i == 3]
+    assert len(third) == 1 and third[0] in (text[2], text[2] + " tail")
+    assert sorted(x for x in got if x[0] not in (3, None)) == [(1, text[0]), (2, text[1]), (4, text[3]), (5, text[4])] and (None, text[4]) in got
