@@ -2,14 +2,17 @@
 
 Labelled credentials of each kind form a prefix tree over character classes. States whose outgoing frequencies
 agree within a Hoeffding bound are merged (red-blue order, merges folded down so that the automaton stays
-deterministic), which leaves a small probabilistic automaton for each kind. Every token of a text that could be a
-credential is scored by its log-likelihood a character under the formats against a background of all such tokens.
+deterministic), which leaves a small probabilistic automaton for each kind. Every token of a text that the fixed
+pattern could label, and where it is none each part between dots, is scored by its log-likelihood a character under
+the formats against a background of all such tokens (long ones without dots, and the others, which are mostly words,
+have one each).
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,10 +27,17 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the leftmost match of 24 or more is a whole run
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Candidates: the characters and the least length of a labelled value of ASSIGN; PART is one between dots.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+LONG = 16
+PART = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: Character classes: digits, a-f, g-z, A-F, G-Z, and each of the other characters of a token.
 _CLASS = {c: n for n, group in enumerate(["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-"]) for c in group}
 CLASSES, END = 11, 11
+_LETTERS = str.maketrans({c: chr(97 + n) for c, n in _CLASS.items()})  # a class as a letter
+_DOT = ".".translate(_LETTERS)
+#: Scores of class sequences that are kept at once.
+KEPT = 200_000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -136,30 +146,29 @@ def infer(words: list[list[int]], alpha: float = 0.05) -> Automaton:
     return Automaton([{c: (at[t], log(through[s].get(c, 0), arrive[s])) for c, t in child[s].items() if through[s].get(c)} for s in red], [log(end[s], arrive[s]) for s in red])
 
 
+def _is_long(token: str) -> bool:
+    return len(token) >= LONG and "." not in token
+
+
 @dataclass
 class SecretModel:
     formats: dict[str, Automaton] = field(default_factory=dict)
-    least: dict[str, float] = field(default_factory=dict)
-    background: np.ndarray | None = None  # log probability of a class (or END) after a class (or START = 11)
+    least: dict[tuple[str, int], float] = field(default_factory=dict)  # by kind and background
+    background: np.ndarray | None = None  # of words or parts of sentences, and of long tokens without dots: log probability of a class (or END) after a class (or START = 11)
     floor: float = math.log(1e-4)
 
-    def gain(self, word: list[int], kind: str) -> float:
-        """Log-likelihood a character under the format less that under the background."""
+    def gain(self, word: list[int], kind: str, of: int) -> float:
+        """Log-likelihood a character under the format less that under a background."""
         before = [END, *word]
-        other = sum(self.background[a, b] for a, b in zip(before, [*word, END]))
+        other = sum(self.background[of, a, b] for a, b in zip(before, [*word, END]))
         return (self.formats[kind].score(word, self.floor) - other) / (len(word) + 1)
 
     def kind_of(self, value: str) -> str | None:
-        word = classes(value)
-        best = max(((self.gain(word, k) - self.least[k], k) for k in self.formats), default=(-1, ""))
+        word, of = classes(value), int(_is_long(value))
+        best = max(((self.gain(word, k, of) - self.least[k, of], k) for k in self.formats), default=(-1, ""))
         return best[1] if best[0] >= 0 else None
 
 
-def _likely(token: str) -> bool:
-    """Could be a credential: has digits and letters."""
-    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-
-
 def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400, longest: int = 200, alpha: float = 0.05, quantile: float = 0.02) -> SecretModel:
     """Formats from the credentials that the fixed patterns label, the background from all candidate tokens of all texts.
 
@@ -172,7 +181,17 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
     schema = pa.schema([("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        pairs = np.zeros((CLASSES + 1, CLASSES + 1), np.int64)
+        pairs = np.zeros((2, CLASSES + 1, CLASSES + 1), np.int64)
+        seen: Counter = Counter()
+
+        def add() -> None:
+            for shape, n in seen.items():
+                word = [END, *(ord(c) - 97 for c in shape), END]
+                own = pairs[int(len(shape) >= LONG and _DOT not in shape)]
+                for a, b in zip(word, word[1:]):
+                    own[a, b] += n
+            seen.clear()
+
         for batch in batches:
             kinds, values = [], []
             for t in texts_of(batch.column(0)):
@@ -181,27 +200,28 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
                     if len(value := _value(body, s)) <= longest:
                         kinds.append(s[0])
                         values.append(value)
-                for m in TOKEN.finditer(body):
-                    word = np.array([END, *classes(m.group()), END])
-                    np.add.at(pairs, (word[:-1], word[1:]), 1)
+                seen.update(x.translate(_LETTERS) for x in TOKEN.findall(body))
+                if len(seen) > KEPT:
+                    add()
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([1] * len(kinds), pa.int64())], schema=schema)
-        at = [(a, b) for a in range(CLASSES + 1) for b in range(CLASSES + 1) if pairs[a, b]]
-        yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(at), pa.string()), pa.array([f"{a} {b}" for a, b in at], pa.string()), pa.array([int(pairs[a, b]) for a, b in at], pa.int64())], schema=schema)
+        add()
+        at = [tuple(x) for x in np.argwhere(pairs).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(["pair"] * len(at), pa.string()), pa.array([f"{o} {a} {b}" for o, a, b in at], pa.string()), pa.array([int(pairs[x]) for x in at], pa.int64())], schema=schema)
 
     found = documents.select(col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "kind string, value string, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    rows = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.greatest(F.lit(per_kind), F.lit((CLASSES + 1) ** 2))).collect()
-    pairs = np.full((CLASSES + 1, CLASSES + 1), 0.5)
+    rows = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.greatest(F.lit(per_kind), F.lit(2 * (CLASSES + 1) ** 2))).collect()
+    pairs = np.full((2, CLASSES + 1, CLASSES + 1), 0.5)
     for r in rows:
         if r["kind"] == "pair":
-            a, b = map(int, r["value"].split())
-            pairs[a, b] += r["n"]
-    model = SecretModel(background=np.log(pairs / pairs.sum(axis=1, keepdims=True)))
+            pairs[tuple(map(int, r["value"].split()))] += r["n"]
+    model = SecretModel(background=np.log(pairs / pairs.sum(axis=2, keepdims=True)))
     for kind in KINDS:
         words = sorted(w for r in rows if r["kind"] == kind and r["r"] <= per_kind and (w := classes(r["value"])))
         if words:
             model.formats[kind] = infer(words, alpha)
-            model.least[kind] = max(0.0, float(np.quantile([model.gain(w, kind) for w in words], quantile)))
+            for of in (0, 1):
+                model.least[kind, of] = max(0.0, float(np.quantile([model.gain(w, kind, of) for w in words], quantile)))
     return model
 
 
@@ -213,19 +233,32 @@ def scan_secrets(documents: DataFrame, model: SecretModel, *, text: str = "text"
     learned ones. Null and empty texts have no spans. Whole texts are scanned; repeated rows give a row each.
     """
 
+    kinds: dict[str, str | None] = {}
+
+    def kind_of(value: str) -> str | None:
+        shape = value.translate(_LETTERS)
+        if shape not in kinds:
+            if len(kinds) >= KEPT:
+                kinds.clear()
+            kinds[shape] = model.kind_of(value)
+        return kinds[shape]
+
     def fn(texts: pa.Array) -> dict:
         out = []
         for t in texts_of(texts):
             body = t.as_py()
             spans = base_spans(body)
             if model.formats:
-                more, i, reach = [], 0, -1
+                more = []
                 for m in TOKEN.finditer(body):
-                    while i < len(spans) and spans[i][1] < m.end():
-                        reach = max(reach, spans[i][2])
-                        i += 1
-                    if reach <= m.start() and _likely(m.group()) and (kind := model.kind_of(m.group())):
+                    kind = kind_of(m.group())
+                    if kind and not any(a < m.end() and b > m.start() for _, a, b in spans):
                         more.append((f"like_{kind}", m.start(), m.end()))
+                    elif "." in m.group():
+                        for p in PART.finditer(body, m.start(), m.end()):
+                            kind = kind_of(p.group())
+                            if kind and not any(a < p.end() and b > p.start() for _, a, b in spans):
+                                more.append((f"like_{kind}", p.start(), p.end()))
                 if more:
                     spans = sorted(spans + more, key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS)))
             out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])

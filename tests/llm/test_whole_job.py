@@ -10,6 +10,7 @@ import corpus_pipeline
 from meterline.llm import decontaminate as dc
 from meterline.llm import html_extract as he
 from meterline.llm import nearest, queries
+from meterline.llm import secret_scan as ss
 
 from .test_html_vectors_pipeline import brute_nearest
 
@@ -90,3 +91,16 @@ def test_near_duplicates_by_row(spark):
     third = [t for i, t in got if i == 3]
     assert len(third) == 1 and third[0] in (text[2], text[2] + " tail")
     assert sorted(x for x in got if x[0] not in (3, None)) == [(1, text[0]), (2, text[1]), (4, text[3]), (5, text[4])] and (None, text[4]) in got
+
+
+def test_short_and_dotted_candidates(spark):
+    r = random.Random(4)
+    words = ["which", "rivers", "carry", "floods", "because", "sediment", "stations", "measured", "carefully.", "Another"]
+    secret = lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(5)) + "." + "".join(r.choice("GHIJKLMNOPQRSTUVWXYZ") for _ in range(6))
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    planted = [secret() for _ in range(20)]
+    texts = [f"{prose(60)} password: {secret()} {prose(60)}" for _ in range(200)] + [f"{prose(30)} {p} {prose(30)}" for p in planted] + [prose(80) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.row.doc_id: x.spans for x in ss.scan_secrets(docs, ss.fit_secrets(docs)).collect()}
+    found = [[texts[i][s.start : s.end] for s in got[i]] for i in range(200, 270)]
+    assert sum(f == [p] for f, p in zip(found, planted)) >= 19 and not any(found[20:])
