@@ -1,9 +1,9 @@
 """HTML extraction (operator 1): blocks of a page labelled content or boilerplate by a minimum cut.
 
-A page is cut into text blocks at block-level tags. A logistic classifier, fitted on blocks whose landmark elements
-(article, main; nav, footer, aside) tell their label, and the landmarks, names and forms of the enclosing elements
-give each block a cost for either label: the capacities of its edges to the two terminals. Neighbouring blocks, and
-blocks under one parent, are joined by smoothness edges. A maximum flow finds the cut of least cost.
+A page is cut into text blocks at block-level tags. One logistic classifier sees a block's text and place, and the
+landmarks, names and forms around it; its calibrated log-odds are the block's costs for either label: the capacities
+of its edges to the two terminals. Neighbouring blocks, and blocks under one parent, are joined by smoothness edges. A
+maximum flow finds the cut of least cost. Nothing beside the cut decides.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ _MATH = {"math", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmu
 _INLINE |= _MATH
 _LANDMARK_BAD = {"nav", "footer", "aside", "dialog", "menu"}
 _CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-FEATURES = 11
+#: What a block's text and place say, and what the markup around it says.
+TEXT, MARKUP = 11, 6
+FEATURES = TEXT + MARKUP
 
 
 @dataclass
@@ -222,26 +224,60 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """What the classifier sees: the text and its place, but no landmark and no name."""
+def features(blocks: list[Block], names: bool = True) -> np.ndarray:
+    """What the classifier sees: TEXT columns, then MARKUP columns. Without ``names``, names and forms are not seen.
+
+    The nearest statement counts: a good landmark says nothing inside a bad name or a boilerplate landmark.
+    """
     n = len(blocks)
     x = np.zeros((n, FEATURES))
     for i, b in enumerate(blocks):
         size = len(b.text)
         words = b.text.count(" ") + 1
-        x[i] = [math.log1p(size), b.linked / size, math.log1p(words), min(size / words, 30) / 10, (b.text.count(".") + b.text.count(",")) / words, b.text[-1] in ".!?:;\"'", b.tag == "p", b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "td", "th", "dt", "dd"), i / n, 1.0]
+        named, form = (b.named, b.form) if names else (0, False)
+        x[i, :TEXT] = [math.log1p(size), b.linked / size, math.log1p(words), min(size / words, 30) / 10, (b.text.count(".") + b.text.count(",")) / words, b.text[-1] in ".!?:;\"'", b.tag == "p", b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "td", "th", "dt", "dd"), i / n, 1.0]
+        clear = b.good and not b.bad and named >= 0
+        x[i, TEXT:] = [clear and not form, clear and form, b.bad, named < 0, named > 0 and not b.good, form and not b.good]
     return x
 
 
-#: Weights for the case that no page has landmarks: long unlinked sentences are content.
-PLAIN = np.array([0.6, -4.0, 0.2, 0.0, 0.5, 0.8, 0.8, 0.6, -0.8, 0.0, -2.5])
+#: Prior weights, which stand where no page teaches otherwise: long unlinked sentences, and what is inside article or
+#: main, are content; boilerplate landmarks, bad names, and forms outside an article are not.
+PRIOR = np.array([0.6, -4.0, 0.2, 0.0, 0.5, 0.8, 0.8, 0.6, -0.8, 0.0, -2.5] + [4.0, 1.0, -8.0, -5.0, 1.5, -5.0])
+#: Label noise that fitting assumes: it bounds the log-odds.
+NOISE = 0.02
 
 
-def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", most_pages: int = 1000, steps: int = 300) -> np.ndarray:
-    """Logistic regression on the blocks of at most ``most_pages`` pages (those of the smallest hash of id).
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """Logistic regression by Newton's method with a ridge towards PRIOR; both labels weigh the same.
 
-    Blocks inside article or main, and outside any boilerplate landmark, name and form, teach content; blocks inside nav,
-    footer, aside or a page header teach boilerplate, 64 of either a page at most; others teach nothing. Without either, PLAIN.
+    Every row is seen whole, and once more with its text and once more with its markup hidden, so that each of the
+    two learns to tell content without the other.
+    """
+    masks = np.ones((3, FEATURES))
+    masks[1, : TEXT - 1], masks[2, TEXT:] = 0, 0
+    share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    x = np.concatenate([x * m for m in masks])
+    share = np.concatenate([share * f for f in (0.5, 0.25, 0.25)])
+    y = np.tile(np.clip(y, NOISE, 1 - NOISE), 3)
+    w = PRIOR.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (share * (p - y)) + ridge * (w - PRIOR)
+        h = (x * (share * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + ridge * np.eye(FEATURES)
+        d = np.linalg.solve(h, g)
+        w = w - d / max(1.0, np.abs(d).max())
+        if np.abs(d).max() < 1e-6:
+            break
+    return w
+
+
+def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", most_pages: int = 1000, ridge: float = 3e-3, steps: int = 100) -> np.ndarray:
+    """The classifier's weights, from the blocks of at most ``most_pages`` pages (those of the smallest hash of id).
+
+    Weak labels: blocks inside article or main, and outside any boilerplate landmark, bad name and form, teach content;
+    blocks inside nav, footer, aside or a page header, or a bad name outside article and main, teach boilerplate, 64 of either a page at most; others
+    teach nothing. Four fifths of the pages fit the weights, the others one scale for all of them (calibration). Without either label, PRIOR.
     """
     ids = pages.select(col(page_id).alias("page_id")).where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most_pages)
     some = pages.select(col(page_id).alias("page_id"), col(html).cast("string").alias("html")).join(F.broadcast(ids), "page_id", "left_semi")
@@ -250,46 +286,23 @@ def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html"
         out = []
         for t in texts:
             blocks = blocks_of(t.as_py() or "")
-            x = features(blocks) if blocks else np.zeros((0, FEATURES))
-            y = np.array([0 if b.bad else 1 if b.good and b.named >= 0 and not b.form else -1 for b in blocks])
-            z = np.concatenate([x, y[:, None]], axis=1)[y >= 0] if len(y) else np.zeros((0, FEATURES + 1))
-            sums = [z[z[:, -1] == v] for v in (0, 1)]
-            out.append(np.concatenate([s[:64] for s in sums]).astype(np.float32).tobytes())
+            y = np.array([0 if b.bad or b.named < 0 and not b.good else 1 if b.good and b.named >= 0 and not b.form else -1 for b in blocks])
+            z = np.concatenate([features(blocks), y[:, None]], axis=1) if len(y) else np.zeros((0, FEATURES + 1))
+            out.append(np.concatenate([z[y == v][:64] for v in (0, 1)]).astype(np.float32).tobytes() if len(y) else b"")
         return {"z": out}
 
     rows = [np.frombuffer(r["z"], np.float32).reshape(-1, FEATURES + 1) for r in map_texts(some, "html", ("page_id",), fn, "z binary").select("row.page_id", "z").orderBy("page_id").collect()]
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) % 5 == 4
     z = np.concatenate(rows).astype(float) if rows else np.zeros((0, FEATURES + 1))
-    if not len(z) or len(np.unique(z[:, -1])) < 2:
-        return PLAIN
-    x, y = z[:, :-1], z[:, -1]
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    w = PLAIN.copy()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        g = x.T @ (share * (p - y)) + 1e-3 * w
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(FEATURES)
-        d = np.linalg.solve(h, g)
-        w = w - d
-        if np.abs(d).max() < 1e-6:
-            break
-    return w
-
-
-def _logits(blocks: list[Block], weights: np.ndarray, names: bool = True) -> np.ndarray:
-    """The logit of content of each block. Names, and forms inside article or main, cost so little that the text and its neighbours can outweigh them."""
-    z = np.clip(features(blocks) @ weights, -2.5, 2.5)
-    for i, b in enumerate(blocks):
-        if b.bad:
-            z[i] -= 9
-        if names and b.named < 0:
-            z[i] -= 3.5
-        elif b.good:
-            z[i] += 1 if names and b.form else 4
-        elif b.named > 0:
-            z[i] += 2
-        if b.linked > 0.8 * len(b.text):
-            z[i] -= 2
-    return z
+    if any(not (z[~of, -1] == v).any() for v in (0, 1)):
+        return PRIOR
+    w = _fit(z[~of, :-1], z[~of, -1], ridge, steps)
+    x, y = z[of, :-1] @ w, z[of, -1]
+    if not len(y):
+        return w
+    grid = np.geomspace(0.25, 4, 65)
+    loss = [np.mean(np.logaddexp(0, np.where(y == 1, -s, s) * x) * (1 - NOISE) + np.logaddexp(0, np.where(y == 1, s, -s) * x) * NOISE) for s in grid]
+    return w * grid[int(np.argmin(loss))]
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -367,7 +380,7 @@ def content(html: str | None, weights: np.ndarray, adjacent: float = 0.6, siblin
             edges[j, i] = edges.get((j, i), 0.0) + sibling / (i - j)
         last[b.parent] = i
     for names in (True, False):  # names and forms tell the parts of a page apart; where they take it whole they tell nothing
-        z = _logits(blocks, weights, names)
+        z = features(blocks, names) @ weights
         side = minimum_cut(np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist(), edges)
         if any(side) or not any(b.named < 0 or b.form for b in blocks):
             break

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import re
 import shutil
 import subprocess
 import sys
@@ -32,6 +33,34 @@ def test_extraction(spark):
     assert he.extract_text(df.limit(0), he.fit_blocks(df.limit(0))).count() == 0
 
 
+def _without_names(html):
+    return re.sub(r'class="[^"]*"|id="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer|main|aside|header|section)\b", r"<\1div", html))
+
+
+def test_costs_and_edges_decide():
+    page = PAGE.format(extra="The last one ends here.")
+    found = he.content(page, he.PRIOR)
+    assert len(found) == 4 and he.content(page, 0 * he.PRIOR) == []
+    # no landmark and no name: the text alone, and neighbours
+    assert found[1:] == [x for x in he.content(_without_names(page), he.PRIOR) if x in found[1:]]
+    # a block whose own log-odds say boilerplate is content among content, by its edges alone
+    long = "A long sentence of the article, which has many words and ends here. " * 3
+    odd = f"<div><p>{long}</p><div>odd bit</div><p>{long}</p></div>"
+    own = he.features(he.blocks_of(odd)) @ he.PRIOR
+    assert own[0] > 0 > own[1] > -1.5 and own[2] > 0
+    assert len(he.content(odd, he.PRIOR, 3.0, 3.0)) == 3 and len(he.content(odd, he.PRIOR, 0.0, 0.0)) == 2
+    assert len(he.content(odd, he.PRIOR)) == 3
+
+
+def test_fitted_costs_need_no_landmarks(spark):
+    rows = [(i, "u", PAGE.format(extra=f"The last one, number {i}, ends here as a sentence.")) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    w = he.fit_blocks(df)
+    for _, _, html in rows[:5]:
+        clean, bare = he.content(html, w), he.content(_without_names(html), w)
+        assert len(clean) == 4 and bare[:3] == clean[:3] and len(bare) <= 6  # the fourth stands between a share box and a form
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_minimum_cut_is_minimal(seed):
     r = random.Random(seed)
