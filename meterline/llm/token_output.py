@@ -8,6 +8,7 @@ group: consecutive documents, one shared frequency table, and the independent bl
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from .tables import col, steps, texts_of
 
 #: Ids in a group: it ends with the document that reaches this.
 GROUP = 1 << 19
-#: Pieces whose ids a worker remembers at most; the memory starts anew beyond.
-PIECES = 800_000
-_loaded: dict[tuple, "Encoder"] = {}
+#: Pieces that a worker remembers at most; beyond, those seen least often are forgotten.
+PIECES = 450_000
+#: Bytes of text that are cut into pieces at once.
+STEP = 2 << 20
+_loaded: dict[str, "Encoder"] = {}
 
 
 def vocabulary() -> str:
@@ -35,76 +38,114 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _printing(first: np.ndarray, before: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the character that starts with ``first``, and that which ends with ``before[0]``, certainly is no white space.
+
+    ``before``: the bytes backwards. Characters whose lead bytes could stand for white space count as such.
+    """
+    starts = (first > 32) & (first < 127) | (first >= 0xC3) & (first != 0xE1) & (first != 0xE2) & (first != 0xE3)
+    b1, b2, b3, b4 = before
+    three = (b2 >= 0x80) & (b2 < 0xC0) & ((b3 == 0xE0) | (b3 >= 0xE4) & (b3 < 0xF0) | (b3 >= 0x80) & (b3 < 0xC0) & (b4 >= 0xF0))
+    return starts, (b1 > 32) & (b1 < 127) | (b1 >= 0x80) & ((b2 >= 0xC3) & (b2 < 0xE0) | three)
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at each text, before each space and around each newline that stands alone between two
+    printing characters, and at a stop or comma after an ASCII letter."""
+    begin = np.zeros(len(data) + 1, bool)
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    after, before = _printing(data[at + 1], tuple(data[np.maximum(at - k, 0)] for k in (1, 2, 3, 4)))
+    at = at[after & before]
+    begin[at] = True
+    begin[at[data[at] == 10] + 1] = True
+    at = np.flatnonzero((data == 44) | (data == 46))
+    at = at[at > 0]
+    begin[at[np.isin(data[at - 1] | 32, np.arange(97, 123, dtype=np.uint8))]] = True
+    begin[offsets] = True  # empty texts share a place
+    return np.flatnonzero(begin)
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library.
 
-    A byte-level vocabulary never merges across a single space between two printing characters, so a text is the
-    chain of its pieces ``" word"``, and each distinct piece goes through the library once. A text with any other
-    white space than single characters inside goes through it whole. Tests compare both ways.
+    A byte-level vocabulary splits texts at lone white space, and between a letter and a stop, before it merges
+    anything, so a text is the chain of its pieces, and each distinct piece that is remembered goes through the
+    library once. Tests compare with encoding whole texts.
     """
 
-    def __init__(self, path: str) -> None:
-        import re
-
+    def __init__(self, path: str, most: int = PIECES) -> None:
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.odd = re.compile(r"\s\s|^\s|\s$")
+        self.library, self.most = Tokenizer.from_file(path), most
         self.opens = np.zeros(self.library.get_vocab_size(), bool)  # ids whose bytes start with a space
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.first: dict[str, bytes | bool] = {}
-        self.pieces: dict[str, bytes | bool] = {}  # without the space before them; False: odd white space
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Many pieces go through the library in one text, and come apart where ids start with a space."""
-        good = []
-        for p in pieces:
-            if not p or self.odd.search(p):
-                self.pieces[p] = False
-            else:
-                good.append(p)
-        groups = [good[i : i + 64] for i in range(0, len(good), 64)]
-        for some, got in zip(groups, self.library.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            at = np.flatnonzero(self.opens[ids])
+        self.number: dict[bytes, int] = {}
+        self.ids = np.zeros(0, np.uint32)  # of all pieces by number, one after another
+        self.size, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.number)
+        self.number.update(zip(pieces, range(n, n + len(pieces))))
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int64)])
+
+    def _forget(self) -> None:
+        """Keeps two thirds of the remembered pieces, those that were seen in most steps."""
+        stay = np.sort(np.argsort(-self.seen, kind="stable")[: self.most * 2 // 3])
+        names = list(self.number)  # in order of their numbers
+        first = np.cumsum(self.size) - self.size
+        size = self.size[stay]
+        ids = self.ids[np.repeat(first[stay] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        seen = self.seen[stay]
+        self.number, self.ids, self.size, self.seen = {names[i]: k for k, i in enumerate(stay.tolist())}, ids, size, seen
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces with a space before them go through the library many in one text, which comes apart where ids start with a space."""
+        spaced = [p for p in pieces if p[0] == 32 and b" " not in p[1:]]
+        groups = [spaced[i : i + 64] for i in range(0, len(spaced), 64)]
+        done, ids, sizes, rest = [], [], [], [p for p in pieces if p[0] != 32 or b" " in p[1:]]
+        for some, got in zip(groups, self.library.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False)):
+            own = np.array(got.ids, np.uint32)
+            at = np.flatnonzero(self.opens[own])
             if len(at) == len(some) and not at[0]:
-                raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), 4 * len(ids)]
-                self.pieces.update(zip(some, [raw[i:j] for i, j in zip((at * 4).tolist(), ends)]))
+                done += some
+                ids.append(own)
+                sizes.append(np.diff(at, append=len(own)))
             else:
-                for p in some:
-                    self.pieces[p] = self.whole(" " + p)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) + len(self.first) > PIECES:
-            self.pieces.clear(), self.first.clear()
-        split = [t.split(" ") for t in texts]
-        get, found, holes, new = self.pieces.get, [], [], set()
-        for s in split:
-            own = list(map(get, s))
-            own[0] = b""
-            gap = [i for i, x in enumerate(own) if x is None]
-            new.update([s[i] for i in gap])
-            found.append(own)
-            holes.append(gap)
-        if new:
-            self._learn(list(new))
-        out = []
-        for t, s, own, gap in zip(texts, split, found, holes):
-            for i in gap:
-                own[i] = get(s[i])
-            head = self.first.get(s[0])
-            if head is None:
-                head = self.first[s[0]] = self.whole(s[0]) if s[0] and not self.odd.search(s[0]) else False
-            own[0] = head
-            try:
-                out.append(b"".join(own))
-            except TypeError:  # odd white space
-                out.append(self.whole(t) if t else b"")
-        return out
+                rest += some
+        for got in self.library.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False):
+            ids.append(np.array(got.ids, np.uint32))
+        sizes += [np.array([len(x) for x in ids[len(sizes) :]], np.int64)]
+        self._keep(done + rest, np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate(sizes))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has. ``texts`` has no nulls and 32-bit offsets."""
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]
+        if not n or offsets[0] == offsets[-1]:
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        begin = _cuts(data, offsets)  # ends with len(data)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        names, at = pieces.dictionary.to_numpy(zero_copy_only=False), pieces.indices.to_numpy()
+        if len(self.number) > self.most:
+            self._forget()
+        number = np.array(list(map(self.number.get, names, repeat(-1))), np.int64)
+        new = number < 0
+        if new.any():
+            learnt = names[new].tolist()
+            self._learn(learnt)
+            number[new] = list(map(self.number.__getitem__, learnt))
+        self.seen[number] += 1
+        size = self.size[number]
+        first = (np.cumsum(self.size) - self.size)[number]
+        size, first, end = size[at], first[at], np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=end[1:])
+        ids = self.ids[np.repeat(first - end[:-1], size) + np.arange(end[-1])]
+        return ids, np.diff(end[np.searchsorted(begin, offsets)])
 
 
 def encoder(path: str) -> Encoder:
@@ -131,23 +172,30 @@ def write_tokens(documents: DataFrame, path: str, *, doc_id: str = "doc_id", tex
 
         own = encoder(name)
         shard, number = TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], "<u4").tobytes()
         ids, lengths, body, total = [], [], [], 0
         schema = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("lengths", pa.list_(pa.int64())), ("table", pa.binary()), ("blocks", pa.list_(pa.binary()))])
 
         def packed():
-            whole = np.frombuffer(b"".join(body), "<u4")
+            whole = np.concatenate(body)
             table = rans.Table.of(whole)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([shard, number, len(whole), ids, lengths, table.to_bytes(), rans.encode(whole, table)], schema.types)], schema=schema)
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, b in steps(pc.binary_length(texts).to_numpy()):
-                for i, got in zip(names[a:b], own(texts.slice(a, b - a).to_pylist())):
-                    ids.append(i)
-                    body.append(got + tail)
-                    lengths.append(len(got) // 4 + 1)
-                    total += lengths[-1]
+            for a, b in steps(pc.binary_length(texts).to_numpy(), STEP):
+                got, sizes = own(texts.slice(a, b - a))
+                ends = np.cumsum(sizes)
+                got = np.insert(got, ends, end_id)  # after each document
+                ends += np.arange(1, len(ends) + 1)
+                done = 0  # documents of this step that are in a group
+                while done < b - a:
+                    before = int(ends[done - 1]) if done else 0
+                    stop = min(b - a, int(np.searchsorted(ends, before + group - total)) + 1)
+                    ids += names[a + done : a + stop]
+                    lengths += (sizes[done:stop] + 1).tolist()
+                    body.append(got[before : ends[stop - 1]])
+                    total += int(ends[stop - 1]) - before
+                    done = stop
                     if total >= group:
                         yield packed()
                         number, ids, lengths, body, total = number + 1, [], [], [], 0
@@ -173,7 +221,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
     def run(batches):
         _loaded.clear()  # workers live on: what they learnt for writing is not needed any more
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = rans.decode(r["blocks"], rans.Table.from_bytes(r["table"])).astype("<u4")
                 ends = np.cumsum(r["lengths"])
                 begins = ends - np.array(r["lengths"])
