@@ -9,14 +9,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of one batch between Spark and a Python worker, where the session does not say: rows can be very long.
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files once a Spark application.
+    """Adds the package to the session's Python files once a Spark application, and bounds batches by bytes.
 
     Functions that run in workers are pickled by name, so workers must import the package; a cluster where it is
     not installed gets it from the driver this way.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
