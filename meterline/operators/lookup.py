@@ -13,27 +13,40 @@ from ..functions.addresses import ipv4_number, ipv6_hex
 def range_join(df: DataFrame, key: str, ranges: DataFrame, values: Sequence[str], *, lo: str = "lo", hi: str = "hi", block: int = 65536, prefix: str = "") -> DataFrame:
     """``df`` left-joined with the range that holds ``key`` (whole numbers): ``prefix + value`` columns, null if none.
 
-    Only distinct keys meet ranges, and only those of their block, so the join is an equi-join of bounded fan-out;
-    Spark broadcasts a side by its measured size. Overlapping ranges: the latest start, then the earliest end, wins.
+    Ranges are cut at block borders and gathered by block, so each row meets one row of the block table: one
+    equi-join, whose small side Spark broadcasts by its measured size. Overlapping ranges: the latest start, then the
+    earliest end, wins.
     """
-    blocks = ranges.select(lo, hi, *values).withColumn("_block", F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block))))
-    keys = df.select(F.col(key).cast("bigint").alias("_key")).where("_key is not null").distinct().withColumn("_block", F.floor(F.col("_key") / block))
-    hits = keys.join(blocks, "_block").where(F.col("_key").between(F.col(lo), F.col(hi)))
-    best = hits.groupBy("_key").agg(F.max_by(F.struct(*values), F.struct(F.col(lo), -F.col(hi))).alias("_found"))
-    return df.join(best, F.col(key).cast("bigint") == F.col("_key"), "left").select(*df.columns, *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
+    pieces = ranges.select(F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"), F.struct(*values).alias("v"))
+    pieces = pieces.withColumn("_block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block)))).where("hi >= lo")
+    blocks = pieces.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("lo", (-F.col("hi")).alias("to"), "v")), asc=False).alias("_ranges"))
+    at = F.col(key).cast("bigint")
+    joined = df.join(blocks, F.floor(at / block) == F.col("_block"), "left")
+    found = F.try_element_at(F.filter("_ranges", lambda r: (r["lo"] <= at) & (-r["to"] >= at)), F.lit(1))["v"]
+    return joined.withColumn("_found", found).select(*df.columns, *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
+
+
+def _v6_lookup(df: DataFrame, digits: str, ranges: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the value of the IPv6 range (hex digits ``lo``, ``hi``) that holds ``digits``; the latest start wins.
+
+    A range is filed under the digits that its ends have in common; an address asks under its first digits, as many
+    as ranges have (at most 33 lengths, read from the table).
+    """
+    same = [F.when(F.substring("lo", 1, n) == F.substring("hi", 1, n), F.lit(n)).otherwise(F.lit(0)) for n in range(33)]
+    filed = ranges.select("lo", "hi", F.col(value).alias("_six"), F.greatest(*same).alias("_length")).withColumn("_prefix", F.substring(F.col("lo"), F.lit(1), F.col("_length")))
+    lengths = sorted(r["_length"] for r in filed.select("_length").distinct().collect())
+    keys = df.select(F.col(digits).alias("_key")).where("_key is not null").distinct().withColumn("_length", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")))
+    hits = keys.withColumn("_prefix", F.substring(F.col("_key"), F.lit(1), F.col("_length"))).join(filed, ["_length", "_prefix"]).where("_key between lo and hi")
+    best = hits.groupBy("_key").agg(F.max_by("_six", "lo").alias(out))
+    return df.join(best, F.col(digits) == F.col("_key"), "left").drop("_key")
 
 
 def geo_lookup(df: DataFrame, ip: str, ranges: DataFrame, *, out: str = "location", ranges_v6: DataFrame | None = None, value: str = "location") -> DataFrame:
     """``df`` with the location (or any ``value``) of an address; a miss is ``Unknown``, a null address null."""
-    named = df.withColumn("_n", ipv4_number(F.col(ip)))
-    found = range_join(named, "_n", ranges, [value], prefix="_v4_")
+    found = range_join(df.withColumn("_n", ipv4_number(F.col(ip))), "_n", ranges, [value], prefix="_v4_")
     best = F.col(f"_v4_{value}")
     if ranges_v6 is not None:
-        found = found.withColumn("_h", ipv6_hex(F.col(ip)))
-        six = ranges_v6.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col(value).alias("_six")).withColumn("_block", F.explode(F.sequence(F.conv(F.substring("_lo", 1, 4), 16, 10).cast("int"), F.conv(F.substring("_hi", 1, 4), 16, 10).cast("int"))))
-        keys = found.select("_h").where("_h is not null").distinct().withColumn("_block", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
-        hit = keys.join(six, "_block").where("_h between _lo and _hi").groupBy("_h").agg(F.max_by("_six", "_lo").alias("_six"))
-        found = found.join(hit, "_h", "left")
+        found = _v6_lookup(found.withColumn("_h", ipv6_hex(F.col(ip))), "_h", ranges_v6, value, "_six")
         best = F.coalesce(best, F.col("_six"))
     return found.withColumn(out, F.when(F.col(ip).isNotNull(), F.coalesce(best, F.lit("Unknown")))).select(*[c for c in df.columns if c != out], out)
 

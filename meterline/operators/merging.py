@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,24 +29,13 @@ def read_rollups(states: DataFrame, keys: Sequence[str], *, counters: Sequence[s
     return states.select(*keys, *counters, *[F.hll_sketch_estimate(n).alias(n) for n in distinct], *[F.kll_sketch_get_quantile_double(F.col(n), marks).alias(n) for n in quantiles])
 
 
-def merge_like_handlers(metrics: Sequence[DataFrame], topn: int = 10) -> DataFrame:
-    """Long-form tables of like handlers merged, as one policy over several taps reports them.
+def merge_like_handlers(handler: Callable[..., DataFrame], taps: dict[str, DataFrame], options, *more) -> DataFrame:
+    """One report of like handlers on several taps: ``handler(events, options, *more)`` over the union of their events.
 
-    Counters, distinct counts, histograms and tops add; quantiles and rates add mark by mark, as the merged report
-    always did. For true merged quantiles re-aggregate rollups.
+    Re-aggregation makes distinct counts, tops and quantiles those of all taps together: what two taps both saw is one
+    item. Streams of different taps stay apart, so no transaction pairs across taps. For rollups see :func:`merge_rollups`.
     """
-    whole = metrics[0]
-    for m in metrics[1:]:
-        whole = whole.unionByName(m)
-    keys = ["policy", "handler", "schema", "period_start", "period_len", "name", "kind", "stat"]
-    summed = whole.withColumn("_l", F.map_entries("labels")).groupBy(*keys, "_l").agg(F.sum(F.when(~F.col("stat").isin("min", "max"), F.col("value"))).alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    value = F.when(F.col("stat") == "min", F.col("lo")).when(F.col("stat") == "max", F.col("hi")).otherwise(F.col("s"))
-    out = summed.select("policy", "handler", "schema", "period_start", "period_len", F.map_from_entries("_l").alias("labels"), "name", "kind", "stat", value.alias("value"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("policy", "handler", "schema", "period_start", F.map_entries("labels"), "name").orderBy(F.desc("value"), "stat")
-    tops = out.where("kind = 'topn'").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= topn).drop("_r")
-    return out.where("kind != 'topn'").unionByName(tops)
+    return handler(union_sources(taps).drop("tap"), options, *more)
 
 
 def select_sources(sources: DataFrame, *, name: str | None = None, all_tags: dict[str, str] | None = None, any_tags: dict[str, str] | None = None) -> DataFrame:
@@ -68,8 +57,9 @@ def select_sources(sources: DataFrame, *, name: str | None = None, all_tags: dic
 
 
 def union_sources(tapped: dict[str, DataFrame]) -> DataFrame:
-    """One table of many sources, each row labelled with its ``tap``."""
+    """One table of many sources, each row labelled with its ``tap``; a ``stream`` gets the tap's name before its own."""
     parts = [df.withColumn("tap", F.lit(tap)) for tap, df in tapped.items()]
+    parts = [df.withColumn("stream", F.concat_ws("/", "tap", "stream")) if "stream" in df.columns else df for df in parts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

@@ -1,20 +1,22 @@
 """Metric definitions and the plans that compute them into the long form.
 
-A handler lists its metrics; :func:`metric_table` computes them grouped by period and dimensions. Scalar metrics
-(counters, distinct counts, quantiles) share one aggregation; histograms, tops and rates share one each, by tagging
-rows with metric names, so the number of shuffles does not depend on the number of metrics.
+A handler lists its metrics; :func:`metric_table` computes them grouped by period and dimensions. Every row is tagged
+with the names of its metrics and what each counts (an item, a value, a second), and one aggregation sums the tags,
+partly before the shuffle. What is left, one row for each distinct item of a metric, is ranked and accumulated by a
+window of each metric and group. So the input is read once, whatever the number and kinds of metrics.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEMAS
+from .running import running_sum
 
 QUANTILES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
 PERIOD_SECONDS = 60
@@ -27,6 +29,8 @@ class Metric:
     name: str
     group: str | None = None
     where: Column | None = None
+    whole: bool = field(default=False, kw_only=True)  # over all rows of a period, without dimensions
+    among: Column | None = field(default=None, kw_only=True)  # only groups with such a row report the metric
 
     def of(self, value: Column) -> Column:
         return value if self.where is None else F.when(self.where, value)
@@ -85,12 +89,13 @@ def percentiles(column: str, marks: Sequence[float] = tuple(p for _, p in QUANTI
     return F.expr(f"percentile_disc(array({', '.join(map(repr, marks))})) WITHIN GROUP (ORDER BY `{column}`)")
 
 
-def top_n(df: DataFrame, keys: Sequence[str], item: str, weight: str, n: int = 10, threshold: int = 0) -> DataFrame:
+def top_n(df: DataFrame, keys: Sequence[str], item: str, weight: str, n: int = 10, threshold: int = 0, summed: bool = False) -> DataFrame:
     """The ``n`` items of largest summed weight for each of ``keys``, ties by item; then those whose sum reaches the
-    ``threshold``-th percentile of these ``n`` sums. Columns: keys, item, estimate, rank."""
+    ``threshold``-th percentile of these ``n`` sums. ``summed``: every item has one row. Columns: keys, item, estimate, rank."""
     if not 0 <= threshold <= 100:
         raise ValueError("the percentile threshold is 0 to 100")
-    sums = df.where(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.sum(weight).alias("estimate"))
+    rows = df.where(F.col(item).isNotNull())
+    sums = rows.select(*keys, item, F.col(weight).alias("estimate")) if summed else rows.groupBy(*keys, item).agg(F.sum(weight).alias("estimate"))
     order = Window.partitionBy(*keys).orderBy(F.desc("estimate"), F.asc(item))
     ranked = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     if threshold:
@@ -102,84 +107,115 @@ def top_n(df: DataFrame, keys: Sequence[str], item: str, weight: str, n: int = 1
     return ranked
 
 
-def per_second_rates(df: DataFrame, keys: Sequence[str], ts: str, weight: str, seconds: Column | int = PERIOD_SECONDS) -> DataFrame:
-    """Quantiles of the totals of each second of a period, seconds without rows counting zero. Columns: keys, totals
-    (array of p50 to p99), live (total of the newest second with rows)."""
-    sums = df.groupBy(*keys, F.date_trunc("second", ts).alias("second")).agg(F.sum(weight).alias("total"))
-    length = F.lit(seconds) if isinstance(seconds, int) else seconds
-    grouped = sums.groupBy(*keys).agg(F.array_sort(F.collect_list("total")).alias("sorted"), F.max_by("total", "second").alias("live"))
-    count = F.greatest(length, F.size("sorted"))
-    zeros = count - F.size("sorted")
-
-    def at(p: float) -> Column:
-        place = F.greatest(F.ceil(count * p).cast("int"), F.lit(1)) - zeros
-        return F.when(place < 1, F.lit(0).cast("double")).otherwise(F.try_element_at("sorted", F.greatest(place, F.lit(1)).cast("int")).cast("double"))
-
-    return grouped.select(*keys, F.array(*[at(p) for _, p in QUANTILES]).alias("totals"), "live")
-
-
-def _one(name: str, kind: str, stat: Column | str, value: Column) -> Column:
-    return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), (F.lit(stat) if isinstance(stat, str) else stat).alias("stat"), value.cast("double").alias("value"))
+def among(rows: Column, metrics: Sequence[Metric]) -> list[Metric]:
+    """The metrics of those rows alone."""
+    return [replace(m, where=rows if m.where is None else rows & m.where, among=rows) for m in metrics]
+
+
+def _tag(m: Metric, kind: str, item: Column | None = None, num: Column | None = None, weight: Column | None = None) -> Column:
+    null = F.lit(None)
+    return F.struct(F.lit(m.whole).alias("whole"), F.lit(kind).alias("kind"), F.lit(m.name).alias("name"), (null if item is None else item).cast("string").alias("item"), (null if num is None else num).cast("double").alias("num"), (F.lit(1) if weight is None else weight).cast("bigint").alias("weight"))
+
+
+def _tags(metrics: Sequence[Metric], ts: str) -> list[Column]:
+    """What a row counts for each metric; nulls where it counts nothing. Counters and distinct counts have a tag even so, as they can be 0."""
+    out = []
+    for m in metrics:
+        if isinstance(m, Counter):
+            tag = _tag(m, "counter", weight=F.coalesce(m.of(F.lit(1) if m.weight is None else m.weight).cast("bigint"), F.lit(0)))
+            out.append(tag if m.among is None else F.when(m.among, tag))
+        elif isinstance(m, Cardinality):
+            tag = _tag(m, "cardinality", item=m.of(m.item))
+            out.append(tag if m.among is None else F.when(m.among, tag))
+        elif isinstance(m, Quantile):
+            value = m.of(m.value)
+            out.append(F.when(value.isNotNull(), _tag(m, "quantile", num=value)))
+        elif isinstance(m, Histogram):
+            bound = m.of(histogram_bound(m.value, m.integer))
+            out.append(F.when(bound.isNotNull(), _tag(m, "histogram", num=bound)))
+        elif isinstance(m, TopN):
+            item = m.of(m.item.cast("string"))
+            out.append(F.when(item.isNotNull(), _tag(m, "topn", item=item, weight=m.weight)))
+        elif isinstance(m, Rate):
+            weight = m.of(F.lit(1) if m.weight is None else m.weight)
+            out.append(F.when(weight.isNotNull(), _tag(m, "rate", num=F.unix_seconds(F.col(ts).cast("timestamp")), weight=weight)))
+    return out
+
+
+def _accumulated(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The statistics of all metrics but tops, from their summed tags in order of value (of total, for rates)."""
+    order = F.when(F.col("kind") == "rate", F.col("weight").cast("double")).otherwise(F.col("num"))
+    by = Window.partitionBy(*keys, "kind", "name")
+    upto = by.orderBy("_o", "num", "item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = sums.withColumn("_o", order).withColumns({
+        "_rank": F.row_number().over(by.orderBy("_o", "num", "item")), "_upto": F.sum("weight").over(upto),
+        "_rows": F.count("*").over(by), "_all": F.sum("weight").over(by), "_items": F.count("item").over(by), "_newest": F.max("num").over(by),
+    })
+    stat = lambda name, value, when: F.when(when, F.struct((F.lit(name) if isinstance(name, str) else name).alias("stat"), value.cast("double").alias("value")))
+    is_ = {k: F.col("kind") == k for k in ("counter", "cardinality", "quantile", "histogram", "rate")}
+    rank, upto, rows, weight, num = (F.col(c) for c in ("_rank", "_upto", "_rows", "weight", "num"))
+    first, last = rank == 1, rank == rows
+    seconds = F.greatest(F.col("period_len"), rows)
+    stats = [stat("value", weight, is_["counter"]), stat("value", F.col("_items"), is_["cardinality"] & last)]
+    for q, p in QUANTILES:
+        at = F.greatest(F.ceil(F.col("_all") * p), F.lit(1))
+        stats.append(stat(q, num, is_["quantile"] & (upto >= at) & (upto - weight < at)))
+        place = F.greatest(F.ceil(seconds * p), F.lit(1)) - (seconds - rows)  # seconds without rows count zero
+        stats += [stat(q, F.lit(0), is_["rate"] & first & (place < 1)), stat(q, weight, is_["rate"] & (rank == place))]
+    stats += [stat("n", F.col("_all"), is_["quantile"] & first), stat("min", num, is_["quantile"] & first), stat("max", num, is_["quantile"] & last)]
+    stats += [stat(num.cast("string"), upto, is_["histogram"]), stat("+Inf", F.col("_all"), is_["histogram"] & last), stat("live", weight, is_["rate"] & (num == F.col("_newest")))]
+    return w.select(*keys, "name", "kind", F.inline(F.array_compact(F.array(*stats))))
+
+
+def _sketched(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str]) -> DataFrame:
+    """Distinct counts and quantiles of mergeable sketches, in one aggregation of bounded state a group."""
+    aggs, rows = [], []
+    one = lambda m, kind, stat, value: F.struct(F.lit(m.name).alias("name"), F.lit(kind).alias("kind"), F.lit(stat).alias("stat"), value.cast("double").alias("value"))
+    for i, m in enumerate(metrics):
+        a = f"_a{i}"
+        if isinstance(m, Cardinality):
+            aggs.append(F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(m.of(m.item))), F.lit(0)).alias(a))
+            rows.append(one(m, "cardinality", "value", F.col(a)))
+        else:
+            v = m.of(m.value).cast("double")
+            aggs += [F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v), F.array(*[F.lit(p) for _, p in QUANTILES])).alias(a), F.count(v).alias(a + "n"), F.min(v).alias(a + "min"), F.max(v).alias(a + "max")]
+            rows += [one(m, "quantile", q, F.try_element_at(a, F.lit(j + 1))) for j, (q, _) in enumerate(QUANTILES)]
+            rows += [one(m, "quantile", "n", F.when(F.col(a + "n") > 0, F.col(a + "n"))), one(m, "quantile", "min", F.col(a + "min")), one(m, "quantile", "max", F.col(a + "max"))]
+    return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*rows)))
 
 
 def metric_table(df: DataFrame, metrics: Sequence[Metric], *, handler: str, schema: str, policy: str = "default", dims: Sequence[str] = (), topn: int = 10, threshold: int = 0, mode: str = "exact", ts: str = "ts") -> DataFrame:
     """All metrics of ``df`` (with ``period_start``, ``period_len`` and the dimensions) in the long form.
 
-    Mode ``exact`` counts distinct values and takes percentiles exactly; ``sketch`` uses mergeable sketches for both.
+    Mode ``exact`` counts distinct values and takes percentiles exactly; ``sketch`` uses mergeable sketches for both,
+    in one more pass. A metric that is ``whole`` has no dimensions.
     """
+    if not metrics:
+        return df.sparkSession.createDataFrame([], SCHEMAS["metrics"])
     keys = ["period_start", "period_len", *dims]
+    by_sketch = [m for m in metrics if mode == "sketch" and isinstance(m, (Cardinality, Quantile))]
+    tagged = [m for m in metrics if mode != "sketch" or not isinstance(m, (Cardinality, Quantile))]
     parts: list[DataFrame] = []
-    scalar = [m for m in metrics if isinstance(m, (Counter, Cardinality, Quantile))]
-    if scalar:
-        temp = {f"_v{i}": m.of(m.value) for i, m in enumerate(scalar) if isinstance(m, Quantile)}
-        source = df.withColumns(temp) if temp else df
-        aggs, rows = [], []
-        for i, m in enumerate(scalar):
-            a = f"_a{i}"
-            if isinstance(m, Counter):
-                weight = m.weight if m.weight is not None else F.lit(1)
-                aggs.append(F.coalesce(F.sum(m.of(weight).cast("bigint")), F.lit(0)).alias(a))
-                rows.append(_one(m.name, "counter", "value", F.col(a)))
-            elif isinstance(m, Cardinality):
-                value = m.of(m.item)
-                aggs.append((F.count_distinct(value) if mode == "exact" else F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(value)), F.lit(0))).alias(a))
-                rows.append(_one(m.name, "cardinality", "value", F.col(a)))
-            else:
-                v = F.col(f"_v{i}").cast("double")
-                if mode == "exact":
-                    aggs.append(percentiles(f"_v{i}").alias(a))
-                else:
-                    aggs.append(F.expr(f"kll_sketch_get_quantile_double(kll_sketch_agg_double(cast(`_v{i}` as double)), array(0.5D, 0.9D, 0.95D, 0.99D))").alias(a))
-                aggs += [F.count(v).alias(a + "n"), F.min(v).alias(a + "min"), F.max(v).alias(a + "max")]
-                rows += [_one(m.name, "quantile", q, F.try_element_at(a, F.lit(j + 1))) for j, (q, _) in enumerate(QUANTILES)]
-                rows += [_one(m.name, "quantile", "n", F.when(F.col(a + "n") > 0, F.col(a + "n"))), _one(m.name, "quantile", "min", F.col(a + "min")), _one(m.name, "quantile", "max", F.col(a + "max"))]
-        parts.append(source.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*rows))).where("value is not null"))
-    histograms = [m for m in metrics if isinstance(m, Histogram)]
-    if histograms:
-        tagged = F.array(*[F.struct(F.lit(m.name).alias("name"), m.of(histogram_bound(m.value, m.integer)).alias("bound")) for m in histograms])
-        bins = df.select(*keys, F.inline(F.filter(tagged, lambda x: x["bound"].isNotNull()))).groupBy(*keys, "name", "bound").agg(F.count("*").alias("n"))
-        upto = Window.partitionBy(*keys, "name").orderBy("bound").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        named = bins.select(*keys, "name", F.lit("histogram").alias("kind"), F.col("bound").cast("string").alias("stat"), F.sum("n").over(upto).cast("double").alias("value"))
-        whole = bins.groupBy(*keys, "name").agg(F.sum("n").cast("double").alias("value")).select(*keys, "name", F.lit("histogram").alias("kind"), F.lit("+Inf").alias("stat"), "value")
-        parts += [named, whole]
-    tops = [m for m in metrics if isinstance(m, TopN)]
-    if tops:
-        tagged = F.array(*[F.struct(F.lit(m.name).alias("name"), m.of(m.item.cast("string")).alias("item"), (m.weight if m.weight is not None else F.lit(1)).cast("bigint").alias("weight")) for m in tops])
-        rows = df.select(*keys, F.inline(F.filter(tagged, lambda x: x["item"].isNotNull())))
-        ranked = top_n(rows, [*keys, "name"], "item", "weight", topn, threshold)
-        parts.append(ranked.select(*keys, "name", F.lit("topn").alias("kind"), F.col("item").alias("stat"), F.col("estimate").cast("double").alias("value")))
-    rates = [m for m in metrics if isinstance(m, Rate)]
-    if rates:
-        tagged = F.array(*[F.struct(F.lit(m.name).alias("name"), m.of(m.weight if m.weight is not None else F.lit(1)).cast("bigint").alias("weight")) for m in rates])
-        rows = df.select(*keys, F.col(ts).alias("ts"), F.inline(F.filter(tagged, lambda x: x["weight"].isNotNull())))
-        found = per_second_rates(rows, [*keys, "name"], "ts", "weight", F.col("period_len").cast("int"))
-        stats = F.array(*[F.struct(F.lit(q).alias("stat"), F.col("totals")[j].alias("value")) for j, (q, _) in enumerate(QUANTILES)], F.struct(F.lit("live").alias("stat"), F.col("live").cast("double").alias("value")))
-        parts.append(found.select(*keys, "name", F.lit("rate").alias("kind"), F.inline(stats)))
-    if not parts:
-        return df.sparkSession.createDataFrame([], SCHEMAS["metrics"])
+    if tagged:
+        rows = df.select(*keys, F.inline(F.array_compact(F.array(*_tags(tagged, ts)))))
+        rows = rows.withColumns({d: F.when(~F.col("whole"), F.col(d)) for d in dims})
+        sums = rows.groupBy(*keys, "kind", "name", "item", "num").agg(F.sum("weight").alias("weight"))
+        # rand() keeps the two filters above the aggregation, so that both branches read one shuffle of it
+        branch = lambda is_top: sums.where(F.when(F.rand() >= 0, (F.col("kind") == "topn") == is_top))
+        kinds = {isinstance(m, TopN) for m in tagged}
+        if False in kinds:
+            parts.append(_accumulated(branch(False) if True in kinds else sums, keys))
+        if True in kinds:
+            ranked = top_n(branch(True) if False in kinds else sums, [*keys, "name"], "item", "weight", topn, threshold, summed=True)
+            parts.append(ranked.select(*keys, "name", F.lit("topn").alias("kind"), F.col("item").alias("stat"), F.col("estimate").cast("double").alias("value")))
+    for whole in (False, True):
+        if some := [m for m in by_sketch if m.whole == whole]:
+            source = df if some[0].among is None else df.where(some[0].among)
+            parts.append(_sketched(source.withColumns({d: F.lit(None).cast("string") for d in dims}) if whole else source, some, keys))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = out.where("value is not null")
     entries = F.filter(F.array(*[F.struct(F.lit(d), F.col(d).cast("string")) for d in dims]), lambda e: e["col2"].isNotNull()) if dims else None
     labels = F.map_from_entries(entries) if dims else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return out.select(F.lit(policy).alias("policy"), F.lit(handler).alias("handler"), F.lit(schema).alias("schema"), "period_start", "period_len", labels.alias("labels"), "name", "kind", "stat", "value")
@@ -197,9 +233,8 @@ def clamped_running_total(df: DataFrame, delta: str, keys: Sequence[str], order:
 
     In closed form: the plain running sum less its lowest value so far where that is negative.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = df.withColumn("_sum", F.sum(delta).over(w))
-    return summed.withColumn("total", F.col("_sum") - F.least(F.min("_sum").over(w), F.lit(0))).drop("_sum")
+    summed = running_sum(df, delta, keys, order, out="_sum", low="_least")
+    return summed.withColumn("total", F.col("_sum") - F.least(F.col("_least"), F.lit(0))).drop("_sum", "_least")
 
 
 def min_max(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .periods import nearest_start
+
 
 def pair_transactions(df: DataFrame, keys: Sequence[str], is_response: str, ts: str = "ts", seq: str = "seq", *, ttl_ms: int = 5000, carry: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``status``, ``elapsed_us`` and, on responses, ``query_<column>`` of the query for each of ``carry``.
@@ -27,25 +29,21 @@ def pair_transactions(df: DataFrame, keys: Sequence[str], is_response: str, ts:
 def purge_timeouts(paired: DataFrame, starts: DataFrame, keys: Sequence[str], is_response: str, ts: str = "ts", seq: str = "seq", *, ttl_ms: int = 5000, stream: str | None = None) -> DataFrame:
     """Reclassifies what a period shift removes: ``paired`` with ``status`` and, on purged queries, ``purged_at``.
 
-    At each period start (``starts(start)``, in seconds, by ``stream`` if given) open queries begun ``ttl_ms`` or more
-    before it are removed: they are ``purged``, counted in the new period, and a later response is an ``orphan``.
+    At each period start (``starts(start)``, in seconds, by ``_<stream>`` if given) open queries begun ``ttl_ms``
+    (whole seconds of it) or more before it are removed: they are ``purged``, counted in the new period, and a later
+    response is an ``orphan``. Other columns of ``starts`` come along on purged queries.
     """
     sec = F.unix_seconds(F.col(ts).cast("timestamp"))
-    ttl = -(-ttl_ms // 1000)
-    due = sec + ttl
     w = Window.partitionBy(*keys).orderBy(ts, seq)
-    rows = paired.withColumns({"_due": F.when(~F.col(is_response), due), "_end": F.when(~F.col(is_response), F.lead(sec).over(w))})
-    # the first shift at or after the due second, found in one ordered pass over shifts and queries
-    marks = rows.where(F.col("_due").isNotNull()).select(*([stream] if stream else []), F.col("_due").alias("at"), F.lit(None).cast("bigint").alias("start")).distinct()
-    shifts = starts.select(*([F.col(f"_{stream}").alias(stream)] if stream else []), F.col("start").alias("at"), "start")
-    by = Window.partitionBy(*([stream] if stream else [F.lit(0)])).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    found = marks.unionByName(shifts).withColumn("first", F.min("start").over(by)).where("start is null").select(*([stream] if stream else []), F.col("at").alias("_due"), F.col("first").alias("_shift"))
-    rows = rows.join(found, [*([stream] if stream else []), "_due"], "left")
-    purged = F.col("_shift").isNotNull() & (F.col("_end").isNull() | (F.col("_end") >= F.col("_shift")))
-    rows = rows.withColumn("_gone", F.coalesce(purged, F.lit(False)) & ~F.col(is_response))
+    # the slot's next event, of either side, ends an open query
+    rows = paired.withColumns({"_due": F.when(~F.col(is_response), sec + ttl_ms // 1000), "_end": F.when(~F.col(is_response), F.lead(sec).over(w))})
+    rows = nearest_start(rows, "_due", starts, stream, after=True)
+    gone = F.col("start").isNotNull() & (F.col("_end").isNull() | (F.col("_end") >= F.col("start"))) & ~F.col(is_response)
+    rows = rows.withColumn("_gone", F.coalesce(gone, F.lit(False)))
     rows = rows.withColumn("_before", F.lag("_gone").over(w))
     status = F.when(F.col("_gone"), "purged").when(F.col(is_response) & F.coalesce(F.col("_before"), F.lit(False)), "orphan").otherwise(F.col("status"))
-    return rows.withColumn("status", status).withColumn("elapsed_us", F.when(F.col("status") != "orphan", F.col("elapsed_us"))).withColumn("purged_at", F.when(F.col("_gone"), F.timestamp_seconds("_shift"))).drop("_due", "_end", "_shift", "_gone", "_before")
+    out = rows.withColumn("status", status).withColumn("elapsed_us", F.when(F.col("status") != "orphan", F.col("elapsed_us"))).withColumn("purged_at", F.when(F.col("_gone"), F.timestamp_seconds("start")))
+    return out.drop("_due", "_end", "start", "_gone", "_before")
 
 
 def propagate_query_filter(df: DataFrame, keep: Column, keys: Sequence[str], is_response: str, ts: str = "ts", seq: str = "seq", *, ttl_ms: int = 5000, carry: Sequence[str] = ()) -> DataFrame:

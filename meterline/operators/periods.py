@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_max
+
 SECONDS = 60
 
 
@@ -36,22 +40,83 @@ def assign_periods(df: DataFrame, ts: str = "ts", *, origin: str = "epoch", stre
         return out.withColumn("period_start", F.timestamp_seconds(start)).withColumn("period_len", F.lit(seconds).cast("bigint")).drop("_first")
     if origin != "activity":
         raise ValueError(f"unknown origin: {origin}")
-    by = keys or [F.lit(0)]
-    arrival = Window.partitionBy(*by).orderBy(*([seq] if seq else [ts])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = df.withColumn("_high", F.max(at).over(arrival))
-    starts = activity_starts(seen, keys, "_high", seconds).withColumnRenamed("start", "_start")
-    joined = seen.join(starts, (F.col("_high") == F.col("_start")) & (F.col(stream).eqNullSafe(F.col(f"_{stream}")) if stream else F.lit(True)), "left")
-    open_ = F.last("_start", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_high").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.withColumn("period_start", F.timestamp_seconds(open_)).withColumn("period_len", F.lit(seconds).cast("bigint"))
-    return out.drop("_high", "_start", *([f"_{stream}"] if stream else []))
+    seen = running_max(df.withColumn("_sec", at), "_sec", keys, seq or ts, out="_high").drop("_sec")
+    starts = activity_starts(seen, keys, "_high", seconds)
+    found = nearest_start(seen, "_high", starts, stream, after=False)
+    out = found.withColumn("period_start", F.timestamp_seconds("start")).withColumn("period_len", F.lit(seconds).cast("bigint"))
+    return out.drop("_high", "start")
+
 
+def activity_starts(df: DataFrame, keys: Sequence[str], second: str, seconds: int = SECONDS, day: int = 86_400) -> DataFrame:
+    """The starts of activity periods, from the distinct seconds of each stream. Columns: ``_<key>``, start.
 
-def activity_starts(df: DataFrame, keys: Sequence[str], second: str, seconds: int = SECONDS) -> DataFrame:
-    """The starts of activity periods, from the distinct seconds of each stream. Columns: ``_<key>``, start."""
-    distinct = df.select(*[F.col(k).alias(f"_{k}") for k in keys], second).distinct()
-    sets = distinct.groupBy(*[f"_{k}" for k in keys]).agg(F.array_sort(F.collect_list(second)).alias("s"))
-    fold = F.aggregate("s", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) == 0) | (x >= F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + seconds), F.concat(acc, F.array(x))).otherwise(acc))
-    return sets.select(*[f"_{k}" for k in keys], F.explode(fold).alias("start"))
+    A start depends on the one before, so each day of a stream first says, for each second at which it can be entered,
+    where it would be left; these few steps are followed through the days, and then each day lists its own starts.
+    """
+    names = [f"_{k}" for k in keys]
+    own = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(second).cast("bigint").alias("s")).where("s is not null").distinct().withColumn("_day", F.floor(F.col("s") / day).cast("bigint"))
+    fields = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
+
+    def following(x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(x, x + seconds)
+
+    def steps(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(part["s"].to_numpy())
+        after, left = following(x), x + seconds
+        for i in range(len(x) - 1, -1, -1):
+            if after[i] < len(x):
+                left[i] = left[after[i]]
+        at = x[: np.searchsorted(x, x[0] // day * day + seconds) + 1]  # entered at one of these
+        return pd.DataFrame({**{n: part[n].iloc[0] for n in names}, "_day": x[0] // day, "enter": at, "leave": left[: len(at)]})
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_day", "enter"])
+        days, enter, leave = (part[c].to_numpy() for c in ("_day", "enter", "leave"))
+        edges = np.flatnonzero(np.diff(days, prepend=days[0] - 1))
+        now, out = enter[0], []
+        for a, b in zip(edges, [*edges[1:], len(days)]):
+            i = a + np.searchsorted(enter[a:b], now)
+            if i < b:
+                out.append((days[i], enter[i]))
+                now = leave[i]
+        return pd.DataFrame({**{n: part[n].iloc[0] for n in names}, "_day": [d for d, _ in out], "enter": [e for _, e in out]})
+
+    def listed(part: pd.DataFrame) -> pd.DataFrame:
+        x = np.sort(part["s"].to_numpy())
+        after, i, out = following(x), int(np.searchsorted(x, part["enter"].iloc[0])), []
+        while i < len(x):
+            out.append(x[i])
+            i = int(after[i])
+        return pd.DataFrame({**{n: part[n].iloc[0] for n in names}, "start": out})
+
+    by_day = [*names, "_day"]
+    entered = own.groupBy(*by_day).applyInPandas(steps, fields + "_day bigint, enter bigint, leave bigint").groupBy(*(names or [F.lit(0)])).applyInPandas(follow, fields + "_day bigint, enter bigint")
+    return own.join(entered, by_day).groupBy(*by_day).applyInPandas(listed, fields + "start bigint")
+
+
+def nearest_start(df: DataFrame, second: str, starts: DataFrame, stream: str | None = None, *, after: bool, hour: int = 3600) -> DataFrame:
+    """``df`` with the columns of the first row of ``starts`` at or ``after`` ``second`` (else the last one at or before it), null where there is none.
+
+    ``starts(start, ...)`` has a row for each period, by ``_<stream>`` if given. Rows meet the starts of their hour, and
+    the nearest start of other hours; only hours are sorted, not rows.
+    """
+    keys = [f"_{stream}"] if stream else []
+    more = [c for c in starts.columns if c not in keys and c != "start"]
+    in_hour = lambda c: F.floor(F.col(c) / hour).cast("bigint")
+    own = starts.select(*keys, in_hour("start").alias("_hour"), F.struct("start", *more).alias("_s"))
+    asked = df.select(*([F.col(stream).alias(f"_{stream}")] if stream else []), in_hour(second).alias("_hour")).where("_hour is not null").distinct()
+    hours = asked.withColumn("_s", F.lit(None).cast(own.schema["_s"].dataType)).unionByName(own).groupBy(*keys, "_hour").agg(F.array_sort(F.collect_list("_s")).alias("_in"))
+    by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_hour")
+    if after:
+        hours = hours.withColumn("_other", F.first(F.try_element_at("_in", F.lit(1)), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)))
+    else:
+        hours = hours.withColumn("_other", F.last(F.try_element_at("_in", F.lit(-1)), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    hours = hours.withColumnsRenamed({"_hour": "_at", **({f"_{stream}": "_of"} if stream else {})})
+    same = in_hour(second) == F.col("_at")
+    out = df.join(hours, same & F.col(stream).eqNullSafe(F.col("_of")) if stream else same, "left")
+    fits = F.filter("_in", lambda s: s["start"] >= F.col(second) if after else s["start"] <= F.col(second))
+    out = out.withColumn("_found", F.coalesce(F.try_element_at(fits, F.lit(1 if after else -1)), F.col("_other"))).drop("_in", "_other", "_at", "_of")
+    return out.withColumns({c: F.col("_found")[c] for c in ["start", *more]}).drop("_found")
 
 
 def heartbeat(df: DataFrame, ts: str = "ts", *, stream: str, every: int = 30) -> DataFrame:
@@ -89,17 +154,26 @@ def bucket(df: DataFrame, period: int, n: int | None = None, keys: Sequence[str]
     return found
 
 
-def merged_window(df: DataFrame, period: int, n: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """The newest ``period`` periods as one: ``period_start`` is the first start, ``period_len`` the sum of lengths."""
+def merged_periods(df: DataFrame, period: int, n: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The newest ``period`` periods, at most ten of each key: ``period_start``, and of them as one ``_from`` and ``_len``."""
     if not 2 <= period <= clamp_periods(n):
         raise PeriodError("invalid metrics period")
     known = df.select(*keys, "period_start", "period_len").distinct()
     by = Window.partitionBy(*(keys or [F.lit(0)]))
     known = known.withColumn("_r", F.row_number().over(by.orderBy(F.desc("period_start")))).where(F.col("_r") <= period)
-    known = known.withColumn("_from", F.min("period_start").over(by)).withColumn("_len", F.sum("period_len").over(by)).select(*keys, "period_start", "_from", "_len")
+    return known.withColumn("_from", F.min("period_start").over(by)).withColumn("_len", F.sum("period_len").over(by)).select(*keys, "period_start", "_from", "_len")
+
+
+def as_one(df: DataFrame, known: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of the ``known`` periods (see :func:`merged_periods`), all in one period."""
     return df.drop("period_len").join(known, [*keys, "period_start"]).drop("period_start").withColumnsRenamed({"_from": "period_start", "_len": "period_len"})
 
 
+def merged_window(df: DataFrame, period: int, n: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The newest ``period`` periods as one: ``period_start`` is the first start, ``period_len`` the sum of lengths."""
+    return as_one(df, merged_periods(df, period, n, keys), keys)
+
+
 def period_bounds(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
     """``period_start, period_end, length`` (whole seconds): the end is the next start, or the last event."""
     spans = df.groupBy(*keys, "period_start").agg(F.max(ts).alias("last"), F.count("*").alias("num_events"))
@@ -135,11 +209,3 @@ def scrape_period(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     most = F.least(F.max("period").over(Window.partitionBy(*(keys or [F.lit(0)]))), F.lit(1))
     known = ranked.select(*keys, "period_start", "period").distinct().withColumn("_pick", most).where(F.col("period") == F.col("_pick")).select(*keys, "period_start")
     return df.join(known, [*keys, "period_start"])
-
-
-def sliding(df: DataFrame, ts: str = "ts", width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    return df.withColumn("window", F.window(ts, width, slide)).withColumn("period_start", F.col("window.start")).drop("window")
-
-
-def seconds_of(ts: str | Column) -> Column:
-    return F.unix_seconds((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,9 @@ from ..functions.dns import aggregate_domain, metric_port, response_ratio, xact_
 from ..functions.flow import deep_flag, explode_flow_records, first_ip_roles, flow_directions
 from ..operators.filters import DnsFilter, FlowFilter, NetFilter, from_options, metric_groups
 from ..operators.lookup import asn_lookup, enrich_devices, geo_lookup, join_services
-from ..operators.metrics import Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, clamped_running_total, delta_sum, metric_table
-from ..operators.pairing import match_leases, match_probes, pair_transactions, propagate_query_filter
-from ..operators.periods import assign_periods, slow_rows
+from ..operators.metrics import Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, among, clamped_running_total, delta_sum, metric_table
+from ..operators.pairing import match_leases, match_probes, pair_transactions, propagate_query_filter, purge_timeouts
+from ..operators.periods import as_one, assign_periods, merged_periods, slow_rows
 
 
 @dataclass
@@ -40,6 +41,8 @@ class Options:
     filters: dict = field(default_factory=dict)
     dims: Sequence[str] = ()
     event_counts: bool = True
+    merge: int = 1  # report so many of the newest periods as one
+    known: DataFrame | None = None  # these periods, once a handler has seen its events
 
 
 @dataclass
@@ -59,7 +62,12 @@ def _on(metrics: list[Metric], groups: set[str]) -> list[Metric]:
     return [m for m in metrics if m.group is None or all(g in groups for g in m.group.split("+"))]
 
 
-def _table(df: DataFrame, metrics: list[Metric], o: Options, handler: str, schema: str, dims: Sequence[str] = ()) -> DataFrame:
+def _merged(df: DataFrame, o: Options) -> DataFrame:
+    return df if o.known is None else as_one(df, F.broadcast(o.known))  # ten rows at most
+
+
+def _table(df: DataFrame, metrics: list[Metric], o: Options, handler: str, schema: str, dims: Sequence[str] = (), merged: bool = False) -> DataFrame:
+    df = df if merged else _merged(df, o)
     return metric_table(df, metrics, handler=handler, schema=schema, policy=o.policy, dims=[*o.dims, *dims], topn=o.topn_count, threshold=o.topn_percentile_threshold, mode=o.mode)
 
 
@@ -81,8 +89,12 @@ def counted(handler: str, schema: str):
     def wrap(fn):
         @wraps(fn)
         def run(events: DataFrame, *args, **options) -> DataFrame:
-            out = fn(events, *args, **options)
-            o = options.get("o") or next((a for a in args if isinstance(a, Options)), None) or Options()
+            o = options.pop("o", None) or next((a for a in args if isinstance(a, Options)), None) or Options()
+            if o.merge > 1:
+                o = replace(o, known=merged_periods(_prepared(events, o), o.merge, o.num_periods))
+            args = [a for a in args if not isinstance(a, Options)]
+            named = {p: a for p, a in zip([p for p in list(signature(fn).parameters)[1:] if p != "o"], args)}
+            out = fn(events, o=o, **named, **options)
             return out.unionByName(event_metrics(_prepared(events, o), o, handler, schema)) if o.event_counts else out
 
         return run
@@ -99,18 +111,18 @@ def net(packets: DataFrame, o: Options | None = None, d: Dimensions | None = Non
     geo, asn = d.geo_v4 is not None, d.asn_v4 is not None
     df = geo_lookup(df, "peer", d.geo_v4, out="peer_location", ranges_v6=d.geo_v6) if geo else df.withColumn("peer_location", F.lit(None).cast("string"))
     df = asn_lookup(df, "peer", d.asn_v4, out="peer_asn", ranges_v6=d.asn_v6) if asn else df.withColumn("peer_asn", F.lit(None).cast("string"))
-    df = df.withColumn("keep", flt.keep())
-    kept = df.where("keep")
-    deep = F.col("deep")
+    df = df.withColumn("keep", F.coalesce(flt.keep(), F.lit(False)))
+    kept, deep = F.col("keep"), F.col("deep")
     l4 = F.coalesce(F.col("l4"), F.lit(""))
-    by_row = _on([
+    by_row = among(kept, [
         Counter("udp_packets", "counters", l4 == "udp"), Counter("tcp_packets", "counters", l4 == "tcp"), Counter("other_l4_packets", "counters", ~l4.isin("udp", "tcp")),
         Counter("ipv4_packets", "counters", F.col("l3") == "ipv4"), Counter("ipv6_packets", "counters", F.col("l3") == "ipv6"),
         Counter("tcp_syn_packets", "counters", deep & (l4 == "tcp") & F.coalesce(F.col("syn"), F.lit(False))), Counter("total_packets", "counters"),
         Quantile("payload_size_bytes", "quantiles", deep, F.col("bytes")), Rate("rates_pps", "quantiles"), Rate("rates_bps", "quantiles", weight=F.col("bytes")),
-    ], groups)
-    out = _table(kept, by_row, o, "net", "net", ["dir"])
-    roles = kept.where("deep").withColumn("ip", F.explode(first_ip_roles(F.col("dir"), F.col("src_ip"), F.col("dst_ip"))))
+    ])
+    whole = [Counter("filtered_packets", "counters", ~kept, whole=True), Counter("observed_packets", "counters", whole=True), Counter("deep_sampled_packets", "counters", deep, whole=True), Rate("rates_observed_pps", whole=True)]
+    out = _table(df, _on([*by_row, *whole], groups), o, "net", "net", ["dir"])
+    roles = df.where("keep and deep").withColumn("ip", F.explode(first_ip_roles(F.col("dir"), F.col("src_ip"), F.col("dst_ip"))))
     if geo:
         roles = geo_lookup(roles, "ip", d.geo_v4, out="ip_location", ranges_v6=d.geo_v6)
     if asn:
@@ -119,10 +131,7 @@ def net(packets: DataFrame, o: Options | None = None, d: Dimensions | None = Non
         Cardinality("cardinality_ips", "cardinality", item=F.col("ip")), TopN("top_ipv4_packets", "top_ips", F.col("l3") == "ipv4", F.col("ip")), TopN("top_ipv6_packets", "top_ips", F.col("l3") == "ipv6", F.col("ip")),
         *([TopN("top_geo_loc_packets", "top_geo", item=F.col("ip_location"))] if geo else []), *([TopN("top_asn_packets", "top_geo", item=F.col("ip_asn"))] if asn else []),
     ], groups)
-    if by_ip:
-        out = out.unionByName(_table(roles, by_ip, o, "net", "net", ["dir"]))
-    whole = _on([Counter("filtered_packets", "counters", ~F.col("keep")), Counter("observed_packets", "counters"), Counter("deep_sampled_packets", "counters", deep), Rate("rates_observed_pps")], groups)
-    return out.unionByName(_table(df, whole, o, "net", "net"))
+    return out.unionByName(_table(roles, by_ip, o, "net", "net", ["dir"])) if by_ip else out
 
 
 @counted("net", "packets")
@@ -176,6 +185,25 @@ def _dns_rows(dns: DataFrame, o: Options, d: Dimensions) -> DataFrame:
 
 
 _CARRY = ["bytes", "cd", "ecs", "ecs_location", "ecs_asn", "ts"]
+_SLOT = ["stream", "xact_dir", "flow_key", "txid"]
+
+
+def _purged(paired: DataFrame, rows: DataFrame, ttl_ms: int) -> DataFrame:
+    """Paired rows with what period shifts purge: ``timed_out_start`` is the period in which a row counts as a timeout.
+
+    A shift happens at the first event of a period; a purged query counts in the period that the shift opens, a late
+    response in its own.
+    """
+    shifts = rows.groupBy("stream", "period_start").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("start"))
+    out = purge_timeouts(paired, shifts.select(F.col("stream").alias("_stream"), "start", F.col("period_start").alias("opened")), _SLOT, "is_response", ttl_ms=ttl_ms, stream="stream")
+    return out.withColumn("timed_out_start", F.when(F.col("status") == "purged", F.col("opened")).when(F.col("status") == "timed_out", F.col("period_start")))
+
+
+def _timeouts(rows: DataFrame) -> DataFrame:
+    """``timeouts`` to sum by period: 0 in each row's own period, 1 in the period where it counts as a timeout."""
+    at = lambda period, n: F.struct(period.alias("period_start"), F.lit(n).alias("timeouts"))
+    both = F.array_compact(F.array(at(F.col("period_start"), 0), F.when(F.col("timed_out_start").isNotNull(), at(F.col("timed_out_start"), 1))))
+    return rows.withColumn("_t", F.explode(both)).withColumns({"period_start": F.col("_t.period_start"), "timeouts": F.col("_t.timeouts")})
 
 
 def dns_transactions(dns: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
@@ -183,7 +211,8 @@ def dns_transactions(dns: DataFrame, o: Options | None = None, d: Dimensions | N
     o, d = o or Options(), d or Dimensions()
     flt = from_options(DnsFilter, o.filters)
     df = _dns_rows(dns, o, d)
-    out = propagate_query_filter(df, flt.keep(), ["stream", "xact_dir", "flow_key", "txid"], "is_response", ttl_ms=ttl_ms, carry=_CARRY)
+    out = propagate_query_filter(df, flt.keep(), _SLOT, "is_response", ttl_ms=ttl_ms, carry=_CARRY)
+    out = _purged(out, df, ttl_ms).withColumn("counted", F.col("counted") & (F.col("status") == "valid"))
     names = aggregate_domain(F.col("qname_lower"), flt.suffix_size())
     return out.withColumn("names", names).withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
 
@@ -193,8 +222,7 @@ def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = No
     """DNS transactions by direction."""
     o, d = o or Options(), d or Dimensions()
     groups = metric_groups("dns", o.enable, o.disable)
-    rows = dns_transactions(messages, o, d, ttl_ms)
-    x = slow_rows(rows.where("counted"), "elapsed_us", ["xact_dir"])
+    rows = slow_rows(dns_transactions(messages, o, d, ttl_ms).withColumn("slow_us", F.when(F.col("counted"), F.col("elapsed_us"))), "slow_us", ["xact_dir"])
     deep, rcode, qname = F.col("deep"), F.col("rcode"), F.col("qname_lower")
     nodata = (rcode == 0) & (F.coalesce(F.col("answer_count"), F.lit(0)) == 0)
     ecs = F.col("query_ecs").isNotNull()
@@ -211,12 +239,10 @@ def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = No
         TopN("top_response_bytes", "top_size", deep, qname, F.col("bytes")), TopN("top_udp_ports_xacts", "top_ports", deep & (F.col("metric_port") > 0), F.col("metric_port")),
         TopN("top_qtype_xacts", "top_qtypes", deep, qtype_name(F.col("qtype"))), TopN("top_rcode_xacts", "top_rcodes", deep, rcode_name(rcode)), TopN("top_slow_xacts", "xact_times", deep & F.col("is_slow"), qname),
     ]
-    out = _table(x, _on(metrics, groups), o, "dns", "dns", ["xact_dir"])
-    late = _on([Counter("timeout_queries", "counters", F.col("status") == "timed_out"), Counter("orphan_responses", "counters", F.col("status") == "orphan")], groups)
-    if late:
-        out = out.unionByName(_table(rows, late, o, "dns", "dns", ["xact_dir"]))
-    whole = _on([Counter("filtered_packets", "counters", weight=F.col("filtered")), Counter("observed_packets")], groups)
-    return out.unionByName(_table(rows, whole, o, "dns", "dns"))
+    late = [Counter("orphan_responses", "counters", F.col("status") == "orphan"), Counter("filtered_packets", "counters", weight=F.col("filtered"), whole=True), Counter("observed_packets", whole=True)]
+    out = _table(rows, _on([*among(F.col("counted"), metrics), *late], groups), o, "dns", "dns", ["xact_dir"])
+    late = _on([Counter("timeout_queries", "counters", weight=F.col("timeouts"))], groups)
+    return out.unionByName(_table(_timeouts(rows), late, o, "dns", "dns", ["xact_dir"])) if late else out
 
 
 @counted("dns", "dns")
@@ -225,7 +251,7 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
     o, d = o or Options(), d or Dimensions()
     o = replace(o, filters={**o.filters, "version": 1})
     groups, flt = metric_groups("dns_v1", o.enable, o.disable), from_options(DnsFilter, o.filters)
-    df = _dns_rows(messages, o, d).withColumn("keep", flt.keep()).withColumn("names", aggregate_domain(F.col("qname_lower"), flt.suffix_size()))
+    df = _dns_rows(messages, o, d).withColumn("keep", F.coalesce(flt.keep(), F.lit(False))).withColumn("names", aggregate_domain(F.col("qname_lower"), flt.suffix_size()))
     kept = df.where("keep")
     deep, rcode, qname, reply = F.col("deep"), F.col("rcode"), F.col("qname_lower"), F.col("is_response")
     nodata = reply & (rcode == 0) & (F.coalesce(F.col("answer_count"), F.lit(0)) == 0)
@@ -241,9 +267,8 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
         TopN("top_qname_by_resp_bytes", "top_qnames_details", deep & reply, qname, F.col("bytes")), TopN("top_udp_ports", "top_ports", deep & (F.col("metric_port") > 0), F.col("metric_port")),
         TopN("top_qtype", None, deep, qtype_name(F.col("qtype"))), TopN("top_rcode", None, deep & reply, rcode_name(rcode)), Rate("rates_total"),
     ]
-    out = _table(kept, _on(metrics, groups), o, "dns", "dns")
-    out = out.unionByName(_table(df, [wire("filtered", ~F.col("keep"))], o, "dns", "dns"))
-    paired = pair_transactions(kept, ["stream", "xact_dir", "flow_key", "txid"], "is_response", ttl_ms=ttl_ms, carry=["bytes"])
+    out = _table(df, [*_on(among(F.col("keep"), metrics), groups), wire("filtered", ~F.col("keep"))], o, "dns", "dns")
+    paired = _purged(pair_transactions(kept, _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"]), df, ttl_ms)
     valid = slow_rows(paired.where("is_response and status = 'valid'"), "elapsed_us", ["xact_dir"]).withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
     went, came, t = F.col("xact_dir") == "out", F.col("xact_dir") == "in", F.col("elapsed_us")
     pairs: list[Metric] = [
@@ -255,8 +280,8 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
     pairs = _on(pairs, groups)
     if pairs:
         out = out.unionByName(_table(valid, pairs, o, "dns", "dns"))
-    late = _on([Counter("xact_counts_timed_out", "dns_transaction", F.col("status") == "timed_out")], groups)
-    return out.unionByName(_table(paired, late, o, "dns", "dns")) if late else out
+    late = _on([Counter("xact_counts_timed_out", "dns_transaction", weight=F.col("timeouts"))], groups)
+    return out.unionByName(_table(_timeouts(paired), late, o, "dns", "dns")) if late else out
 
 
 @dataclass
@@ -384,8 +409,8 @@ def netprobe(events: DataFrame, o: Options | None = None, ttl_ms: int = 2000) ->
     out = _table(df, _on(counts, groups), o, "netprobe", "netprobe", ["target"]).unionByName(_table(late, [Counter("packets_timeout", "counters")], o, "netprobe", "netprobe", ["target"]))
     if "counters" in groups:
         keys = ["period_start", "period_len", "target"]
-        ends = valid.groupBy(*keys).agg(F.min("elapsed_us").alias("a"), F.max("elapsed_us").alias("b"))
-        out = out.unionByName(_table(ends, [Counter("response_min_us", weight=F.col("a")), Counter("response_max_us", weight=F.col("b"))], o, "netprobe", "netprobe", ["target"]))
+        ends = _merged(valid, o).groupBy(*keys).agg(F.min("elapsed_us").alias("a"), F.max("elapsed_us").alias("b"))
+        out = out.unionByName(_table(ends, [Counter("response_min_us", weight=F.col("a")), Counter("response_max_us", weight=F.col("b"))], o, "netprobe", "netprobe", ["target"], merged=True))
     return out.unionByName(_table(valid, found, o, "netprobe", "netprobe", ["target"]))
 
 

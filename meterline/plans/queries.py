@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses, codes, dns as names, flow as flowfn
 from ..operators import filters, lookup, merging, metrics as m, pairing, periods
+from ..operators.running import running_max
 from ..sources import readers, sinks
 from . import handlers as h
 from . import reports
 from . import views as v
-from .views import DNS_SQL, FLOWS_SQL, HOSTS_SQL, PACKETS_SQL
+from .views import DNS_PURGED_SQL, DNS_SQL, FLOWS_SQL, HOSTS_SQL, PACKETS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,10 +176,10 @@ def pair_transactions(spark, sf_dir):
     return pairing.pair_transactions(v.dns(spark, sf_dir), ["txid"], "is_response", ttl_ms=TTL * 1000).select("seq", "status", "elapsed_us")
 
 
-@query("""WITH c AS (SELECT *, lag(role) OVER w AS was, lag(turn) OVER w AS asked, lag(length(text)) OVER w AS query_chars FROM conversations WHERE role != 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, CASE WHEN was = 'user' THEN 'valid' ELSE 'orphan' END AS status, CASE WHEN was = 'user' THEN asked END AS query_turn FROM c WHERE role = 'assistant'""")
+@query("""WITH c AS (SELECT *, lag(role) OVER w AS was, lag(turn) OVER w AS asked, lag(length(text)) OVER w AS query_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CASE WHEN was != 'assistant' THEN 'valid' ELSE 'orphan' END AS status, CASE WHEN was != 'assistant' THEN asked END AS query_turn FROM c WHERE role = 'assistant'""")
 def pair_conversations(spark, sf_dir):
-    c = v.table(spark, sf_dir, "conversations").where("role != 'system'").withColumn("ts", F.timestamp_seconds("turn")).withColumn("is_response", F.col("role") == "assistant")
+    c = v.table(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds("turn")).withColumn("is_response", F.col("role") == "assistant")
     return pairing.pair_transactions(c, ["conv_id"], "is_response", seq="turn", ttl_ms=3_600_000, carry=["turn"]).where("is_response").select("conv_id", "turn", "status", "query_turn")
 
 
@@ -190,8 +191,7 @@ SELECT seq, CASE WHEN gone THEN 'purged' WHEN is_response AND coalesce(before, f
 def purge_timeouts(spark, sf_dir):
     d = v.dns(spark, sf_dir)
     p = pairing.pair_transactions(d, ["txid"], "is_response", ttl_ms=TTL * 1000)
-    sec = F.unix_seconds("ts")
-    high = d.select("stream", F.max(sec).over(Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("high"))
+    high = running_max(d.select("stream", "seq", F.unix_seconds("ts").alias("sec")), "sec", ["stream"], "seq", out="high")
     starts = periods.activity_starts(high, ["stream"], "high")
     return pairing.purge_timeouts(p, starts, ["txid"], "is_response", ttl_ms=TTL * 1000, stream="stream").select("seq", "status")
 
@@ -204,16 +204,27 @@ def filter_propagation(spark, sf_dir):
     return pairing.propagate_query_filter(v.dns(spark, sf_dir), keep, ["txid"], "is_response", ttl_ms=TTL * 1000).select("seq", "counted", "filtered")
 
 
-@query("WITH " + DNS_SQL.format(ttl=TTL) + """, c AS (SELECT period, count(*) AS xacts, count(*) FILTER (udp) AS udp_xacts, count(*) FILTER (NOT udp) AS tcp_xacts, count(*) FILTER (rcode = 3) AS nxdomain_xacts, count(*) FILTER (rcode = 0) AS noerror_xacts, count(*) FILTER (rcode = 0 AND answer_count = 0) AS nodata_xacts, count(*) FILTER (query_cd) AS checking_disabled_xacts FROM x WHERE status = 'valid' GROUP BY 1),
+@query("WITH " + DNS_PURGED_SQL.format(ttl=TTL) + """, c AS (SELECT period, count(*) AS xacts, count(*) FILTER (udp) AS udp_xacts, count(*) FILTER (NOT udp) AS tcp_xacts, count(*) FILTER (rcode = 3) AS nxdomain_xacts, count(*) FILTER (rcode = 0) AS noerror_xacts, count(*) FILTER (rcode = 0 AND answer_count = 0) AS nodata_xacts, count(*) FILTER (query_cd) AS checking_disabled_xacts FROM y WHERE status = 'valid' GROUP BY 1),
 u AS (UNPIVOT c ON xacts, udp_xacts, tcp_xacts, nxdomain_xacts, noerror_xacts, nodata_xacts, checking_disabled_xacts INTO NAME name VALUE value)
-SELECT period, name, 'value' AS stat, CAST(value AS DOUBLE) AS value FROM u UNION ALL SELECT period, unnest(['timeout_queries', 'orphan_responses']), 'value', CAST(unnest([count(*) FILTER (status = 'timed_out'), count(*) FILTER (status = 'orphan')]) AS DOUBLE) FROM x GROUP BY period""")
+SELECT period, name, 'value' AS stat, CAST(value AS DOUBLE) AS value FROM u UNION ALL SELECT period, 'orphan_responses', 'value', CAST(count(*) FILTER (status = 'orphan') AS DOUBLE) FROM y GROUP BY period""")
 def dns_counters(spark, sf_dir):
     out = h.dns(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["counters"], event_counts=False), ttl_ms=TTL * 1000)
-    wanted = ["xacts", "udp_xacts", "tcp_xacts", "nxdomain_xacts", "noerror_xacts", "nodata_xacts", "checking_disabled_xacts", "timeout_queries", "orphan_responses"]
+    wanted = ["xacts", "udp_xacts", "tcp_xacts", "nxdomain_xacts", "noerror_xacts", "nodata_xacts", "checking_disabled_xacts", "orphan_responses"]
     return _long(out.where(F.col("name").isin(wanted)))
 
 
-@query("WITH " + DNS_SQL.format(ttl=TTL) + """, t AS (SELECT period, 'top_qname2_xacts' AS name, '.d' || (txid % 7) || '.example.com' AS full_, '.example.com' AS item FROM x WHERE status = 'valid' UNION ALL SELECT period, 'top_qname3_xacts', '', '.d' || (txid % 7) || '.example.com' FROM x WHERE status = 'valid'),
+_TIMEOUTS = "SELECT period, '{name}' AS name, 'value' AS stat, CAST(sum(n) AS DOUBLE) AS value FROM (SELECT period, 0 AS n FROM y UNION ALL SELECT late, 1 FROM y WHERE late IS NOT NULL) GROUP BY 1"
+
+
+@query("WITH " + DNS_PURGED_SQL.format(ttl=TTL) + " " + _TIMEOUTS.format(name="timeout_queries") + " UNION ALL " + _TIMEOUTS.format(name="xact_counts_timed_out"))
+def dns_timeouts(spark, sf_dir):
+    d = v.dns(spark, sf_dir)
+    second = h.dns(d, h.Options(disable=["all"], enable=["counters"], event_counts=False), ttl_ms=TTL * 1000).where("name = 'timeout_queries'")
+    first = h.dns_v1(d, h.Options(disable=["all"], enable=["dns_transaction"], event_counts=False), ttl_ms=TTL * 1000).where("name = 'xact_counts_timed_out'")
+    return _long(second.unionByName(first))
+
+
+@query("WITH " + DNS_PURGED_SQL.format(ttl=TTL) + """, t AS (SELECT period, 'top_qname2_xacts' AS name, '.d' || (txid % 7) || '.example.com' AS full_, '.example.com' AS item FROM y WHERE status = 'valid' UNION ALL SELECT period, 'top_qname3_xacts', '', '.d' || (txid % 7) || '.example.com' FROM y WHERE status = 'valid'),
 g AS (SELECT period, name, item, count(*) AS n, row_number() OVER (PARTITION BY period, name ORDER BY count(*) DESC, item) AS r FROM t GROUP BY 1, 2, 3) SELECT period, name, item AS stat, CAST(n AS DOUBLE) AS value FROM g WHERE r <= 10""")
 def dns_top_qnames(spark, sf_dir):
     return _long(h.dns(v.dns(spark, sf_dir), h.Options(disable=["all"], enable=["top_qnames"], event_counts=False), ttl_ms=TTL * 1000).where("name like 'top_qname%'"))
@@ -273,15 +284,17 @@ def flow_filters_interfaces(spark, sf_dir):
     return t.agg(*[F.sum(F.when(F.col("name") == n, F.col("value"))).cast("bigint").alias(n) for n in ("records_flows", "records_filtered")])
 
 
-@query("""SELECT coalesce(s_name, CAST(l_suppkey AS VARCHAR)) AS device_name, CASE WHEN l_linenumber <= 4 THEN 'if' || l_linenumber ELSE CAST(l_linenumber AS VARCHAR) END AS interface_name, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 != 0) ON l_suppkey = s_suppkey GROUP BY 1, 2""")
+@query("""WITH l AS (SELECT CASE WHEN l_linenumber = 7 THEN -l_suppkey ELSE l_suppkey END AS device, l_linenumber FROM lineitem)
+SELECT coalesce(s_name, CAST(device AS VARCHAR)) AS device_name, CASE WHEN l_linenumber <= 4 THEN 'if' || l_linenumber ELSE CAST(l_linenumber AS VARCHAR) END AS interface_name, count(*) AS n FROM l LEFT JOIN supplier ON device = s_suppkey GROUP BY 1, 2""")
 def device_enrich(spark, sf_dir):
-    s = v.table(spark, sf_dir, "supplier").where("s_suppkey % 3 != 0").select(F.col("s_suppkey").alias("device_ip"), F.col("s_name").alias("name"))
-    li = v.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device_ip"), F.col("l_linenumber").cast("bigint").alias("interface"))
+    s = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("device_ip"), F.col("s_name").alias("name"))
+    device = F.when(F.col("l_linenumber") == 7, -F.col("l_suppkey")).otherwise(F.col("l_suppkey"))  # of unknown devices
+    li = v.table(spark, sf_dir, "lineitem").select(device.alias("device_ip"), F.col("l_linenumber").cast("bigint").alias("interface"))
     ports = li.select("device_ip", F.col("interface").alias("if_index")).where("if_index <= 4").distinct().withColumn("name", F.concat(F.lit("if"), F.col("if_index").cast("string")))
     return lookup.enrich_devices(li, s, ports).groupBy("device_name", "interface_name").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {FLOWS_SQL}, s AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'tcp' ELSE 'udp' END AS proto, p_partkey * 10 AS lo, p_partkey * 10 + 6 AS hi, p_name FROM part WHERE p_partkey < 6000)
+@query(f"""WITH {FLOWS_SQL}, s AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'tcp' ELSE 'udp' END AS proto, p_partkey * 10 AS lo, p_partkey * 10 + 6 AS hi, p_name FROM part)
 SELECT l4, CAST(src_port AS INTEGER) AS src_port, coalesce(p_name, CAST(src_port AS VARCHAR)) AS service, count(*) AS n FROM f LEFT JOIN s ON s.proto = CASE WHEN l4 = 'udp' THEN 'udp' ELSE 'tcp' END AND src_port BETWEEN lo AND hi GROUP BY ALL""")
 def service_lookup(spark, sf_dir):
     r = flowfn.explode_flow_records(v.flows(spark, sf_dir)).select("l4", "src_port")
@@ -352,13 +365,21 @@ def running_total(spark, sf_dir):
     return m.clamped_running_total(e.withColumn("d", d), "d", ["user_id"], ["ts", "event_id"]).select("event_id", "total")
 
 
-@query(f"""WITH {PACKETS_SQL}, c AS (SELECT user_id % 2 AS half, count(*) AS total_packets, quantile_disc(bytes, 0.5) AS p50, quantile_disc(bytes, 0.99) AS p99 FROM packets GROUP BY 1) SELECT CAST(sum(total_packets) AS DOUBLE) AS total_packets, CAST(sum(p50) AS DOUBLE) AS p50, CAST(sum(p99) AS DOUBLE) AS p99 FROM c""")
+#: Of packets with a column ``period``: a counter, percentiles, a distinct count and a top, each period.
+_MERGED = """SELECT period, 'total' AS name, 'value' AS stat, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY 1
+UNION ALL SELECT period, 'payload_size', unnest(['p50', 'p99']), CAST(unnest([quantile_disc(bytes, 0.5), quantile_disc(bytes, 0.99)]) AS DOUBLE) FROM p GROUP BY 1
+UNION ALL SELECT period, 'cardinality_src_ips_in', 'value', CAST(count(DISTINCT src_ip) FILTER (dir = 'in') AS DOUBLE) FROM p GROUP BY 1
+UNION ALL SELECT period, 'top_ipv4', ip, CAST(n AS DOUBLE) FROM (SELECT period, ip, count(*) AS n, row_number() OVER (PARTITION BY period ORDER BY count(*) DESC, ip) AS r FROM r GROUP BY 1, 2) WHERE r <= 10"""
+_MERGED_NAMES = "name in ('total', 'cardinality_src_ips_in', 'top_ipv4') or (name = 'payload_size' and stat in ('p50', 'p99'))"
+_ROLES = "r AS (SELECT period, unnest(CASE dir WHEN 'in' THEN [src_ip] WHEN 'out' THEN [dst_ip] ELSE [] END) AS ip FROM p WHERE l3 = 'ipv4')"
+
+
+@query(f"""WITH {PACKETS_SQL}, p AS (SELECT * FROM packets), {_ROLES} {_MERGED}""")
 def merge_like(spark, sf_dir):
-    p = v.packets(spark, sf_dir).withColumn("period_start", F.lit("2024-01-01").cast("timestamp")).withColumn("period_len", F.lit(60).cast("bigint")).withColumn("half", F.split("src_ip", r"\.")[2].cast("int") % 2)
-    parts = [m.metric_table(p.where(F.col("half") == i), [m.Counter("total_packets"), m.Quantile("payload", value=F.col("bytes"))], handler="net", schema="net") for i in (0, 1)]
-    t = merging.merge_like_handlers(parts)
-    pick = lambda n, s: F.sum(F.when((F.col("name") == n) & (F.col("stat") == s), F.col("value")))
-    return t.agg(pick("total_packets", "value").alias("total_packets"), pick("payload", "p50").alias("p50"), pick("payload", "p99").alias("p99"))
+    p = v.packets(spark, sf_dir)
+    taps = {"a": p.where("seq % 2 = 0"), "b": p.where("seq % 2 = 1")}
+    out = merging.merge_like_handlers(h.net_v1, taps, h.Options(disable=["all"], enable=["counters", "cardinality", "top_ips"], event_counts=False))
+    return _long(out.where(_MERGED_NAMES))
 
 
 @query("""SELECT tap, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT 'events' AS tap, event_id AS id FROM events UNION ALL SELECT 'orders', o_orderkey FROM orders) GROUP BY 1""")
@@ -422,11 +443,10 @@ def json_document(spark, sf_dir):
     return sinks.to_document(m.metric_table(e, [m.Counter("packets")], handler="net", schema="net", dims=["event_type"])).select("document")
 
 
-@query(f"""WITH {PACKETS_SQL}, r AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS r FROM (SELECT DISTINCT period FROM packets)) SELECT (SELECT min(period) FROM r WHERE r <= 3) AS period, 'total' AS name, CAST(count(*) AS DOUBLE) AS value FROM packets WHERE period IN (SELECT period FROM r WHERE r <= 3)
-UNION ALL SELECT (SELECT min(period) FROM r WHERE r <= 3), 'udp', CAST(count(*) FILTER (l4 = 'udp') AS DOUBLE) FROM packets WHERE period IN (SELECT period FROM r WHERE r <= 3)""")
+@query(f"""WITH {PACKETS_SQL}, newest AS (SELECT DISTINCT period FROM packets ORDER BY period DESC LIMIT 3), p AS (SELECT * EXCLUDE (period), (SELECT min(period) FROM newest) AS period FROM packets WHERE period IN (SELECT period FROM newest)), {_ROLES} {_MERGED}""")
 def summary_report(spark, sf_dir):
-    out = reports.summary_report({"net": h.net_v1}, {"net": v.packets(spark, sf_dir)}, h.Options(disable=["all"], enable=["counters"], event_counts=False), periods=3)
-    return out.where("name in ('total', 'udp')").select(_epoch(), "name", "value")
+    out = reports.summary_report({"net": h.net_v1}, {"net": v.packets(spark, sf_dir)}, h.Options(disable=["all"], enable=["counters", "cardinality", "top_ips"], event_counts=False), periods=3)
+    return _long(out.where(_MERGED_NAMES))
 
 
 @query("""SELECT event_type, period, count(*) AS n FROM (SELECT event_type, unnest(range(CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 - 240, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 + 1, 60)) AS period FROM events) GROUP BY 1, 2""")
@@ -452,15 +472,15 @@ def bgp_counters(spark, sf_dir):
     return _long(h.bgp(e).where("name in ('wire_packets_open', 'wire_packets_update', 'wire_packets_keepalive', 'wire_packets_total')"))
 
 
-@query("""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period FROM events WHERE event_type IN ('view', 'click', 'signup')),
+@query("""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period FROM events),
 l AS (SELECT *, lag(event_type) OVER w AS was, lag(user_id) OVER w AS asker, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM e WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)),
 t AS (SELECT period, 'm' || asker || '/Unknown/10.0.0.' || k AS client FROM l WHERE event_type = 'click' AND was = 'view' AND gap < 5000000)
 SELECT period, 'top_clients' AS name, client AS stat, CAST(count(*) AS DOUBLE) AS value FROM t GROUP BY period, client
 UNION ALL SELECT period, 'wire_packets_offer', 'value', CAST(count(*) FILTER (event_type = 'signup') AS DOUBLE) FROM e GROUP BY period UNION ALL SELECT period, 'wire_packets_total', 'value', CAST(count(*) AS DOUBLE) FROM e GROUP BY period""")
 def dhcp_counters(spark, sf_dir):
-    e = v.table(spark, sf_dir, "events").where("event_type in ('view', 'click', 'signup')").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = v.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     none = F.lit(None).cast("string")
-    rows = e.select(F.lit("all").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.lit(4).alias("version"), codes.lookup({"view": "REQUEST", "click": "ACK", "signup": "OFFER"}, F.col("event_type")).alias("msg_type"), F.col("k").cast("bigint").alias("xid"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("client_mac"), none.alias("hostname"), F.when(F.col("event_type") == "click", F.concat(F.lit("10.0.0."), F.col("k").cast("string"))).alias("your_ip"), none.alias("server_id"), none.alias("src_mac"), none.alias("src_ip6"), F.col("event_id").alias("seq"))
+    rows = e.select(F.lit("all").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.lit(4).alias("version"), codes.lookup({"view": "REQUEST", "click": "ACK", "signup": "OFFER", "purchase": "DISCOVER", "error": "NAK"}, F.col("event_type")).alias("msg_type"), F.col("k").cast("bigint").alias("xid"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("client_mac"), none.alias("hostname"), F.when(F.col("event_type") == "click", F.concat(F.lit("10.0.0."), F.col("k").cast("string"))).alias("your_ip"), none.alias("server_id"), none.alias("src_mac"), none.alias("src_ip6"), F.col("event_id").alias("seq"))
     return _long(h.dhcp(rows, h.Options(event_counts=False)).where("name in ('top_clients', 'wire_packets_offer', 'wire_packets_total')"))
 
 
@@ -533,8 +553,8 @@ def stream_tumbling(spark, sf_dir):
     from ..storage import new_path
     from ..streaming import live
 
-    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = new_path(spark, "stream")
     live.write_rollups(live.tumbling(source, ["event_type"], [F.count("*").alias("n")]), out + "/rows", out + "/progress").awaitTermination()
     return spark.read.parquet(out + "/rows").select(_epoch(), "event_type", "n")

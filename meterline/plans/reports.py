@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.merging import merge_like_handlers
-from ..operators.periods import PeriodError, bucket, merged_window
+from ..operators.periods import PeriodError, bucket
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -65,14 +66,12 @@ def fleet_top_n(rows: DataFrame, n: int = 10) -> DataFrame:
 def summary_report(handlers: dict, tables: dict[str, DataFrame], options, periods: int = 1) -> DataFrame:
     """The report on a recorded file: every handler's metrics of the newest period, or of the newest ``periods`` merged.
 
-    ``handlers``: name → function of (table, options). Merging happens before aggregation, so quantiles are true.
+    ``handlers``: name → function of (table, options). Events of the merged periods are aggregated together, so
+    distinct counts, quantiles and tops are those of the whole window.
     """
     out = None
     for name, fn in handlers.items():
-        m = fn(tables[name], options)
-        m = bucket(m, 0, keys=["policy", "handler"]) if periods == 1 else merged_window(m, periods, keys=["policy", "handler"])
-        if periods > 1:
-            m = merge_like_handlers([m])
+        m = bucket(fn(tables[name], options), 0, keys=["policy", "handler"]) if periods == 1 else fn(tables[name], replace(options, merge=periods))
         out = m if out is None else out.unionByName(m)
     return out
 

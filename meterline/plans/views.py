@@ -33,9 +33,9 @@ packets AS (SELECT ts, CASE event_type WHEN 'view' THEN 'in' WHEN 'click' THEN '
 
 
 def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views as DNS queries and clicks as responses of one transaction id each ``k``."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    response = F.col("event_type") == "click"
+    """Clicks and purchases as DNS responses, other events as queries, of one transaction id each ``k``."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    response = F.col("event_type").isin("click", "purchase")
     return e.select(
         F.lit("all").alias("stream"), F.col("ts").cast("timestamp").alias("ts"), F.when(response, "out").otherwise("in").alias("dir"), response.alias("is_response"), F.col("k").alias("txid"), F.lit(0).cast("bigint").alias("flow_key"),
         F.concat(F.lit("H"), F.col("k").cast("string"), F.lit(".d"), (F.col("k") % 7).cast("string"), F.lit(".example.com")).alias("qname"), (F.col("k") % 3 + 1).alias("qtype"), (F.col("user_id") % 6).cast("int").alias("rcode"),
@@ -46,13 +46,26 @@ def dns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DNS_SQL = """
-e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type IN ('view', 'click')),
-d AS (SELECT ts, event_id AS seq, event_type = 'click' AS is_response, k AS txid, 'h' || k || '.d' || (k % 7) || '.example.com' AS qname, k % 3 + 1 AS qtype, user_id % 6 AS rcode, user_id % 3 AS answer_count, k % 2 = 0 AS udp,
+e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+d AS (SELECT ts, event_id AS seq, event_type IN ('click', 'purchase') AS is_response, k AS txid, 'h' || k || '.d' || (k % 7) || '.example.com' AS qname, k % 3 + 1 AS qtype, user_id % 6 AS rcode, user_id % 3 AS answer_count, k % 2 = 0 AS udp,
   user_id % 2 = 0 AS cd, user_id % 7 = 0 AS signed, CAST(round(value * 100) AS BIGINT) AS bytes, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period FROM e),
 p AS (SELECT *, lag(is_response) OVER w AS was, lag(ts) OVER w AS then_ts, lag(bytes) OVER w AS query_bytes, lag(cd) OVER w AS query_cd, lead(is_response) OVER w AS next_is, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM d WINDOW w AS (PARTITION BY txid ORDER BY ts, seq)),
 x AS (SELECT *, CASE WHEN is_response THEN CASE WHEN was IS NULL OR was THEN 'orphan' WHEN gap >= {ttl}000000 THEN 'timed_out' ELSE 'valid' END ELSE CASE WHEN next_is IS NULL THEN 'open' WHEN next_is THEN 'answered' ELSE 'replaced' END END AS status,
   CASE WHEN is_response AND NOT was THEN gap END AS elapsed_us FROM p)"""
 
+#: The same after purging: y has the status, and ``late``, the period in which a row counts as a timeout. A shift is at
+#: the first second of a period's events; it removes open queries begun ``ttl`` seconds or more before.
+DNS_PURGED_SQL = (
+    DNS_SQL
+    + """,
+st AS (SELECT period AS opened, min(sec) AS start FROM d GROUP BY 1),
+ends AS (SELECT x.*, lead(sec) OVER (PARTITION BY txid ORDER BY ts, seq) AS end_sec, sec + {ttl} AS due FROM x),
+sh AS (SELECT ends.*, st.start, st.opened FROM ends ASOF LEFT JOIN st ON ends.due <= st.start),
+gp AS (SELECT *, NOT is_response AND start IS NOT NULL AND (end_sec IS NULL OR end_sec >= start) AS gone FROM sh),
+zp AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY txid ORDER BY ts, seq), false) AS before FROM gp),
+y AS (SELECT * EXCLUDE (status), CASE WHEN gone THEN 'purged' WHEN is_response AND before THEN 'orphan' ELSE status END AS status, CASE WHEN gone THEN opened WHEN is_response AND NOT before AND status = 'timed_out' THEN period END AS late FROM zp)"""
+)
+
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as flow exports of one record: supplier is the device, line number the interface."""
@@ -82,8 +95,8 @@ def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as a registry of port ranges."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 6000")
+    """Parts as a registry of port ranges; those beyond the ports there are hold none."""
+    p = table(spark, sf_dir, "part")
     return p.select(F.when(F.col("p_partkey") % 2 == 0, "tcp").otherwise("udp").alias("proto"), (F.col("p_partkey") * 10).cast("int").alias("port_lo"), (F.col("p_partkey") * 10 + 6).cast("int").alias("port_hi"), F.col("p_name").alias("name"))
 
 

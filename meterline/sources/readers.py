@@ -87,18 +87,34 @@ def _cidr_bounds(network: Column) -> tuple[Column, Column]:
     return lo, lo + size - 1
 
 
-def load_geo(table: DataFrame) -> DataFrame:
-    """IPv4 geo ranges from rows ``network, continent, country_name, country_iso, subdivision, city, latitude, longitude``."""
-    lo, hi = _cidr_bounds(F.col("network"))
+def _cidr_bounds_v6(network: Column) -> tuple[Column, Column]:
+    """First and last address of a network as 32 hex digits."""
+    digits, length = ipv6_hex(F.split(network, "/")[0]), F.split(network, "/")[1].cast("int")
+    whole, bits = F.floor(length / 4).cast("int"), length % 4
+    span = F.shiftleft(F.lit(1), F.lit(4) - bits)  # values of the digit that the length cuts
+    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    low = F.floor(digit / span).cast("int") * span
+    cut = lambda d: F.when(bits > 0, F.lower(F.hex(d))).otherwise("")
+    head = F.substring(digits, F.lit(1), whole)
+    return F.rpad(F.concat(head, cut(low)), 32, "0"), F.rpad(F.concat(head, cut(low + span - 1)), 32, "f")
+
+
+def load_geo(table: DataFrame, version: int = 4) -> DataFrame:
+    """Geo ranges of one address family (4 or 6) from rows ``network, continent, country_name, country_iso, subdivision,
+    city, latitude, longitude``; a table of both families gives its rows to both. IPv6 bounds are 32 hex digits."""
     six = lambda c: F.format_string("%.6f", F.col(c).cast("double"))
     place = location_path(*[F.col(c) for c in ("continent", "country_name", "country_iso", "subdivision", "city")])
-    return table.where(~F.contains("network", F.lit(":"))).select(lo.alias("lo"), hi.alias("hi"), place.alias("location"), six("latitude").alias("lat"), six("longitude").alias("lon"))
+    return _of_version(table, version, place.alias("location"), six("latitude").alias("lat"), six("longitude").alias("lon"))
 
 
-def load_asn(table: DataFrame) -> DataFrame:
-    """IPv4 ASN ranges, ``number/organisation``, from rows ``network, asn_number, asn_org``."""
-    lo, hi = _cidr_bounds(F.col("network"))
-    return table.where(~F.contains("network", F.lit(":"))).select(lo.alias("lo"), hi.alias("hi"), F.concat_ws("/", F.col("asn_number").cast("string"), "asn_org").alias("asn"))
+def load_asn(table: DataFrame, version: int = 4) -> DataFrame:
+    """ASN ranges of one address family, ``number/organisation``, from rows ``network, asn_number, asn_org``."""
+    return _of_version(table, version, F.concat_ws("/", F.col("asn_number").cast("string"), "asn_org").alias("asn"))
+
+
+def _of_version(table: DataFrame, version: int, *values: Column) -> DataFrame:
+    lo, hi = (_cidr_bounds if version == 4 else _cidr_bounds_v6)(F.col("network"))
+    return table.where(F.contains("network", F.lit(":")) == (version == 6)).select(lo.alias("lo"), hi.alias("hi"), *values)
 
 
 def load_geo_v6(table: DataFrame, value: str = "location") -> DataFrame:

@@ -30,9 +30,11 @@ def _labels(labels, *more):
     return F.when(F.size(entries) > 0, F.concat(F.lit("{"), text, F.lit("}"))).otherwise("")
 
 
-def to_prometheus(metrics: DataFrame) -> DataFrame:
+def to_prometheus(metrics: DataFrame, descriptions: dict[str, str] | None = None) -> DataFrame:
     """Exposition text, ``metric, ord, line``: HELP and TYPE once a metric, then its samples, labels in order.
 
+    HELP is the text of ``descriptions`` for the metric's name, or the name in words.
+
     A summary's ``_sum`` is its largest item; its ``_count`` the number of items.
     """
     m = metrics.where("not (kind = 'topn' and coalesce(stat, '') = '')").withColumn("metric", F.concat_ws("_", "schema", "name"))
@@ -50,11 +52,19 @@ def to_prometheus(metrics: DataFrame) -> DataFrame:
     counts = m.where("kind = 'histogram' and stat = '+Inf'").select("metric", F.lit(3).alias("ord"), F.concat("metric", F.lit("_count"), _labels(base), F.lit(" "), _number("value")).alias("line"))
     type_ = F.when(F.col("kind").isin("quantile", "rate"), "summary").when(F.col("kind") == "histogram", "histogram").otherwise("gauge")
     heads = m.select("metric", type_.alias("t"), "name").distinct()
-    helps = heads.select("metric", F.lit(0).alias("ord"), F.concat(F.lit("# HELP "), "metric", F.lit(" "), F.replace("name", F.lit("_"), F.lit(" "))).alias("line"))
+    helps = heads.select("metric", F.lit(0).alias("ord"), F.concat(F.lit("# HELP "), "metric", F.lit(" "), _described(descriptions)).alias("line"))
     types = heads.select("metric", F.lit(1).alias("ord"), F.concat(F.lit("# TYPE "), "metric", F.lit(" "), "t").alias("line"))
     return helps.unionByName(types).unionByName(samples).unionByName(counts)
 
 
+def _described(descriptions: dict[str, str] | None):
+    words = F.replace("name", F.lit("_"), F.lit(" "))
+    if not descriptions:
+        return words
+    text = F.map_from_arrays(F.array(*map(F.lit, descriptions)), F.array(*map(F.lit, descriptions.values())))
+    return F.coalesce(F.try_element_at(text, F.col("name")), words)
+
+
 def write_prometheus(metrics: DataFrame, path: str) -> None:
     to_prometheus(metrics).repartitionByRange("metric").sortWithinPartitions("metric", "ord", "line").select("line").write.mode("overwrite").text(path)
 
@@ -78,6 +88,11 @@ def to_otel_rows(metrics: DataFrame) -> DataFrame:
     return gauges.unionByName(summaries).unionByName(histograms)
 
 
+def _quoted(text):
+    """A JSON string with its quotes."""
+    return F.regexp_replace(F.to_json(F.array(F.coalesce(text, F.lit("")))), r"^\[|\]$", "")
+
+
 def to_document(metrics: DataFrame, geo: DataFrame | None = None) -> DataFrame:
     """One JSON document a period of a policy's handler: ``policy, handler, period_start, document``.
 
@@ -90,7 +105,7 @@ def to_document(metrics: DataFrame, geo: DataFrame | None = None) -> DataFrame:
     m = metrics.where("value is not null").withColumn("label", label)
     text = _number("value")
     pairs = m.where("kind in ('quantile', 'rate', 'histogram')").groupBy(*keys, "label", "name").agg(F.array_sort(F.collect_list(F.struct("stat", text.alias("v")))).alias("s"))
-    objects = pairs.select(*keys, "label", "name", F.concat(F.lit("{"), F.array_join(F.transform("s", lambda x: F.concat(F.to_json(F.struct(x["stat"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(x["stat"].alias("k")))) - 6), F.lit(":"), x["v"])), ","), F.lit("}")).alias("json"))
+    objects = pairs.select(*keys, "label", "name", F.concat(F.lit("{"), F.array_join(F.transform("s", lambda x: F.concat(_quoted(x["stat"]), F.lit(":"), x["v"])), ","), F.lit("}")).alias("json"))
     items = m.where("kind = 'topn'").withColumns({"lat": F.lit(None).cast("string"), "lon": F.lit(None).cast("string")})
     if geo is not None:
         places = geo.groupBy(F.col("location").alias("stat")).agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
@@ -99,11 +114,11 @@ def to_document(metrics: DataFrame, geo: DataFrame | None = None) -> DataFrame:
     arrays = tops.select(*keys, "label", "name", F.to_json(F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["estimate"].alias("estimate"), x["lat"].alias("lat"), x["lon"].alias("lon")))).alias("json"))
     numbers = m.where("kind in ('counter', 'cardinality')").select(*keys, "label", "name", text.alias("json"))
     fields = numbers.unionByName(objects).unionByName(arrays)
-    join = lambda s, k, v: F.concat(F.lit("{"), F.array_join(F.transform(s, lambda x: F.concat(F.lit('"'), x[k], F.lit('":'), x[v])), ","), F.lit("}"))
+    join = lambda s, k, v: F.concat(F.lit("{"), F.array_join(F.transform(s, lambda x: F.concat(_quoted(x[k]), F.lit(":"), x[v])), ","), F.lit("}"))
     by_label = fields.groupBy(*keys, "label").agg(F.array_sort(F.collect_list(F.struct("name", "json"))).alias("s")).select(*keys, "label", join("s", "name", "json").alias("json"))
     whole = by_label.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("label") == "", "all").otherwise(F.col("label")).alias("label"), "json"))).alias("s"))
     period = F.concat(F.lit('"period":{"start_ts":'), F.unix_seconds("period_start").cast("string"), F.lit(',"length":'), F.col("period_len").cast("string"), F.lit("}"))
-    body = F.concat(F.lit('{"'), "policy", F.lit('":{"'), "handler", F.lit('":{"'), "schema", F.lit('":{'), period, F.lit(","), F.array_join(F.transform("s", lambda x: F.concat(F.lit('"'), x["label"], F.lit('":'), x["json"])), ","), F.lit("}}}}"))
+    body = F.concat(F.lit("{"), _quoted(F.col("policy")), F.lit(":{"), _quoted(F.col("handler")), F.lit(":{"), _quoted(F.col("schema")), F.lit(":{"), period, F.lit(","), F.array_join(F.transform("s", lambda x: F.concat(_quoted(x["label"]), F.lit(":"), x["json"])), ","), F.lit("}}}}"))
     return whole.select("policy", "handler", "period_start", body.alias("document"))
 
 
