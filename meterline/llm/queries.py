@@ -61,11 +61,11 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = scan_secrets(docs, fit_secrets(docs)).select("row.doc_id", "spans")
+    found = scan_secrets(docs, fit_secrets(docs)).select("row.doc_id", "spans", "n_candidates")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_candidates")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

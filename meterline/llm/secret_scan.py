@@ -1,11 +1,11 @@
 """Secret scans (operator 8): fixed patterns, and formats learned by grammar inference.
 
-Labelled credentials of each kind form a prefix tree over character classes. States whose outgoing frequencies
-agree within a Hoeffding bound are merged (red-blue order, merges folded down so that the automaton stays
-deterministic), which leaves a small probabilistic automaton for each kind. Every token of a text that the fixed
-pattern could label, and where it is none each part between dots, is scored by its log-likelihood a character under
-the formats against a background of all such tokens (long ones without dots, and the others, which are mostly words,
-have one each).
+Labelled credentials of each kind form a prefix tree: over characters in the part with which nearly all of them begin,
+over character classes after it. States whose outgoing frequencies agree within a Hoeffding bound are merged (red-blue
+order, merges folded down so that the automaton stays deterministic), which leaves a small probabilistic automaton for
+each kind. Every token of a text that the fixed pattern could label, inside its matches too, and where it is none each
+part between dots, is scored by its log-likelihood a character under the formats against a background of all such
+tokens (long ones without dots, and the others, which are mostly words, have one each).
 """
 
 from __future__ import annotations
@@ -32,7 +32,12 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 LONG = 16
 PART = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: Character classes: digits, a-f, g-z, A-F, G-Z, and each of the other characters of a token.
-_CLASS = {c: n for n, group in enumerate(["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-"]) for c in group}
+_GROUPS = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-"]
+_CLASS = {c: n for n, group in enumerate(_GROUPS) for c in group}
+#: A class says this much of a character: a character of its own says all.
+_INSIDE = [-math.log(len(group)) for group in _GROUPS]
+#: A beginning is learned as characters while this share of a kind's credentials has it.
+SHARED = 0.95
 CLASSES, END = 11, 11
 _LETTERS = str.maketrans({c: chr(97 + n) for c, n in _CLASS.items()})  # a class as a letter
 _DOT = ".".translate(_LETTERS)
@@ -59,6 +64,24 @@ def classes(value: str) -> list[int]:
     return [_CLASS[c] for c in value if c in _CLASS]
 
 
+def beginning(values: list[str]) -> str:
+    """The longest text with which at least SHARED of the values begin, of at least 20 values."""
+    out = ""
+    while len(values) >= 20:
+        following = Counter(v[len(out)] for v in values if len(v) > len(out) and v.startswith(out))
+        c, n = max(following.items(), key=lambda x: (x[1], x[0]), default=("", 0))
+        if n < SHARED * len(values):
+            break
+        out += c
+    return out
+
+
+def symbols(value: str, begins: str) -> list[int]:
+    """Characters (as numbers from 256) of the beginning if the value has it, then classes."""
+    n = len(begins) if value.startswith(begins) else 0
+    return [256 + ord(c) for c in value[:n]] + classes(value[n:])
+
+
 @dataclass
 class Automaton:
     """State 0 is the start; ``moves[state][class] = (next state, log probability)``, ``ends[state]`` a log probability."""
@@ -67,10 +90,11 @@ class Automaton:
     ends: list[float] = field(default_factory=list)
 
     def score(self, word: list[int], floor: float) -> float:
-        """Log-likelihood of the word; a missing move costs ``floor`` and stays in its state."""
+        """Log-likelihood of the word's characters, even inside a class; a missing move costs ``floor`` and stays in its state."""
         state, total = 0, 0.0
         for c in word:
             step = self.moves[state].get(c)
+            total += _INSIDE[c] if c < 256 else 0.0
             if step is None:
                 total += floor
             else:
@@ -153,20 +177,25 @@ def _is_long(token: str) -> bool:
 @dataclass
 class SecretModel:
     formats: dict[str, Automaton] = field(default_factory=dict)
+    begins: dict[str, str] = field(default_factory=dict)
     least: dict[tuple[str, int], float] = field(default_factory=dict)  # by kind and background
     background: np.ndarray | None = None  # of words or parts of sentences, and of long tokens without dots: log probability of a class (or END) after a class (or START = 11)
     floor: float = math.log(1e-4)
 
-    def gain(self, word: list[int], kind: str, of: int) -> float:
+    def gain(self, value: str, kind: str, of: int) -> float:
         """Log-likelihood a character under the format less that under a background."""
-        before = [END, *word]
-        other = sum(self.background[of, a, b] for a, b in zip(before, [*word, END]))
-        return (self.formats[kind].score(word, self.floor) - other) / (len(word) + 1)
+        word = classes(value)
+        other = sum(self.background[of, a, b] for a, b in zip([END, *word], [*word, END])) + sum(_INSIDE[c] for c in word)
+        return (self.formats[kind].score(symbols(value, self.begins[kind]), self.floor) - other) / (len(word) + 1)
+
+    def best(self, value: str) -> tuple[float, str]:
+        """How far the value is above the least gain of the format that likes it best, and that format's kind; ties: the later kind by name."""
+        of = int(_is_long(value))
+        return max(((self.gain(value, k, of) - self.least[k, of], k) for k in self.formats), default=(-1.0, ""))
 
     def kind_of(self, value: str) -> str | None:
-        word, of = classes(value), int(_is_long(value))
-        best = max(((self.gain(word, k, of) - self.least[k, of], k) for k in self.formats), default=(-1, ""))
-        return best[1] if best[0] >= 0 else None
+        margin, kind = self.best(value)
+        return kind if margin >= 0 else None
 
 
 def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400, longest: int = 200, alpha: float = 0.05, quantile: float = 0.02) -> SecretModel:
@@ -217,51 +246,63 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
             pairs[tuple(map(int, r["value"].split()))] += r["n"]
     model = SecretModel(background=np.log(pairs / pairs.sum(axis=2, keepdims=True)))
     for kind in KINDS:
-        words = sorted(w for r in rows if r["kind"] == kind and r["r"] <= per_kind and (w := classes(r["value"])))
-        if words:
-            model.formats[kind] = infer(words, alpha)
+        values = sorted(r["value"] for r in rows if r["kind"] == kind and r["r"] <= per_kind and classes(r["value"]))
+        if values:
+            model.begins[kind] = beginning(values)
+            model.formats[kind] = infer([symbols(v, model.begins[kind]) for v in values], alpha)
             for of in (0, 1):
-                model.least[kind, of] = max(0.0, float(np.quantile([model.gain(w, kind, of) for w in words], quantile)))
+                model.least[kind, of] = max(0.0, float(np.quantile([model.gain(v, kind, of) for v in values], quantile)))
     return model
 
 
 def scan_secrets(documents: DataFrame, model: SecretModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``row`` (struct of the kept columns) and ``spans``: ``array<struct<kind, start, end>>`` for every document.
+    """``row`` (struct of the kept columns), ``spans`` (``array<struct<kind, start, end, margin>>``) and ``n_candidates`` for every document.
 
     Kinds assign, access and hex are the fixed patterns; ``like_<kind>`` are tokens outside these spans that a
     learned format accepts. Positions are code points, ends exclusive; order: start, then kind as listed, then
-    learned ones. Null and empty texts have no spans. Whole texts are scanned; repeated rows give a row each.
+    learned ones. Every candidate token is scored, those in fixed spans too; ``margin`` says how far the best format
+    likes a span's value above its least gain (null without formats), ``n_candidates`` how many were scored.
+    Null and empty texts have no spans. Whole texts are scanned; repeated rows give a row each.
     """
 
-    kinds: dict[str, str | None] = {}
+    scored: dict[tuple, tuple[float, str]] = {}
+    begins = sorted(set(model.begins.values()) - {""})
 
-    def kind_of(value: str) -> str | None:
-        shape = value.translate(_LETTERS)
-        if shape not in kinds:
-            if len(kinds) >= KEPT:
-                kinds.clear()
-            kinds[shape] = model.kind_of(value)
-        return kinds[shape]
+    def best(value: str) -> tuple[float, str]:
+        shape = (value.translate(_LETTERS), *[value.startswith(b) for b in begins])
+        found = scored.get(shape)
+        if found is None:
+            if len(scored) >= KEPT:
+                scored.clear()
+            found = scored[shape] = model.best(value)
+        return found
 
     def fn(texts: pa.Array) -> dict:
-        out = []
+        out, numbers = [], []
         for t in texts_of(texts):
             body = t.as_py()
             spans = base_spans(body)
+            number = 0
             if model.formats:
+                spans = [(*s, best(_value(body, s))[0]) for s in spans]
                 more = []
                 for m in TOKEN.finditer(body):
-                    kind = kind_of(m.group())
-                    if kind and not any(a < m.end() and b > m.start() for _, a, b in spans):
-                        more.append((f"like_{kind}", m.start(), m.end()))
+                    margin, kind = best(m.group())
+                    number += 1
+                    if margin >= 0 and not any(a < m.end() and b > m.start() for _, a, b, _ in spans):
+                        more.append((f"like_{kind}", m.start(), m.end(), margin))
                     elif "." in m.group():
                         for p in PART.finditer(body, m.start(), m.end()):
-                            kind = kind_of(p.group())
-                            if kind and not any(a < p.end() and b > p.start() for _, a, b in spans):
-                                more.append((f"like_{kind}", p.start(), p.end()))
+                            margin, kind = best(p.group())
+                            number += 1
+                            if margin >= 0 and not any(a < p.end() and b > p.start() for _, a, b, _ in spans):
+                                more.append((f"like_{kind}", p.start(), p.end(), margin))
                 if more:
                     spans = sorted(spans + more, key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS)))
-            out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-        return {"spans": out}
+            else:
+                spans = [(*s, None) for s in spans]
+            out.append([{"kind": k, "start": a, "end": b, "margin": margin} for k, a, b, margin in spans])
+            numbers.append(number)
+        return {"spans": out, "n_candidates": numbers}
 
-    return map_texts(documents, text, keep, fn, "spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return map_texts(documents, text, keep, fn, "spans array<struct<kind:string,start:bigint,end:bigint,margin:double>>, n_candidates bigint")

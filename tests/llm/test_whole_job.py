@@ -104,3 +104,78 @@ def test_short_and_dotted_candidates(spark):
     got = {x.row.doc_id: x.spans for x in ss.scan_secrets(docs, ss.fit_secrets(docs)).collect()}
     found = [[texts[i][s.start : s.end] for s in got[i]] for i in range(200, 270)]
     assert sum(f == [p] for f, p in zip(found, planted)) >= 19 and not any(found[20:])
+
+
+def _planted():
+    """Documents with labelled credentials of four formats, and unlabelled ones of the same formats that no fixed pattern finds."""
+    r = random.Random(6)
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    make = {
+        "access": (lambda n: "AKIA" + pick(upper + digits, n), "{}", (16, 17, 18), (12, 13)),  # too short for the pattern
+        "assign": (lambda n: "sk_live_" + pick(upper.lower() + upper + digits, n), "api_key = '{}'", (22, 23, 24), (22, 24)),
+    }
+    words = ["which", "rivers", "carry", "floods", "because", "sediment", "stations", "measured", "carefully.", "Another", "2024-11-03", "10.22.0.7", "well-known", "and/or", "mail@example.com", "4225039295678253"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    texts, planted = [], []
+    for _, (secret, pattern, known, unknown) in make.items():
+        texts += [f"{prose(60)} {pattern.format(secret(r.choice(known)))} {prose(60)}" for _ in range(200)]
+        for _ in range(50):
+            planted.append((len(texts), secret(r.choice(unknown))))
+            texts.append(f"{prose(40)} {planted[-1][1]} {prose(40)}")
+    return texts, planted, len(texts)
+
+
+def test_learned_formats_find_unlabelled_credentials(spark):
+    texts, planted, n = _planted()
+    r = random.Random(8)
+    clean = [" ".join(r.choice(texts[0].split()[:40] + ["elsewhere", "AKIANOTE", "sk_", "Unlikely", "report_2024"]) for _ in range(120)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id bigint, text string")
+    model = ss.fit_secrets(docs)
+    assert model.begins["access"] == "AKIA" and model.begins["assign"] == "sk_live_"
+    rows = {x.row.doc_id: x for x in ss.scan_secrets(docs, model).collect()}
+    added = {i: [(s.start, s.end) for s in x.spans if s.kind.startswith("like_")] for i, x in rows.items()}
+    hit = [i for i, value in planted if added[i] == [(texts[i].index(value), texts[i].index(value) + len(value))]]
+    assert len(hit) >= 0.95 * len(planted)
+    assert sum(bool(added[i]) for i in range(n, len(rows))) <= 0.01 * len(clean)
+    assert sum(len(added[i]) for i in range(n) if i not in dict(planted)) == 0
+    # every candidate is scored, and as a plain sum over moves scores it
+    for i in (0, 1, planted[0][0], planted[-1][0], n, n + 1):
+        body = (texts + clean)[i]
+        tokens = [m.group() for m in ss.TOKEN.finditer(body)]
+        parts = [p for t in tokens if "." in t and not model.kind_of(t) for p in ss.PART.findall(t)]
+        assert rows[i].n_candidates == len(tokens) + len(parts)
+        assert [s.margin for s in rows[i].spans] == pytest.approx([_margin(model, ss._value(body, s[:3]) if not s.kind.startswith("like_") else body[s.start : s.end]) for s in rows[i].spans])
+
+
+def _margin(model, value):
+    """The scoring written out: sums of logarithms, move by move."""
+    size = {c: len(g) for g in ss._GROUPS for c in g}
+    of = int(len(value) >= 16 and "." not in value)
+    best = -1e9
+    for kind, automaton in model.formats.items():
+        head, state, own = model.begins[kind], 0, 0.0
+        for i, c in enumerate(value):
+            literal = value.startswith(head) and i < len(head)
+            own += 0.0 if literal else -np.log(size[c])
+            to = automaton.moves[state].get(256 + ord(c) if literal else ss._CLASS[c])
+            own += model.floor if to is None else to[1]
+            state = state if to is None else to[0]
+        own += max(automaton.ends[state], model.floor)
+        marks = [ss.END, *[ss._CLASS[c] for c in value], ss.END]
+        other = sum(model.background[of, a, b] for a, b in zip(marks, marks[1:])) - sum(np.log(size[c]) for c in value)
+        best = max(best, (own - other) / (len(value) + 1) - model.least[kind, of])
+    return best
+
+
+def test_secrets_of_odd_rows(spark):
+    texts, _, _ = _planted()
+    docs = spark.createDataFrame(list(enumerate(texts[:220])), "doc_id bigint, text string")
+    model = ss.fit_secrets(docs)
+    long = ("x " * 200_000) + texts[0] + (" y" * 200_000)
+    rows = [(1, None), (2, ""), (3, long), (4, texts[0]), (4, texts[0]), (None, texts[0])]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("spans", F.lit("clash"))
+    got = [(x.row.doc_id, [(s.kind, s.start, s.end) for s in x.spans]) for x in ss.scan_secrets(odd, model).collect()]
+    want = ss.base_spans(texts[0])
+    assert sorted(got, key=str) == sorted([(1, []), (2, []), (3, [(k, a + 400_000, b + 400_000) for k, a, b in want]), (4, want), (4, want), (None, want)], key=str)
+    assert ss.scan_secrets(docs.limit(0), ss.fit_secrets(docs.limit(0))).count() == 0
