@@ -5,20 +5,21 @@ the virtual time ``words its source has served so far / target of its source``.
 are the mix; it ends at the total budget.
 
 Running sums are made in two levels (sums of small hash ranges first, then inside each range), so no task holds a
-whole source, however large, and the cut only sorts the copies of one narrow slice of virtual time.
+whole source, however large. The queue of all copies is sorted by range partitions of that time, and written; the sums
+of partitions tell in which one the budget ends, and only inside that one words are counted copy by copy.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import col, materialize
 
-#: Slices of one unit of virtual time.
-SLICES = 4096
-#: Units of virtual time that are sliced; copies that end later share the last slice.
-UNITS = 8
+#: Documents in one hash range of a source, and copies in one range of the queue, about; both grow in number with the table.
+IN_RANGE, IN_SLICE = 10_000, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -52,7 +53,10 @@ def mix_sources(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     take nothing; an empty table gives an empty table. Other columns are ignored.
     """
     sizes = documents.select(col(doc_id).alias("doc_id"), col(source).cast("string").alias("source"), word_count(col(text).cast("string")).alias("size"))
-    sizes = materialize(sizes.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))).withColumn("range", F.substring("key", 1, 3)), "sizes")
+    sizes = materialize(sizes.withColumn("key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))), "sizes")
+    number = sizes.count()
+    digits = max(1, math.ceil(math.log(max(number / IN_RANGE, 1), 16)))
+    sizes = sizes.withColumn("range", F.substring("key", 1, digits))
     targets = source_targets(sizes, weights=weights, share=share, repeat=repeat).withColumnRenamed("source", "s")
     ranges = sizes.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,24 +68,22 @@ def mix_sources(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     ends = F.transform(F.sequence(F.lit(0), F.lit(repeat - 1)), lambda n: (F.col("served") + F.col("offset") + n * F.col("source_size")) / F.col("target"))
     queue = served.select("doc_id", "source", "size", "key", "source_size", "target", F.when((F.col("target") > 0) & (F.col("size") > 0), ends).otherwise(F.array().cast("array<double>")).alias("ends"))
     queue = materialize(queue, "queue")
-    budget = F.col("total") * share
-    copies = queue.select("source", "size", "key", "doc_id", F.posexplode("ends").alias("n", "end"))
-    copies = copies.withColumn("slice", F.least(F.floor(F.col("end") * SLICES), F.lit(SLICES * UNITS)).cast("bigint"))
+    place = ["end", "source_order", "key", "n"]
+    named = F.coalesce("source", F.lit("\U0010ffff")).alias("source_order")  # null last
+    copies = queue.select("size", named, "key", F.posexplode("ends").alias("n", "end"))
+    slices = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number * repeat // IN_SLICE))
+    ordered = copies.repartitionByRange(slices, *place).sortWithinPartitions(*place)
+    ordered = materialize(ordered.withColumn("slice", F.spark_partition_id()), "order")
     upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = copies.groupBy("slice").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))
-    total = queue.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    at = slices.crossJoin(F.broadcast(total)).where(F.col("upto") > budget).agg(F.min(F.struct("slice", (budget - F.col("upto") + F.col("words")).alias("room"))).alias("cut")).first()["cut"]
-    if at is None:  # everything fits
+    sums = ordered.groupBy("slice").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(upto))  # one row a slice
+    budget = queue.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * share
+    cut = sums.where(F.col("upto") > budget).orderBy("slice").select("slice", (F.lit(budget) - F.col("upto") + F.col("words")).alias("room")).first()
+    if cut is None:  # everything fits
         return queue.select("doc_id", "source", "size", "source_size", "target", F.size("ends").alias("copies"), (F.col("size") * F.size("ends")).cast("bigint").alias("taken"))
-    order = F.struct("end", F.coalesce("source", F.lit("\U0010ffff")).alias("source"), "key", "n")
-    narrow = copies.where(F.col("slice") == at["slice"]).select("size", order.alias("o"))
-    narrow = narrow.withColumn("words", F.sum("size").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = narrow.where(F.col("words") <= at["room"]).agg(F.max("o").alias("o")).first()["o"]
-    mine = lambda end, n: F.struct(end.alias("end"), F.coalesce("source", F.lit("\U0010ffff")).alias("source"), F.col("key").alias("key"), n.alias("n"))
-    if last is None:
-        bound = lambda end, n: F.floor(end * SLICES) < at["slice"]
-    else:
-        end_of = F.struct(F.lit(last["end"]).alias("end"), F.lit(last["source"]).alias("source"), F.lit(last["key"]).alias("key"), F.lit(last["n"]).alias("n"))
-        bound = lambda end, n: (F.floor(end * SLICES) < at["slice"]) | (mine(end, n) <= end_of)
+    # the first copy that no longer fits: one bounded slice
+    inside = ordered.where(F.col("slice") == cut["slice"]).withColumn("words", F.sum("size").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = inside.where(F.col("words") > cut["room"]).orderBy(*place).select(*place).first()
+    out_of = F.struct(*[F.lit(first[c]).cast(ordered.schema[c].dataType).alias(c) for c in place])
+    bound = lambda end, n: F.struct(end.alias("end"), named, F.col("key").alias("key"), n.alias("n")) < out_of
     count = F.size(F.filter("ends", lambda end, n: bound(end, n)))
     return queue.withColumn("copies", count).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
