@@ -36,7 +36,10 @@ def flow_directions(records: DataFrame) -> DataFrame:
 def deep_flag(rate: int, *key: Column, seed: int = 0) -> Column:
     """True for about ``rate`` per cent (1 to 100) of the keys, the same ones every time."""
     rate = min(100, max(1, rate))
-    return F.lit(True) if rate == 100 else F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(100)) < rate
+    if rate == 100:
+        return F.lit(True)
+    text = F.concat_ws("/", *[k.cast("string") for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % 100 < rate
 
 
 def first_ip_roles(dir: Column, src: Column, dst: Column, version: int = 2) -> Column:

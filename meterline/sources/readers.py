@@ -91,7 +91,7 @@ def _cidr_bounds_v6(network: Column) -> tuple[Column, Column]:
     """First and last address of a network as 32 hex digits."""
     digits, length = ipv6_hex(F.split(network, "/")[0]), F.split(network, "/")[1].cast("int")
     whole, bits = F.floor(length / 4).cast("int"), length % 4
-    span = F.shiftleft(F.lit(1), F.lit(4) - bits)  # values of the digit that the length cuts
+    span = F.pow(F.lit(2.0), F.lit(4) - bits).cast("int")  # values of the digit that the length cuts
     digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
     low = F.floor(digit / span).cast("int") * span
     cut = lambda d: F.when(bits > 0, F.lower(F.hex(d))).otherwise("")
