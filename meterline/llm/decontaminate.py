@@ -5,6 +5,10 @@ the necessary prefix is one shingle, so a window is joined through its rarest on
 over all documents. A match at position p of a shingle at offset o inside the window proposes the start
 p - o; the length and positional bounds 0 <= p - o <= n_words - window length drop starts that can't fit, a
 hash over the whole window drops nearly all others, and the words themselves decide.
+
+A benchmark of a bounded number of windows is broadcast as one index, and documents are probed where they lie. A larger
+one stays distributed: documents' shingles that pass a bit table of fixed size meet the windows' prefix shingles in a
+shuffled join, and proposed windows go back to the documents by a hash of their texts.
 """
 
 from __future__ import annotations
@@ -16,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 from .bytewords import ALNUM, Words, words_of
-from .tables import STEP_BYTES, col, steps, texts_of
+from .tables import STEP_BYTES, col, materialize, steps, texts_of
 
-#: Windows in one broadcast index. Larger benchmarks take several indexes, one after the other.
+#: Windows in a broadcast index at most. Larger benchmarks are joined by shuffles.
 INDEX_WINDOWS = 200_000
+#: Bits of the table that says which shingles windows have, and of one row of it.
+SIEVE, SIEVE_ROW = 1 << 25, 1 << 16
 
 
 @dataclass
@@ -195,8 +202,6 @@ def _merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
 
 def _probe(documents: DataFrame, index: WindowIndex) -> DataFrame:
     """Adds to ``hits`` (words, spans and items so far) what the windows of one index find. Columns: row, text, hits."""
-    from pyspark.sql import types as T
-
     shared = documents.sparkSession.sparkContext.broadcast((index, {int(k): _sieve(index.key[index.width == k]) for k in np.unique(index.width)}))
     schema = T.StructType(documents.schema.fields)
 
@@ -229,6 +234,115 @@ def _probe(documents: DataFrame, index: WindowIndex) -> DataFrame:
     return documents.mapInArrow(run, schema)
 
 
+def _texts_lengths(texts: pa.Array) -> np.ndarray:
+    return np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
+
+
+def _spread(found: DataFrame, width: int) -> DataFrame:
+    """``wkey, width, hash, offset`` of every shingle of every window."""
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            for a, b in steps([len(x) for x in words], STEP_BYTES // 16):
+                got = _shingles(words[a:b], width)
+                counts = [len(h) for h, _ in got]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), counts))), pa.array(np.repeat([min(width, len(own)) for _, own in got], counts), pa.int32()),
+                    pa.array(np.concatenate([h for h, _ in got]).view(np.int64)), pa.array(np.concatenate([np.arange(n) for n in counts]), pa.int32()),
+                ], names=["wkey", "width", "hash", "offset"])
+
+    return found.select("wkey", "window").mapInArrow(run, "wkey string, width int, hash bigint, offset int")
+
+
+def _bit_table(keys: DataFrame) -> np.ndarray:
+    """Which values the top bits of the keys' hashes have, as packed bits: SIEVE bits, whatever the number of keys."""
+    bits, row = SIEVE.bit_length() - 1, SIEVE_ROW.bit_length() - 1
+
+    def pack(table: pa.Table) -> pa.Table:
+        flags = np.zeros(SIEVE_ROW, bool)
+        flags[table.column("slot").to_numpy() & (SIEVE_ROW - 1)] = True
+        return pa.table({"part": table.column("part").slice(0, 1), "v": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    slots = keys.select(F.shiftrightunsigned("hash", 64 - bits).alias("slot")).distinct().withColumn("part", F.shiftright("slot", row).cast("int"))
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for r in slots.groupBy("part").applyInArrow(pack, "part int, v binary").collect():  # at most SIEVE / SIEVE_ROW rows
+        out[r["part"] * (SIEVE_ROW // 8) : (r["part"] + 1) * (SIEVE_ROW // 8)] = np.frombuffer(r["v"], np.uint8)
+    return out
+
+
+def _document_shingles(docs: DataFrame, keys: DataFrame, *, places: bool) -> DataFrame:
+    """Shingles of texts that the keys' bit table lets pass: how often (``width, hash, n``), or where (``tkey, n_words, width, hash, pos``)."""
+    widths = sorted(r["width"] for r in keys.select("width").distinct().collect())  # 1 to the shingle's width
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(keys))
+    shift = np.uint64(64 - (SIEVE.bit_length() - 1))
+
+    def run(batches):
+        table = shared.value
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for a, b in steps(_texts_lengths(texts)):
+                w = words_of(texts.slice(a, b - a), ALNUM)
+                for k in widths:
+                    at, h = w.shingles(k)
+                    slot = h >> shift
+                    ok = (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    at, h = at[ok], h[ok]
+                    if not places:
+                        h, n = np.unique(h, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k), pa.int32()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["width", "hash", "n"])
+                        continue
+                    doc = w.doc[at]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(w.first[doc + 1] - w.first[doc], pa.int64()), pa.array(np.full(len(h), k), pa.int32()), pa.array(h.view(np.int64)), pa.array(at - w.first[doc], pa.int64()),
+                    ], names=["tkey", "n_words", "width", "hash", "pos"])
+
+    if places:
+        return docs.select("tkey", "text").mapInArrow(run, "tkey string, n_words bigint, width int, hash bigint, pos bigint")
+    return docs.select("tkey", "text").mapInArrow(run, "width int, hash bigint, n bigint").groupBy("width", "hash").agg(F.sum("n").alias("n"))
+
+
+def _join(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """``row, text, hits`` of ``docs(row, text)`` as :func:`_probe` makes them, the windows never leaving Spark."""
+    found = materialize(found.withColumn("wkey", F.md5("window")), "windows")
+    spread = materialize(_spread(found, width), "shingles")
+    keyed = docs.withColumn("tkey", F.md5(F.col("text").cast("binary")))
+    texts = keyed.where("text is not null").select("tkey", "text")
+    counts = _document_shingles(texts, spread, places=False)
+    rarest = F.min_by(F.struct("width", "hash", "offset"), F.struct(F.coalesce("n", F.lit(0)), "hash", "offset"))
+    prefix = spread.join(counts, ["width", "hash"], "left").groupBy("wkey").agg(rarest.alias("p")).select("wkey", "p.width", "p.hash", "p.offset")
+    prefix = materialize(prefix.join(found.select("wkey", F.col("n_words").alias("length")), "wkey"), "prefixes")
+    start = F.col("pos") - F.col("offset")
+    hits = _document_shingles(texts, prefix, places=True).join(prefix, ["width", "hash"]).where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    proposed = hits.select("tkey", start.cast("int").alias("start"), "wkey").distinct().join(found, "wkey")
+    proposed = proposed.groupBy("tkey").agg(F.collect_list(F.struct("start", "window", "n_words", "items", "unnamed")).alias("proposed"))  # of one text
+    joined = keyed.join(proposed, "tkey", "left").select("row", "text", "proposed")
+    fields = docs.schema.fields + T.StructType.fromDDL(HITS).fields
+    schema = T.StructType(fields)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            texts = texts_of(batch.column(1))
+            for a, b in steps(_texts_lengths(texts)):
+                w = words_of(texts.slice(a, b - a), ALNUM)
+                out = []
+                for d in range(b - a):
+                    first, offers = int(w.first[d]), batch.column(2)[a + d].as_py() or []
+                    true = [o for o in offers if _joined(w, first + o["start"], o["n_words"]) == o["window"]]
+                    start, end = _merged([o["start"] for o in true], [o["start"] + o["n_words"] for o in true])
+                    out.append({"n_words": int(w.first[d + 1]) - first, "starts": start, "ends": end, "items": sorted({i for o in true for i in o["items"]}), "unnamed": any(o["unnamed"] for o in true)})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, target.field(2).type)], schema=target)
+
+    return joined.mapInArrow(run, schema)
+
+
+#: What is found in a document.
+HITS = "hits struct<n_words:int,starts:array<int>,ends:array<int>,items:array<string>,unnamed:boolean>"
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = 13, shingle: int = 3, hit_share: int = 20, index_windows: int = INDEX_WINDOWS) -> DataFrame:
     """``row`` (struct of the kept columns), ``n_words``, ``n_hit``, ``items``, ``unnamed``, ``starts``, ``ends``, ``contaminated`` for every document.
 
@@ -236,19 +350,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
     order, of items with a window in the document; ``unnamed``: an item without id has one; contaminated: ``n_hit > 0 and hit_share * n_hit >= n_words``.
     Null texts have no words and no hits. Items without id hit as others do and give no name; those without words are ignored; an empty benchmark hits nothing.
     Repeated documents and null ids give a row each; equal windows of several items count for each of them.
-    Windows are broadcast ``index_windows`` at a time; a larger benchmark is probed in as many passes of one job.
+    Up to ``index_windows`` windows are broadcast; more are joined by shuffles, with the same result.
+    Documents of any length and empty tables are handled alike; extra columns are kept as asked or ignored.
     """
     ship(documents.sparkSession)
     found = windows(benchmark, item_id=item_id, text=item_text, words=words)
     docs = documents.select(F.struct(*[col(c) for c in keep]).alias("row"), col(text).cast("string").alias("text"))
-    hits = "struct('n_words', 0, 'starts', array(), 'ends', array(), 'items', array(), 'unnamed', false)"
-    out = docs.withColumn("hits", F.expr("named_struct" + hits.removeprefix("struct")).cast("struct<n_words:int,starts:array<int>,ends:array<int>,items:array<string>,unnamed:boolean>"))
-    total = found.count()
-    blocks = max(1, -(-total // index_windows))
-    dealt = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = sorted(dealt.where(F.col("block") == b).collect(), key=lambda r: bytes(r["window"]))
-        out = _probe(out, _index(rows, documents, text, shingle))
+    if found.limit(index_windows + 1).count() <= index_windows:
+        nothing = F.expr("named_struct('n_words', 0, 'starts', array(), 'ends', array(), 'items', array(), 'unnamed', false)")
+        rows = sorted(found.collect(), key=lambda r: bytes(r["window"]))
+        out = _probe(docs.withColumn("hits", nothing.cast(T.StructType.fromDDL(HITS)["hits"].dataType)), _index(rows, documents, text, shingle))
+    else:
+        out = _join(docs, found, shingle)
     n_hit = F.aggregate(F.zip_with("hits.ends", "hits.starts", lambda e, s: (e - s).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.select("row", F.col("hits.n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.col("hits.items").alias("items"), F.col("hits.unnamed").alias("unnamed"), F.col("hits.starts").alias("starts"), F.col("hits.ends").alias("ends")).withColumn("contaminated", (F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words")))
 

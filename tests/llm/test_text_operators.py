@@ -143,11 +143,13 @@ def test_decontaminate(spark, block):
     r = random.Random(5)
     items = [(i, " ".join(r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(r.choice([1, 2, 5, 13, 14, 40])))) for i in range(12)] + [(12, None), (13, "!!"), (14, ""), (9, "Repeated Words repeated words")]
     texts = [f"Intro, {a[1]}! outro {b[1]}" if r.random() < 0.7 else f"{a[1][: len(a[1]) // 2]} x" for a, b in zip(r.choices(items[:12], k=40), r.choices(items[:12], k=40))] + ODD
+    texts += [texts[0], texts[0], ("filler word, " * 60_000) + items[0][1] + (" more of it" * 60_000)]  # repeated, and long
     found = dc.decontaminate(docs(spark, texts, items="clash", row=1), spark.createDataFrame(items, "item_id int, text string"), index_windows=block)
     got = sorted((x.row.doc_id, x.n_words, x.n_hit, list(x["items"]), x.contaminated) for x in found.collect())
     assert got == brute_hits(texts, items)
     empty = dc.decontaminate(docs(spark, ["a b"]), spark.createDataFrame([], "item_id int, text string")).collect()
     assert [(x.n_words, x.n_hit, x.contaminated) for x in empty] == [(2, 0, False)]
+    assert dc.decontaminate(docs(spark, []), spark.createDataFrame(items, "item_id int, text string"), index_windows=block).count() == 0
 
 
 def brute_lines(rows, least=10):
