@@ -128,18 +128,19 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit_language(documents: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 700, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, epochs: int = 4) -> LanguageModel:
     """Fit on rows of known language outside the held-out quarter.
 
-    Document frequencies count all such rows. The weights see at most ``per_language`` rows of each language
-    (those of the smallest hash of id), a fifth of which only fit the temperature. Rows with null text or
+    Document frequencies count all such rows. The weights see at most ``per_language`` ids of each language (those of
+    the smallest hash, one text each), a fifth of which only fit the temperature. Equally likely languages: the first by name. Rows with null text or
     language, or without a letter, teach nothing; with no row left the model knows no language.
     """
     train = documents.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang")).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = train.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    # first inside slices of a language, so that no task holds a whole language
-    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        hashed = hashed.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    ids = hashed.select("doc_id").distinct()
-    sample = map_texts(train.join(F.broadcast(ids), "doc_id", "left_semi"), "text", ["lang", "doc_id"], _sparse, "at binary, n binary").where("at is not null")
-    rows = sorted(sample.select("row.lang", "row.doc_id", "at", "n").collect(), key=lambda r: (r["lang"], str(r["doc_id"])))
+    # ids whose hash is under a share of the hashes that leaves three times the sample, so no task ranks a whole language
+    share = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 32) / float(1 << 32)
+    counts = train.groupBy("lang").agg((F.lit(3.0 * per_language) / F.count("*")).alias("most"))
+    few = train.select("doc_id", "lang", share.alias("h")).join(counts, "lang").where(F.col("h") < F.col("most")).groupBy("lang", "h", "doc_id").agg(F.count("*").alias("rows"))
+    ids = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language).select("lang", "doc_id")
+    sample = map_texts(train.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi"), "text", ["lang", "doc_id"], _sparse, "at binary, n binary").where("at is not null")
+    sample = sample.groupBy("row.lang", "row.doc_id").agg(F.min(F.struct("at", "n")).alias("s")).select("lang", "doc_id", "s.at", "s.n")
+    rows = sorted(sample.collect(), key=lambda r: (r["lang"], str(r["doc_id"])))
     if not rows:
         return LanguageModel()
     frequency, total = _document_frequency(train, "text")
