@@ -58,9 +58,3 @@ def xact_direction(dir: Column, is_response: Column) -> Column:
 
 def response_ratio(response_bytes: Column, query_bytes: Column) -> Column:
     return F.when(query_bytes > 0, response_bytes / query_bytes)
-
-
-def xact_time_us(start: Column, end: Column) -> Column:
-    """Whole microseconds between two timestamps; null if the clock went backwards."""
-    d = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.when(d >= 0, d)

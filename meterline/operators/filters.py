@@ -32,7 +32,7 @@ def from_options(kind: type, options: dict):
     known = {f.name for f in fields(kind)}
     for k in options:
         if k not in known and k not in COMMON:
-            raise FilterError(f"{k} is an invalid/unsupported config or filter. The valid configs/filters are: {', '.join(sorted(known | set(COMMON)))}")
+            raise FilterError(f"no option {k!r} here; there are: {', '.join(sorted(known | set(COMMON)))}")
     return kind(**{k: v for k, v in options.items() if k in known})
 
 
@@ -92,7 +92,7 @@ class DnsFilter:
         if self.dnstap_msg_type is not None:
             kind = DNSTAP_KINDS.get(self.dnstap_msg_type.lower())
             if kind is None:
-                raise FilterError(f"dnstap_msg_type contained an invalid/unsupported type. Valid types: {', '.join(DNSTAP_KINDS)}")
+                raise FilterError(f"no dnstap message family {self.dnstap_msg_type!r}; there are: {', '.join(DNSTAP_KINDS)}")
             parts.append(F.col("msg_type").isin(f"{kind}_QUERY", f"{kind}_RESPONSE"))
         return _all(parts)
 
@@ -124,7 +124,7 @@ class NetFilter:
         numbers = []
         for n in self.only_asn_number:
             if not str(n).isdigit():
-                raise FilterError("only_asn_number filter contained an invalid/unsupported ASN")
+                raise FilterError(f"an AS number has digits only: {n!r}")
             numbers.append(f"{n}/")
         if numbers or self.asn_notfound:
             parts.append(known & starts_with_any(F.col("peer_asn"), [*numbers, *(["Unknown"] if self.asn_notfound else [])]))
@@ -151,7 +151,7 @@ class FlowFilter:
             out = F.when(ok, out)
         if self.only_directions is not None:
             if bad := set(self.only_directions) - {"in", "out"}:
-                raise FilterError(f"only_directions filter contained an invalid/unsupported direction: {sorted(bad)}")
+                raise FilterError(f"directions of a flow are in and out, not {sorted(bad)}")
             out = out if side.removeprefix("if_") in self.only_directions else F.lit(None).cast("bigint")
         return out
 
@@ -199,6 +199,6 @@ def metric_groups(handler: str, enable: Sequence[str] = (), disable: Sequence[st
                 act = on.add
                 break
             if name not in valid:
-                raise FilterError(f"{name} is an invalid/unsupported metric group. The valid groups are: all, {', '.join(valid)}")
+                raise FilterError(f"no metric group {name!r} here; there are: all, {', '.join(valid)}")
             (on.discard if names is disable else on.add)(name)
     return on

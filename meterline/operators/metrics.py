@@ -91,11 +91,13 @@ def percentiles(column: str, marks: Sequence[float] = tuple(p for _, p in QUANTI
 
 def top_n(df: DataFrame, keys: Sequence[str], item: str, weight: str, n: int = 10, threshold: int = 0, summed: bool = False) -> DataFrame:
     """The ``n`` items of largest summed weight for each of ``keys``, ties by item; then those whose sum reaches the
-    ``threshold``-th percentile of these ``n`` sums. ``summed``: every item has one row. Columns: keys, item, estimate, rank."""
+    ``threshold``-th percentile of these ``n`` sums. ``summed``: every item has one row, and none is null. Columns: keys, item, estimate, rank."""
     if not 0 <= threshold <= 100:
         raise ValueError("the percentile threshold is 0 to 100")
-    rows = df.where(F.col(item).isNotNull())
-    sums = rows.select(*keys, item, F.col(weight).alias("estimate")) if summed else rows.groupBy(*keys, item).agg(F.sum(weight).alias("estimate"))
+    if summed:
+        sums = df.select(*keys, item, F.col(weight).alias("estimate"))
+    else:
+        sums = df.where(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.sum(weight).alias("estimate"))
     order = Window.partitionBy(*keys).orderBy(F.desc("estimate"), F.asc(item))
     ranked = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     if threshold:
@@ -200,8 +202,8 @@ def metric_table(df: DataFrame, metrics: Sequence[Metric], *, handler: str, sche
         rows = df.select(*keys, F.inline(F.array_compact(F.array(*_tags(tagged, ts)))))
         rows = rows.withColumns({d: F.when(~F.col("whole"), F.col(d)) for d in dims})
         sums = rows.groupBy(*keys, "kind", "name", "item", "num").agg(F.sum("weight").alias("weight"))
-        # rand() keeps the two filters above the aggregation, so that both branches read one shuffle of it
-        branch = lambda is_top: sums.where(F.when(F.rand() >= 0, (F.col("kind") == "topn") == is_top))
+        # the partition id keeps the two filters above the aggregation, so that both branches read one shuffle of it
+        branch = lambda is_top: sums.where(F.when(F.spark_partition_id() >= 0, (F.col("kind") == "topn") == is_top))
         kinds = {isinstance(m, TopN) for m in tagged}
         if False in kinds:
             parts.append(_accumulated(branch(False) if True in kinds else sums, keys))

@@ -91,7 +91,11 @@ def activity_starts(df: DataFrame, keys: Sequence[str], second: str, seconds: in
 
     by_day = [*names, "_day"]
     entered = own.groupBy(*by_day).applyInPandas(steps, fields + "_day bigint, enter bigint, leave bigint").groupBy(*(names or [F.lit(0)])).applyInPandas(follow, fields + "_day bigint, enter bigint")
-    return own.join(entered, by_day).groupBy(*by_day).applyInPandas(listed, fields + "start bigint")
+    entered = entered.withColumnsRenamed({n: n + "_" for n in by_day})
+    same = F.lit(True)
+    for n in by_day:
+        same = same & F.col(n).eqNullSafe(F.col(n + "_"))
+    return own.join(entered, same).groupBy(*by_day).applyInPandas(listed, fields + "start bigint")
 
 
 def nearest_start(df: DataFrame, second: str, starts: DataFrame, stream: str | None = None, *, after: bool, hour: int = 3600) -> DataFrame:
@@ -103,9 +107,9 @@ def nearest_start(df: DataFrame, second: str, starts: DataFrame, stream: str | N
     keys = [f"_{stream}"] if stream else []
     more = [c for c in starts.columns if c not in keys and c != "start"]
     in_hour = lambda c: F.floor(F.col(c) / hour).cast("bigint")
-    own = starts.select(*keys, in_hour("start").alias("_hour"), F.struct("start", *more).alias("_s"))
+    own = starts.select(*keys, in_hour("start").alias("_hour"), F.struct("start", *more).alias("_row"))
     asked = df.select(*([F.col(stream).alias(f"_{stream}")] if stream else []), in_hour(second).alias("_hour")).where("_hour is not null").distinct()
-    hours = asked.withColumn("_s", F.lit(None).cast(own.schema["_s"].dataType)).unionByName(own).groupBy(*keys, "_hour").agg(F.array_sort(F.collect_list("_s")).alias("_in"))
+    hours = asked.withColumn("_row", F.lit(None).cast(own.schema["_row"].dataType)).unionByName(own).groupBy(*keys, "_hour").agg(F.array_sort(F.collect_list("_row")).alias("_in"))
     by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_hour")
     if after:
         hours = hours.withColumn("_other", F.first(F.try_element_at("_in", F.lit(1)), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)))
@@ -190,16 +194,21 @@ def period_info(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> Data
     return b.select(*keys, text("period_start").alias("start"), text("period_end").alias("end"), (F.col("period_start") != newest).alias("read_only"), "length", "num_events")
 
 
-def prior_period_p90(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """``keys, period_start, slow_mark``: the p90 of the value in the newest earlier period that has one; 0 if none."""
-    p90 = df.groupBy(*keys, "period_start").agg(F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY `{value}`)").alias("p90"))
+def prior_period_p90(df: DataFrame, value: str, keys: Sequence[str], mode: str = "exact") -> DataFrame:
+    """``keys, period_start, slow_mark``: the p90 of the value in the newest earlier period that has one; 0 if none.
+
+    Mode ``exact`` keeps the values of a period's group in one task; ``sketch`` a sketch of bounded size.
+    """
+    v = F.col(value)
+    mark = F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY `{value}`)") if mode == "exact" else F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v.cast("double")), F.lit(0.9))
+    p90 = df.groupBy(*keys, "period_start").agg(mark.alias("p90"))
     before = Window.partitionBy(*keys).orderBy("period_start").rowsBetween(Window.unboundedPreceding, -1)
     return p90.select(*keys, "period_start", F.coalesce(F.last("p90", ignorenulls=True).over(before), F.lit(0)).alias("slow_mark"))
 
 
-def slow_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+def slow_rows(df: DataFrame, value: str, keys: Sequence[str], mode: str = "exact") -> DataFrame:
     """``df`` with ``is_slow``: the value reaches the p90 of the period before."""
-    marks = prior_period_p90(df, value, keys)
+    marks = prior_period_p90(df, value, keys, mode)
     return df.join(marks, [*keys, "period_start"]).withColumn("is_slow", (F.col("slow_mark") > 0) & (F.col(value) >= F.col("slow_mark")))
 
 

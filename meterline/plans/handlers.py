@@ -222,7 +222,7 @@ def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = No
     """DNS transactions by direction."""
     o, d = o or Options(), d or Dimensions()
     groups = metric_groups("dns", o.enable, o.disable)
-    rows = slow_rows(dns_transactions(messages, o, d, ttl_ms).withColumn("slow_us", F.when(F.col("counted"), F.col("elapsed_us"))), "slow_us", ["xact_dir"])
+    rows = slow_rows(dns_transactions(messages, o, d, ttl_ms).withColumn("slow_us", F.when(F.col("counted"), F.col("elapsed_us"))), "slow_us", ["xact_dir"], o.mode)
     deep, rcode, qname = F.col("deep"), F.col("rcode"), F.col("qname_lower")
     nodata = (rcode == 0) & (F.coalesce(F.col("answer_count"), F.lit(0)) == 0)
     ecs = F.col("query_ecs").isNotNull()
@@ -269,7 +269,7 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
     ]
     out = _table(df, [*_on(among(F.col("keep"), metrics), groups), wire("filtered", ~F.col("keep"))], o, "dns", "dns")
     paired = _purged(pair_transactions(kept, _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"]), df, ttl_ms)
-    valid = slow_rows(paired.where("is_response and status = 'valid'"), "elapsed_us", ["xact_dir"]).withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
+    valid = slow_rows(paired.where("is_response and status = 'valid'"), "elapsed_us", ["xact_dir"], o.mode).withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
     went, came, t = F.col("xact_dir") == "out", F.col("xact_dir") == "in", F.col("elapsed_us")
     pairs: list[Metric] = [
         Counter("xact_counts_total", "dns_transaction"), Counter("xact_in_total", "dns_transaction", came), Counter("xact_out_total", "dns_transaction", went),

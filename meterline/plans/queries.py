@@ -111,7 +111,9 @@ def topn_threshold(spark, sf_dir):
 
 @query("""SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1""")
 def cardinality_exact(spark, sf_dir):
-    return v.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    e = v.table(spark, sf_dir, "events").withColumn("period_start", F.lit("2024-01-01").cast("timestamp")).withColumn("period_len", F.lit(60).cast("bigint"))
+    t = m.metric_table(e, [m.Cardinality("users", item=F.col("user_id"))], handler="net", schema="net", dims=["event_type"])
+    return t.select(F.col("labels")["event_type"].alias("event_type"), F.col("value").cast("bigint").alias("users"))
 
 
 @query("""SELECT CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2""")

@@ -368,3 +368,18 @@ def stream_read(spark, sf_dir):
     return spark.read.parquet(out + "/rows").groupBy(F.col("stream").alias("event_type")).agg(F.count("*").alias("n"))
 
 
+
+
+@query(f"""WITH {PACKETS_SQL}, d AS (SELECT *, sec // 86400 * 86400 AS day FROM packets) SELECT day AS period, unnest(['cardinality_src_ips_in', 'payload_size', 'payload_size', 'total']) AS name, unnest(['value', 'p50', 'p99', 'value']) AS stat, true AS close FROM d GROUP BY 1""")
+def sketched_metrics(spark, sf_dir):
+    """Sketch mode held against exact mode: 5 % of distinct counts, 5 points of rank of quantiles, equal counters."""
+    p = periods.assign_periods(v.packets(spark, sf_dir), seconds=86_400)
+    kinds = [m.Counter("total"), m.Cardinality("cardinality_src_ips_in", where=F.col("dir") == "in", item=F.col("src_ip")), m.Quantile("payload_size", value=F.col("bytes"))]
+    table = m.metric_table(p, kinds, handler="net", schema="packets", mode="sketch").where("kind != 'quantile' or stat in ('p50', 'p99')")
+    exact = m.metric_table(p, kinds[:2], handler="net", schema="packets").select("period_start", "name", F.col("value").alias("exact"))
+    marks = p.groupBy("period_start").agg(F.expr("percentile_disc(array(0.45, 0.55, 0.94, 1.0)) within group (order by bytes)").alias("around"))
+    both = table.join(exact, ["period_start", "name"], "left").join(marks, "period_start")
+    low = F.when(F.col("stat") == "p50", F.col("around")[0]).otherwise(F.col("around")[2])
+    high = F.when(F.col("stat") == "p50", F.col("around")[1]).otherwise(F.col("around")[3])
+    close = F.when(F.col("kind") == "quantile", F.col("value").between(low, high)).otherwise(F.abs(F.col("value") - F.col("exact")) <= F.when(F.col("kind") == "cardinality", F.col("exact") * 0.05 + 1).otherwise(0))
+    return both.select(_epoch(), "name", "stat", close.alias("close"))
