@@ -6,12 +6,15 @@ Plan, exact at every step:
 2. A set lists its prefix: under one total order, rarest first, two sets of similarity t share one of their
    first ``n - ceil(t * n) + 1`` shingles. Rarity comes from a count sketch of fixed size over all documents; any
    total order is exact, the sketch only keeps common shingles out of prefixes.
-3. Sets with a common prefix shingle form a tile, banded by size: only sizes within ratio t are compared. Hashed
+3. Sets with a common prefix shingle form a group, banded by size: only sizes within ratio t are compared. Hashed
    bitmaps bound the overlap from above by bit counts. Inside a tile a search by frontier keeps one edge per newly
    reached set, so a tile gives fewer edges than it has sets, however alike they are.
-4. Components of these edges are candidate clusters: two linked sets are always in one cluster. Each set of a
-   cluster now ships its array once, to tiles of bounded size (a large cluster is split by size band and hash, and
-   tiles are paired), where bitmaps bound and sorted-array intersection decides.
+4. Components of these edges are candidate clusters: two linked sets are always in one cluster. A cluster is a group
+   again, now with whole arrays: bitmaps bound, and sorted-array intersection decides.
+
+A group of many sets is cut into tiles by size band and hash. Each tile is searched alone, then a few sets of each tile
+among themselves, which joins families of near copies across tiles. Only sets outside a group's largest component so
+far meet all tiles of neighbouring bands. So a family that holds together costs its size, and none of its links is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -206,28 +209,20 @@ def _tiles(posted: DataFrame) -> DataFrame:
     return posted.repartition("token").sortWithinPartitions("token", "set_id").mapInArrow(run, "tile bigint, part int, set_id binary").distinct()
 
 
-def _paired(tiles: DataFrame) -> DataFrame:
-    """``t, i, j, set_id``: a tile of one part is one cell; of several, each pair of parts is one."""
-    parts = tiles.groupBy("tile").agg((F.max("part") + 1).alias("parts")).where("parts > 1")
-    one = tiles.join(parts, "tile", "left_anti").select(F.col("tile").alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), "set_id")
-    many = tiles.join(parts, "tile").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select(F.col("tile").alias("t"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "set_id")
-    return one.unionByName(many)
-
-
 def _frontier(sizes: np.ndarray, near) -> list[tuple[int, int]]:
-    """Edges of a spanning forest; ``near(i, those)`` says which of the unvisited ``those`` are adjacent to i."""
+    """A star for each component, from its first set to the others; ``near(i, those)`` says which of the unvisited ``those`` are adjacent to i."""
     left = np.arange(len(sizes))
-    edges, queue = [], []
+    edges, queue, root = [], [], 0
     while len(left):
         if not queue:
-            queue.append(int(left[0]))
+            root = int(left[0])
+            queue.append(root)
             left = left[1:]
         i = queue.pop()
         if len(left):
             ok = near(i, left)
             for j in left[ok]:
-                edges.append((i, int(j)))
+                edges.append((root, int(j)))
             queue.extend(left[ok].tolist())
             left = left[~ok]
     return edges
@@ -237,29 +232,118 @@ def _banded(sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
     return (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (sizes > 0)
 
 
-def _candidate_edges(cells: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges, by bitmap bound, of each cell. Columns of cells: t, i, j, set_id, n, bits."""
+def _by_bitmaps(sets: list[tuple[int, bytes]], percent: int):
+    """``near`` for :func:`_frontier`, by bitmap bound. sets: size and bitmap."""
+    n, raw = np.array([x[0] for x in sets], np.int64), [np.frombuffer(x[1], np.uint64) for x in sets]
+    folded: dict[int, np.ndarray] = {}
 
-    def link(rows: list[tuple]) -> list[tuple]:
-        ids, n = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
-        if len(ids) == 2:  # most cells
-            return [(ids[0], ids[1])] if _pair_bound([r[2] for r in rows], n, percent) else []
-        raw = [np.frombuffer(r[2], np.uint64) for r in rows]
-        folded: dict[int, np.ndarray] = {}
-
-        def near(i: int, left: np.ndarray) -> np.ndarray:
-            ok = _banded(n[left], n[i], percent)
-            if ok.any():
-                words = min(len(raw[i]), min(len(raw[x]) for x in left[ok]))
-                if words not in folded:
-                    folded[words] = np.stack([_fold(r, words) if len(r) >= words else np.zeros(words, np.uint64) for r in raw])
-                some = left[ok]
-                ok[ok] = overlap_bound(folded[words][some], n[some], folded[words][i], int(n[i])) >= _least_overlap(n[some], n[i], percent)
-            return ok
+    def near(i: int, left: np.ndarray) -> np.ndarray:
+        ok = _banded(n[left], n[i], percent)
+        if ok.any():
+            words = min(len(raw[i]), min(len(raw[x]) for x in left[ok]))
+            if words not in folded:
+                folded[words] = np.stack([_fold(r, words) if len(r) >= words else np.zeros(words, np.uint64) for r in raw])
+            some = left[ok]
+            ok[ok] = overlap_bound(folded[words][some], n[some], folded[words][i], int(n[i])) >= _least_overlap(n[some], n[i], percent)
+        return ok
+
+    return n, near
+
+
+def _by_arrays(sets: list[tuple[int, bytes]], percent: int):
+    """``near`` by bitmap bound, then sorted-array intersection. sets: size and hashes."""
+    whole = [np.frombuffer(x[1], np.uint64) for x in sets]
+    n = np.array([len(x) for x in whole], np.int64)
+    words = max(1, _bits(int(np.median(n))) // 64) if len(n) else 1
+    maps = np.stack([bitmap(x, 64 * words) for x in whole])
+
+    def near(i: int, left: np.ndarray) -> np.ndarray:
+        ok = _banded(n[left], n[i], percent)
+        some = left[ok]
+        if len(some):
+            least = _least_overlap(n[some], n[i], percent)
+            good = overlap_bound(maps[some], n[some], maps[i], int(n[i])) >= least
+            for x in np.flatnonzero(good):
+                good[x] = _common(whole[some[x]], whole[i]) >= least[x]
+            ok[ok] = good
+        return ok
 
+    return n, near
+
+
+def _edges(rows: DataFrame, keys: list[str], by, percent: int) -> DataFrame:
+    """Stars of the components of each cell. Columns of rows: keys, set_id, n, data."""
+
+    def link(rows: list[tuple]) -> list[tuple]:
+        ids = [r[0] for r in rows]
+        if len(ids) == 2 and by is _by_bitmaps:  # most cells
+            return [(ids[0], ids[1])] if _pair_bound([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), percent) else []
+        n, near = by([r[1:] for r in rows], percent)
         return [(ids[x], ids[y]) for x, y in _frontier(n, near)]
 
-    return by_group(cells, ["t", "i", "j"], ["set_id", "n", "bits"], link, "a binary, b binary")
+    return by_group(rows, keys, ["set_id", "n", "data"], link, "a binary, b binary")
+
+
+def _between(rows: DataFrame, keys: list[str], by, percent: int) -> DataFrame:
+    """Edges between the two sides of each cell, one from a set of side 1 to each component of side 0 that it reaches.
+
+    Columns of rows: keys, side, set_id, n, data, component.
+    """
+
+    def link(rows: list[tuple]) -> list[tuple]:
+        n, near = by([r[2:4] for r in rows], percent)
+        side, ids, part = np.array([r[0] for r in rows]), [r[1] for r in rows], [r[4] for r in rows]
+        number = {p: i for i, p in enumerate(dict.fromkeys(part))}
+        of = np.array([number[p] for p in part])
+        those, out = np.flatnonzero(side == 0), []
+        for i in np.flatnonzero(side == 1):
+            left = those[of[those] != of[i]]
+            hits = left[near(int(i), left)] if len(left) else left
+            out += [(ids[i], ids[j]) for j in hits[np.unique(of[hits], return_index=True)[1]]]
+        return out
+
+    return by_group(rows, keys, ["side", "set_id", "n", "data", "component"], link, "a binary, b binary")
+
+
+def _linked(groups: DataFrame, payload: DataFrame, by, percent: int, tag: str) -> DataFrame:
+    """Edges that connect, inside each group, all sets that ``by`` finds adjacent. groups: g, set_id; payload: set_id, n, band, data."""
+    known = payload.select("set_id", "n", "band")
+    groups = groups.join(known, "set_id")
+    bands = groups.groupBy("g", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    whole = bands.groupBy("g").agg(((F.sum("sets") <= TILE) & (F.sum("shingles") <= TILE_SHINGLES)).alias("small"))
+    cuts = bands.join(whole.where("not small"), "g").select("g", "band", F.greatest(F.ceil(F.col("sets") / TILE), F.ceil(F.col("shingles") / TILE_SHINGLES)).cast("bigint").alias("cuts"))
+    cuts = materialize(cuts, "cuts")
+    step = 1 << 20
+    tile = lambda n: F.col("band") * step + F.pmod(F.xxhash64("set_id"), F.col(n))
+    with_data = lambda rows: rows.join(payload.select("set_id", "n", "data"), "set_id")
+    if cuts.isEmpty():
+        return materialize(_edges(with_data(groups.select("g", "set_id")), ["g"], by, percent).distinct(), tag)
+    dealt = groups.select("g", "set_id", "band").join(cuts, ["g", "band"], "left").select("g", "set_id", "band", F.coalesce(tile("cuts"), F.lit(-1).cast("bigint")).alias("t"))
+    dealt = materialize(dealt, "dealt")
+    links = materialize(_edges(with_data(dealt.select("g", "t", "set_id")), ["g", "t"], by, percent).distinct(), tag)
+    large = dealt.where("t >= 0")
+    # a few sets of each tile, one of each of its largest components, among themselves
+    part = connected_components(links, "set_id", "component")
+    own = large.join(part, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    roots = own.groupBy("g", "t", "component").agg(F.count("*").alias("sets"), F.min("set_id").alias("set_id"))
+    tiles = cuts.groupBy("g").agg(F.sum("cuts").alias("tiles"))
+    first = F.row_number().over(Window.partitionBy("g", "t").orderBy(F.desc("sets"), "set_id"))
+    few = roots.withColumn("r", first).join(tiles, "g").where(F.col("r") <= F.greatest(F.floor(TILE / F.col("tiles")), F.lit(1)))
+    few = few.select("g", F.pmod(F.xxhash64("t"), F.ceil(F.col("tiles") / TILE)).alias("u"), "set_id")
+    links = materialize(links.unionByName(_edges(with_data(few), ["g", "u"], by, percent)).distinct(), tag)
+    # whatever is not in a group's largest component meets all
+    part = connected_components(links, "set_id", "component")
+    own = materialize(large.join(part, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "parts")
+    most = own.groupBy("g", "component").agg(F.count("*").alias("sets")).groupBy("g").agg(F.max_by("component", F.struct("sets", "component")).alias("most"))
+    others = own.join(most, "g").where("component != most").drop("most")
+    blocks = others.groupBy("g", "band").agg(F.ceil(F.count("*") / TILE).cast("bigint").alias("blocks"))
+    others = others.join(blocks, ["g", "band"]).withColumn("o", tile("blocks"))
+    held = others.select("g", "band", "o").distinct()
+    near = held.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    cells = materialize(own.select("g", "band", "t").distinct().join(near, ["g", "band"]).select("g", "t", "o"), "cells")
+    sides = own.select("g", "t", F.lit(0).alias("side"), "set_id", "component").join(cells, ["g", "t"]).select("g", "t", "o", "side", "set_id", "component")
+    sides = sides.unionByName(others.select("g", "o", F.lit(1).alias("side"), "set_id", "component").join(cells, ["g", "o"]).select("g", "t", "o", "side", "set_id", "component"))
+    return materialize(links.unionByName(_between(with_data(sides), ["g", "t", "o"], by, percent)).distinct(), tag)
 
 
 def _pair_bound(bits: list[bytes], n: np.ndarray, percent: int) -> bool:
@@ -279,46 +363,6 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def _exact_edges(arrays: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges of true links, by bitmap bound, then sorted-array intersection. Columns: cluster, i, j, set_id, hashes."""
-
-    def link(rows: list[tuple]) -> list[tuple]:
-        ids = [r[0] for r in rows]
-        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        n = np.array([len(s) for s in sets], np.int64)
-        words = max(1, _bits(int(np.median(n))) // 64) if len(n) else 1
-        maps = np.stack([bitmap(s, 64 * words) for s in sets])
-
-        def near(i: int, left: np.ndarray) -> np.ndarray:
-            ok = _banded(n[left], n[i], percent)
-            some = left[ok]
-            if len(some):
-                least = _least_overlap(n[some], n[i], percent)
-                good = overlap_bound(maps[some], n[some], maps[i], int(n[i])) >= least
-                for x in np.flatnonzero(good):
-                    good[x] = _common(sets[some[x]], sets[i]) >= least[x]
-                ok[ok] = good
-            return ok
-
-        return [(ids[x], ids[y]) for x, y in _frontier(n, near)]
-
-    return by_group(arrays, ["cluster", "i", "j"], ["set_id", "hashes"], link, "a binary, b binary")
-
-
-def _cluster_cells(members: DataFrame) -> DataFrame:
-    """``cluster, i, j, set_id``: a cluster of TILE sets at most is one cell. A larger one is cut into tiles by size
-    band and hash, and every two tiles of the same or neighbouring bands are a cell."""
-    sizes = members.groupBy("cluster").agg(((F.count("*") <= TILE) & (F.sum("n") <= TILE_SHINGLES)).alias("small"))
-    small = members.join(sizes.where("small"), "cluster", "left_semi").select("cluster", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), "set_id")
-    large = members.join(sizes.where("not small"), "cluster", "left_semi")
-    step = 1 << 20
-    tiles = large.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("bigint").alias("cuts"))
-    mine = large.join(tiles, ["cluster", "band"]).withColumn("tile", F.col("band") * step + F.pmod(F.xxhash64("set_id"), F.col("cuts")))
-    others = tiles.select("cluster", F.col("band").alias("at"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("cut")).select("cluster", "at", (F.col("at") * step + F.col("cut")).alias("other"))
-    near = mine.withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(others, ["cluster", "at"])
-    return small.unionByName(near.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "set_id"))
-
-
 def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document.
 
@@ -331,22 +375,19 @@ def jaccard_components(documents: DataFrame, *, doc_id: str = "doc_id", text: st
     """
     ship(documents.sparkSession)
     profiles = materialize(_profiles(documents.select(col(doc_id).alias("doc_id"), col(text).alias("text")), ("doc_id",), "text", k, percent), "profiles")
-    tiles = materialize(_paired(materialize(_tiles(_posted(profiles)), "tiles")), "cells")
-    wanted = tiles.select("set_id").distinct()
+    groups = materialize(_tiles(_posted(profiles)).select(F.col("tile").alias("g"), "set_id").distinct(), "groups")
+    wanted = groups.select("set_id").distinct()
     sets = profiles.where("set_id is not null").select("set_id", "n", "bits", F.col("row.doc_id").alias("doc_id"))
-    some = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
-    some = materialize(some, "sets")
-    candidates = _candidate_edges(tiles.join(some.select("set_id", "n", "bits"), "set_id"), percent).distinct()
-    clusters = connected_components(materialize(candidates, "candidates"), "set_id", "cluster")
-    members = clusters.join(some.select("set_id", "n", "doc_id"), "set_id")
-    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9).cast("bigint"))
-    members = materialize(members, "members")
-    cells = _cluster_cells(members).join(members.select("set_id", "doc_id"), "set_id")
+    some = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.max("n").alias("n"), F.max("bits").alias("data"), F.min("doc_id").alias("doc_id"))
+    some = materialize(some.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9).cast("bigint")), "sets")
+    candidates = _linked(groups, some, _by_bitmaps, percent, "candidates")
+    clusters = materialize(connected_components(candidates, "set_id", "cluster"), "clusters")
     texts = documents.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
-    wanted_ids = members.select("doc_id").distinct().hint("shuffle_hash")
+    wanted_ids = clusters.join(some.select("set_id", "doc_id"), "set_id").select("doc_id").distinct().hint("shuffle_hash")
     arrays = map_texts(texts.join(wanted_ids, "doc_id", "left_semi"), "text", ("doc_id",), _arrays(k), "set_id binary, hashes binary")
-    arrays = cells.select("cluster", "i", "j", "set_id").join(arrays.select("set_id", "hashes").dropDuplicates(["set_id"]), "set_id")
-    links = materialize(_exact_edges(arrays, percent).distinct(), "links")
+    arrays = arrays.join(clusters.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.max("hashes").alias("data"))
+    arrays = materialize(arrays.join(some.select("set_id", "n", "band"), "set_id"), "arrays")
+    links = _linked(clusters.select(F.xxhash64("cluster").alias("g"), "set_id"), arrays, _by_arrays, percent, "links")
     linked = connected_components(links, "set_id", "part")
     owner = profiles.where("set_id is not null").groupBy("set_id").agg(F.min("row.doc_id").alias("least"))
     part = owner.join(linked, "set_id").groupBy("part").agg(F.min("least").alias("part_least"))
