@@ -22,7 +22,7 @@ from ..shipping import ship
 from .tables import col, materialize
 
 #: Queries and rows that meet in one task at once.
-QUERY_BLOCK, ROW_BLOCK = 16_384, 8192
+QUERY_BLOCK, ROW_BLOCK = 16_384, 4096
 #: Rows of the sample, and cells, at most.
 SAMPLE, CELLS = 8192, 1024
 
@@ -163,7 +163,8 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
     asked = materialize(asked.withColumn("key", F.monotonically_increasing_id()), "queries")  # written, so a row keeps its key
     each = asked.select("key", "vec_id", "v", "floor", F.explode("cells").alias("cell"))
     blocks = each.groupBy("cell").agg(F.ceil(F.count("*") / query_block).cast("int").alias("qbs"))
-    blocks = blocks.join(F.broadcast(spark.createDataFrame([(i, -(-c // row_block)) for i, (c, _) in sizes.items()], "cell int, rbs int")), "cell")  # a row a cell
+    blocks = blocks.join(F.broadcast(spark.createDataFrame([(i, -(-c // row_block)) for i, (c, _) in sizes.items()], "cell int, rbs int")), "cell")
+    blocks = F.broadcast(blocks)  # a row a cell, CELLS at most: rows are not dealt by cell
     spread = lambda what, number: F.pmod(F.xxhash64(what), F.col(number)).cast("int")
     upto = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
     none = F.lit(None).cast("binary")
