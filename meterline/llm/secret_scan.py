@@ -41,13 +41,15 @@ SHARED = 0.95
 CLASSES, END = 11, 11
 _LETTERS = str.maketrans({c: chr(97 + n) for c, n in _CLASS.items()})  # a class as a letter
 _DOT = ".".translate(_LETTERS)
-#: Scores of class sequences that are kept at once.
+#: Tokens, and scores of class sequences, that are kept at once.
 KEPT = 200_000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the three fixed patterns, by start, then kind."""
-    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    lower, out = text.lower(), []
+    if any(w in lower for w in ("password", "passwd", "secret", "token", "api")):  # every match of ASSIGN has one of them
+        out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
@@ -214,7 +216,8 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
         seen: Counter = Counter()
 
         def add() -> None:
-            for shape, n in seen.items():
+            for token, n in seen.items():
+                shape = token.translate(_LETTERS)
                 word = [END, *(ord(c) - 97 for c in shape), END]
                 own = pairs[int(len(shape) >= LONG and _DOT not in shape)]
                 for a, b in zip(word, word[1:]):
@@ -229,7 +232,7 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
                     if len(value := _value(body, s)) <= longest:
                         kinds.append(s[0])
                         values.append(value)
-                seen.update(x.translate(_LETTERS) for x in TOKEN.findall(body))
+                seen.update(TOKEN.findall(body))
                 if len(seen) > KEPT:
                     add()
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([1] * len(kinds), pa.int64())], schema=schema)
@@ -269,7 +272,9 @@ def scan_secrets(documents: DataFrame, model: SecretModel, *, text: str = "text"
     begins = sorted(set(model.begins.values()) - {""})
 
     def best(value: str) -> tuple[float, str]:
-        shape = (value.translate(_LETTERS), *[value.startswith(b) for b in begins])
+        shape = value.translate(_LETTERS)
+        if begins:
+            shape = (shape, *[value.startswith(b) for b in begins])
         found = scored.get(shape)
         if found is None:
             if len(scored) >= KEPT:
@@ -285,19 +290,22 @@ def scan_secrets(documents: DataFrame, model: SecretModel, *, text: str = "text"
             number = 0
             if model.formats:
                 spans = [(*s, best(_value(body, s))[0]) for s in spans]
-                more = []
-                for m in TOKEN.finditer(body):
-                    margin, kind = best(m.group())
-                    number += 1
-                    if margin >= 0 and not any(a < m.end() and b > m.start() for _, a, b, _ in spans):
-                        more.append((f"like_{kind}", m.start(), m.end(), margin))
-                    elif "." in m.group():
-                        for p in PART.finditer(body, m.start(), m.end()):
-                            margin, kind = best(p.group())
-                            number += 1
-                            if margin >= 0 and not any(a < p.end() and b > p.start() for _, a, b, _ in spans):
-                                more.append((f"like_{kind}", p.start(), p.end(), margin))
-                if more:
+                tokens = TOKEN.findall(body)
+                parts = [p for t in tokens if "." in t for p in PART.findall(t)]
+                number = len(tokens) + len(parts)
+                if any(best(t)[0] >= 0 for t in tokens) or any(best(p)[0] >= 0 for p in parts):  # few texts: where are they?
+                    more, number = [], 0
+                    for m in TOKEN.finditer(body):
+                        margin, kind = best(m.group())
+                        number += 1
+                        if margin >= 0 and not any(a < m.end() and b > m.start() for _, a, b, _ in spans):
+                            more.append((f"like_{kind}", m.start(), m.end(), margin))
+                        elif "." in m.group():
+                            for p in PART.finditer(body, m.start(), m.end()):
+                                margin, kind = best(p.group())
+                                number += 1
+                                if margin >= 0 and not any(a < p.end() and b > p.start() for _, a, b, _ in spans):
+                                    more.append((f"like_{kind}", p.start(), p.end(), margin))
                     spans = sorted(spans + more, key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS)))
             else:
                 spans = [(*s, None) for s in spans]
