@@ -1,20 +1,23 @@
 """Line dedup (operator 6): levelled sorted runs of line hashes.
 
-A run is a table ``key`` sorted by key: the line keys first seen by some batch. A new batch keeps its own keys that
-no run holds (one merge anti-join a run), and they become a new run of level 0. When a level has as many runs as the
-fan-out, they are compacted into one run of the next level, so a store of n batches has O(log n) runs.
+A run is a table ``key`` bucketed and sorted by key: the line keys first seen by some batch. A new batch keeps its own
+keys that no run holds (one merge anti-join a run), and they become a new run of level 0. When a level has as many runs
+as the fan-out, they are merged into one run of the next level, so a store of n batches has O(log n) runs. All runs
+have the same buckets, so neither an anti-join nor a merge shuffles a run again.
 Batches go in ascending order of id, so a key that a run holds was first seen in a document of smaller id.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import new_path
 from .tables import col, discard, materialize, steps, texts_of
 
 _STRIP = b" \t\n\v\f\r"
@@ -28,42 +31,67 @@ def line_key(line: bytes, least: int) -> bytes | None:
     return hashlib.blake2b(line, digest_size=16).digest()
 
 
+class Run:
+    """A bucketed table in the shared folder, known to the session's catalog until it is dropped."""
+
+    def __init__(self, rows: DataFrame, buckets: int) -> None:
+        self.schema = rows.schema
+        self.spark, self.name, self.path = rows.sparkSession, f"meterline_run_{uuid.uuid4().hex}", new_path(rows.sparkSession, "run")
+        rows.write.format("parquet").bucketBy(buckets, "key").sortBy("key").option("path", self.path).saveAsTable(self.name)
+
+    def keys(self) -> DataFrame:
+        return self.spark.table(self.name).select("key")
+
+    def rows(self) -> DataFrame:
+        """The same files without their buckets, for joins in which a hot key must be split."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        files = self.rows()
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(files)
+
+
 class LineRuns:
-    """The levelled runs. ``add`` takes batches in ascending order of id."""
+    """The levelled runs. ``add`` takes batches in ascending order of id; ``close`` drops the runs."""
 
-    def __init__(self, fan_out: int = 2) -> None:
+    def __init__(self, spark: SparkSession, fan_out: int = 2) -> None:
         self.fan_out = fan_out
-        self.levels: list[list[DataFrame]] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[Run]] = []
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
         """``lines(doc_id, key)`` of a batch → those ``(doc_id, key)`` that another document of smaller id holds."""
-        first = materialize(lines.groupBy("key").agg(F.min("doc_id").alias("first")), "first")
-        fresh = first
+        fresh = lines.groupBy("key").agg(F.min("doc_id").alias("first"))
         for run in self.runs():
-            fresh = fresh.join(run.hint("merge"), "key", "left_anti")
-        fresh = materialize(fresh.repartition("key").sortWithinPartitions("key"), "run")
-        dropped = lines.join(fresh.withColumnRenamed("first", "owner"), "key", "left").where(F.col("owner").isNull() | (F.col("owner") < F.col("doc_id"))).select("doc_id", "key")
+            fresh = fresh.join(run.keys().hint("merge"), "key", "left_anti")
+        fresh = Run(fresh.repartition(self.buckets, "key"), self.buckets)
+        dropped = lines.join(fresh.rows().withColumnRenamed("first", "owner"), "key", "left").where(F.col("owner").isNull() | (F.col("owner") < F.col("doc_id"))).select("doc_id", "key")
         dropped = materialize(dropped, "dropped")
-        discard(first)
-        self._push(fresh.select("key"), 0)
+        self._push(fresh, 0)
         return dropped
 
-    def _push(self, run: DataFrame, level: int) -> None:
+    def _push(self, run: Run, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fan_out:
             old, self.levels[level] = self.levels[level], []
-            merged = old[0]
-            for r in old[1:]:
-                merged = merged.unionByName(r)
-            merged = materialize(merged.repartition("key").sortWithinPartitions("key"), "run")
+            merged = old[0].keys()
+            for r in old[1:]:  # no key is in two runs: bucket by bucket, all keys of both
+                merged = merged.join(r.keys().hint("merge"), "key", "full_outer").select("key")
+            new = Run(merged, self.buckets)
             for r in old:
-                discard(r)
-            self._push(merged, level + 1)
+                r.drop()
+            self._push(new, level + 1)
+
+    def close(self) -> None:
+        for r in self.runs():
+            r.drop()
+        self.levels = []
 
 
 def _lines(documents: DataFrame, least: int) -> DataFrame:
@@ -100,10 +128,11 @@ def dedup_lines(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     bounds = sorted(set(bounds)) if batches > 1 else []
     number = sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
     lines = materialize(_lines(docs, least).withColumn("batch", number), "lines", "batch")
-    store, dropped = LineRuns(fan_out), None
+    store, dropped = LineRuns(documents.sparkSession, fan_out), None
     for b in range(len(bounds) + 1):
         part = store.add(lines.where(F.col("batch") == b).select("doc_id", "key"))
         dropped = part if dropped is None else dropped.unionByName(part)
+    store.close()
     dropped = dropped.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     joined = docs.join(dropped, "doc_id", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
