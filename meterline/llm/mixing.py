@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .tables import col, materialize
 
 #: Documents in one hash range of a source, and copies in one range of the queue, about; both grow in number with the table.
-IN_RANGE, IN_SLICE = 10_000, 1_000_000
+IN_RANGE, IN_SLICE = 2000, 1_000_000
 
 
 def word_count(text: Column) -> Column:
