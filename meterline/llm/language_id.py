@@ -135,8 +135,9 @@ def fit_language(documents: DataFrame, *, text: str = "text", lang: str = "lang"
     train = documents.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"), col(lang).cast("string").alias("lang")).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # ids whose hash is under a share of the hashes that leaves three times the sample, so no task ranks a whole language
     share = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 32) / float(1 << 32)
+    # a row a language, as many as the model has classes
     counts = train.groupBy("lang").agg((F.lit(3.0 * per_language) / F.count("*")).alias("most"))
-    few = train.select("doc_id", "lang", share.alias("h")).join(counts, "lang").where(F.col("h") < F.col("most")).groupBy("lang", "h", "doc_id").agg(F.count("*").alias("rows"))
+    few = train.select("doc_id", "lang", share.alias("h")).join(F.broadcast(counts), "lang").where(F.col("h") < F.col("most")).groupBy("lang", "h", "doc_id").agg(F.count("*").alias("rows"))
     ids = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language).select("lang", "doc_id")
     sample = map_texts(train.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi"), "text", ["lang", "doc_id"], _sparse, "at binary, n binary").where("at is not null")
     sample = sample.groupBy("row.lang", "row.doc_id").agg(F.min(F.struct("at", "n")).alias("s")).select("lang", "doc_id", "s.at", "s.n")
