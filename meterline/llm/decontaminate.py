@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .bytewords import ALNUM, Words, words_of
-from .tables import STEP_BYTES, col, materialize, steps, texts_of
+from .tables import STEP_BYTES, col, materialize, settle, steps, texts_of
 
 #: Windows in a broadcast index at most. Larger benchmarks are joined by shuffles.
 INDEX_WINDOWS = 200_000
@@ -209,6 +209,7 @@ def _probe(documents: DataFrame, index: WindowIndex) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
+        settle()
         own, sieves = shared.value
         for batch in batches:
             texts = texts_of(batch.column(1))

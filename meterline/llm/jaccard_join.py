@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .bytewords import NOT_SPACE, mix, words_of
 from .components import connected_components
-from .tables import by_group, col, map_texts, materialize, steps, sum_vectors, texts_of
+from .tables import by_group, col, map_texts, materialize, settle, steps, sum_vectors, texts_of
 
 #: Counters of the rarity sketch.
 SKETCH = 1 << 20
@@ -98,6 +98,7 @@ def _rarity(documents: DataFrame, text: str, k: int) -> np.ndarray:
     width = 1024
 
     def run(batches):
+        settle()
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             texts = texts_of(batch.column(0))

@@ -18,6 +18,18 @@ from ..storage import new_path
 STEP_BYTES = 1 << 19
 
 
+#: What workers keep from task to task, by the pass that fills it.
+CACHES: dict[str, dict] = {}
+
+
+def settle(name: str = "") -> None:
+    """At the start of a task: workers live on, so what other passes kept, and Arrow's free memory, is given back."""
+    for other, kept in CACHES.items():
+        if other != name:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage in a way that outlives lost executors."""
     path = new_path(df.sparkSession, tag)
@@ -72,6 +84,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], fn: Callable[[pa.Ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        settle()
         target = to_arrow_schema(schema)
         for batch in batches:
             rows = batch.column(0)
@@ -98,6 +111,7 @@ def by_group(df: DataFrame, keys: Sequence[str], values: Sequence[str], fn: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        settle()
         target = to_arrow_schema(schema)
         key, held, out = None, [], []
 

@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..storage import new_path
 from . import rans
-from .tables import col, steps, texts_of
+from .tables import CACHES, col, settle, steps, texts_of
 
 #: Ids in a group: it ends with the document that reaches this.
 GROUP = 1 << 19
 #: Pieces that a worker remembers at most; beyond, those seen least often are forgotten.
-PIECES = 450_000
+PIECES = 350_000
 #: Bytes of text that are cut into pieces at once.
 STEP = 2 << 20
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[str, "Encoder"] = CACHES.setdefault("tokens", {})
 
 
 def vocabulary() -> str:
@@ -170,6 +170,7 @@ def write_tokens(documents: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
+        settle("tokens")
         own = encoder(name)
         shard, number = TaskContext.get().partitionId(), 0
         ids, lengths, body, total = [], [], [], 0
@@ -219,7 +220,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
     starts = sums.select("shard", "number", inside.alias("inside")).join(shards, "shard").select("shard", "number", (F.col("base") + F.col("inside")).alias("start"))
 
     def run(batches):
-        _loaded.clear()  # workers live on: what they learnt for writing is not needed any more
+        settle()
         for batch in batches:
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = rans.decode(r["blocks"], rans.Table.from_bytes(r["table"])).astype("<u4")

@@ -166,4 +166,9 @@ def test_rest_works_without_this_subpackage(tmp_path):
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     shutil.copytree(top, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(k.startswith('op') for k in q), list(q); assert set(e.oracle_sql()) <= set(q)"
+    code += """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+spark.createDataFrame([('view', 1.0), ('view', 3.0)], 'event_type string, value double').write.parquet('t/events.parquet')
+assert [tuple(r) for r in q['min_max'](spark, 't').collect()] == [('view', 1.0, 3.0)]"""
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env={**os.environ, "PYTHONPATH": str(tmp_path / "r")}).returncode == 0
