@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meterline.llm.decontaminate import decontaminate
 from meterline.llm.jaccard_join import jaccard_components
 from meterline.llm.language_id import fit_language, predict_language
-from meterline.llm.mixing import mix_sources
+from meterline.llm.mixing import mix_sources, word_count
 from meterline.llm.tables import materialize
 from meterline.llm.token_output import token_output
 
@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of smallest id of each component of near-equal texts; documents without id stay.
 
     Where an id has several texts, each text is a document of its own: a component keeps one, of the smallest id and
-    then of the smallest hash of its text. Rows of equal id and text are one document.
+    then of the smallest hash of its text. Rows of equal id and text are one document. Only where ids repeat does the plan
+    carry the hashes along and remove such rows; the result is the same rule.
     """
     hashed = F.xxhash64("text")
     unequal = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a != b")
@@ -54,9 +55,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = docs.join(taken.withColumnRenamed("doc_id", "taken_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    """Each document as often as the mix takes it; rows of equal id, source and number of words as often as the most taken of them."""
+    key = ["doc_id", "source", "size"]
+    taken = mix_sources(docs).where("copies > 0").groupBy(*key).agg(F.max("copies").alias("copies"))
+    taken = taken.withColumnsRenamed({c: f"taken_{c}" for c in key})
+    sized = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": word_count(F.col("text"))}
+    same = [c.eqNullSafe(F.col(f"taken_{n}")) for n, c in sized.items()]
+    copies = docs.join(taken.hint("shuffle_hash"), same[0] & same[1] & same[2])
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
