@@ -41,7 +41,7 @@ SHARED = 0.95
 CLASSES, END = 11, 11
 _LETTERS = str.maketrans({c: chr(97 + n) for c, n in _CLASS.items()})  # a class as a letter
 _DOT = ".".translate(_LETTERS)
-#: Tokens, and scores of class sequences, that are kept at once.
+#: Class sequences, and their scores, that are kept at once.
 KEPT = 200_000
 
 
@@ -216,8 +216,7 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
         seen: Counter = Counter()
 
         def add() -> None:
-            for token, n in seen.items():
-                shape = token.translate(_LETTERS)
+            for shape, n in seen.items():
                 word = [END, *(ord(c) - 97 for c in shape), END]
                 own = pairs[int(len(shape) >= LONG and _DOT not in shape)]
                 for a, b in zip(word, word[1:]):
@@ -232,7 +231,7 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
                     if len(value := _value(body, s)) <= longest:
                         kinds.append(s[0])
                         values.append(value)
-                seen.update(TOKEN.findall(body))
+                seen.update(x.translate(_LETTERS) for x in TOKEN.findall(body))
                 if len(seen) > KEPT:
                     add()
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([1] * len(kinds), pa.int64())], schema=schema)
