@@ -1,15 +1,17 @@
 """Metric definitions and the plans that compute them into the long form.
 
-A handler lists its metrics; :func:`metric_table` computes them grouped by period and dimensions. Every row is tagged
-with the names of its metrics and what each counts (an item, a value, a second), and one aggregation sums the tags,
-partly before the shuffle. What is left, one row for each distinct item of a metric, is ranked and accumulated by a
-window of each metric and group. So the input is read once, whatever the number and kinds of metrics.
+A handler lists its metrics; :func:`metric_table` computes them grouped by period and dimensions. Counters alone are
+plain sums. Otherwise a row gives one small row for all its counters (a mask of bits) and one for each item, value or
+second that it adds to other metrics; one aggregation sums these, partly before the shuffle, so the input is read once
+and makes one shuffle whatever the number and kinds of metrics. The sums are mergeable states; statistics are read off
+them, and nothing unbounded is sorted in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +19,12 @@ from pyspark.sql import functions as F
 
 from ..schemas import SCHEMAS
 from .running import running_sum
+from .selection import percentiles_of
 
 QUANTILES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
 PERIOD_SECONDS = 60
+#: Items that a sketch of tops tracks at most.
+TRACKED = 10_000
 
 
 @dataclass(frozen=True)
@@ -114,113 +119,230 @@ def among(rows: Column, metrics: Sequence[Metric]) -> list[Metric]:
     return [replace(m, where=rows if m.where is None else rows & m.where, among=rows) for m in metrics]
 
 
-def _tag(m: Metric, kind: str, item: Column | None = None, num: Column | None = None, weight: Column | None = None) -> Column:
-    null = F.lit(None)
-    return F.struct(F.lit(m.whole).alias("whole"), F.lit(kind).alias("kind"), F.lit(m.name).alias("name"), (null if item is None else item).cast("string").alias("item"), (null if num is None else num).cast("double").alias("num"), (F.lit(1) if weight is None else weight).cast("bigint").alias("weight"))
+#: Counters of one mask at most.
+MASK = 48
 
 
-def _tags(metrics: Sequence[Metric], ts: str) -> list[Column]:
-    """What a row counts for each metric; nulls where it counts nothing. Counters and distinct counts have a tag even so, as they can be 0."""
-    out = []
+def _shape(c: Column | None) -> str:
+    return "" if c is None else repr(c)
+
+
+def _masks(metrics: Sequence[Metric]) -> list[dict]:
+    """Counters that add the same weight on the same rows, as bits of one mask; distinct counts need one for their zeros."""
+    found: dict[tuple, dict] = {}
     for m in metrics:
-        if isinstance(m, Counter):
-            tag = _tag(m, "counter", weight=F.coalesce(m.of(F.lit(1) if m.weight is None else m.weight).cast("bigint"), F.lit(0)))
-            out.append(tag if m.among is None else F.when(m.among, tag))
-        elif isinstance(m, Cardinality):
-            tag = _tag(m, "cardinality", item=m.of(m.item))
-            out.append(tag if m.among is None else F.when(m.among, tag))
+        if isinstance(m, (Counter, Cardinality)):
+            weight = m.weight if isinstance(m, Counter) else None
+            key = m.whole, _shape(m.among), _shape(weight)
+            at = found.setdefault(key, {"whole": m.whole, "among": m.among, "weight": weight, "metrics": []})
+            at["metrics"].append(m)
+    out = []
+    for g in found.values():
+        out += [{**g, "metrics": g["metrics"][i : i + MASK]} for i in range(0, len(g["metrics"]), MASK)]
+    return out
+
+
+def _state(name: str, kind: str, item: Column | None = None, num: Column | None = None, weight: Column | None = None) -> Column:
+    null = F.lit(None)
+    return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), (null if item is None else item).cast("string").alias("item"), (null if num is None else num).cast("double").alias("num"), (F.lit(0) if weight is None else weight).cast("bigint").alias("weight"))
+
+
+def _counted(df: DataFrame, masks: list[dict], keys: Sequence[str], dims: Sequence[str]) -> DataFrame:
+    """State rows of counters alone: plain sums, one for each, by key."""
+    sums = []
+    for i, g in enumerate(masks):
+        sums.append((F.lit(1) if g["among"] is None else F.max(F.when(g["among"], 1))).alias(f"_p{i}"))
+        for j, m in enumerate(g["metrics"]):
+            sums.append(F.coalesce(F.sum(m.of(F.lit(1) if m.weight is None else m.weight).cast("bigint")), F.lit(0)).alias(f"_c{i}_{j}"))
+    per = df.groupBy(*keys).agg(*sums)
+    rows = []
+    for i, g in enumerate(masks):
+        for j, m in enumerate(g["metrics"]):
+            one = F.struct(F.lit(m.whole).alias("_whole"), _state(m.name, "counter", weight=F.col(f"_c{i}_{j}")).alias("_s"))
+            rows.append(F.when(F.col(f"_p{i}") == 1, one))
+    out = per.select(*keys, F.inline(F.array_compact(F.array(*rows)))).select(*keys, "_whole", "_s.*")
+    if dims and any(g["whole"] for g in masks):  # the sums of a period's groups are added up
+        out = out.withColumns({d: F.when(~F.col("_whole"), F.col(d)) for d in dims}).groupBy(*keys, "name", "kind", "item", "num").agg(F.sum("weight").alias("weight"))
+    return out.select(*keys, "name", "kind", "item", "num", "weight")
+
+
+def _parts(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
+    """State rows that add up by name, item and num: what each metric counts, summed over the rows of ``df``.
+
+    A row of ``df`` becomes one row for each distinct weight of its counters, whose ``bits`` say which ones count it,
+    and one for each item, value or second it adds to other metrics. One aggregation sums these, partly before the
+    shuffle; then bits are taken apart.
+    """
+    masks = _masks(metrics)
+    others = [m for m in metrics if not isinstance(m, Counter)]
+    if not others:
+        return _counted(df, masks, keys, dims)
+    tag = lambda code, item, num, bits, weight: F.struct(F.lit(code).alias("m"), item.cast("string").alias("item"), num.cast("double").alias("num"), bits.cast("bigint").alias("bits"), F.coalesce(weight.cast("bigint"), F.lit(0)).alias("weight"))
+    null, one = F.lit(None), F.lit(1)
+    tags = []
+    for i, g in enumerate(masks):
+        bits = F.lit(0).cast("bigint")
+        for j, m in enumerate(g["metrics"]):
+            if isinstance(m, Counter):
+                bits = bits + (F.lit(1 << j) if m.where is None else F.when(m.where, F.lit(1 << j)).otherwise(F.lit(0))).cast("bigint")
+        t = tag(i, null, null, bits, one if g["weight"] is None else g["weight"])
+        tags.append(t if g["among"] is None else F.when(g["among"], t))
+    for k, m in enumerate(others, len(masks)):
+        if isinstance(m, Cardinality):
+            item, num, weight = m.of(m.item), null, one
+        elif isinstance(m, TopN):
+            item, num, weight = m.of(m.item.cast("string")), null, one if m.weight is None else m.weight
         elif isinstance(m, Quantile):
-            value = m.of(m.value)
-            out.append(F.when(value.isNotNull(), _tag(m, "quantile", num=value)))
+            item, num, weight = null, m.of(m.value), one
         elif isinstance(m, Histogram):
-            bound = m.of(histogram_bound(m.value, m.integer))
-            out.append(F.when(bound.isNotNull(), _tag(m, "histogram", num=bound)))
-        elif isinstance(m, TopN):
-            item = m.of(m.item.cast("string"))
-            out.append(F.when(item.isNotNull(), _tag(m, "topn", item=item, weight=m.weight)))
-        elif isinstance(m, Rate):
-            weight = m.of(F.lit(1) if m.weight is None else m.weight)
-            out.append(F.when(weight.isNotNull(), _tag(m, "rate", num=F.unix_seconds(F.col(ts).cast("timestamp")), weight=weight)))
-    return out
+            item, num, weight = null, m.of(histogram_bound(m.value, m.integer)), one
+        else:
+            item, num, weight = null, F.unix_seconds(F.col(ts).cast("timestamp")), m.of(one if m.weight is None else m.weight)
+        counts = weight if isinstance(m, Rate) else num if isinstance(m, (Quantile, Histogram)) else item
+        tags.append(F.when(counts.isNotNull(), tag(k, item, num, null, weight)))
+    rows = df.select(*keys, F.inline(F.array_compact(F.array(*tags))))
+    whole = [i for i, g in enumerate(masks) if g["whole"]] + [k for k, m in enumerate(others, len(masks)) if m.whole]
+    if whole:
+        rows = rows.withColumns({d: F.when(~F.col("m").isin(whole), F.col(d)) for d in dims})
+    sums = rows.groupBy(*keys, "m", "item", "num", "bits").agg(F.sum("weight").alias("weight"))
+    states = None
+    for i, g in enumerate(masks):
+        each = []
+        for j, m in enumerate(g["metrics"]):
+            if isinstance(m, Counter):
+                each.append(_state(m.name, "counter", weight=F.when(F.col("bits").bitwiseAND(F.lit(1 << j).cast("bigint")) != 0, F.col("weight")).otherwise(F.lit(0))))
+            else:
+                each.append(_state(m.name, "cardinality"))
+        states = F.when(F.col("m") == i, F.array(*each)) if states is None else states.when(F.col("m") == i, F.array(*each))
+    code = F.col("m") - len(masks)
+    named = F.struct(F.get(F.array(*[F.lit(m.name) for m in others]), code).alias("name"), F.get(F.array(*[F.lit(type(m).__name__.lower()) for m in others]), code).alias("kind"), F.col("item"), F.col("num"), F.col("weight"))
+    return sums.select(*keys, F.inline(F.array(named) if states is None else states.otherwise(F.array(named))))
+
+
+def metric_states(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str] = ("period_start", "period_len"), dims: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """The mergeable form of all metrics: ``keys, dims, name, kind, item, num, weight``.
+
+    Weights of equal rows add up, whatever the split of the events: over micro-batches, shards, or periods that become
+    one. A counter is one row; distinct counts and tops have a row an item, quantiles one a value, histograms one a
+    bound, rates one a second. :func:`statistics` reads them.
+    """
+    return add_states(_parts(df, metrics, [*keys, *dims], dims, ts), [*keys, *dims])
+
+
+def add_states(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return states.groupBy(*keys, "name", "kind", "item", "num").agg(F.sum("weight").alias("weight"))
+
 
+def statistics(states: DataFrame, keys: Sequence[str], topn: int = 10, threshold: int = 0, kinds: set[str] | None = None) -> DataFrame:
+    """``keys, name, kind, stat, value`` of state rows, among whose keys are ``period_start`` and ``period_len``.
 
-def _accumulated(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The statistics of all metrics but tops, from their summed tags in order of value (of total, for rates)."""
-    order = F.when(F.col("kind") == "rate", F.col("weight").cast("double")).otherwise(F.col("num"))
-    by = Window.partitionBy(*keys, "kind", "name")
-    upto = by.orderBy("_o", "num", "item").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = sums.withColumn("_o", order).withColumns({
-        "_rank": F.row_number().over(by.orderBy("_o", "num", "item")), "_upto": F.sum("weight").over(upto),
-        "_rows": F.count("*").over(by), "_all": F.sum("weight").over(by), "_items": F.count("item").over(by), "_newest": F.max("num").over(by),
-    })
-    stat = lambda name, value, when: F.when(when, F.struct((F.lit(name) if isinstance(name, str) else name).alias("stat"), value.cast("double").alias("value")))
-    is_ = {k: F.col("kind") == k for k in ("counter", "cardinality", "quantile", "histogram", "rate")}
-    rank, upto, rows, weight, num = (F.col(c) for c in ("_rank", "_upto", "_rows", "weight", "num"))
-    first, last = rank == 1, rank == rows
-    seconds = F.greatest(F.col("period_len"), rows)
-    stats = [stat("value", weight, is_["counter"]), stat("value", F.col("_items"), is_["cardinality"] & last)]
-    for q, p in QUANTILES:
-        at = F.greatest(F.ceil(F.col("_all") * p), F.lit(1))
-        stats.append(stat(q, num, is_["quantile"] & (upto >= at) & (upto - weight < at)))
-        place = F.greatest(F.ceil(seconds * p), F.lit(1)) - (seconds - rows)  # seconds without rows count zero
-        stats += [stat(q, F.lit(0), is_["rate"] & first & (place < 1)), stat(q, weight, is_["rate"] & (rank == place))]
-    stats += [stat("n", F.col("_all"), is_["quantile"] & first), stat("min", num, is_["quantile"] & first), stat("max", num, is_["quantile"] & last)]
-    stats += [stat(num.cast("string"), upto, is_["histogram"]), stat("+Inf", F.col("_all"), is_["histogram"] & last), stat("live", weight, is_["rate"] & (num == F.col("_newest")))]
-    return w.select(*keys, "name", "kind", F.inline(F.array_compact(F.array(*stats))))
-
-
-def _sketched(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str]) -> DataFrame:
-    """Distinct counts and quantiles of mergeable sketches, in one aggregation of bounded state a group."""
-    aggs, rows = [], []
-    one = lambda m, kind, stat, value: F.struct(F.lit(m.name).alias("name"), F.lit(kind).alias("kind"), F.lit(stat).alias("stat"), value.cast("double").alias("value"))
+    Sums, distinct counts, and what is bounded by the period (seconds, histogram bounds) come from one aggregation by
+    metric; tops are ranked and quantiles selected from the summed items and values. ``live``, of rates, is the total of
+    the latest complete second: the one before the newest second there is, if it is in the newest period.
+    """
+    kinds = kinds or {"counter", "cardinality", "topn", "quantile", "histogram", "rate"}
+    # the tests need the sums, so they stay above the aggregation and its shuffle is read again, not made again
+    of = lambda *some: states.where(F.when(F.col("weight").isNotNull(), F.col("kind").isin(*some)))
+    small = sorted(kinds - {"topn"})
+    parts = []
+    if small:
+        source = of(*small) if "topn" in kinds else states
+        aggs = [F.sum("weight").alias("_sum"), F.count("item").alias("_items"), F.min("num").alias("_low"), F.max("num").alias("_high")]
+        paired = {"rate", "histogram"} & kinds
+        if paired:
+            aggs.append(F.array_sort(F.collect_list(F.when(F.col("kind").isin(*paired), F.struct("num", "weight")))).alias("_pairs"))
+        seen = source.groupBy(*keys, "kind", "name").agg(*aggs)
+        one = lambda stat, value: F.struct((F.lit(stat) if isinstance(stat, str) else stat).alias("stat"), value.cast("double").alias("value"))
+        stats = F.when(F.col("kind") == "counter", F.array(one("value", F.col("_sum")))).when(F.col("kind") == "cardinality", F.array(one("value", F.col("_items"))))
+        stats = stats.when(F.col("kind") == "quantile", F.array(one("n", F.col("_sum")), one("min", F.col("_low")), one("max", F.col("_high"))))
+        if "histogram" in kinds:
+            # running counts over at most 486 bounds
+            upto = F.transform("_pairs", lambda x, i: one(x["num"].cast("string"), F.aggregate(F.slice("_pairs", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y["weight"])))
+            stats = stats.when(F.col("kind") == "histogram", F.concat(upto, F.array(one("+Inf", F.col("_sum")))))
+        if "rate" in kinds:
+            clock = seen.where("kind = 'rate'").agg(F.max("_high").alias("_clock"), F.max("period_start").alias("_open"))
+            seen = seen.crossJoin(F.broadcast(clock))  # one row
+            totals = F.array_sort(F.transform("_pairs", lambda x: x["weight"]))
+            rows, seconds = F.size("_pairs"), F.greatest(F.col("period_len"), F.size("_pairs"))
+            marks = []
+            for q, p in QUANTILES:  # seconds without rows count zero
+                place = F.greatest(F.ceil(seconds * p), F.lit(1)) - (seconds - rows)
+                marks.append(one(q, F.when(place < 1, F.lit(0)).otherwise(F.get(totals, (place - 1).cast("int")))))
+            last = F.col("_clock") - 1
+            live = F.coalesce(F.get(F.filter("_pairs", lambda x: x["num"] == last), F.lit(0))["weight"], F.lit(0))
+            open_ = (F.col("period_start") == F.col("_open")) & (last >= F.unix_seconds(F.col("period_start").cast("timestamp")))
+            stats = stats.when(F.col("kind") == "rate", F.array(*marks, one("live", F.when(open_, live))))
+        parts.append(seen.select(*keys, "name", "kind", F.inline(stats)))
+    if "quantile" in kinds:
+        found = percentiles_of(of("quantile"), [*keys, "name"], "num", [p for _, p in QUANTILES], "weight")
+        marks = F.array(*[F.struct(F.lit(q).alias("stat"), F.get("marks", F.lit(i)).cast("double").alias("value")) for i, (q, _) in enumerate(QUANTILES)])
+        parts.append(found.select(*keys, "name", F.lit("quantile").alias("kind"), F.inline(marks)))
+    if "topn" in kinds:
+        ranked = top_n(of("topn") if len(kinds) > 1 else states, [*keys, "name"], "item", "weight", topn, threshold, summed=True)
+        parts.append(ranked.select(*keys, "name", F.lit("topn").alias("kind"), F.col("item").alias("stat"), F.col("estimate").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sketched(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], topn: int = 10) -> DataFrame:
+    """Distinct counts, quantiles and tops of mergeable sketches, in one aggregation of bounded state a group."""
+    aggs, rows, tops = [], [], []
+    one = lambda m, kind, stat, value: F.struct(F.lit(m.name).alias("name"), F.lit(kind).alias("kind"), (F.lit(stat) if isinstance(stat, str) else stat).alias("stat"), value.cast("double").alias("value"))
     for i, m in enumerate(metrics):
         a = f"_a{i}"
         if isinstance(m, Cardinality):
             aggs.append(F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(m.of(m.item))), F.lit(0)).alias(a))
             rows.append(one(m, "cardinality", "value", F.col(a)))
+        elif isinstance(m, TopN):
+            df = df.withColumn(f"_i{i}", m.of(m.item.cast("string")))
+            aggs.append(F.expr(f"approx_top_k(_i{i}, {topn}, {TRACKED}) FILTER (WHERE _i{i} IS NOT NULL)").alias(a))
+            tops.append((m, a))
         else:
             v = m.of(m.value).cast("double")
             aggs += [F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v), F.array(*[F.lit(p) for _, p in QUANTILES])).alias(a), F.count(v).alias(a + "n"), F.min(v).alias(a + "min"), F.max(v).alias(a + "max")]
             rows += [one(m, "quantile", q, F.try_element_at(a, F.lit(j + 1))) for j, (q, _) in enumerate(QUANTILES)]
             rows += [one(m, "quantile", "n", F.when(F.col(a + "n") > 0, F.col(a + "n"))), one(m, "quantile", "min", F.col(a + "min")), one(m, "quantile", "max", F.col(a + "max"))]
-    return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*rows)))
+    each = F.array(*rows) if rows else F.array().cast("array<struct<name:string,kind:string,stat:string,value:double>>")
+    for m, a in tops:
+        each = F.concat(each, F.transform(F.coalesce(a, F.array().cast("array<struct<item:string,count:bigint>>")), lambda t, m=m: one(m, "topn", t["item"], t["count"])))
+    return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(each))
 
 
 def metric_table(df: DataFrame, metrics: Sequence[Metric], *, handler: str, schema: str, policy: str = "default", dims: Sequence[str] = (), topn: int = 10, threshold: int = 0, mode: str = "exact", ts: str = "ts") -> DataFrame:
     """All metrics of ``df`` (with ``period_start``, ``period_len`` and the dimensions) in the long form.
 
-    Mode ``exact`` counts distinct values and takes percentiles exactly; ``sketch`` uses mergeable sketches for both,
-    in one more pass. A metric that is ``whole`` has no dimensions.
+    Mode ``exact`` counts distinct values, ranks items and takes percentiles exactly; ``sketch`` uses mergeable sketches
+    for distinct counts, quantiles and tops of unit weight, in one more pass; ``states`` gives what :func:`metric_states`
+    does, with the labels as ``entries``, for :func:`read_states`. A metric that is ``whole`` has no dimensions.
     """
     if not metrics:
-        return df.sparkSession.createDataFrame([], SCHEMAS["metrics"])
+        return df.sparkSession.createDataFrame([], STATES if mode == "states" else SCHEMAS["metrics"])
     keys = ["period_start", "period_len", *dims]
-    by_sketch = [m for m in metrics if mode == "sketch" and isinstance(m, (Cardinality, Quantile))]
-    tagged = [m for m in metrics if mode != "sketch" or not isinstance(m, (Cardinality, Quantile))]
+    sketched = lambda m: mode == "sketch" and (isinstance(m, (Cardinality, Quantile)) or isinstance(m, TopN) and m.weight is None)
+    by_sketch, exact = [m for m in metrics if sketched(m)], [m for m in metrics if not sketched(m)]
+    entries = F.filter(F.array(*[F.struct(F.lit(d).alias("key"), F.col(d).cast("string").alias("value")) for d in dims]), lambda e: e["value"].isNotNull()) if dims else F.array().cast("array<struct<key:string,value:string>>")
+    named = [F.lit(policy).alias("policy"), F.lit(handler).alias("handler"), F.lit(schema).alias("schema"), "period_start", "period_len"]
+    if mode == "states":
+        return metric_states(df, metrics, dims=dims, ts=ts).select(*named, entries.alias("entries"), "name", "kind", "item", "num", "weight")
     parts: list[DataFrame] = []
-    if tagged:
-        rows = df.select(*keys, F.inline(F.array_compact(F.array(*_tags(tagged, ts)))))
-        rows = rows.withColumns({d: F.when(~F.col("whole"), F.col(d)) for d in dims})
-        sums = rows.groupBy(*keys, "kind", "name", "item", "num").agg(F.sum("weight").alias("weight"))
-        # the partition id keeps the two filters above the aggregation, so that both branches read one shuffle of it
-        branch = lambda is_top: sums.where(F.when(F.spark_partition_id() >= 0, (F.col("kind") == "topn") == is_top))
-        kinds = {isinstance(m, TopN) for m in tagged}
-        if False in kinds:
-            parts.append(_accumulated(branch(False) if True in kinds else sums, keys))
-        if True in kinds:
-            ranked = top_n(branch(True) if False in kinds else sums, [*keys, "name"], "item", "weight", topn, threshold, summed=True)
-            parts.append(ranked.select(*keys, "name", F.lit("topn").alias("kind"), F.col("item").alias("stat"), F.col("estimate").cast("double").alias("value")))
+    if exact:
+        parts.append(statistics(_parts(df, exact, keys, dims, ts), keys, topn, threshold, {type(m).__name__.lower() for m in exact}))
     for whole in (False, True):
         if some := [m for m in by_sketch if m.whole == whole]:
             source = df if some[0].among is None else df.where(some[0].among)
-            parts.append(_sketched(source.withColumns({d: F.lit(None).cast("string") for d in dims}) if whole else source, some, keys))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where("value is not null")
-    entries = F.filter(F.array(*[F.struct(F.lit(d), F.col(d).cast("string")) for d in dims]), lambda e: e["col2"].isNotNull()) if dims else None
-    labels = F.map_from_entries(entries) if dims else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return out.select(F.lit(policy).alias("policy"), F.lit(handler).alias("handler"), F.lit(schema).alias("schema"), "period_start", "period_len", labels.alias("labels"), "name", "kind", "stat", "value")
+            parts.append(_sketched(source.withColumns({d: F.lit(None).cast("string") for d in dims}) if whole else source, some, keys, topn))
+    out = reduce(DataFrame.unionByName, parts).where("value is not null")
+    return out.select(*named, F.map_from_entries(entries).alias("labels"), "name", "kind", "stat", "value")
+
+
+#: The mergeable form of metric tables.
+STATES = "policy string, handler string, schema string, period_start timestamp, period_len bigint, entries array<struct<key:string,value:string>>, name string, kind string, item string, num double, weight bigint"
+STATE_KEYS = ["policy", "handler", "schema", "period_start", "period_len", "entries"]
+
+
+def read_states(states: DataFrame, topn: int = 10, threshold: int = 0) -> DataFrame:
+    """The long form of states that metric tables of mode ``states`` gave, in any number of parts."""
+    out = statistics(add_states(states, STATE_KEYS), STATE_KEYS, topn, threshold).where("value is not null")
+    return out.select(*STATE_KEYS[:-1], F.map_from_entries("entries").alias("labels"), "name", "kind", "stat", "value")
 
 
 def delta_sum(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_max
+from .selection import percentiles_of, same_keys
 
 SECONDS = 60
 
@@ -197,13 +198,17 @@ def period_info(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> Data
 def prior_period_p90(df: DataFrame, value: str, keys: Sequence[str], mode: str = "exact") -> DataFrame:
     """``keys, period_start, slow_mark``: the p90 of the value in the newest earlier period that has one; 0 if none.
 
-    Mode ``exact`` keeps the values of a period's group in one task; ``sketch`` a sketch of bounded size.
+    Mode ``exact`` selects it by ranges (see ``selection``); ``sketch`` from a sketch of bounded size.
     """
-    v = F.col(value)
-    mark = F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY `{value}`)") if mode == "exact" else F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(v.cast("double")), F.lit(0.9))
-    p90 = df.groupBy(*keys, "period_start").agg(mark.alias("p90"))
+    by = [*keys, "period_start"]
+    if mode == "exact":
+        marks = percentiles_of(df, by, value, [0.9]).select(*[F.col(k).alias(f"_{k}") for k in by], F.get("marks", F.lit(0)).alias("p90"))
+        known = df.select(*by).distinct()
+        p90 = known.join(marks, same_keys(by, right="_"), "left").select(*by, "p90")
+    else:
+        p90 = df.groupBy(*by).agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col(value).cast("double")), F.lit(0.9)).alias("p90"))
     before = Window.partitionBy(*keys).orderBy("period_start").rowsBetween(Window.unboundedPreceding, -1)
-    return p90.select(*keys, "period_start", F.coalesce(F.last("p90", ignorenulls=True).over(before), F.lit(0)).alias("slow_mark"))
+    return p90.select(*by, F.coalesce(F.last("p90", ignorenulls=True).over(before), F.lit(0)).alias("slow_mark"))
 
 
 def slow_rows(df: DataFrame, value: str, keys: Sequence[str], mode: str = "exact") -> DataFrame:

@@ -140,8 +140,8 @@ def deep_sampling(spark, sf_dir):
     return _long(out.where("name in ('num_samples', 'num_events', 'total', 'protocol_tcp_syn') or (name = 'payload_size' and stat = 'p90')"))
 
 
-@query(f"""WITH {PACKETS_SQL}, s AS (SELECT period, sec, count(*) AS n, sum(bytes) AS b FROM packets GROUP BY 1, 2)
-SELECT period, 'rates_pps_total' AS name, 'live' AS stat, CAST(arg_max(n, sec) AS DOUBLE) AS value FROM s GROUP BY 1 UNION ALL SELECT period, 'rates_bytes_total', 'live', CAST(arg_max(b, sec) AS DOUBLE) FROM s GROUP BY 1""")
+@query(f"""WITH {PACKETS_SQL}, o AS (SELECT max(sec) - 1 AS last, max(sec) // 60 * 60 AS period FROM packets), s AS (SELECT o.period, count(p.sec) AS n, coalesce(sum(bytes), 0) AS b FROM o LEFT JOIN packets p ON p.sec = o.last WHERE o.last >= o.period GROUP BY 1)
+SELECT period, 'rates_pps_total' AS name, 'live' AS stat, CAST(n AS DOUBLE) AS value FROM s UNION ALL SELECT period, 'rates_bytes_total', 'live', CAST(b AS DOUBLE) FROM s""")
 def live_rates(spark, sf_dir):
     out = h.net_v1(v.packets(spark, sf_dir), h.Options(disable=["all"], event_counts=False))
     return _long(out.where("name in ('rates_pps_total', 'rates_bytes_total') and stat = 'live'"))
