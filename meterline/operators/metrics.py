@@ -166,17 +166,13 @@ def _counted(df: DataFrame, masks: list[dict], keys: Sequence[str], dims: Sequen
     return out.select(*keys, "name", "kind", "item", "num", "weight")
 
 
-def _parts(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
-    """State rows that add up by name, item and num: what each metric counts, summed over the rows of ``df``.
+def _sums(df: DataFrame, masks: list[dict], others: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
+    """``keys, m, item, num, bits, weight``: what each metric, of code ``m``, counts, summed over the rows of ``df``.
 
     A row of ``df`` becomes one row for each distinct weight of its counters, whose ``bits`` say which ones count it,
     and one for each item, value or second it adds to other metrics. One aggregation sums these, partly before the
-    shuffle; then bits are taken apart.
+    shuffle.
     """
-    masks = _masks(metrics)
-    others = [m for m in metrics if not isinstance(m, Counter)]
-    if not others:
-        return _counted(df, masks, keys, dims)
     tag = lambda code, item, num, bits, weight: F.struct(F.lit(code).alias("m"), item.cast("string").alias("item"), num.cast("double").alias("num"), bits.cast("bigint").alias("bits"), F.coalesce(weight.cast("bigint"), F.lit(0)).alias("weight"))
     null, one = F.lit(None), F.lit(1)
     tags = []
@@ -204,21 +200,59 @@ def _parts(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims:
     whole = [i for i, g in enumerate(masks) if g["whole"]] + [k for k, m in enumerate(others, len(masks)) if m.whole]
     if whole:
         rows = rows.withColumns({d: F.when(~F.col("m").isin(whole), F.col(d)) for d in dims})
-    sums = rows.groupBy(*keys, "m", "item", "num", "bits").agg(F.sum("weight").alias("weight"))
-    states = None
+    return rows.groupBy(*keys, "m", "item", "num", "bits").agg(F.sum("weight").alias("weight"))
+
+
+def _bit(j: int) -> Column:
+    return F.when(F.col("bits").bitwiseAND(F.lit(1 << j).cast("bigint")) != 0, F.col("weight")).otherwise(F.lit(0))
+
+
+def _unmasked(sums: DataFrame, masks: list[dict], keys: Sequence[str]) -> DataFrame:
+    """The values of all counters, from sums by mask: added up by key first, taken apart then."""
+    width = max(len(g["metrics"]) for g in masks)
+    # the test needs the sums, so it stays above their aggregation, whose shuffle is read again and not made again
+    rows = sums.where(F.when(F.col("weight").isNotNull(), F.col("bits").isNotNull()))
+    wide = rows.groupBy(*keys, "m").agg(*[F.sum(_bit(j)).alias(f"_c{j}") for j in range(width)])
+    one = lambda m, j: F.struct(F.lit(m.name).alias("name"), F.lit("counter").alias("kind"), F.lit("value").alias("stat"), F.col(f"_c{j}").cast("double").alias("value"))
+    each = [F.array(*[one(m, j) for j, m in enumerate(g["metrics"]) if isinstance(m, Counter)]) for g in masks]
+    return wide.select(*keys, F.inline(F.element_at(F.array(*[e if any(isinstance(m, Counter) for m in g["metrics"]) else F.lit(None).cast("array<struct<name:string,kind:string,stat:string,value:double>>") for e, g in zip(each, masks)]), F.col("m") + 1)))
+
+
+def _states(sums: DataFrame, masks: list[dict], others: Sequence[Metric], keys: Sequence[str], counters: bool = True) -> DataFrame:
+    """State rows that add up by name, item and num. Without ``counters``, masks only show which distinct counts may be 0."""
+    states, kept = None, []
     for i, g in enumerate(masks):
         each = []
         for j, m in enumerate(g["metrics"]):
-            if isinstance(m, Counter):
-                each.append(_state(m.name, "counter", weight=F.when(F.col("bits").bitwiseAND(F.lit(1 << j).cast("bigint")) != 0, F.col("weight")).otherwise(F.lit(0))))
-            else:
+            if not isinstance(m, Counter):
                 each.append(_state(m.name, "cardinality"))
-        states = F.when(F.col("m") == i, F.array(*each)) if states is None else states.when(F.col("m") == i, F.array(*each))
+            elif counters:
+                each.append(_state(m.name, "counter", weight=_bit(j)))
+        if each:
+            kept.append(i)
+            states = F.when(F.col("m") == i, F.array(*each)) if states is None else states.when(F.col("m") == i, F.array(*each))
+    if len(kept) < len(masks):
+        sums = sums.where(F.when(F.col("weight").isNotNull(), (F.col("m") >= len(masks)) | F.col("m").isin(kept)))
     code = F.col("m") - len(masks)
     named = F.struct(F.get(F.array(*[F.lit(m.name) for m in others]), code).alias("name"), F.get(F.array(*[F.lit(type(m).__name__.lower()) for m in others]), code).alias("kind"), F.col("item"), F.col("num"), F.col("weight"))
     return sums.select(*keys, F.inline(F.array(named) if states is None else states.otherwise(F.array(named))))
 
 
+def _parts(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
+    masks, others = _masks(metrics), [m for m in metrics if not isinstance(m, Counter)]
+    return _states(_sums(df, masks, others, keys, dims, ts), masks, others, keys) if others else _counted(df, masks, keys, dims)
+
+
+def _exact(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str, topn: int, threshold: int) -> DataFrame:
+    """The statistics of all metrics, straight from the sums."""
+    masks, others = _masks(metrics), [m for m in metrics if not isinstance(m, Counter)]
+    if not others:
+        return _counted(df, masks, keys, dims).select(*keys, "name", "kind", F.lit("value").alias("stat"), F.col("weight").cast("double").alias("value"))
+    sums = _sums(df, masks, others, keys, dims, ts)
+    rest = statistics(_states(sums, masks, others, keys, counters=False), keys, topn, threshold, {type(m).__name__.lower() for m in others})
+    return rest if len(others) == len(metrics) else rest.unionByName(_unmasked(sums, masks, keys))
+
+
 def metric_states(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str] = ("period_start", "period_len"), dims: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """The mergeable form of all metrics: ``keys, dims, name, kind, item, num, weight``.
 
@@ -242,43 +276,40 @@ def statistics(states: DataFrame, keys: Sequence[str], topn: int = 10, threshold
     """
     kinds = kinds or {"counter", "cardinality", "topn", "quantile", "histogram", "rate"}
     # the tests need the sums, so they stay above the aggregation and its shuffle is read again, not made again
-    of = lambda *some: states.where(F.when(F.col("weight").isNotNull(), F.col("kind").isin(*some)))
-    small = sorted(kinds - {"topn"})
+    of = lambda *some: states if kinds <= {*some} else states.where(F.when(F.col("weight").isNotNull(), F.col("kind").isin(*some)))
+    one = lambda stat, value: F.struct((F.lit(stat) if isinstance(stat, str) else stat).alias("stat"), value.cast("double").alias("value"))
     parts = []
-    if small:
-        source = of(*small) if "topn" in kinds else states
-        aggs = [F.sum("weight").alias("_sum"), F.count("item").alias("_items"), F.min("num").alias("_low"), F.max("num").alias("_high")]
-        paired = {"rate", "histogram"} & kinds
-        if paired:
-            aggs.append(F.array_sort(F.collect_list(F.when(F.col("kind").isin(*paired), F.struct("num", "weight")))).alias("_pairs"))
-        seen = source.groupBy(*keys, "kind", "name").agg(*aggs)
-        one = lambda stat, value: F.struct((F.lit(stat) if isinstance(stat, str) else stat).alias("stat"), value.cast("double").alias("value"))
+    if plain := sorted(kinds & {"counter", "cardinality", "quantile"}):
+        seen = of(*plain).groupBy(*keys, "kind", "name").agg(F.sum("weight").alias("_sum"), F.count("item").alias("_items"), F.min("num").alias("_low"), F.max("num").alias("_high"))
         stats = F.when(F.col("kind") == "counter", F.array(one("value", F.col("_sum")))).when(F.col("kind") == "cardinality", F.array(one("value", F.col("_items"))))
-        stats = stats.when(F.col("kind") == "quantile", F.array(one("n", F.col("_sum")), one("min", F.col("_low")), one("max", F.col("_high"))))
-        if "histogram" in kinds:
-            # running counts over at most 486 bounds
-            upto = F.transform("_pairs", lambda x, i: one(x["num"].cast("string"), F.aggregate(F.slice("_pairs", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y["weight"])))
-            stats = stats.when(F.col("kind") == "histogram", F.concat(upto, F.array(one("+Inf", F.col("_sum")))))
+        stats = stats.otherwise(F.array(one("n", F.col("_sum")), one("min", F.col("_low")), one("max", F.col("_high"))))
+        parts.append(seen.select(*keys, "name", "kind", F.inline(stats)))
+    if paired := sorted(kinds & {"rate", "histogram"}):
+        seen = of(*paired).groupBy(*keys, "kind", "name").agg(F.array_sort(F.collect_list(F.struct("num", "weight"))).alias("_pairs"))
+        seen = seen.withColumn("_totals", F.array_sort("_pairs.weight"))
+        # running counts over at most 486 bounds
+        upto = F.transform("_pairs", lambda x, i: one(x["num"].cast("string"), F.aggregate(F.slice("_pairs", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda a, y: a + y["weight"])))
+        stats = F.when(F.col("kind") == "histogram", F.concat(upto, F.array(one("+Inf", F.aggregate("_totals", F.lit(0).cast("bigint"), lambda a, y: a + y)))))
         if "rate" in kinds:
-            clock = seen.where("kind = 'rate'").agg(F.max("_high").alias("_clock"), F.max("period_start").alias("_open"))
+            clock = of("rate").where("kind = 'rate'").agg(F.max("num").alias("_clock"), F.max("period_start").alias("_open"))
             seen = seen.crossJoin(F.broadcast(clock))  # one row
-            totals = F.array_sort(F.transform("_pairs", lambda x: x["weight"]))
-            rows, seconds = F.size("_pairs"), F.greatest(F.col("period_len"), F.size("_pairs"))
+            rows = F.size("_pairs")
+            seconds = F.greatest(F.col("period_len"), rows)
             marks = []
             for q, p in QUANTILES:  # seconds without rows count zero
                 place = F.greatest(F.ceil(seconds * p), F.lit(1)) - (seconds - rows)
-                marks.append(one(q, F.when(place < 1, F.lit(0)).otherwise(F.get(totals, (place - 1).cast("int")))))
+                marks.append(one(q, F.when(place < 1, F.lit(0)).otherwise(F.get("_totals", (place - 1).cast("int")))))
             last = F.col("_clock") - 1
             live = F.coalesce(F.get(F.filter("_pairs", lambda x: x["num"] == last), F.lit(0))["weight"], F.lit(0))
             open_ = (F.col("period_start") == F.col("_open")) & (last >= F.unix_seconds(F.col("period_start").cast("timestamp")))
-            stats = stats.when(F.col("kind") == "rate", F.array(*marks, one("live", F.when(open_, live))))
+            stats = stats.otherwise(F.array(*marks, one("live", F.when(open_, live))))
         parts.append(seen.select(*keys, "name", "kind", F.inline(stats)))
     if "quantile" in kinds:
         found = percentiles_of(of("quantile"), [*keys, "name"], "num", [p for _, p in QUANTILES], "weight")
         marks = F.array(*[F.struct(F.lit(q).alias("stat"), F.get("marks", F.lit(i)).cast("double").alias("value")) for i, (q, _) in enumerate(QUANTILES)])
         parts.append(found.select(*keys, "name", F.lit("quantile").alias("kind"), F.inline(marks)))
     if "topn" in kinds:
-        ranked = top_n(of("topn") if len(kinds) > 1 else states, [*keys, "name"], "item", "weight", topn, threshold, summed=True)
+        ranked = top_n(of("topn"), [*keys, "name"], "item", "weight", topn, threshold, summed=True)
         parts.append(ranked.select(*keys, "name", F.lit("topn").alias("kind"), F.col("item").alias("stat"), F.col("estimate").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -325,7 +356,7 @@ def metric_table(df: DataFrame, metrics: Sequence[Metric], *, handler: str, sche
         return metric_states(df, metrics, dims=dims, ts=ts).select(*named, entries.alias("entries"), "name", "kind", "item", "num", "weight")
     parts: list[DataFrame] = []
     if exact:
-        parts.append(statistics(_parts(df, exact, keys, dims, ts), keys, topn, threshold, {type(m).__name__.lower() for m in exact}))
+        parts.append(_exact(df, exact, keys, dims, ts, topn, threshold))
     for whole in (False, True):
         if some := [m for m in by_sketch if m.whole == whole]:
             source = df if some[0].among is None else df.where(some[0].among)

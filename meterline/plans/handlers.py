@@ -23,6 +23,7 @@ from ..operators.lookup import asn_lookup, enrich_devices, geo_lookup, join_serv
 from ..operators.metrics import Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, among, clamped_running_total, delta_sum, metric_table
 from ..operators.pairing import match_leases, match_probes, pair_transactions, propagate_query_filter, purge_timeouts
 from ..operators.periods import as_one, assign_periods, merged_periods, slow_rows
+from ..storage import written
 
 
 @dataclass
@@ -221,8 +222,15 @@ def dns_transactions(dns: DataFrame, o: Options | None = None, d: Dimensions | N
 def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
     """DNS transactions by direction."""
     o, d = o or Options(), d or Dimensions()
+    rows = written(dns_transactions(messages, o, d, ttl_ms).withColumn("slow_us", F.when(F.col("counted"), F.col("elapsed_us"))), "transactions")
+    return dns_metrics(rows, o)
+
+
+def dns_metrics(rows: DataFrame, o: Options) -> DataFrame:
+    """The metrics of paired DNS rows (see :func:`dns_transactions`)."""
     groups = metric_groups("dns", o.enable, o.disable)
-    rows = slow_rows(dns_transactions(messages, o, d, ttl_ms).withColumn("slow_us", F.when(F.col("counted"), F.col("elapsed_us"))), "slow_us", ["xact_dir"], o.mode)
+    if "xact_times" in groups:
+        rows = slow_rows(rows, "slow_us", ["xact_dir"], o.mode)
     deep, rcode, qname = F.col("deep"), F.col("rcode"), F.col("qname_lower")
     nodata = (rcode == 0) & (F.coalesce(F.col("answer_count"), F.lit(0)) == 0)
     ecs = F.col("query_ecs").isNotNull()
@@ -237,7 +245,7 @@ def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = No
         TopN("top_qname2_xacts", "top_qnames", deep, F.col("names.qname2")), TopN("top_qname3_xacts", "top_qnames", deep & (F.col("names.qname3") != ""), F.col("names.qname3")),
         *[TopN(f"top_{n}_xacts", "top_rcodes", deep & w, qname) for n, w in (("nxdomain", rcode == 3), ("refused", rcode == 5), ("srvfail", rcode == 2), ("nodata", nodata), ("noerror", rcode == 0))],
         TopN("top_response_bytes", "top_size", deep, qname, F.col("bytes")), TopN("top_udp_ports_xacts", "top_ports", deep & (F.col("metric_port") > 0), F.col("metric_port")),
-        TopN("top_qtype_xacts", "top_qtypes", deep, qtype_name(F.col("qtype"))), TopN("top_rcode_xacts", "top_rcodes", deep, rcode_name(rcode)), TopN("top_slow_xacts", "xact_times", deep & F.col("is_slow"), qname),
+        TopN("top_qtype_xacts", "top_qtypes", deep, qtype_name(F.col("qtype"))), TopN("top_rcode_xacts", "top_rcodes", deep, rcode_name(rcode)), *([TopN("top_slow_xacts", "xact_times", deep & F.col("is_slow"), qname)] if "xact_times" in groups else []),
     ]
     late = [Counter("orphan_responses", "counters", F.col("status") == "orphan"), Counter("filtered_packets", "counters", weight=F.col("filtered"), whole=True), Counter("observed_packets", whole=True)]
     out = _table(rows, _on([*among(F.col("counted"), metrics), *late], groups), o, "dns", "dns", ["xact_dir"])
@@ -268,14 +276,19 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
         TopN("top_qtype", None, deep, qtype_name(F.col("qtype"))), TopN("top_rcode", None, deep & reply, rcode_name(rcode)), Rate("rates_total"),
     ]
     out = _table(df, [*_on(among(F.col("keep"), metrics), groups), wire("filtered", ~F.col("keep"))], o, "dns", "dns")
-    paired = _purged(pair_transactions(kept, _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"]), df, ttl_ms)
-    valid = slow_rows(paired.where("is_response and status = 'valid'"), "elapsed_us", ["xact_dir"], o.mode).withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
+    if not {"dns_transaction", "quantiles", "histograms"} & groups:
+        return out
+    paired = written(_purged(pair_transactions(kept, _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"]), df, ttl_ms), "transactions")
+    valid = paired.where("is_response and status = 'valid'")
+    if "dns_transaction" in groups:
+        valid = slow_rows(valid, "elapsed_us", ["xact_dir"], o.mode)
+    valid = valid.withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
     went, came, t = F.col("xact_dir") == "out", F.col("xact_dir") == "in", F.col("elapsed_us")
     pairs: list[Metric] = [
         Counter("xact_counts_total", "dns_transaction"), Counter("xact_in_total", "dns_transaction", came), Counter("xact_out_total", "dns_transaction", went),
         Quantile("xact_out_quantiles_us", "quantiles", deep & went, t), Quantile("xact_in_quantiles_us", "quantiles", deep & came, t), Histogram("xact_out_histogram_us", "histograms", deep & went, t), Histogram("xact_in_histogram_us", "histograms", deep & came, t),
         Quantile("xact_ratio_quantiles", "quantiles", deep, F.col("ratio")),
-        TopN("xact_in_top_slow", "dns_transaction", deep & came & F.col("is_slow"), F.col("qname")), TopN("xact_out_top_slow", "dns_transaction", deep & went & F.col("is_slow"), F.col("qname")),
+        *([TopN(f"xact_{n}_top_slow", "dns_transaction", deep & way & F.col("is_slow"), F.col("qname")) for n, way in (("in", came), ("out", went))] if "dns_transaction" in groups else []),
     ]
     pairs = _on(pairs, groups)
     if pairs:

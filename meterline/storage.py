@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -24,3 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/meterline-{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table of the shared folder: computed once however many plans read it, and safe from lost executors."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
