@@ -333,8 +333,9 @@ def _sketched(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], top
             rows += [one(m, "quantile", q, F.try_element_at(a, F.lit(j + 1))) for j, (q, _) in enumerate(QUANTILES)]
             rows += [one(m, "quantile", "n", F.when(F.col(a + "n") > 0, F.col(a + "n"))), one(m, "quantile", "min", F.col(a + "min")), one(m, "quantile", "max", F.col(a + "max"))]
     each = F.array(*rows) if rows else F.array().cast("array<struct<name:string,kind:string,stat:string,value:double>>")
+    listed = lambda m, a: F.transform(F.coalesce(a, F.array().cast("array<struct<item:string,count:bigint>>")), lambda t: one(m, "topn", t["item"], t["count"]))
     for m, a in tops:
-        each = F.concat(each, F.transform(F.coalesce(a, F.array().cast("array<struct<item:string,count:bigint>>")), lambda t, m=m: one(m, "topn", t["item"], t["count"])))
+        each = F.concat(each, listed(m, a))
     return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(each))
 
 

@@ -130,6 +130,39 @@ def heartbeat(df: DataFrame, ts: str = "ts", *, stream: str, every: int = 30) ->
     return span.select(stream, F.explode(F.sequence("a", "b", F.expr(f"interval {every} seconds"))).alias(ts), F.lit(True).alias("is_tick"))
 
 
+def seconds_of(df: DataFrame, stream: str, ts: str = "ts") -> DataFrame:
+    """``k, s, n``: the number of events of each stream and second that has some."""
+    return df.where(F.col(ts).isNotNull()).groupBy(F.col(stream).alias("k"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("s")).agg(F.count("*").alias("n"))
+
+
+def with_ticks(taken: DataFrame, known: DataFrame, last: Column, every: int) -> DataFrame:
+    """``taken`` (``k, s, n``) with a second of no events at each tick of each stream: every so many seconds from its
+    ``first``, those after ``until`` (both in ``known``, by ``k``) up to ``last``."""
+    begin = F.col("first") + F.ceil((F.col("until") + 1 - F.col("first")) / every) * every
+    ticks = known.where(begin <= last).select("k", F.explode(F.sequence(begin, last, F.lit(every).cast("bigint"))).alias("s"), F.lit(0).cast("bigint").alias("n"))
+    return taken.unionByName(ticks).groupBy("k", "s").agg(F.sum("n").alias("n"))
+
+
+def activity_counts(taken: DataFrame, seconds: int = SECONDS) -> DataFrame:
+    """``k, start, next, n``: the activity periods of seconds with events or ticks, in event time, and their events."""
+    starts = activity_starts(taken, ["k"], "s", seconds).select("_k", "start")
+    n = nearest_start(taken, "s", starts, "k", after=False).groupBy("k", "start").agg(F.sum("n").alias("n"))
+    return n.withColumn("next", F.lead("start").over(Window.partitionBy("k").orderBy("start")))
+
+
+def clock_periods(df: DataFrame, stream: str, ts: str = "ts", *, every: int = 30, seconds: int = SECONDS) -> DataFrame:
+    """``stream, period_start, num_events`` of activity periods that the clock closes too.
+
+    A clock ticks every so many seconds from each stream's first event to the newest event of all, and a tick opens a
+    period as an event does; so a stream that falls silent gets its empty periods.
+    """
+    taken = seconds_of(df, stream, ts)
+    known = taken.groupBy("k").agg(F.min("s").alias("first")).withColumn("until", F.col("first") - 1)
+    newest = taken.agg(F.max("s").alias("last"))
+    out = activity_counts(with_ticks(taken, known.crossJoin(F.broadcast(newest)), F.col("last"), every), seconds)  # one row
+    return out.select(F.col("k").alias(stream), F.timestamp_seconds("start").alias("period_start"), F.col("n").alias("num_events"))
+
+
 def period_rank(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``period``: 0 for the newest period of its keys, 1 for the one before, and so on.
 

@@ -173,7 +173,8 @@ def from_dnstap(messages: DataFrame) -> DataFrame:
     )
 
 
-def _dns_rows(dns: DataFrame, o: Options, d: Dimensions) -> DataFrame:
+def dns_rows(dns: DataFrame, o: Options, d: Dimensions) -> DataFrame:
+    """DNS messages with ports, sides, places, periods and the deep flag."""
     df = dns
     if "metric_port" not in df.columns:
         df = df.withColumn("metric_port", metric_port(F.col("src_port"), F.col("dst_port"))).where("metric_port is not null")
@@ -189,15 +190,16 @@ _CARRY = ["bytes", "cd", "ecs", "ecs_location", "ecs_asn", "ts"]
 _SLOT = ["stream", "xact_dir", "flow_key", "txid"]
 
 
-def _purged(paired: DataFrame, rows: DataFrame, ttl_ms: int) -> DataFrame:
-    """Paired rows with what period shifts purge: ``timed_out_start`` is the period in which a row counts as a timeout.
+def _late(purged: DataFrame) -> DataFrame:
+    """``timed_out_start``, the period in which a row counts as a timeout: a purged query in the one that the shift opens
+    (``opened``), a late response in its own."""
+    return purged.withColumn("timed_out_start", F.when(F.col("status") == "purged", F.col("opened")).when(F.col("status") == "timed_out", F.col("period_start")))
+
 
-    A shift happens at the first event of a period; a purged query counts in the period that the shift opens, a late
-    response in its own.
-    """
+def _purged(paired: DataFrame, rows: DataFrame, ttl_ms: int) -> DataFrame:
+    """Paired rows with what period shifts purge. A shift happens at the first event of a period."""
     shifts = rows.groupBy("stream", "period_start").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("start"))
-    out = purge_timeouts(paired, shifts.select(F.col("stream").alias("_stream"), "start", F.col("period_start").alias("opened")), _SLOT, "is_response", ttl_ms=ttl_ms, stream="stream")
-    return out.withColumn("timed_out_start", F.when(F.col("status") == "purged", F.col("opened")).when(F.col("status") == "timed_out", F.col("period_start")))
+    return _late(purge_timeouts(paired, shifts.select(F.col("stream").alias("_stream"), "start", F.col("period_start").alias("opened")), _SLOT, "is_response", ttl_ms=ttl_ms, stream="stream"))
 
 
 def _timeouts(rows: DataFrame) -> DataFrame:
@@ -210,11 +212,18 @@ def _timeouts(rows: DataFrame) -> DataFrame:
 def dns_transactions(dns: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
     """DNS rows with their pairing: status, elapsed_us, counted, filtered, and the query's columns on responses."""
     o, d = o or Options(), d or Dimensions()
-    flt = from_options(DnsFilter, o.filters)
-    df = _dns_rows(dns, o, d)
-    out = propagate_query_filter(df, flt.keep(), _SLOT, "is_response", ttl_ms=ttl_ms, carry=_CARRY)
-    out = _purged(out, df, ttl_ms).withColumn("counted", F.col("counted") & (F.col("status") == "valid"))
-    names = aggregate_domain(F.col("qname_lower"), flt.suffix_size())
+    df = dns_rows(dns, o, d)
+    return dns_finished(_purged(dns_paired(df, o, ttl_ms), df, ttl_ms), o)
+
+
+def dns_paired(rows: DataFrame, o: Options, ttl_ms: int = 5000) -> DataFrame:
+    return propagate_query_filter(rows, from_options(DnsFilter, o.filters).keep(), _SLOT, "is_response", ttl_ms=ttl_ms, carry=_CARRY)
+
+
+def dns_finished(purged: DataFrame, o: Options) -> DataFrame:
+    """What metrics need of paired and purged rows."""
+    names = aggregate_domain(F.col("qname_lower"), from_options(DnsFilter, o.filters).suffix_size())
+    out = purged.withColumn("counted", F.col("counted") & (F.col("status") == "valid")).withColumn("slow_us", F.when(F.col("counted"), F.col("elapsed_us")))
     return out.withColumn("names", names).withColumn("ratio", response_ratio(F.col("bytes"), F.col("query_bytes")))
 
 
@@ -222,14 +231,15 @@ def dns_transactions(dns: DataFrame, o: Options | None = None, d: Dimensions | N
 def dns(messages: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
     """DNS transactions by direction."""
     o, d = o or Options(), d or Dimensions()
-    rows = written(dns_transactions(messages, o, d, ttl_ms).withColumn("slow_us", F.when(F.col("counted"), F.col("elapsed_us"))), "transactions")
+    rows = written(dns_transactions(messages, o, d, ttl_ms), "transactions")
     return dns_metrics(rows, o)
 
 
 def dns_metrics(rows: DataFrame, o: Options) -> DataFrame:
     """The metrics of paired DNS rows (see :func:`dns_transactions`)."""
     groups = metric_groups("dns", o.enable, o.disable)
-    if "xact_times" in groups:
+    slow = "xact_times" in groups and o.mode != "states"  # the mark of a period comes from the whole period before
+    if slow:
         rows = slow_rows(rows, "slow_us", ["xact_dir"], o.mode)
     deep, rcode, qname = F.col("deep"), F.col("rcode"), F.col("qname_lower")
     nodata = (rcode == 0) & (F.coalesce(F.col("answer_count"), F.lit(0)) == 0)
@@ -245,7 +255,7 @@ def dns_metrics(rows: DataFrame, o: Options) -> DataFrame:
         TopN("top_qname2_xacts", "top_qnames", deep, F.col("names.qname2")), TopN("top_qname3_xacts", "top_qnames", deep & (F.col("names.qname3") != ""), F.col("names.qname3")),
         *[TopN(f"top_{n}_xacts", "top_rcodes", deep & w, qname) for n, w in (("nxdomain", rcode == 3), ("refused", rcode == 5), ("srvfail", rcode == 2), ("nodata", nodata), ("noerror", rcode == 0))],
         TopN("top_response_bytes", "top_size", deep, qname, F.col("bytes")), TopN("top_udp_ports_xacts", "top_ports", deep & (F.col("metric_port") > 0), F.col("metric_port")),
-        TopN("top_qtype_xacts", "top_qtypes", deep, qtype_name(F.col("qtype"))), TopN("top_rcode_xacts", "top_rcodes", deep, rcode_name(rcode)), *([TopN("top_slow_xacts", "xact_times", deep & F.col("is_slow"), qname)] if "xact_times" in groups else []),
+        TopN("top_qtype_xacts", "top_qtypes", deep, qtype_name(F.col("qtype"))), TopN("top_rcode_xacts", "top_rcodes", deep, rcode_name(rcode)), *([TopN("top_slow_xacts", "xact_times", deep & F.col("is_slow"), qname)] if slow else []),
     ]
     late = [Counter("orphan_responses", "counters", F.col("status") == "orphan"), Counter("filtered_packets", "counters", weight=F.col("filtered"), whole=True), Counter("observed_packets", whole=True)]
     out = _table(rows, _on([*among(F.col("counted"), metrics), *late], groups), o, "dns", "dns", ["xact_dir"])
@@ -259,7 +269,7 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
     o, d = o or Options(), d or Dimensions()
     o = replace(o, filters={**o.filters, "version": 1})
     groups, flt = metric_groups("dns_v1", o.enable, o.disable), from_options(DnsFilter, o.filters)
-    df = _dns_rows(messages, o, d).withColumn("keep", F.coalesce(flt.keep(), F.lit(False))).withColumn("names", aggregate_domain(F.col("qname_lower"), flt.suffix_size()))
+    df = dns_rows(messages, o, d).withColumn("keep", F.coalesce(flt.keep(), F.lit(False))).withColumn("names", aggregate_domain(F.col("qname_lower"), flt.suffix_size()))
     kept = df.where("keep")
     deep, rcode, qname, reply = F.col("deep"), F.col("rcode"), F.col("qname_lower"), F.col("is_response")
     nodata = reply & (rcode == 0) & (F.coalesce(F.col("answer_count"), F.lit(0)) == 0)

@@ -9,11 +9,12 @@ from ..functions import codes, dns as names, flow as flowfn
 from ..operators import filters, lookup, merging, metrics as m, periods
 from ..sources import readers
 from ..storage import new_path
-from ..streaming import live
+from ..streaming import batches, live
+from ..streaming import handlers as live_handlers
 from . import handlers as h
 from . import reports
 from . import views as v
-from .queries import TTL, _epoch, _long, _minute, query
+from .queries import _NET, _TIMEOUTS, ORACLE_SQL, TTL, _epoch, _long, _minute, query
 from .views import DNS_PURGED_SQL, DNS_SQL, FLOWS_SQL, PACKETS_SQL
 
 
@@ -339,23 +340,142 @@ def _streamed(rows: DataFrame, tag: str, **schema) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).parquet(_written(rows, tag))
 
 
-@query("WITH " + DNS_SQL.format(ttl=TTL) + " SELECT txid, epoch_us(ts) AS at, status, elapsed_us FROM x WHERE is_response")
+#: Seconds that events of the streams below may be late.
+LATE = 7200
+
+
+def _arriving(rows: DataFrame, tag: str, files: int = 6, key: str = "seq") -> DataFrame:
+    """A table as a stream of files that arrive one by one, in order of time, but that a third of the rows of the last
+    hour and a half of each file comes with the next one."""
+    out = new_path(rows.sparkSession, tag)
+    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(sec), F.max(sec)).first()
+    width = (high - low) // files + 1
+    late = ((sec - low) % width >= width - 5400) & (F.pmod(F.xxhash64(key), F.lit(3)) == 0)
+    arrives = F.least(F.floor((sec - low) / width) + late.cast("int"), F.lit(files - 1))
+    for i in range(files):
+        rows.where(arrives == i).coalesce(1).write.mode("append").parquet(out)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(out)
+
+
+def _streamed_handler(spark, rows: DataFrame, handler: str, o: h.Options, **more) -> DataFrame:
+    """A handler over a stream of arriving files, compacted half way, and closed."""
+    folder, stream = new_path(spark, "stream"), _arriving(rows, "live")
+    live_handlers.live_handler(stream, handler, folder, o, **more).awaitTermination()
+    live_handlers.compact(spark, folder)
+    live_handlers.close_handler(spark, handler, folder, rows.schema, o, **more)
+    return live_handlers.live_metrics(spark, folder, o)
+
+
+@query(ORACLE_SQL["net_counters_by_minute"] + " UNION ALL " + ORACLE_SQL["net_top_ips"].replace("WITH ", "SELECT * FROM (WITH ", 1) + ")")
+def stream_net(spark, sf_dir):
+    """The packets as a stream of files with late rows: what the batch handler gives."""
+    o = h.Options(disable=["all"], enable=["counters", "cardinality", "top_ips"], event_counts=False)
+    out = _streamed_handler(spark, v.packets(spark, sf_dir), "net", o)
+    return _long(out.where((F.col("name").isin(_NET) & F.col("labels")["dir"].isNotNull()) | F.col("name").rlike("^(cardinality|top_ipv)")), "dir")
+
+
+@query(ORACLE_SQL["dns_counters"] + " UNION ALL SELECT * FROM (WITH " + DNS_PURGED_SQL.format(ttl=TTL) + " " + _TIMEOUTS.format(name="timeout_queries") + ") UNION ALL SELECT * FROM (" + ORACLE_SQL["dns_top_qnames"] + ")")
+def stream_dns(spark, sf_dir):
+    """DNS messages as a stream of files with late rows: transactions, timeouts at period shifts, and top names."""
+    o = h.Options(disable=["all"], enable=["counters", "top_qnames"], event_counts=False)
+    out = _streamed_handler(spark, v.dns(spark, sf_dir), "dns", o, ttl_ms=TTL * 1000, delay_s=LATE)
+    wanted = ["xacts", "udp_xacts", "tcp_xacts", "nxdomain_xacts", "noerror_xacts", "nodata_xacts", "checking_disabled_xacts", "orphan_responses", "timeout_queries"]
+    return _long(out.where(F.col("name").isin(wanted) | F.col("name").like("top_qname%")))
+
+
+@query("WITH " + DNS_PURGED_SQL.format(ttl=TTL) + " SELECT seq, txid, epoch_us(ts) AS at, status, CASE WHEN status NOT IN ('orphan', 'purged') THEN elapsed_us END AS elapsed_us, CASE WHEN gone THEN opened END AS opened FROM (SELECT y.*, zp.opened, zp.gone FROM y JOIN (SELECT seq AS s2, opened, gone FROM zp) zp ON y.seq = zp.s2)".replace("y.*, zp.opened, zp.gone", "y.* EXCLUDE (opened, gone), zp.opened, zp.gone"))
 def stream_pairs(spark, sf_dir):
-    """The events as a stream: what became of each response."""
-    d = v.dns(spark, sf_dir).select("txid", "ts", "seq", "is_response")
-    out = new_path(spark, "stream")
-    live.write_rollups(live.pair_stream(_streamed(d, "live"), ["txid"], "is_response", ttl_ms=TTL * 1000), out + "/rows", out + "/progress").awaitTermination()
-    return spark.read.parquet(out + "/rows").where("status != 'purged'").select("txid", F.unix_micros("ts").alias("at"), "status", "elapsed_us")
+    """The events as a stream of files with late rows: what became of each request and response."""
+    d = v.dns(spark, sf_dir).select("stream", "txid", "ts", "seq", "is_response")
+    folder, step = new_path(spark, "stream"), batches.pair_step(["txid"], "is_response", ttl_ms=TTL * 1000, delay_s=LATE)
+    batches.run_batches(_arriving(d, "live"), step, folder).awaitTermination()
+    batches.close(spark, folder, step, d.schema)
+    out = batches.results(spark, folder, "paired")
+    return out.select("seq", "txid", F.unix_micros("ts").alias("at"), "status", "elapsed_us", F.when(F.col("status") == "purged", F.unix_seconds("opened")).alias("opened"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, max(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY event_id) AS high FROM events),
-st AS (SELECT event_type, min(high) AS start FROM e GROUP BY 1 UNION ALL SELECT st.event_type, (SELECT min(high) FROM e WHERE e.event_type = st.event_type AND e.high >= st.start + 3600) FROM st WHERE st.start IS NOT NULL)
-SELECT event_type, start AS period FROM st WHERE start IS NOT NULL""")
-def stream_activity(spark, sf_dir):
+_STARTS = """st AS (SELECT event_type, min(s) AS start FROM e GROUP BY 1 UNION ALL SELECT st.event_type, (SELECT min(s) FROM e WHERE e.event_type = st.event_type AND e.s >= st.start + 3600) FROM st WHERE st.start IS NOT NULL),
+z AS (SELECT event_type, start, lead(start) OVER (PARTITION BY event_type ORDER BY start) AS nxt FROM st WHERE start IS NOT NULL)
+SELECT z.event_type, z.start AS period, CAST(coalesce(sum(e.n), 0) AS BIGINT) AS num_events FROM z JOIN e ON e.event_type = z.event_type AND e.s >= z.start AND (z.nxt IS NULL OR e.s < z.nxt) GROUP BY 1, 2"""
+_SECONDS = "SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1, 2"
+_TICKS = f"""WITH RECURSIVE o AS ({_SECONDS}), m AS (SELECT event_type, min(s) AS a, (SELECT max(s) FROM o) AS b FROM o GROUP BY 1),
+e AS (SELECT event_type, s, sum(n) AS n FROM (SELECT * FROM o UNION ALL SELECT event_type, unnest(range(a, b + 1, 1800)), 0 FROM m) GROUP BY 1, 2), """
+
+
+def _activity(spark, sf_dir, tick_s: int | None = None) -> DataFrame:
     e = v.table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    out = new_path(spark, "stream")
-    live.write_rollups(live.activity_stream(_streamed(e.coalesce(1), "live"), "event_type", seq="event_id", seconds=3600), out + "/rows", out + "/progress").awaitTermination()
-    return spark.read.parquet(out + "/rows").select("event_type", _epoch())
+    folder, step = new_path(spark, "stream"), batches.activity_step("event_type", seconds=3600, delay_s=LATE, tick_s=tick_s)
+    batches.run_batches(_arriving(e, "live", 10, "event_id"), step, folder).awaitTermination()
+    batches.close(spark, folder, step, e.schema)
+    return batches.results(spark, folder, "periods").select("event_type", _epoch(), "num_events")
+
+
+@query(f"WITH RECURSIVE e AS ({_SECONDS}), {_STARTS}")
+def stream_activity(spark, sf_dir):
+    """Activity periods of a stream of ten files with late rows."""
+    return _activity(spark, sf_dir)
+
+
+@query(_TICKS + _STARTS)
+def clock_periods(spark, sf_dir):
+    """Activity periods that the clock closes too: silent times have empty periods."""
+    e = v.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return periods.clock_periods(e, "event_type", every=1800, seconds=3600).select("event_type", _epoch(), "num_events")
+
+
+@query(_TICKS + _STARTS)
+def stream_clock_periods(spark, sf_dir):
+    """The same of a stream of ten files with late rows."""
+    return _activity(spark, sf_dir, 1800)
+
+
+# states of finer periods merged into coarser ones
+
+
+def _hours_to_days(spark, sf_dir, names: dict, **more) -> DataFrame:
+    """Packets rolled up by hour, then by day."""
+    p = v.packets(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
+    hours = merging.rollup(p, ["hour", "dir"], **names, **more).withColumn("day", F.date_trunc("day", "hour"))
+    return merging.merge_rollups(hours, ["day", "dir"], **{k: list(x) for k, x in names.items()}, **more)
+
+
+@query(f"""WITH {PACKETS_SQL}, d AS (SELECT sec // 86400 * 86400 AS period, dir, src_ip, sum(bytes) AS b, count(*) AS n FROM packets GROUP BY 1, 2, 3)
+SELECT period, dir, true AS within_error, true AS none_missed, true AS error_small, true AS rows_within_error FROM d GROUP BY 1, 2""")
+def top_state_merge(spark, sf_dir):
+    """Tops of days from states of hours against exact ones: every item's true weight is within the carried error, no
+    heavier item is missing, and the error is bounded by what fell out of an hour's state, at most a share of its bytes."""
+    p = v.packets(spark, sf_dir)
+    size = 40
+    states = _hours_to_days(spark, sf_dir, {"weighted_tops": {"by_bytes": (F.col("src_ip"), F.col("bytes"))}, "tops": {"by_rows": F.col("src_ip")}, "counters": {"bytes": F.col("bytes"), "rows": F.lit(1)}}, size=size)
+    exact = p.groupBy(F.date_trunc("day", "ts").alias("day"), "dir", F.col("src_ip").alias("item")).agg(F.sum("bytes").alias("true"), F.count("*").alias("n"))
+    held = states.select("day", "dir", F.inline(F.col("by_bytes")["items"]))
+    both = exact.join(held, ["day", "dir", "item"], "full").join(states.select("day", "dir", F.col("by_bytes")["error"].alias("error"), "bytes"), ["day", "dir"])
+    low = F.coalesce("weight", F.lit(0))
+    tests = both.groupBy("day", "dir").agg(F.every((low <= F.col("true")) & (F.col("true") <= low + F.col("error"))).alias("within_error"), F.every(F.col("weight").isNotNull() | (F.col("true") <= F.col("error"))).alias("none_missed"), F.every(F.col("error") <= F.col("bytes")).alias("error_small"))
+    rows = merging.read_rollups(states, ["day", "dir"], tops=["by_rows"], n=5).select("day", "dir", F.inline("by_rows")).join(exact, ["day", "dir", "item"], "left")
+    rows = rows.groupBy("day", "dir").agg(F.every(F.col("count") == F.col("n")).alias("rows_within_error"))  # fewer items than a sketch tracks: exact
+    return tests.join(rows, ["day", "dir"]).select(_epoch("day"), "dir", "within_error", "none_missed", "error_small", "rows_within_error")
+
+
+@query(f"""WITH {PACKETS_SQL}, b AS (SELECT DISTINCT CAST(floor(pow(10::DOUBLE, CAST(CAST(k AS FLOAT) / CAST(18 AS FLOAT) AS DOUBLE)) * pow(10::DOUBLE, e) + 1e-6) AS DOUBLE) AS bound FROM (SELECT unnest(range(0, 18)) AS k), (SELECT unnest(range(-9, 18)) AS e)),
+n AS (SELECT sec // 86400 * 86400 AS period, dir, (SELECT min(bound) FROM b WHERE bound >= bytes) AS bound FROM packets) SELECT period, dir, count(*) AS n, count(DISTINCT bound) AS bounds, quantile_disc(bound, 0.5) AS p50, quantile_disc(bound, 0.99) AS p99 FROM n GROUP BY 1, 2""")
+def histogram_merge(spark, sf_dir):
+    """Histograms of days from those of hours."""
+    states = _hours_to_days(spark, sf_dir, {"histograms": {"sizes": F.col("bytes")}, "counters": {"n": F.lit(1)}})
+    q = merging.histogram_quantiles("sizes", [0.5, 0.99])
+    return states.select(_epoch("day"), "dir", "n", F.size(F.col("sizes")["items"]).cast("bigint").alias("bounds"), q[0].alias("p50"), q[1].alias("p99"))
+
+
+@query(f"""WITH {PACKETS_SQL}, s AS (SELECT sec // 86400 * 86400 AS period, dir, sec, count(*) AS n, sum(bytes) AS b FROM packets GROUP BY 1, 2, 3), c AS (SELECT max(sec) AS clock FROM packets)
+SELECT period, dir, count(*) AS seconds, CAST(max(n) AS BIGINT) AS most, CAST(list_sort(list_concat(list(b), [0 FOR x IN range(86400 - count(*))]))[CAST(ceil(86400 * 0.999) AS BIGINT)] AS BIGINT) AS p999, CAST(coalesce(sum(b) FILTER (sec = clock - 1), 0) AS BIGINT) AS live FROM s, c GROUP BY 1, 2""")
+def rate_merge(spark, sf_dir):
+    """Totals of each second of days from those of hours: quantiles over all seconds, and the last complete one."""
+    states = _hours_to_days(spark, sf_dir, {"rates": {"rows": None, "byte_rate": F.col("bytes")}})
+    clock = v.packets(spark, sf_dir).agg(F.max(F.unix_seconds("ts")).alias("clock"))
+    q = merging.rate_quantiles("byte_rate", F.lit(86_400), [0.999])
+    most = merging.rate_quantiles("rows", F.lit(0), [1.0])
+    return states.crossJoin(F.broadcast(clock)).select(_epoch("day"), "dir", F.size(F.col("byte_rate")["items"]).cast("bigint").alias("seconds"), most[0].alias("most"), q[0].alias("p999"), merging.latest_second("byte_rate", F.col("clock")).alias("live"))
 
 
 @query("""SELECT event_type, count(*) AS n FROM events GROUP BY 1""")
