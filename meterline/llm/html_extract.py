@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import col, map_texts
@@ -86,38 +86,65 @@ def _said_of(attributes: str, tag: str, good: int) -> tuple[int, bool]:
     return any(_GOOD_NAME.fullmatch(x) for x in names) - bad, hidden
 
 
-def _end_of_raw(html: str, at: int, tag: str, around: set[str]) -> int | None:
-    """Where a raw element whose start tag ends at ``at`` is over, None if it is never closed.
-
-    ``around``: the enclosing elements. The end of one of them, or a start that can't be inside, says that it isn't closed.
-    """
-    if tag in _RAW_END:
-        end = _RAW_END[tag].search(html, at)
-        if tag in _OPAQUE:
-            return end.end() if end else len(html)
-        return end.end() if end and not _AGAIN[tag].search(html, at, end.start()) else None
-    inside = [tag]
-    while m := _TAG.search(html, at):
-        at = m.end()
-        if m.group(2) is None:
-            continue
-        name = m.group(2).lower()
-        if m.group(1):
-            if name in inside:
-                while inside.pop() != name:
-                    pass
-                if not inside:
-                    return at
-            elif name in around and name not in _INLINE:
-                return None
-        elif name == tag and tag in _ONCE or tag in _CONTROLS and name in _NOT_IN_CONTROLS:
-            return None
-        elif name in _RAW_END:
-            end = _RAW_END[name].search(html, at)
-            at = end.end() if end else at
-        elif name not in _VOID and not m.group(0).endswith("/>"):
-            inside.append(name)
-    return None
+class _Raw:
+    """Where the raw elements of a page end. What one look ahead finds out is kept, so that a page that leaves very many
+    of them open is still read in about linear time."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.ends: dict[str, re.Match | None] = {}  # the last end tag found of each tag of _RAW_END
+        self.known: dict[int, int | None] = {}  # by the end of a start tag: the element's end, None if it is not closed
+
+    def _end_tag(self, tag: str, at: int) -> re.Match | None:
+        found = self.ends.get(tag, ...)
+        if found is ... or found is not None and found.start() < at:
+            found = self.ends[tag] = _RAW_END[tag].search(self.html, at)
+        return found
+
+    def end_of(self, at: int, tag: str, around) -> int | None:
+        """Where a raw element whose start tag ends at ``at`` is over, None if it is never closed.
+
+        ``around``: counts of the enclosing elements' tags. The end of one of them, or a start that can't be inside, says
+        that it isn't closed.
+        """
+        if tag in _RAW_END:
+            end = self._end_tag(tag, at)
+            if tag in _OPAQUE:
+                return end.end() if end else len(self.html)
+            return end.end() if end and not _AGAIN[tag].search(self.html, at, end.start()) else None
+        if at in self.known:
+            return self.known[at]
+        html, inside, within, whole = self.html, [(tag, at)], Counter([tag]), True
+        while m := _TAG.search(html, at):
+            at = m.end()
+            if m.group(2) is None:
+                continue
+            name = m.group(2).lower()
+            if m.group(1):
+                if within[name] > 0:
+                    while True:
+                        n, began = inside.pop()
+                        within[n] -= 1
+                        if n == name:
+                            break
+                        self.known[began] = None
+                    self.known[began] = at
+                    if not inside:
+                        return at
+                elif around.get(name) and name not in _INLINE:
+                    break
+            elif name == tag and tag in _ONCE or tag in _CONTROLS and name in _NOT_IN_CONTROLS:
+                whole = False
+                break
+            elif name in _RAW_END:
+                end = self._end_tag(name, at)
+                at = end.end() if end else at
+            elif name not in _VOID and not m.group(0).endswith("/>"):
+                inside.append((name, at))
+                within[name] += 1
+        for n, began in inside if whole else inside[:1]:
+            self.known[began] = None
+        return None
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -129,6 +156,13 @@ def blocks_of(html: str) -> list[Block]:
     stack, out, run, linked = [root], [], [], 0
     number, at = 0, 0
     raw = 0  # where on the stack an unclosed raw element is
+    raws, opened = _Raw(html), Counter()  # the tags on the stack
+    article_before = False
+
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
 
     def close() -> None:
         nonlocal run, linked
@@ -158,17 +192,18 @@ def blocks_of(html: str) -> list[Block]:
             if tag not in _INLINE:
                 close()
                 if raw:
-                    del stack[raw:]
+                    cut(raw)
                     raw = 0
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    article_before = article_before or tag == "article" and stack[i].named >= 0
+                    cut(i)
                     break
                 if tag in _INLINE and stack[i].tag not in _INLINE:
                     break
             continue
         if tag in _RAW:
-            end = at if tag == "svg" and m.group(0).endswith("/>") else _end_of_raw(html, at, tag, {x.tag for x in stack})
+            end = at if tag == "svg" and m.group(0).endswith("/>") else raws.end_of(at, tag, opened)
             if end is not None:
                 at = end
                 run.append(" ")
@@ -177,28 +212,29 @@ def blocks_of(html: str) -> list[Block]:
             if not raw:
                 up, raw, number = stack[-1], len(stack), number + 1
                 stack.append(_Element(tag, number, up.good, 2, up.named, up.form, up.link, tag))
+                opened[tag] += 1
             continue
         if tag in ("br", "hr"):
             run.append(" ")
         if tag not in _INLINE:
             close()
             if raw:
-                del stack[raw:]
+                cut(raw)
                 raw = 0
             if stack[-1].tag != "" and any(x.tag == "p" for x in stack[-8:]):  # a block ends an open paragraph
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag not in _INLINE:
                         break
             if tag in _CLOSED_BY:
                 ends, stops = _CLOSED_BY[tag]
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in ends) else ():
                     if stack[i].tag in stops:
                         break
                     if stack[i].tag in ends:
-                        del stack[i:]
+                        cut(i)
                         if tag != "tr":
                             break
         if tag in _VOID or m.group(0).endswith("/>") and tag in _INLINE:
@@ -206,7 +242,8 @@ def blocks_of(html: str) -> list[Block]:
         up = stack[-1]
         good, bad, named, form, attributes = up.good, up.bad, up.named, up.form, m.group(3)
         if tag in ("article", "main"):
-            if good < 2:  # what was said outside does not count; an article inside an article may be a comment
+            # what was said outside does not count; but an article inside an article, or in a bad name after one, may be a comment
+            if good < 2 and not (tag == "article" and named < 0 and article_before):
                 named, form, bad = 0, False, 2 if bad == 2 else 0
             good = 2 if tag == "article" else max(good, 1)
         form = form or tag == "form"
@@ -219,6 +256,7 @@ def blocks_of(html: str) -> list[Block]:
             bad = bad or int(hidden)
         number += 1
         stack.append(_Element(tag, number, good, bad, named, form, up.link or tag == "a", up.block if tag in _INLINE else tag))
+        opened[tag] += 1
     said(html[at:])
     close()
     return out
@@ -243,7 +281,9 @@ def features(blocks: list[Block], names: bool = True) -> np.ndarray:
 
 #: Prior weights, which stand where no page teaches otherwise: long unlinked sentences, and what is inside article or
 #: main, are content; boilerplate landmarks, bad names, and forms outside an article are not.
-PRIOR = np.array([0.6, -4.0, 0.2, 0.0, 0.5, 0.8, 0.8, 0.6, -0.8, 0.0, -2.5] + [4.0, 1.0, -8.0, -5.0, 1.5, -5.0])
+PRIOR = np.array([0.6, -4.0, 0.2, 0.0, 0.5, 0.8, 0.8, 0.6, -0.8, 0.0, -2.5] + [4.0, 0.5, -8.0, -5.0, 1.5, -5.0])
+#: Capacities of edges between neighbours and between siblings, where no page teaches otherwise.
+EDGES = np.array([0.6, 0.9])
 #: Label noise that fitting assumes: it bounds the log-odds.
 NOISE = 0.02
 
@@ -272,37 +312,62 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
     return w
 
 
-def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", most_pages: int = 1000, ridge: float = 3e-3, steps: int = 100) -> np.ndarray:
-    """The classifier's weights, from the blocks of at most ``most_pages`` pages (those of the smallest hash of id).
+def _weak_label(b: Block) -> int:
+    return 0 if b.bad or b.named < 0 and not b.good else 1 if b.good and b.named >= 0 and not b.form else -1
+
+
+def fit_blocks(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", most_pages: int = 1000, most_blocks: int = 512, ridge: float = 3e-3, steps: int = 100) -> np.ndarray:
+    """The classifier's weights and, behind them, the capacities of edges between neighbours and between siblings.
 
-    Weak labels: blocks inside article or main, and outside any boilerplate landmark, bad name and form, teach content;
-    blocks inside nav, footer, aside or a page header, or a bad name outside article and main, teach boilerplate, 64 of either a page at most; others
-    teach nothing. Four fifths of the pages fit the weights, the others one scale for all of them (calibration). Without either label, PRIOR.
+    From the blocks of at most ``most_pages`` pages (those of the smallest hash of id). Weak labels: blocks inside article
+    or main, and outside any boilerplate landmark, bad name and form, teach content; blocks inside nav, footer, aside or a
+    page header, or a bad name outside article and main, teach boilerplate, 64 of either a page at most; others teach
+    nothing. Four fifths of the pages fit the weights. The others, those of at most ``most_blocks`` blocks, fit one scale
+    for all weights (calibration), and then the edges: of a grid, those whose cuts mislabel the fewest blocks when markup
+    and tags are hidden. Without either label, PRIOR.
     """
     ids = pages.select(col(page_id).alias("page_id")).where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most_pages)
-    some = pages.select(col(page_id).alias("page_id"), col(html).cast("string").alias("html")).join(F.broadcast(ids), "page_id", "left_semi")
+    ids = ids.withColumn("tests", F.row_number().over(Window.orderBy("page_id")) % 5 == 0)  # most_pages rows
+    some = pages.select(col(page_id).alias("page_id"), col(html).cast("string").alias("html")).join(F.broadcast(ids), "page_id")
 
     def fn(texts: pa.Array) -> dict:
-        out = []
+        out, whole = [], []
         for t in texts:
             blocks = blocks_of(t.as_py() or "")
-            y = np.array([0 if b.bad or b.named < 0 and not b.good else 1 if b.good and b.named >= 0 and not b.form else -1 for b in blocks])
+            y = np.array([_weak_label(b) for b in blocks])
             z = np.concatenate([features(blocks), y[:, None]], axis=1) if len(y) else np.zeros((0, FEATURES + 1))
             out.append(np.concatenate([z[y == v][:64] for v in (0, 1)]).astype(np.float32).tobytes() if len(y) else b"")
-        return {"z": out}
-
-    rows = [np.frombuffer(r["z"], np.float32).reshape(-1, FEATURES + 1) for r in map_texts(some, "html", ("page_id",), fn, "z binary").select("row.page_id", "z").orderBy("page_id").collect()]
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) % 5 == 4
-    z = np.concatenate(rows).astype(float) if rows else np.zeros((0, FEATURES + 1))
-    if any(not (z[~of, -1] == v).any() for v in (0, 1)):
+            place = np.array([(b.depth, b.parent) for b in blocks]).reshape(-1, 2)
+            whole.append(np.concatenate([z, place], axis=1).astype(np.float32).tobytes() if 0 < len(y) <= most_blocks else b"")
+        return {"z": out, "whole": whole}
+
+    found = map_texts(some, "html", ("page_id", "tests"), fn, "z binary, whole binary").select("row.*", "z", "whole")
+    rows = found.select("page_id", "tests", F.when(~F.col("tests"), F.col("z")).alias("z"), F.when(F.col("tests"), F.col("whole")).alias("whole")).orderBy("page_id").collect()
+    z = np.concatenate([np.frombuffer(r["z"] or b"", np.float32).reshape(-1, FEATURES + 1) for r in rows] or [np.zeros((0, FEATURES + 1))]).astype(float)
+    if any(not (z[:, -1] == v).any() for v in (0, 1)):
         return PRIOR
-    w = _fit(z[~of, :-1], z[~of, -1], ridge, steps)
-    x, y = z[of, :-1] @ w, z[of, -1]
-    if not len(y):
-        return w
+    w = _fit(z[:, :-1], z[:, -1], ridge, steps)
+    tests = [t for t in (np.frombuffer(r["whole"] or b"", np.float32).reshape(-1, FEATURES + 3).astype(float) for r in rows) if len(t) and (t[:, FEATURES] >= 0).any()]
+    if not tests:
+        return np.concatenate([w, EDGES])
+    seen = np.concatenate([t[t[:, FEATURES] >= 0] for t in tests])
+    x, y = seen[:, :FEATURES] @ w, seen[:, FEATURES]
     grid = np.geomspace(0.25, 4, 65)
     loss = [np.mean(np.logaddexp(0, np.where(y == 1, -s, s) * x) * (1 - NOISE) + np.logaddexp(0, np.where(y == 1, s, -s) * x) * NOISE) for s in grid]
-    return w * grid[int(np.argmin(loss))]
+    w = w * grid[int(np.argmin(loss))]
+    hidden = np.ones(FEATURES)
+    hidden[TEXT:], hidden[6:9] = 0, 0
+
+    def mislabelled(pair: tuple[float, float]) -> int:
+        wrong = 0
+        for t in tests[:200]:
+            side = _cut((t[:, :FEATURES] * hidden) @ w, _edges(t[:, FEATURES + 1], t[:, FEATURES + 2], *pair))
+            known = t[:, FEATURES] >= 0
+            wrong += int((np.array(side)[known] != (t[known, FEATURES] == 1)).sum())
+        return wrong
+
+    pairs = [tuple(EDGES), *((a, b) for a in (0.1, 0.3, 0.6, 1.2, 2.4) for b in (0.1, 0.4, 0.9, 1.8, 3.6) if (a, b) != tuple(EDGES))]
+    return np.concatenate([w, min(pairs, key=mislabelled)])  # ties: EDGES, then the smaller
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -365,26 +430,43 @@ def minimum_cut(source: list[float], sink: list[float], edges: dict[tuple[int, i
                     break
 
 
-def content(html: str | None, weights: np.ndarray, adjacent: float = 0.6, sibling: float = 0.9) -> list[str]:
-    """The content blocks of a page."""
-    blocks = blocks_of(html or "")
-    if not blocks:
-        return []
+def _edges(depth, parent, adjacent: float, sibling: float) -> dict[tuple[int, int], float]:
+    """Smoothness: between neighbours, less the more their depths differ, and between the nearest blocks of one parent."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
+    for i, p in enumerate(parent):
         if i:
-            edges[i - 1, i] = adjacent / (1 + abs(b.depth - blocks[i - 1].depth))
-        j = last.get(b.parent)
+            edges[i - 1, i] = adjacent / (1 + abs(depth[i] - depth[i - 1]))
+        j = last.get(p)
         if j is not None:
             edges[j, i] = edges.get((j, i), 0.0) + sibling / (i - j)
-        last[b.parent] = i
-    for names in (True, False):  # names and forms tell the parts of a page apart; where they take it whole they tell nothing
-        z = features(blocks, names) @ weights
-        side = minimum_cut(np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist(), edges)
-        if any(side) or not any(b.named < 0 or b.form for b in blocks):
-            break
-    return [b.text for b, s in zip(blocks, side) if s]
+        last[p] = i
+    return edges
+
+
+def _cut(z: np.ndarray, edges: dict) -> list[bool]:
+    return minimum_cut(np.logaddexp(0, z).tolist(), np.logaddexp(0, -z).tolist(), edges)
+
+
+def content(html: str | None, weights: np.ndarray, adjacent: float | None = None, sibling: float | None = None) -> list[str]:
+    """The content blocks of a page; ``weights`` as :func:`fit_blocks` gives them, or without the edges' capacities (EDGES)."""
+    blocks = blocks_of(html or "")
+    if not blocks:
+        return []
+    own = weights[FEATURES:] if len(weights) > FEATURES else EDGES
+    edges = _edges([b.depth for b in blocks], [b.parent for b in blocks], own[0] if adjacent is None else adjacent, own[1] if sibling is None else sibling)
+    named = any(b.named < 0 or b.form for b in blocks)
+    for names in (True, False) if named else (True,):  # names and forms tell the parts of a page apart; where they take it whole they tell nothing
+        side = _cut(features(blocks, names) @ weights[:FEATURES], edges)
+        if any(side):
+            return [b.text for b, s in zip(blocks, side) if s]
+    return []
+
+
+def extracted(html: str | None, weights: np.ndarray) -> list[str]:
+    """The content blocks of a page; one in which the cut finds none is cut once more with PRIOR: weights learnt from
+    pages of one make may know no content of another."""
+    return content(html, weights) or content(html, np.concatenate([PRIOR, weights[FEATURES:]]))
 
 
 def extract_text(pages: DataFrame, weights: np.ndarray, *, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -395,7 +477,7 @@ def extract_text(pages: DataFrame, weights: np.ndarray, *, html: str = "html", k
     """
 
     def fn(texts: pa.Array) -> dict:
-        found = [content(t.as_py(), weights) for t in texts]
+        found = [extracted(t.as_py(), weights) for t in texts]
         return {"text": ["\n".join(f) for f in found], "n_blocks": [len(f) for f in found]}
 
     return map_texts(pages, html, keep, fn, "text string, n_blocks int")

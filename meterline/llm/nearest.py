@@ -23,6 +23,8 @@ from .tables import col, materialize
 
 #: Queries and rows that meet in one task at once.
 QUERY_BLOCK, ROW_BLOCK = 16_384, 4096
+#: Queries scored against the whole sample at once: a matrix of 16 MB.
+VISIT_BLOCK = 256
 #: Rows of the sample, and cells, at most.
 SAMPLE, CELLS = 8192, 1024
 
@@ -150,14 +152,17 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = np.array(batch.column(0).to_pylist())
-            q = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f8").reshape(-1, d)
-            score = np.where(own[:, None] == ids[None, :], -np.inf, q @ rows.T)
-            floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
-            floor = floor - 1e-9 * (1 + np.abs(floor))  # sums in another order
-            reach = q @ c.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :]
-            cells = [np.flatnonzero((r >= f) & filled).tolist() for r, f in zip(reach + 1e-9 * (1 + np.abs(reach)), floor)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floor), pa.array(cells, pa.list_(pa.int32()))], names=["vec_id", "v", "floor", "cells"])
+            for s in range(0, batch.num_rows, VISIT_BLOCK):
+                part = batch.slice(s, VISIT_BLOCK)
+                own = np.array(part.column(0).to_pylist())
+                q = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f8").reshape(-1, d)
+                score = q @ rows.T
+                score[own[:, None] == ids[None, :]] = -np.inf
+                floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
+                floor = floor - 1e-9 * (1 + np.abs(floor))  # sums in another order
+                reach = q @ c.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :]
+                cells = [np.flatnonzero((r >= f) & filled).tolist() for r, f in zip(reach + 1e-9 * (1 + np.abs(reach)), floor)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(floor), pa.array(cells, pa.list_(pa.int32()))], names=["vec_id", "v", "floor", "cells"])
 
     asked = vectors.where(is_query).mapInArrow(visit, f"vec_id {kind}, v binary, floor double, cells array<int>")
     asked = materialize(asked.withColumn("key", F.monotonically_increasing_id()), "queries")  # written, so a row keeps its key

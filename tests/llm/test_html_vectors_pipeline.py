@@ -7,6 +7,7 @@ import re
 import shutil
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -30,9 +31,59 @@ def test_extraction(spark):
     by = dict(got)
     assert by[1] == "A & B title\nFirst paragraph with bold text, and more words. Second line of it.\nUnclosed paragraph, which is followed by others.\nThe last one ends here."
     assert by[2] == by[3] == "" and by[4].startswith("A & B title\nFirst paragraph") and len(got) == 7 and "deep text" in by[6]
+    assert ("u", 5, "plain text only, without any tag at all; it is a sentence.") in [("u", i, t) for i, t in got]
     assert he.extract_text(df.limit(0), he.fit_blocks(df.limit(0))).count() == 0
 
 
+SENTENCES = "The river changed its bed again in that year, and the old bridge stood in a meadow. Nobody had seen it coming, though the signs were there for all to read. "
+LOST = [
+    "".join(f"<div>{SENTENCES * 4}</div>" for _ in range(5)),
+    f"<table><tr><td>{SENTENCES * 6}</td></tr></table>",
+    SENTENCES * 5,
+    "<br>".join([SENTENCES * 2] * 4),
+]
+
+
+def test_no_page_is_lost_by_the_fit(spark):
+    """Pages of another make than those that the weights come from."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = he.fit_blocks(pages)
+    assert len(weights) == he.FEATURES + 2
+    for page in LOST:
+        assert he.extracted(f"<html><body>{page}</body></html>", weights) == he.content(f"<html><body>{page}</body></html>", he.PRIOR) == [b.text for b in he.blocks_of(page)] != []
+    menu = "<ul>" + "".join(f"<li><a href={i}>Entry {i}</a>" for i in range(9)) + "</ul>"
+    assert he.extracted(f"<body>{menu}{LOST[0]}{menu}</body>", weights) == [b.text for b in he.blocks_of(LOST[0])]
+    assert he.extracted("plain text only, without any tag at all; it is a sentence.", weights) == ["plain text only, without any tag at all; it is a sentence."]
+
+
+def test_edges_change_pages(spark):
+    """Short lines inside a long text, and a lone sentence among links: cuts without edges label them wrongly."""
+    weights = he.fit_blocks(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    r = random.Random(8)
+    changed = right = 0
+    for i in range(60):
+        body = [SENTENCES * r.randrange(1, 3) if r.random() < 0.7 else r.choice(["Yes", "He said no", "1985", "Then what"]) for _ in range(12)]
+        prose = "p" if i % 2 else "div"  # the weights know the text of one kind of page, PRIOR that of the other
+        page = f"<body><div>{''.join(f'<div><a href={k}>Link {k}</a></div>' for k in range(6))}</div><div>{''.join(f'<{prose}>{t}</{prose}>' if len(t) > 20 else f'<div>{t}</div>' for t in body)}</div></body>"
+        want = [" ".join(t.split()) for t in body]
+        cut, alone = he.extracted(page, weights), he.extracted(page, np.append(weights[: he.FEATURES], [0.0, 0.0]))
+        changed += cut != alone
+        right += sum(t in cut for t in want) - sum(t in alone for t in want)
+    assert changed >= 30 and right > 30
+
+
+@pytest.mark.parametrize("page", [f"<main><article>{SENTENCES}</article><div class='comments'><article>A reader wrote this, and meant it.</article></div></main>", f"<article><p>{SENTENCES}</p></article><div id='comments'><article><p>A reader wrote this, and meant it.</p></article></div>"])
+def test_comments_after_an_article(page):
+    assert he.content(f"<body>{page}</body>", he.PRIOR) == [SENTENCES.strip()]
+
+
+@pytest.mark.parametrize("piece", ["<svg>", "<svg><path d=1/>", "<object><button>", "<textarea>", "<svg><svg></svg><object>x", "<template><b>", "<title>a<iframe>", "<div></section>", "<svg><g></x>"])
+def test_malformed_pages_are_read_in_linear_time(piece):
+    began = time.process_time()
+    he.blocks_of(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 6  # a second on an idle machine; it was hours
+
+
 def _without_names(html):
     return re.sub(r'class="[^"]*"|id="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer|main|aside|header|section)\b", r"<\1div", html))
 
@@ -162,6 +213,22 @@ def test_pipeline(spark, tmp_path):
     assert len(cp.run(spark, str(tmp_path)).collect()) == len(out)
 
 
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    """Columns named like those that stages make come through; an empty table stays empty."""
+    import corpus_pipeline as cp
+
+    words = lambda i: " ".join(f"word{i}x{k} of the text" for k in range(40))
+    rows = [(1, words(1), "en", "web", 9), (2, words(2), "en", "web", 9), (2, words(1) + " more", "en", "news", 9), (3, words(3), "en", None, 9), (3, words(3), "en", None, 9), (None, words(4), "en", "web", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    odd = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x"))) for c in ("copy", "copies", "key", "taken_size", "taken_doc_id", "hash", "size", "other_columns", "n", "a", "component_id")})
+    for stage in (cp.near_duplicates, cp.mixing):
+        plain, got = stage(spark, docs, ""), stage(spark, odd, "")
+        assert got.columns == odd.columns and plain.columns == docs.columns
+        assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(r["copy"] == f"copy-{'x' if r.doc_id is None else r.doc_id}" for r in got.collect()) and got.count()
+        assert stage(spark, odd.limit(0), "").count() == 0
+
+
 def test_rest_works_without_this_subpackage(tmp_path):
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     shutil.copytree(top, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
