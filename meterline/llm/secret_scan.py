@@ -1,8 +1,9 @@
 """Secret scans (operator 8): fixed patterns, and formats learned by grammar inference.
 
 Labelled credentials of each kind form a prefix tree: over characters in the part with which nearly all of them begin,
-over character classes after it. States whose outgoing frequencies agree within a Hoeffding bound are merged (red-blue
-order, merges folded down so that the automaton stays deterministic), which leaves a small probabilistic automaton for
+over groups of character classes after it. States whose outgoing frequencies agree, by the log-likelihood that one
+distribution for both would lose, are merged (red-blue order, merges folded down so that the automaton stays
+deterministic), which leaves a small probabilistic automaton for
 each kind. Every token of a text that the fixed pattern could label, inside its matches too, and where it is none each
 part between dots, is scored by its log-likelihood a character under the formats against a background of all such
 tokens (long ones without dots, and the others, which are mostly words, have one each).
@@ -90,9 +91,12 @@ class Automaton:
 
     moves: list[dict[int, tuple[int, float]]] = field(default_factory=list)
     ends: list[float] = field(default_factory=list)
+    lengths: list[int] = field(default_factory=list)
+    spread: float = 0.0  # variance of the lengths
 
     def score(self, word: list[int], floor: float) -> float:
-        """Log-likelihood of the word's characters, even inside a class; a missing move costs ``floor`` and stays in its state."""
+        """Log-likelihood of the word's characters, even inside a class; a missing move costs ``floor`` and stays in its
+        state, and so does an end where none was seen."""
         state, total = 0, 0.0
         for c in word:
             step = self.moves[state].get(c)
@@ -104,61 +108,107 @@ class Automaton:
                 total += step[1]
         return total + max(self.ends[state], floor)
 
+    def likely_length(self, word: list[int], floor: float) -> bool:
+        """Whether the number of moves that the word makes is one of the learned lengths, or at a distance from the nearest
+        that is no less likely than ``floor`` under a normal curve as wide as they are spread, and one more."""
+        state, made = 0, 0
+        for c in word:
+            step = self.moves[state].get(c)
+            if step is not None:
+                state, made = step[0], made + 1
+        d = min((abs(made - n) for n in self.lengths), default=0)
+        return -d * d / (2 * (self.spread + 1)) >= floor
+
+
+def _entropy(counts) -> tuple[float, int]:
+    """Of counts: the log-likelihood that their shares give them, and the number of free shares."""
+    n = sum(counts)
+    return sum(c * math.log(c / n) for c in counts if c), max(0, sum(1 for c in counts if c) - 1)
+
+
+def _cost(first: dict, second: dict) -> tuple[float, int]:
+    """What one distribution for both sets of counts loses in log-likelihood, and how many free shares it saves."""
+    (l1, k1), (l2, k2) = _entropy(first.values()), _entropy(second.values())
+    l, k = _entropy([first.get(c, 0) + second.get(c, 0) for c in first.keys() | second.keys()])
+    return l1 + l2 - l, k1 + k2 - k
 
-def infer(words: list[list[int]], alpha: float = 0.05) -> Automaton:
-    """Merges statistically compatible states of the prefix tree of ``words`` into a probabilistic automaton."""
+
+def alphabet(words: list[list[int]]) -> dict[int, int]:
+    """Classes that stand for one another: each class's group, named by its least class.
+
+    Two groups become one while the groups before and after them are distributed alike, by the same criterion as states.
+    So the digits and letters of random hex are one symbol, and words of one length share one path of states.
+    """
+    of = {c: c for w in words for c in w}
+    share = 0.5 * math.log(max(2, sum(map(len, words))))
+    while True:
+        after: dict[int, Counter] = {g: Counter() for g in of.values()}
+        before: dict[int, Counter] = {g: Counter() for g in of.values()}
+        for w in words:
+            groups = [of[c] for c in w]
+            for x, y in zip([END, *groups], [*groups, END]):
+                if x != END:
+                    after[x][y] += 1
+                if y != END:
+                    before[y][x] += 1
+        best = None
+        for x in sorted(after):
+            for y in sorted(after):
+                if x < y < 256:
+                    pairs = [_cost(after[x], after[y]), _cost(before[x], before[y])]
+                    spare = share * sum(k for _, k in pairs) - sum(lost for lost, _ in pairs)
+                    if spare >= 0 and (best is None or spare > best[0]):
+                        best = spare, x, y
+        if best is None:
+            return of
+        of = {c: best[1] if g == best[2] else g for c, g in of.items()}
+
+
+def infer(words: list[list[int]], penalty: float = 0.5) -> Automaton:
+    """Merges statistically compatible states of the prefix tree of ``words`` into a probabilistic automaton.
+
+    Red-blue order. Two states are compatible if one distribution for both, and for all states that fold together
+    below them, loses no more log-likelihood than ``penalty * log(words)`` for each free share that it saves (the Bayes
+    information criterion at 0.5). Where all words end together, states of different depths never fold: they count.
+    """
     child: list[dict[int, int]] = [{}]
-    arrive, end = [0], [0]
-    through: list[dict[int, int]] = [{}]
+    counts: list[Counter] = [Counter()]  # of moves by symbol, and of ends as None
     for w in words:
         s = 0
-        arrive[0] += 1
         for c in w:
             if c not in child[s]:
                 child[s][c] = len(child)
-                child.append({}), arrive.append(0), end.append(0), through.append({})
-            through[s][c] = through[s].get(c, 0) + 1
+                child.append({}), counts.append(Counter())
+            counts[s][c] += 1
             s = child[s][c]
-            arrive[s] += 1
-        end[s] += 1
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def differ(f1, n1, f2, n2) -> bool:
-        return abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
+        counts[s][None] += 1
+    share = penalty * math.log(max(2, len(words)))
 
     def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, lost, saved = [(a, b)], 0.0, 0
         while todo:
             x, y = todo.pop()
-            if differ(end[x], arrive[x], end[y], arrive[y]):
-                return False
-            for c in child[x].keys() | child[y].keys():
-                if differ(through[x].get(c, 0), arrive[x], through[y].get(c, 0), arrive[y]):
-                    return False
-                if c in child[x] and c in child[y]:
-                    todo.append((child[x][c], child[y][c]))
-        return True
+            loss, fewer = _cost(counts[x], counts[y])
+            lost, saved = lost + loss, saved + fewer
+            todo += [(child[x][c], child[y][c]) for c in child[x].keys() & child[y].keys()]
+        return lost <= share * saved + 1e-9
 
     def fold(a: int, b: int) -> None:
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
-            arrive[x] += arrive[y]
-            end[x] += end[y]
-            for c, n in through[y].items():
-                through[x][c] = through[x].get(c, 0) + n
+            counts[x].update(counts[y])
             for c, t in child[y].items():
                 if c in child[x]:
                     todo.append((child[x][c], t))
                 else:
                     child[x][c] = t
 
-    red, blue = [0], [(0, c) for c in sorted(child[0])]
+    red, known = [0], {0}
+    blue = [(0, c) for c in sorted(child[0])]
     while blue:
-        parent, c = blue.pop(0)
+        parent, c = blue[0]
         b = child[parent][c]
-        if b in red:
-            continue
         for r in red:
             if compatible(r, b):
                 child[parent][c] = r
@@ -166,10 +216,29 @@ def infer(words: list[list[int]], alpha: float = 0.05) -> Automaton:
                 break
         else:
             red.append(b)
-        blue = [(r, x) for r in red for x in sorted(child[r]) if child[r][x] not in red]
+            known.add(b)
+        blue = [(r, x) for r in red for x in sorted(child[r]) if child[r][x] not in known]
     at = {s: i for i, s in enumerate(red)}
     log = lambda n, d: math.log(n / d) if n else -math.inf
-    return Automaton([{c: (at[t], log(through[s].get(c, 0), arrive[s])) for c, t in child[s].items() if through[s].get(c)} for s in red], [log(end[s], arrive[s]) for s in red])
+    total = [sum(counts[s].values()) for s in red]
+    return Automaton([{c: (at[t], log(counts[s][c], n)) for c, t in child[s].items() if counts[s][c]} for s, n in zip(red, total)], [log(counts[s][None], n) for s, n in zip(red, total)])
+
+
+def learn(values: list[str], begins: str) -> Automaton:
+    """The format of credentials: an automaton over groups of classes, its moves given back by class."""
+    words = [symbols(v, begins) for v in values]
+    of = alphabet([[c for c in w if c < 256] for w in words])
+    seen = Counter(c for w in words for c in w if c < 256)
+    grouped = Counter()
+    for c, n in seen.items():
+        grouped[of[c]] += n
+    automaton = infer([[of.get(c, c) for c in w] for w in words])
+    for moves in automaton.moves:
+        for g, (to, p) in list(moves.items()):
+            if g < 256:
+                moves.update({c: (to, p + math.log(seen[c] / grouped[g])) for c in of if of[c] == g})
+    automaton.lengths, automaton.spread = sorted({len(w) for w in words}), float(np.var([len(w) for w in words]))
+    return automaton
 
 
 def _is_long(token: str) -> bool:
@@ -190,22 +259,24 @@ class SecretModel:
         other = sum(self.background[of, a, b] for a, b in zip([END, *word], [*word, END])) + sum(_INSIDE[c] for c in word)
         return (self.formats[kind].score(symbols(value, self.begins[kind]), self.floor) - other) / (len(word) + 1)
 
-    def best(self, value: str) -> tuple[float, str]:
-        """How far the value is above the least gain of the format that likes it best, and that format's kind; ties: the later kind by name."""
+    def best(self, value: str) -> tuple[float, str, bool]:
+        """How far the value is above the least gain of the format that likes it best, that format's kind, and whether it
+        accepts the value: at least that gain, and a likely length. Ties: the later kind by name."""
         of = int(_is_long(value))
-        return max(((self.gain(value, k, of) - self.least[k, of], k) for k in self.formats), default=(-1.0, ""))
+        margin, kind = max(((self.gain(value, k, of) - self.least[k, of], k) for k in self.formats), default=(-1.0, ""))
+        return margin, kind, margin >= 0 and self.formats[kind].likely_length(symbols(value, self.begins[kind]), self.floor)
 
     def kind_of(self, value: str) -> str | None:
-        margin, kind = self.best(value)
-        return kind if margin >= 0 else None
+        _, kind, accepted = self.best(value)
+        return kind if accepted else None
 
 
-def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400, longest: int = 200, alpha: float = 0.05, quantile: float = 0.02) -> SecretModel:
+def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400, longest: int = 200, quantile: float = 0.02, share: float = 0.5) -> SecretModel:
     """Formats from the credentials that the fixed patterns label, the background from all candidate tokens of all texts.
 
     A kind learns from ``per_kind`` distinct credentials at most (those of smallest hash), of up to ``longest``
     characters, over all documents. A
-    format accepts what gains at least as much as all but ``quantile`` of its own credentials. Kinds without
+    format accepts what gains at least ``share`` of what all but ``quantile`` of its own credentials gain. Kinds without
     credentials have no format; without any, nothing is added to the fixed patterns.
     """
     ship(documents.sparkSession)
@@ -251,9 +322,9 @@ def fit_secrets(documents: DataFrame, *, text: str = "text", per_kind: int = 400
         values = sorted(r["value"] for r in rows if r["kind"] == kind and r["r"] <= per_kind and classes(r["value"]))
         if values:
             model.begins[kind] = beginning(values)
-            model.formats[kind] = infer([symbols(v, model.begins[kind]) for v in values], alpha)
+            model.formats[kind] = learn(values, model.begins[kind])
             for of in (0, 1):
-                model.least[kind, of] = max(0.0, float(np.quantile([model.gain(v, kind, of) for v in values], quantile)))
+                model.least[kind, of] = max(0.0, share * float(np.quantile([model.gain(v, kind, of) for v in values], quantile)))
     return model
 
 
@@ -263,14 +334,14 @@ def scan_secrets(documents: DataFrame, model: SecretModel, *, text: str = "text"
     Kinds assign, access and hex are the fixed patterns; ``like_<kind>`` are tokens outside these spans that a
     learned format accepts. Positions are code points, ends exclusive; order: start, then kind as listed, then
     learned ones. Every candidate token is scored, those in fixed spans too; ``margin`` says how far the best format
-    likes a span's value above its least gain (null without formats), ``n_candidates`` how many were scored.
+    likes a span's value above its least gain (null without formats; it may be positive where the length is not likely), ``n_candidates`` how many were scored.
     Null and empty texts have no spans. Whole texts are scanned; repeated rows give a row each.
     """
 
-    scored: dict[tuple, tuple[float, str]] = {}
+    scored: dict[tuple, tuple[float, str, bool]] = {}
     begins = sorted(set(model.begins.values()) - {""})
 
-    def best(value: str) -> tuple[float, str]:
+    def best(value: str) -> tuple[float, str, bool]:
         shape = value.translate(_LETTERS)
         if begins:
             shape = (shape, *[value.startswith(b) for b in begins])
@@ -292,18 +363,18 @@ def scan_secrets(documents: DataFrame, model: SecretModel, *, text: str = "text"
                 tokens = TOKEN.findall(body)
                 parts = [p for t in tokens if "." in t for p in PART.findall(t)]
                 number = len(tokens) + len(parts)
-                if any(best(t)[0] >= 0 for t in tokens) or any(best(p)[0] >= 0 for p in parts):  # few texts: where are they?
+                if any(best(t)[2] for t in tokens) or any(best(p)[2] for p in parts):  # few texts: where are they?
                     more, number = [], 0
                     for m in TOKEN.finditer(body):
-                        margin, kind = best(m.group())
+                        margin, kind, accepted = best(m.group())
                         number += 1
-                        if margin >= 0 and not any(a < m.end() and b > m.start() for _, a, b, _ in spans):
+                        if accepted and not any(a < m.end() and b > m.start() for _, a, b, _ in spans):
                             more.append((f"like_{kind}", m.start(), m.end(), margin))
                         elif "." in m.group():
                             for p in PART.finditer(body, m.start(), m.end()):
-                                margin, kind = best(p.group())
+                                margin, kind, accepted = best(p.group())
                                 number += 1
-                                if margin >= 0 and not any(a < p.end() and b > p.start() for _, a, b, _ in spans):
+                                if accepted and not any(a < p.end() and b > p.start() for _, a, b, _ in spans):
                                     more.append((f"like_{kind}", p.start(), p.end(), margin))
                     spans = sorted(spans + more, key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS)))
             else:
