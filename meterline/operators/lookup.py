@@ -8,22 +8,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.addresses import ipv4_number, ipv6_hex
+from ..storage import written
 
 
-def range_join(df: DataFrame, key: str, ranges: DataFrame, values: Sequence[str], *, lo: str = "lo", hi: str = "hi", block: int = 65536, prefix: str = "") -> DataFrame:
+#: Rows of an index that are broadcast at most; a larger one is joined by shuffles of the distinct keys.
+BROADCAST_ROWS = 500_000
+#: Sizes of index blocks are powers of this.
+RADIX = 16
+
+
+def range_index(ranges: DataFrame, values: Sequence[str], lo: str = "lo", hi: str = "hi", levels: int = 9) -> DataFrame:
+    """``level, prefix, win``: the range that wins each block of ``RADIX ** level`` numbers that some range fills.
+
+    A range is cut into the largest blocks that it fills, at most 30 of a level below the top; an aligned one, such as
+    a subnet, into 8 at most. However ranges nest or overlap, a block has one row: the one of the latest start, then the
+    earliest end, then the largest values. A number lies in one block of each level, so it meets at most ``levels`` rows.
+    """
+    pieces = ranges.select(F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"), F.struct(*values).alias("v")).where("hi >= lo")
+    none = F.array().cast("array<struct<level:int,prefix:bigint>>")
+
+    def blocks(level: int, begin: Column, end: Column) -> Column:
+        return F.when(begin < end, F.transform(F.sequence(begin, end - 1), lambda p: F.struct(F.lit(level).alias("level"), p.alias("prefix")))).otherwise(none)
+
+    filled = lambda level: (F.ceil(F.col("lo") / RADIX**level).cast("bigint"), F.floor((F.col("hi") + 1) / RADIX**level).cast("bigint"))
+    cut = []
+    for level in range(levels):
+        begin, end = filled(level)
+        if level == levels - 1:
+            cut.append(blocks(level, begin, end))
+            continue
+        above, below = filled(level + 1)
+        inner = above < below  # what larger blocks take
+        cut += [blocks(level, begin, F.when(inner, above * RADIX).otherwise(end)), F.when(inner, blocks(level, below * RADIX, end)).otherwise(none)]
+    pieces = pieces.select("lo", "hi", "v", F.inline(F.concat(*cut)))
+    return pieces.groupBy("level", "prefix").agg(F.max(F.struct("lo", (-F.col("hi")).alias("to"), "v")).alias("win"))
+
+
+def range_join(df: DataFrame, key: str, ranges: DataFrame, values: Sequence[str], *, lo: str = "lo", hi: str = "hi", prefix: str = "", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` left-joined with the range that holds ``key`` (whole numbers): ``prefix + value`` columns, null if none.
 
-    Ranges are cut at block borders and gathered by block, so each row meets one row of the block table: one
-    equi-join, whose small side Spark broadcasts by its measured size. Overlapping ranges: the latest start, then the
-    earliest end, wins.
+    Overlapping ranges: the latest start, then the earliest end, wins. The index (:func:`range_index`) is counted: up to
+    ``broadcast_rows`` it is broadcast, one hash probe for each level that it has; a larger one is joined with the
+    distinct keys by shuffles, one match a key.
     """
-    pieces = ranges.select(F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi"), F.struct(*values).alias("v"))
-    pieces = pieces.withColumn("_block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block)))).where("hi >= lo")
-    blocks = pieces.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("lo", (-F.col("hi")).alias("to"), "v")), asc=False).alias("_ranges"))
+    index = written(range_index(ranges, values, lo, hi), "ranges")
+    sizes = {r["level"]: r["count"] for r in index.groupBy("level").count().collect()}  # a row a level
     at = F.col(key).cast("bigint")
-    joined = df.join(blocks, F.floor(at / block) == F.col("_block"), "left")
-    found = F.try_element_at(F.filter("_ranges", lambda r: (r["lo"] <= at) & (-r["to"] >= at)), F.lit(1))["v"]
-    return joined.withColumn("_found", found).select(*df.columns, *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
+    if not sizes:
+        kinds = {f.name: f.dataType for f in ranges.schema}
+        return df.select("*", *[F.lit(None).cast(kinds[v]).alias(prefix + v) for v in values])
+    block = lambda number, level: F.floor(number / RADIX**level).cast("bigint")
+    if sum(sizes.values()) <= broadcast_rows:
+        out = df
+        for level in sorted(sizes):
+            own = index.where(F.col("level") == level).select(F.col("prefix").alias(f"_p{level}"), F.col("win").alias(f"_w{level}"))
+            out = out.join(F.broadcast(own), block(at, level) == F.col(f"_p{level}"), "left")
+        wins = [F.col(f"_w{level}") for level in sorted(sizes)]
+        out = out.withColumn("_found", (F.greatest(*wins) if len(wins) > 1 else wins[0])["v"])
+    else:
+        keys = df.select(at.alias("_key")).where("_key is not null").distinct()
+        asked = keys.select("_key", F.inline(F.array(*[F.struct(F.lit(level).alias("level"), block(F.col("_key"), level).alias("prefix")) for level in sorted(sizes)])))
+        found = asked.join(index, ["level", "prefix"]).groupBy("_key").agg(F.max("win")["v"].alias("_found"))
+        out = df.join(found, at == F.col("_key"), "left")
+    return out.select(*df.columns, *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
+
+
+def subnet_lookup(df: DataFrame, ip: str, subnets: DataFrame, *, subnet: str = "subnet", order: str = "ord", out: str = "subnet") -> DataFrame:
+    """``df`` with the first subnet by ``order`` (ties: by text), as written, that holds the address; null if none.
+
+    For lists of any length, both families: the rules are those of ``cidr_match``, which is for short lists. Distinct
+    addresses ask for their network of each prefix length that the list has (at most 33 and 128), by one equi-join.
+    Rows of the list that are no subnet hold nothing.
+    """
+    parts = F.split(F.col(subnet), "/")
+    net, length = parts[0], F.get(parts, F.lit(1)).try_cast("int")
+    table = subnets.select(F.struct(F.col(order).alias("ord"), F.col(subnet).cast("string").alias("subnet")).alias("first"), ipv4_number(net).alias("n"), F.when(net.contains(":"), ipv6_hex(net)).alias("x"), length.alias("length"))
+    fits = (F.col("n").isNotNull() & F.col("length").between(0, 32)) | (F.col("x").isNotNull() & F.col("length").between(1, 128))
+    table = table.where(fits).withColumn("six", F.col("n").isNull())
+    lengths = sorted((r["six"], r["length"]) for r in table.select("six", "length").distinct().collect())  # at most 161
+
+    def asked(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """A row for each prefix length: the network of ``n`` or ``x`` as text."""
+        each = []
+        for six, bits in lengths:
+            if six:
+                digits, rest = divmod(bits, 4)
+                tail = F.shiftright(F.conv(F.substring("x", digits + 1, 1), 16, 10).cast("int"), 4 - rest).cast("string") if rest else F.lit("")
+                network = F.when(F.col("x").isNotNull(), F.concat(F.substring("x", 1, digits), F.lit("."), tail))
+            else:
+                network = F.shiftright(F.col("n"), 32 - bits).cast("string")
+            each.append(F.when(network.isNotNull(), F.struct(F.lit(six).alias("six"), F.lit(bits).alias("length"), network.alias("network"))))
+        none = F.array().cast("array<struct<six:boolean,length:int,network:string>>")
+        return rows.select(*keep, F.inline(F.array_compact(F.array(*each)) if each else none))
+
+    named = asked(table.withColumnsRenamed({"length": "own", "six": "own_six"}), ["first", "own", "own_six"]).where("own = length and own_six = six")
+    first = named.groupBy("six", "length", "network").agg(F.min("first").alias("first"))
+    address = F.col(ip)
+    keys = df.select(address.alias("_ip")).where("_ip is not null").distinct().select("_ip", ipv4_number(F.col("_ip")).alias("n"), F.when(F.col("_ip").contains(":"), ipv6_hex(F.col("_ip"))).alias("x"))
+    keys = keys.withColumn("n", F.when(F.col("n") != 0, F.col("n")))  # 0.0.0.0 is in no subnet
+    hits = asked(keys, ["_ip"]).join(first, ["six", "length", "network"]).groupBy("_ip").agg(F.min("first")["subnet"].alias("_hit"))
+    return df.join(hits, address == F.col("_ip"), "left").select(*[c for c in df.columns if c != out], F.col("_hit").alias(out))
 
 
 def _v6_lookup(df: DataFrame, digits: str, ranges: DataFrame, value: str, out: str) -> DataFrame:
@@ -70,15 +154,18 @@ def join_services(df: DataFrame, port: str, proto: str, services: DataFrame, *,
 def public_suffix_size(df: DataFrame, qname: str, suffixes: DataFrame, *, out: str = "suffix_size") -> DataFrame:
     """``df`` with the length of the public suffix of a name and the dot before it; 0 without dot, with a trailing dot, or for an unknown last label.
 
-    The first suffix of the last label's list that ends the name counts, without regard to label boundaries.
+    The first suffix of the last label's list that ends the name counts, without regard to label boundaries. Distinct
+    names ask for their last characters, once for each length that suffixes of their last label have, by one equi-join.
     """
-    lists = suffixes.groupBy(F.col("tld").alias("_tld")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "suffix"))), lambda s: s["suffix"]).alias("_list"))
+    table = suffixes.groupBy(F.col("tld").alias("_tld"), F.col("suffix").alias("_end")).agg(F.min("ord").alias("_ord"))
+    lengths = suffixes.groupBy(F.col("tld").alias("_tld")).agg(F.collect_set(F.length("suffix")).alias("_lengths"))
     name = F.lower(F.col(qname))
-    tld = F.when(F.contains(name, F.lit(".")) & ~name.endswith("."), F.substring_index(name, ".", -1))
-    joined = df.withColumn("_name", name).withColumn("_tld", tld).join(lists, "_tld", "left")
-    hit = F.try_element_at(F.filter("_list", lambda s: F.endswith(F.col("_name"), s)), F.lit(1))
-    size = F.when(F.col("_list").isNull(), 0).otherwise(F.coalesce(F.length(hit), F.length("_tld")) + 1)
-    return joined.withColumn(out, size).select(*[c for c in df.columns if c != out], out)
+    label = F.when(F.contains(name, F.lit(".")) & ~name.endswith("."), F.substring_index(name, ".", -1))
+    asked = df.select(name.alias("_name"), label.alias("_tld")).where("_tld is not null").distinct().join(lengths, "_tld")
+    each = asked.select("_name", "_tld", F.explode("_lengths").alias("_n")).where("_n > 0 and _n <= length(_name)").withColumn("_end", F.expr("right(_name, _n)"))
+    hits = each.join(table, ["_tld", "_end"]).groupBy("_name").agg(F.min(F.struct("_ord", "_n"))["_n"].alias("_hit"))
+    known = asked.select("_name", F.length("_tld").alias("_short")).join(hits, "_name", "left").select(F.col("_name").alias("_of"), (F.coalesce("_hit", "_short") + 1).alias("_size"))
+    return df.join(known, name == F.col("_of"), "left").withColumn(out, F.coalesce("_size", F.lit(0))).select(*[c for c in df.columns if c != out], out)
 
 
 def enrich_devices(df: DataFrame, devices: DataFrame, interfaces: DataFrame, *, device: str = "device_ip", interface: str = "interface") -> DataFrame:

@@ -430,6 +430,44 @@ def stream_clock_periods(spark, sf_dir):
     return _activity(spark, sf_dir, 1800)
 
 
+# large lookup tables
+
+
+@query("""WITH r AS (SELECT (l_orderkey * 7919 + l_partkey * 613) % 16777216 AS lo, CAST(pow(2, l_partkey % 20) AS BIGINT) + l_suppkey AS width, 'p' || l_partkey AS v FROM lineitem), g AS (SELECT lo, lo + width - 1 AS hi, v FROM r),
+k AS (SELECT c_custkey, (c_custkey * 104729) % 16777216 AS at FROM customer)
+SELECT c_custkey, (SELECT v FROM g WHERE k.at BETWEEN lo AND hi ORDER BY lo DESC, hi, v DESC LIMIT 1) AS v, (SELECT max(lo) FROM g WHERE k.at BETWEEN lo AND hi) AS lo FROM k""")
+def nested_ranges(spark, sf_dir):
+    """Line items as nested and overlapping ranges of up to half a million numbers: one match a probe."""
+    li = v.table(spark, sf_dir, "lineitem")
+    lo = (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 613) % 16_777_216
+    r = li.select(lo.alias("lo"), (lo + F.pow(F.lit(2), F.col("l_partkey") % 20).cast("bigint") + F.col("l_suppkey") - 1).alias("hi"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("v"), lo.alias("start"))
+    k = v.table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 104_729) % 16_777_216).alias("at"))
+    return lookup.range_join(k, "at", r, ["v", "start"]).select("c_custkey", "v", F.col("start").alias("lo"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS ord, 20 + o_custkey % 13 AS bits, o_orderkey * 37 % 20000 AS low FROM orders), n AS (SELECT ord, bits, low, '10.0.' || (low // 256) || '.' || (low % 256) || '/' || bits AS subnet FROM s),
+p AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_partkey, n, (SELECT subnet FROM n WHERE l_partkey >> (32 - bits) = low >> (32 - bits) ORDER BY ord LIMIT 1) AS subnet FROM p""")
+def subnet_table(spark, sf_dir):
+    """Orders as a list of subnets: the first that holds each address."""
+    low = F.col("o_orderkey") * 37 % 20_000
+    subnets = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("10.0."), F.floor(low / 256).cast("string"), F.lit("."), (low % 256).cast("string"), F.lit("/"), (20 + F.col("o_custkey") % 13).cast("string")).alias("subnet"))
+    p = v.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    ip = F.concat_ws(".", F.lit("10.0"), F.floor(F.col("l_partkey") / 256).cast("string"), (F.col("l_partkey") % 256).cast("string"))
+    return lookup.subnet_lookup(p.withColumn("ip", ip), "ip", subnets).select("l_partkey", "n", "subnet")
+
+
+@query("WITH " + DNS_SQL.format(ttl=TTL) + """, s AS (SELECT o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'h' ELSE '1' END || (o_custkey % 100) || '.d' || (o_orderkey % 7) || '.example.com' AS suffix FROM orders), q AS (SELECT DISTINCT qname FROM x)
+SELECT qname, CAST(coalesce((SELECT length(suffix) FROM s WHERE ends_with(qname, suffix) ORDER BY ord LIMIT 1), 3) + 1 AS INTEGER) AS suffix_size FROM q""")
+def suffix_table(spark, sf_dir):
+    """Orders as a list of suffixes under one last label: the first that ends each name."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.when(k % 3 == 0, "").when(k % 3 == 1, "h").otherwise("1"), (F.col("o_custkey") % 100).cast("string"), F.lit(".d"), (k % 7).cast("string"), F.lit(".example.com"))
+    suffixes = v.table(spark, sf_dir, "orders").select(k.alias("ord"), text.alias("suffix"), F.lit("com").alias("tld"))
+    names_ = v.dns(spark, sf_dir).select(F.lower("qname").alias("qname")).distinct()
+    return lookup.public_suffix_size(names_, "qname", suffixes).select("qname", F.col("suffix_size").cast("int").alias("suffix_size"))
+
+
 # states of finer periods merged into coarser ones
 
 
