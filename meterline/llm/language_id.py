@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import col, held_out, map_texts
+from .tables import col, held_out, map_texts, settle
 
 #: n-grams hash into this many features.
 FEATURES = 1 << 14
@@ -75,6 +75,7 @@ def _document_frequency(train: DataFrame, text: str) -> tuple[np.ndarray, int]:
     width = 256
 
     def run(batches):
+        settle()
         total = np.zeros(FEATURES, np.int64)
         n = 0
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,12 +23,20 @@ STEP_BYTES = 1 << 19
 CACHES: dict[str, dict] = {}
 
 
+try:  # what the C library has freed goes back to the system only when asked
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def settle(name: str = "") -> None:
-    """At the start of a task: workers live on, so what other passes kept, and Arrow's free memory, is given back."""
+    """At the start of a task: workers live on, so what other passes kept, and all free memory, is given back."""
     for other, kept in CACHES.items():
         if other != name:
             kept.clear()
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
