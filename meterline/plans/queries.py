@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import addresses, codes, dns as names, flow as flowfn
 from ..operators import filters, lookup, merging, metrics as m, pairing, periods
 from ..operators.running import running_max
+from ..operators.selection import percentiles_of
 from ..sources import readers, sinks
 from . import handlers as h
 from . import reports
@@ -76,8 +77,8 @@ def net_direction(spark, sf_dir):
 
 @query("""SELECT event_type, unnest(['p50', 'p90', 'p95', 'p99']) AS mark, unnest([quantile_disc(value, 0.5), quantile_disc(value, 0.9), quantile_disc(value, 0.95), quantile_disc(value, 0.99)]) AS value FROM events GROUP BY 1""")
 def quantiles_by_type(spark, sf_dir):
-    e = v.table(spark, sf_dir, "events").groupBy("event_type").agg(m.percentiles("value").alias("q"))
-    return e.select("event_type", F.inline(F.array(*[F.struct(F.lit(n).alias("mark"), F.col("q")[i].alias("value")) for i, (n, _) in enumerate(m.QUANTILES)])))
+    e = percentiles_of(v.table(spark, sf_dir, "events"), ["event_type"], "value", [p for _, p in m.QUANTILES])
+    return e.select("event_type", F.inline(F.array(*[F.struct(F.lit(n).alias("mark"), F.col("marks")[i].alias("value")) for i, (n, _) in enumerate(m.QUANTILES)])))
 
 
 @query(f"""WITH {PACKETS_SQL}, s AS (SELECT period, dir, sec, count(*) AS n FROM packets GROUP BY 1, 2, 3), g AS (SELECT period, dir, list(n) AS l FROM s GROUP BY 1, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, dns as names, flow as flowfn
+from ..functions import addresses, codes, dns as names, flow as flowfn
 from ..operators import filters, lookup, merging, metrics as m, periods
 from ..sources import readers
 from ..storage import new_path
@@ -51,6 +51,27 @@ def dns_notfound(spark, sf_dir):
     return d.select("seq", filters.DnsFilter(geoloc_notfound=True).keep().alias("not_found"))
 
 
+def _nations(spark, sf_dir, width: int) -> DataFrame:
+    """So many addresses of 10.0.0.0/8 for the number of each nation."""
+    n = v.table(spark, sf_dir, "nation").select((F.lit(167772160).cast("bigint") + F.col("n_nationkey") * width).alias("lo"), F.concat_ws("/", F.col("n_nationkey").cast("string"), "n_name").alias("asn"))
+    return n.withColumn("hi", F.col("lo") + width - 1)
+
+
+@query("WITH " + DNS_SQL.format(ttl=TTL) + """ SELECT seq, is_response OR (txid % 4 = 0 AND txid % 3 != 0) AS not_found FROM x""")
+def dns_asn_notfound(spark, sf_dir):
+    k = F.col("txid")
+    ecs = F.when(k % 4 == 0, F.concat_ws(".", F.lit("10"), (k % 3).cast("string"), F.lit("0"), (k % 250).cast("string")))
+    d = lookup.asn_lookup(v.dns(spark, sf_dir).withColumn("ecs", ecs), "ecs", _nations(spark, sf_dir, 1000), out="ecs_asn")
+    return d.select("seq", filters.DnsFilter(asn_notfound=True).keep().alias("not_found"))
+
+
+@query(f"""WITH {FLOWS_SQL} SELECT device, count(*) FILTER (l_partkey >= 1250 OR l_orderkey >= 30000) AS not_found FROM f GROUP BY 1""")
+def flow_asn_notfound(spark, sf_dir):
+    lab = spark.range(1).select(F.lit(172 << 24).cast("bigint").alias("lo"), F.lit("900/lab").alias("asn"), F.lit((172 << 24) + 29_999).cast("bigint").alias("hi"))
+    r = h.flow_records(v.flows(spark, sf_dir), h.Options(filters={"asn_notfound": True}), h.Dimensions(asn_v4=_nations(spark, sf_dir, 50).unionByName(lab)), h.Summaries())
+    return r.groupBy(F.col("device_ip").alias("device")).agg(F.count_if("keep").alias("not_found"))
+
+
 @query("""WITH t AS (SELECT o_orderkey, ['CLIENT_QUERY', 'CLIENT_RESPONSE', 'AUTH_QUERY', 'RESOLVER_RESPONSE', 'TOOL_QUERY'][o_orderkey % 5 + 1] AS t FROM orders)
 SELECT o_orderkey, t IN ('CLIENT_QUERY', 'CLIENT_RESPONSE') AS client, t = 'AUTH_QUERY' AS auth, o_orderkey % 7 = 1 OR o_orderkey % 11 = 3 AS host FROM t""")
 def dnstap_filters(spark, sf_dir):
@@ -90,6 +111,15 @@ def flow_filters(spark, sf_dir):
     return out
 
 
+@query(f"""WITH {FLOWS_SQL} SELECT CASE WHEN src_ip = '10.0.0.7' THEN src_ip WHEN n_nationkey IS NOT NULL AND n_nationkey != 3 THEN n_nationkey || '/' || n_name ELSE '10.' || (l_partkey // 65536) || '.' || (l_partkey // 256 % 256 // 2 * 2) || '.0/23' END AS summary, count(*) AS n
+FROM f LEFT JOIN nation ON l_partkey // 50 = n_nationkey GROUP BY 1""")
+def asn_summary(spark, sf_dir):
+    """Addresses by number, but one excluded address, one excluded number, and those without a number."""
+    r = lookup.asn_lookup(flowfn.explode_flow_records(v.flows(spark, sf_dir)).select("src_ip"), "src_ip", _nations(spark, sf_dir, 50))
+    s = addresses.ip_summarize(F.col("src_ip"), asn=F.col("asn"), exclude_ips=["10.0.0.7"], exclude_asns=["3"], exclude_unknown=True, subnets=["0.0.0.0/23"], by_asn=True)
+    return r.groupBy(s.alias("summary")).agg(F.count("*").alias("n"))
+
+
 # expressions
 
 

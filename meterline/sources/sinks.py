@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 _ID = ["policy", "handler", "schema", "period_start", "period_len", "labels", "name", "kind"]
 
 
+#: Words of metric names that say little by themselves.
+_WORDS = {
+    "xacts": "transactions", "xact": "transaction", "qname": "query names", "qname2": "names of their last two labels", "qname3": "names of their last three labels", "ips": "addresses", "ipv4": "IPv4", "ipv6": "IPv6", "udp": "UDP", "tcp": "TCP",
+    "dot": "DNS over TLS", "doh": "DNS over HTTPS", "doq": "DNS over QUIC", "ecs": "client subnets", "asn": "autonomous systems", "ASN": "autonomous systems", "geo": "places", "geoLoc": "places", "loc": "", "dscp": "DSCP classes", "ecn": "ECN marks", "pps": "packets", "bps": "bytes",
+    "us": "in microseconds", "l4": "transports", "syn": "SYN", "qtype": "query types", "rcode": "response codes", "nxdomain": "NXDOMAIN", "srvfail": "SERVFAIL", "noerror": "NOERROR", "refused": "REFUSED", "nodata": "without data", "src": "source", "dst": "destination", "resp": "response", "num": "", "wire": "",
+}
+_KINDS = {"counter": ("Number of", ""), "cardinality": ("Number of distinct", "cardinality"), "topn": ("Most frequent", "top"), "quantile": ("Quantiles of", "quantiles"), "histogram": ("Histogram of", "histogram"), "rate": ("Totals a second of", "rates")}
+
+
+def describe(name: str, kind: str) -> str:
+    """What a metric says, in words, from its name and kind: the text of its HELP line."""
+    begin, drop = _KINDS.get(kind, ("", ""))
+    words = [_WORDS.get(w, w) for w in name.split("_") if w != drop]
+    weight = ""
+    if kind == "topn" and len(words) > 1 and words[-1] in ("bytes", "packets", "transactions"):
+        weight = f", by {words.pop()}"
+    return " ".join(w for w in [begin, *words] if w) + weight
+
+
+def descriptions_of(metrics: DataFrame) -> dict[str, str]:
+    """A description for each metric there is in a table: a few hundred names at most."""
+    return {r["name"]: describe(r["name"], r["kind"]) for r in metrics.select("name", "kind").distinct().collect()}
+
+
 def to_metric_table(metrics: DataFrame) -> DataFrame:
     """The long form with the full metric name, ready for ``write.partitionBy('period_day')``."""
     return metrics.select("*", F.concat_ws("_", "schema", "name").alias("metric"), F.to_date("period_start").alias("period_day"))
@@ -33,7 +57,7 @@ def _labels(labels, *more):
 def to_prometheus(metrics: DataFrame, descriptions: dict[str, str] | None = None) -> DataFrame:
     """Exposition text, ``metric, ord, line``: HELP and TYPE once a metric, then its samples, labels in order.
 
-    HELP is the text of ``descriptions`` for the metric's name, or the name in words.
+    HELP is the text of ``descriptions`` for the metric's name (see :func:`descriptions_of`), or the name in words.
 
     A summary's ``_sum`` is its largest item; its ``_count`` the number of items.
     """

@@ -35,7 +35,8 @@ def sliding(events: DataFrame, keys: Sequence[str], aggs: Sequence[Column], *, t
 def pair_stream(events: DataFrame, keys: Sequence[str], is_response: str, *, ts: str = "ts", seq: str = "seq", ttl_ms: int = 5000, watermark: str = WATERMARK) -> DataFrame:
     """Pairing of a live stream: ``keys, ts, status, elapsed_us`` of responses as they come, and of queries that time out.
 
-    State is one open query a key. A timer at ``ttl_ms`` after the query, in event time, ends an unanswered one.
+    State is one open query a key. A timer at ``ttl_ms`` after the query, in event time, ends an unanswered one; for purges
+    at period shifts, as the batch plans count them, see ``batches.pair_step``.
     """
     ship(events.sparkSession)
     columns = [*keys, ts, seq, is_response]
@@ -75,7 +76,10 @@ def pair_stream(events: DataFrame, keys: Sequence[str], is_response: str, *, ts:
 
 
 def activity_stream(events: DataFrame, stream: str, *, ts: str = "ts", seq: str = "seq", seconds: int = 60) -> DataFrame:
-    """Period starts of activity-anchored periods, each when it opens: ``stream, period_start``. State: the last start."""
+    """Period starts of activity-anchored periods, each when it opens: ``stream, period_start``. State: the last start.
+
+    Rows count in the order in which their micro-batch has them; ``batches.activity_step`` puts them in event time.
+    """
     ship(events.sparkSession)
     kind = events.schema[stream].dataType.simpleString()
 
