@@ -44,4 +44,4 @@ def percentiles_of(df: DataFrame, keys: Sequence[str], value: str, marks: Sequen
     order = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_place", F.col("_before") + F.sum("_w").over(order))
     at = [F.max(F.when((F.col("_place") >= wanted(p)) & (F.col("_place") - F.col("_w") < wanted(p)), F.col(value))) for p in marks]
-    return inside.groupBy(*keys).agg(F.array(*at).alias("marks"))
+    return inside.groupBy(*keys).agg(F.array(*at).alias("marks")).where(F.get("marks", F.lit(0)).isNotNull())
