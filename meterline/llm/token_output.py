@@ -157,8 +157,9 @@ def encoder(path: str) -> Encoder:
 def write_tokens(documents: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, tokenizer: str | None = None, group: int = GROUP) -> None:
     """Write the ids of all texts, ``end_id`` after each document, in ascending order of id (null ids first, ties by text).
 
-    Null texts are empty; repeated rows are written as often as they come; other columns are ignored.
-    One range shuffle of the texts; tokenising, coding and writing follow in the same tasks.
+    Null texts are empty; repeated rows are written as often as they come; other columns are ignored. A text of any
+    length is encoded whole, by itself where it is longer than ``STEP``, and a group ends after it. An empty table gives
+    no group. One range shuffle of the texts; tokenising, coding and writing follow in the same tasks.
     """
     ship(documents.sparkSession)
     name = tokenizer or vocabulary()

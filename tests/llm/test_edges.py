@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from meterline.llm import decontaminate as dc
 from meterline.llm import html_extract as he
 from meterline.llm import jaccard_join as jj
-from meterline.llm.language_id import fit_language, predict_language
+from meterline.llm import token_output as to
+from meterline.llm.language_id import FEATURES, LanguageModel, fit_language, predict_language
 from meterline.llm.line_dedup import dedup_lines
 from meterline.llm.mixing import mix_sources
 from meterline.llm.quality import fit_quality, score_quality
@@ -44,12 +46,37 @@ def test_language(spark):
     got = [(x.row.doc_id, x.lang_pred, x.score) for x in predict_language(table(spark, odd, lang_pred="clash"), model).collect()]
     by = sorted((i or -1, p) for i, p, _ in got)
     assert by[:4] == [(-1, "xx"), (1, "und"), (2, "und"), (3, "und")] and (4, "xx") in by and by.count((5, "yy")) == 3 and len(by) == 9
-    assert [(p, s) for i, p, s in got if i == 6][0][0] in ("xx", "yy")  # a tie goes to the first language by name, at any score
     assert all(0 <= s <= 1 for _, _, s in got)
     none = fit_language(docs.limit(0))
     assert {(x.lang_pred, x.score) for x in predict_language(docs, none).collect()} == {("und", 0.0)} and predict_language(docs.limit(0), model).count() == 0
 
 
+def test_languages_equally_likely(spark):
+    """The first by name, with the score that they share."""
+    for names in (["aa", "bb", "cc"], ["bb", "cc"]):
+        model = LanguageModel(names, np.zeros((FEATURES, len(names))), np.ones(FEATURES))
+        got = [(x.lang_pred, x.score) for x in predict_language(table(spark, [(1, "some words"), (2, LONG), (3, "")]), model).collect()]
+        assert sorted(got) == sorted([(names[0], pytest.approx(1 / len(names)))] * 2 + [("und", 0.0)])
+
+
+def test_token_files_of_very_long_texts(spark, tmp_path):
+    """Texts beyond a step and a group, without any white space too; equal and null ids; null and empty texts."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(to.vocabulary())
+    r = random.Random(7)
+    mixed = " ".join(r.choice(["straße", "naïve", "水と石", "end.", "x,y", "\u00a0", "tab\t", "a\n\nb"]) for _ in range(450_000))
+    assert len(mixed.encode()) > to.STEP
+    rows = [(None, "no id"), (1, None), (2, mixed), (3, ""), (3, LONG), (3, LONG), (4, "水" * 50_000), (5, "tail")]
+    got = to.token_output(table(spark, rows, start="clash", ids=1), path=str(tmp_path / "t"), group=100_000).orderBy("start").collect()
+    assert [x.doc_id for x in got] == [None, 1, 2, 3, 3, 3, 4, 5]
+    start = 0
+    for x, (_, text) in zip(got, rows):
+        want = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert bytes(x.ids) == want and x.n_tokens == len(want) // 4 and x.start == start and x.ids_crc32 == zlib.crc32(want)
+        start += x.n_tokens
+
+
 def test_jaccard(spark):
     rows = [(3, LONG), (2, LONG + " tail"), (7, LONG.replace("river1 ", "x ", 3)), (9, prose(5, 300)), (9, prose(5, 300)), (11, ""), (12, None)]
     got = sorted((x.doc_id, x.component_id) for x in jj.jaccard_components(table(spark, rows, n_shingles="clash", set_id=1)).collect())
