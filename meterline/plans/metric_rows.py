@@ -33,7 +33,7 @@ def _fast_sql(sql: str) -> str:
 def _rows(t: DataFrame, *labels: str) -> DataFrame:
     """The long form as comparable columns; bounds of histograms are whole numbers."""
     bound = (F.col("kind") == "histogram") & (F.col("stat") != "+Inf")
-    stat = F.when(bound, F.col("stat").cast("double").cast("bigint").cast("string")).otherwise(F.col("stat"))
+    stat = F.when(bound, F.col("stat").try_cast("double").cast("bigint").cast("string")).otherwise(F.col("stat"))
     return t.select(_epoch(), *[F.col("labels")[x].alias(x) for x in labels], "name", stat.alias("stat"), "value")
 
 

@@ -106,7 +106,7 @@ def to_otel_rows(metrics: DataFrame) -> DataFrame:
     gauges = plain.select(*common, F.lit("gauge").alias("type"), attributes.alias("attributes"), "value", none.alias("buckets"))
     summary = m.where("kind in ('quantile', 'rate') and stat rlike '^p[0-9]+$'")
     summaries = summary.select(*common, F.lit("summary").alias("type"), F.map_concat("labels", F.create_map(F.lit("quantile"), F.col("stat"))).alias("attributes"), "value", none.alias("buckets"))
-    h = m.where("kind = 'histogram'").groupBy(*[c for c in _ID if c != "labels"], "metric", F.map_entries("labels").alias("l")).agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("stat") == "+Inf", float("inf")).otherwise(F.col("stat").cast("double")).alias("b"), F.col("stat").alias("bound"), F.col("value").cast("bigint").alias("count")))).alias("s"))
+    h = m.where("kind = 'histogram'").groupBy(*[c for c in _ID if c != "labels"], "metric", F.map_entries("labels").alias("l")).agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("stat") == "+Inf", float("inf")).otherwise(F.col("stat").try_cast("double")).alias("b"), F.col("stat").alias("bound"), F.col("value").cast("bigint").alias("count")))).alias("s"))
     buckets = F.transform("s", lambda x: F.struct(x["bound"].alias("bound"), x["count"].alias("count")))
     histograms = h.select(*common, F.lit("histogram").alias("type"), F.map_from_entries("l").alias("attributes"), F.element_at(buckets, -1)["count"].cast("double").alias("value"), buckets.alias("buckets"))
     return gauges.unionByName(summaries).unionByName(histograms)
