@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import ipv4_number, ipv6_hex
 from ..storage import written
+from .running import latest
 
 
 #: Rows of an index that are broadcast at most; a larger one is joined by shuffles of the distinct keys.
@@ -139,14 +140,26 @@ def asn_lookup(df: DataFrame, ip: str, ranges: DataFrame, *, out: str = "asn", r
     return geo_lookup(df, ip, ranges, out=out, ranges_v6=ranges_v6, value="asn")
 
 
-def join_services(df: DataFrame, port: str, proto: str, services: DataFrame, *, out: str = "service") -> DataFrame:
+def join_services(df: DataFrame, port: str, proto: str, services: DataFrame, *, out: str = "service", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with the service of a port: the first range, by its end, that ends at or after the port, if it holds the
-    port; else the number as text. Protocols other than udp are looked up as tcp."""
-    ordered = Window.partitionBy("proto").orderBy("port_hi")
+    port; else the number as text. Protocols other than udp are looked up as tcp.
+
+    The ports of the registry are counted: up to ``broadcast_rows`` they are broadcast; the distinct ports of ``df`` ask
+    a larger one, and only their names are joined.
+    """
     table = services.groupBy("proto", "port_hi").agg(F.min_by(F.struct("port_lo", "name"), "port_lo").alias("s")).select("proto", "port_hi", "s.port_lo", "s.name")
-    table = table.withColumn("_from", F.coalesce(F.lag("port_hi").over(ordered) + 1, F.lit(0)))
-    table = table.select(F.col("proto").alias("_proto"), F.explode(F.sequence(F.greatest("_from", "port_lo"), F.col("port_hi"))).alias("_port"), F.col("name").alias("_name"))
     wanted = F.when(F.lower(F.col(proto)) == "udp", "udp").otherwise("tcp")
+    ports = services.agg(F.sum(F.greatest(F.col("port_hi").cast("bigint") - F.col("port_lo").cast("bigint") + 1, F.lit(1)))).first()[0] or 0
+    if ports <= broadcast_rows:
+        ordered = Window.partitionBy("proto").orderBy("port_hi")
+        table = table.withColumn("_from", F.coalesce(F.lag("port_hi").over(ordered) + 1, F.lit(0))).where("greatest(_from, port_lo) <= port_hi")
+        table = F.broadcast(table.select(F.col("proto").alias("_proto"), F.explode(F.sequence(F.greatest("_from", "port_lo"), F.col("port_hi"))).alias("_port"), F.col("name").alias("_name")))
+    else:
+        asked = df.select(wanted.alias("_proto"), F.col(port).cast("bigint").alias("_port"), (-F.col(port).cast("bigint")).alias("_place")).where("_port is not null").distinct()
+        ends = table.where("proto is not null").select(F.col("proto").alias("_proto"), (-F.col("port_hi").cast("bigint")).alias("_place"), F.struct((-F.col("port_hi").cast("bigint")).alias("end"), "port_lo", "name").alias("_first"))
+        found = latest(ends, asked, ["_proto"], "_place", "_first").where("_port >= 0 and _port >= coalesce(_first.port_lo, 0)")
+        table = written(found.select("_proto", "_port", F.col("_first.name").alias("_name")), "services")
+        table = F.broadcast(table) if table.count() <= broadcast_rows else table
     joined = df.join(table, (wanted == F.col("_proto")) & (F.col(port) == F.col("_port")), "left")
     return joined.withColumn(out, F.coalesce("_name", F.col(port).cast("string"))).select(*[c for c in df.columns if c != out], out)
 

@@ -52,3 +52,24 @@ def running_sum(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[
     slices = slices.select(*keys, "_slice", "_off", F.min(F.col("_off") + F.col("_m")).over(_slices(keys)).alias("_floor"))
     both = _joined(summed, slices, keys)
     return both.withColumn(out, F.col("_off") + F.col("_in")).withColumn(low, F.least("_floor", F.col("_off") + F.col("_low"))).drop("_slice", "_in", "_low", "_off", "_floor")
+
+
+def latest(marks: DataFrame, asked: DataFrame, keys: Sequence[str], order: str, value: str, wide: Column | None = None) -> DataFrame:
+    """``asked`` with ``value``: the largest one of the ``marks`` of its ``keys`` up to its place in ``order`` (whole numbers).
+
+    Marks and questions meet slice by slice; what earlier slices hold is one value a slice, of the keys that are ``wide``:
+    the places of the others, doubled, lie in one slice. Marks are shuffled once. No key and no place is null.
+    """
+    own = [c for c in asked.columns if c not in (*keys, order)]
+    place = F.col(order).cast("bigint")
+    rows = marks.select(*keys, (place * 2).alias("_at"), F.lit(None).cast(T.StructType([asked.schema[c] for c in own])).alias("_row"), F.col(value).alias("_v"))
+    questions = asked.select(*keys, (place * 2 + 1).alias("_at"), F.struct(*own).alias("_row"), F.lit(None).cast(marks.schema[value].dataType).alias("_v"))
+    slice_ = F.floor(F.col("_at") / ROWS).cast("bigint").alias("_slice")
+    wide = F.lit(True) if wide is None else wide
+    before = rows.where(wide).groupBy(*keys, slice_).agg(F.max("_v").alias("_m"))
+    # a slice's question looks at the slices before it: these are asked for by slice, so that all slices are in the list
+    listed = before.unionByName(questions.where(wide).select(*keys, slice_, F.lit(None).cast(marks.schema[value].dataType).alias("_m")).distinct()).groupBy(*keys, "_slice").agg(F.max("_m").alias("_m"))
+    listed = listed.select(*keys, "_slice", F.max("_m").over(_slices(keys)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(questions).select("*", slice_).withColumn("_in", F.max("_v").over(inside)).where("_row is not null").drop("_v")
+    return both.join(listed, [*keys, "_slice"], "left").select(*keys, "_row.*", F.greatest("_before", "_in").alias(value))
