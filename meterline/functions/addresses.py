@@ -35,12 +35,9 @@ def is_ipv6(ip: Column) -> Column:
 def ipv4_number(ip: Column) -> Column:
     """The address as a number; null for anything but dotted IPv4."""
 
-    def number(parts: Column) -> Column:
-        octets = F.transform(parts, lambda o: F.when(o.rlike(r"^\d{1,3}$"), o.cast("bigint")))
-        good = (F.size(parts) == 4) & F.forall(octets, lambda o: o.isNotNull() & (o <= 255))
-        return F.when(good, F.aggregate(octets, F.lit(0).cast("bigint"), lambda n, o: n * 256 + o))
-
-    return let(F.split(ip, r"\."), number)
+    octet = "([01]?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])"
+    part = lambda i: F.substring_index(F.substring_index(ip, ".", i), ".", -1).cast("bigint")
+    return F.when(ip.rlike(rf"^{octet}(\.{octet}){{3}}$"), part(1) * (1 << 24) + part(2) * (1 << 16) + part(3) * 256 + part(4))
 
 
 def ipv4_text(number: Column) -> Column:

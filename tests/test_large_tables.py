@@ -14,3 +14,14 @@ def test_services_of_a_large_registry_are_asked_not_broadcast(spark):
     df = spark.createDataFrame([(r.choice(["tcp", "UDP", "other", None]), r.choice([r.randrange(-5, 61_000), None])) for _ in range(2000)], "l4 string, port int")
     both = [sorted(map(str, lookup.join_services(df, "port", "l4", s, broadcast_rows=n).collect())) for n in (0, 1_000_000)]
     assert both[0] == both[1] and any("'s" in x for x in both[0])
+
+
+def test_summaries_of_parts_beyond_one_network_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from meterline.plans import queries as q
+
+    keys = [7, 8, 256, 300, 511, 512, 65_535, 65_536, 65_543, 65_792, 131_079, 200_000]
+    spark.createDataFrame([(k,) for k in keys], "l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = duckdb.sql(q.ORACLE_SQL["cidr_summary"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, q.cidr_summary(spark, str(tmp_path)).collect())) == sorted(want)
