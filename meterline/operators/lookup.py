@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import ipv4_number, ipv6_hex
 from ..storage import written
-from .running import latest
+from .running import ROWS, latest
 
 
 #: Rows of an index that are broadcast at most; a larger one is joined by shuffles of the distinct keys.
@@ -45,21 +45,57 @@ def range_index(ranges: DataFrame, values: Sequence[str], lo: str = "lo", hi: st
     return pieces.groupBy("level", "prefix").agg(F.max(F.struct("lo", (-F.col("hi")).alias("to"), "v")).alias("win"))
 
 
+def _split(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """The smallest block of ``2 ** level`` numbers that holds both ends, as ``level, node``."""
+    level = F.when(lo == hi, F.lit(0)).otherwise(F.length(F.bin(lo.bitwiseXOR(hi)))).cast("int")
+    return level, F.when(level < 64, F.call_function("shiftright", lo, level)).otherwise(F.lit(0).cast("bigint"))
+
+
+def range_wins(keys: DataFrame, key: str, ranges: DataFrame, values: Sequence[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """``key, _found`` of distinct keys that some range holds, for any number of ranges: the rule is that of :func:`range_join`.
+
+    A range is filed once, under the smallest aligned block that holds it, and gives two rows: it covers the end of the
+    block's left half from its start on, and the beginning of the right half up to its end. A key lies in one half of
+    one block of each size, and the ranges filed there that hold it are those up to its place, in either order.
+    """
+    left, right = F.col(lo).cast("bigint"), F.col(hi).cast("bigint")
+    level, node = _split(F.col("lo"), F.col("hi"))
+    filed = ranges.select(left.alias("lo"), right.alias("hi"), F.struct(*values).alias("v")).where("hi >= lo").select(level.alias("level"), node.alias("node"), F.struct("lo", (-F.col("hi")).alias("to"), "v").alias("win"))
+    levels = sorted(r["level"] for r in filed.select("level").distinct().collect())  # at most 65
+    half = lambda right, place: F.struct(F.lit(right).alias("right"), place.alias("place"))
+    ends = F.when(F.col("level") == 0, F.array(half(False, F.col("win.lo")))).otherwise(F.array(half(False, F.col("win.lo")), half(True, F.col("win.to") - 1)))
+    marks = filed.select("level", "node", F.inline(ends), "win")
+    k = F.col(key)
+    blocks = []
+    for n in levels:
+        second = F.shiftright(k, n - 1).bitwiseAND(F.lit(1)) == 1 if n else F.lit(False)
+        if n == 64:
+            second = k >= 0  # negative numbers come first
+        blocks.append(F.struct(F.lit(n).alias("level"), (F.shiftright(k, n) if n < 64 else F.lit(0).cast("bigint")).alias("node"), second.alias("right"), F.when(second, -k - 1).otherwise(k).alias("place")))
+    if not blocks:
+        return keys.select(key, F.lit(None).cast(filed.schema["win"].dataType["v"].dataType).alias("_found"))
+    asked = keys.select(key, F.inline(F.array(*blocks)))
+    return latest(marks, asked, ["level", "node", "right"], "place", "win", wide=F.col("level") > ROWS.bit_length() - 2).groupBy(key).agg(F.max("win")["v"].alias("_found"))
+
+
 def range_join(df: DataFrame, key: str, ranges: DataFrame, values: Sequence[str], *, lo: str = "lo", hi: str = "hi", prefix: str = "", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` left-joined with the range that holds ``key`` (whole numbers): ``prefix + value`` columns, null if none.
 
-    Overlapping ranges: the latest start, then the earliest end, wins. The index (:func:`range_index`) is counted: up to
-    ``broadcast_rows`` it is broadcast, one hash probe for each level that it has; a larger one is joined with the
-    distinct keys by shuffles, one match a key.
+    Overlapping ranges: the latest start, then the earliest end, wins. Ranges are counted: if there are at most
+    ``broadcast_rows`` blocks of them (:func:`range_index`), these are broadcast, one hash probe for each level that
+    the index has; else distinct keys meet the ranges by shuffles of two rows a range (:func:`range_wins`).
     """
-    index = written(range_index(ranges, values, lo, hi), "ranges")
-    sizes = {r["level"]: r["count"] for r in index.groupBy("level").count().collect()}  # a row a level
     at = F.col(key).cast("bigint")
-    if not sizes:
-        kinds = {f.name: f.dataType for f in ranges.schema}
-        return df.select("*", *[F.lit(None).cast(kinds[v]).alias(prefix + v) for v in values])
+    sizes: dict[int, int] = {}
+    small = ranges.where(F.col(hi).cast("bigint") >= F.col(lo).cast("bigint")).count() <= broadcast_rows
+    if small:
+        index = written(range_index(ranges, values, lo, hi), "ranges")
+        sizes = {r["level"]: r["count"] for r in index.groupBy("level").count().collect()}  # a row a level
+        if not sizes:
+            kinds = {f.name: f.dataType for f in ranges.schema}
+            return df.select("*", *[F.lit(None).cast(kinds[v]).alias(prefix + v) for v in values])
     block = lambda number, level: F.floor(number / RADIX**level).cast("bigint")
-    if sum(sizes.values()) <= broadcast_rows:
+    if small and sum(sizes.values()) <= broadcast_rows:
         out = df
         for level in sorted(sizes):
             own = index.where(F.col("level") == level).select(F.col("prefix").alias(f"_p{level}"), F.col("win").alias(f"_w{level}"))
@@ -68,9 +104,7 @@ def range_join(df: DataFrame, key: str, ranges: DataFrame, values: Sequence[str]
         out = out.withColumn("_found", (F.greatest(*wins) if len(wins) > 1 else wins[0])["v"])
     else:
         keys = df.select(at.alias("_key")).where("_key is not null").distinct()
-        asked = keys.select("_key", F.inline(F.array(*[F.struct(F.lit(level).alias("level"), block(F.col("_key"), level).alias("prefix")) for level in sorted(sizes)])))
-        found = asked.join(index, ["level", "prefix"]).groupBy("_key").agg(F.max("win")["v"].alias("_found"))
-        out = df.join(found, at == F.col("_key"), "left")
+        out = df.join(range_wins(keys, "_key", ranges, values, lo, hi), at == F.col("_key"), "left")
     return out.select(*df.columns, *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
 
 

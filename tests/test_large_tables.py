@@ -25,3 +25,15 @@ def test_summaries_of_parts_beyond_one_network_equal_the_sql(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = duckdb.sql(q.ORACLE_SQL["cidr_summary"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, q.cidr_summary(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_ranges_are_filed_once_however_they_nest(spark):
+    r = random.Random(2)
+    rows = [(lo, lo + r.choice([0, 1, 30, 5000, 400_000]), f"v{i % 7}") for i, lo in enumerate(r.randrange(-300_000, 700_000) for _ in range(600))]
+    rows += [(-(1 << 62), (1 << 61), "all"), (5, 4, "none"), (10, 20, "a"), (10, 20, "b"), (10, 18, "c")]
+    keys = sorted({r.randrange(-310_000, 720_000) for _ in range(500)} | {10, 19, 21, 1 << 61, (1 << 61) + 1, -(1 << 62)})
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    got = {x.k: x._found.v if x._found else None for x in lookup.range_wins(df, "k", spark.createDataFrame(rows, "lo bigint, hi bigint, v string"), ["v"]).collect()}
+    for k in keys:
+        held = [(lo, -hi, v) for lo, hi, v in rows if lo <= k <= hi]
+        assert got[k] == (max(held)[2] if held else None), k
