@@ -25,6 +25,8 @@ QUANTILES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
 PERIOD_SECONDS = 60
 #: Items that a sketch of tops tracks at most.
 TRACKED = 10_000
+#: What such a sketch adds to a count at most, as a share of all counts, once it has seen more items: 3.5 by its table of 2 ** 14 places.
+TRACKED_ERROR = 3.5 / 16_384
 
 
 @dataclass(frozen=True)

@@ -37,3 +37,12 @@ def test_ranges_are_filed_once_however_they_nest(spark):
     for k in keys:
         held = [(lo, -hi, v) for lo, hi, v in rows if lo <= k <= hi]
         assert got[k] == (max(held)[2] if held else None), k
+
+
+def test_tops_of_more_items_than_a_sketch_tracks(spark, tmp_path):
+    from meterline.plans import row_queries as q
+
+    rows = spark.range(25_600).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 80000) as ts", "id % 256 as user_id", "'error' as event_type", "1.5d as value", "concat('{\"k\": ', id div 256, '}') as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = q.top_state_merge(spark, str(tmp_path)).collect()
+    assert [tuple(r)[1:] for r in got] == [("unknown", True, True, True, True)]
