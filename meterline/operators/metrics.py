@@ -144,6 +144,19 @@ def _masks(metrics: Sequence[Metric]) -> list[dict]:
     return out
 
 
+def _families(metrics: Sequence[Metric]) -> list[dict]:
+    """Metrics of the same item on the same rows, tops of any weight and distinct counts: one row serves them all."""
+    found: dict[tuple, dict] = {}
+    for n, m in enumerate(metrics):
+        items = isinstance(m, (Cardinality, TopN))
+        key = (m.whole, _shape(m.among), _shape(m.where), _shape(m.item.cast("string"))) if items else (n,)
+        at = found.setdefault(key, {"whole": m.whole, "metrics": [], "weights": {}})
+        weight = m.weight if isinstance(m, TopN) else None
+        at["weights"].setdefault(_shape(weight), weight)
+        at["metrics"].append((m, list(at["weights"]).index(_shape(weight))))
+    return list(found.values())
+
+
 def _state(name: str, kind: str, item: Column | None = None, num: Column | None = None, weight: Column | None = None) -> Column:
     null = F.lit(None)
     return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), (null if item is None else item).cast("string").alias("item"), (null if num is None else num).cast("double").alias("num"), (F.lit(0) if weight is None else weight).cast("bigint").alias("weight"))
@@ -168,14 +181,19 @@ def _counted(df: DataFrame, masks: list[dict], keys: Sequence[str], dims: Sequen
     return out.select(*keys, "name", "kind", "item", "num", "weight")
 
 
-def _sums(df: DataFrame, masks: list[dict], others: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
+def _sums(df: DataFrame, masks: list[dict], families: list[dict], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
     """``keys, m, item, num, bits, weight``: what each metric, of code ``m``, counts, summed over the rows of ``df``.
 
     A row of ``df`` becomes one row for each distinct weight of its counters, whose ``bits`` say which ones count it,
-    and one for each item, value or second it adds to other metrics. One aggregation sums these, partly before the
-    shuffle.
+    and one for each item, value or second it adds to other metrics; a family of metrics (:func:`_families`) shares it,
+    further weights are ``weight1`` and so on. One aggregation sums these, partly before the shuffle.
     """
-    tag = lambda code, item, num, bits, weight: F.struct(F.lit(code).alias("m"), item.cast("string").alias("item"), num.cast("double").alias("num"), bits.cast("bigint").alias("bits"), F.coalesce(weight.cast("bigint"), F.lit(0)).alias("weight"))
+    weights = [_weight(i) for i in range(max(len(f["weights"]) for f in families))]
+
+    def tag(code: int, item: Column, num: Column, bits: Column, *each: Column) -> Column:
+        each = (*each, *[F.lit(0)] * (len(weights) - len(each)))
+        return F.struct(F.lit(code).alias("m"), item.cast("string").alias("item"), num.cast("double").alias("num"), bits.cast("bigint").alias("bits"), *[F.coalesce(w.cast("bigint"), F.lit(0)).alias(n) for w, n in zip(each, weights)])
+
     null, one = F.lit(None), F.lit(1)
     tags = []
     for i, g in enumerate(masks):
@@ -185,24 +203,27 @@ def _sums(df: DataFrame, masks: list[dict], others: Sequence[Metric], keys: Sequ
                 bits = bits + (F.lit(1 << j) if m.where is None else F.when(m.where, F.lit(1 << j)).otherwise(F.lit(0))).cast("bigint")
         t = tag(i, null, null, bits, one if g["weight"] is None else g["weight"])
         tags.append(t if g["among"] is None else F.when(g["among"], t))
-    for k, m in enumerate(others, len(masks)):
-        if isinstance(m, Cardinality):
-            item, num, weight = m.of(m.item), null, one
-        elif isinstance(m, TopN):
-            item, num, weight = m.of(m.item.cast("string")), null, one if m.weight is None else m.weight
+    for k, f in enumerate(families, len(masks)):
+        m, each = f["metrics"][0][0], [one if w is None else w for w in f["weights"].values()]
+        if isinstance(m, (Cardinality, TopN)):
+            item, num = m.of(m.item.cast("string")), null
         elif isinstance(m, Quantile):
-            item, num, weight = null, m.of(m.value), one
+            item, num = null, m.of(m.value)
         elif isinstance(m, Histogram):
-            item, num, weight = null, m.of(histogram_bound(m.value, m.integer)), one
+            item, num = null, m.of(histogram_bound(m.value, m.integer))
         else:
-            item, num, weight = null, F.unix_seconds(F.col(ts).cast("timestamp")), m.of(one if m.weight is None else m.weight)
-        counts = weight if isinstance(m, Rate) else num if isinstance(m, (Quantile, Histogram)) else item
-        tags.append(F.when(counts.isNotNull(), tag(k, item, num, null, weight)))
+            item, num, each = null, F.unix_seconds(F.col(ts).cast("timestamp")), [m.of(one if m.weight is None else m.weight)]
+        counts = each[0] if isinstance(m, Rate) else num if isinstance(m, (Quantile, Histogram)) else item
+        tags.append(F.when(counts.isNotNull(), tag(k, item, num, null, *each)))
     rows = df.select(*keys, F.inline(F.array_compact(F.array(*tags))))
-    whole = [i for i, g in enumerate(masks) if g["whole"]] + [k for k, m in enumerate(others, len(masks)) if m.whole]
+    whole = [i for i, g in enumerate(masks) if g["whole"]] + [k for k, f in enumerate(families, len(masks)) if f["whole"]]
     if whole:
         rows = rows.withColumns({d: F.when(~F.col("m").isin(whole), F.col(d)) for d in dims})
-    return rows.groupBy(*keys, "m", "item", "num", "bits").agg(F.sum("weight").alias("weight"))
+    return rows.groupBy(*keys, "m", "item", "num", "bits").agg(*[F.sum(n).alias(n) for n in weights])
+
+
+def _weight(i: int) -> str:
+    return f"weight{i or ''}"
 
 
 def _bit(j: int) -> Column:
@@ -220,7 +241,7 @@ def _unmasked(sums: DataFrame, masks: list[dict], keys: Sequence[str]) -> DataFr
     return wide.select(*keys, F.inline(F.element_at(F.array(*[e if any(isinstance(m, Counter) for m in g["metrics"]) else F.lit(None).cast("array<struct<name:string,kind:string,stat:string,value:double>>") for e, g in zip(each, masks)]), F.col("m") + 1)))
 
 
-def _states(sums: DataFrame, masks: list[dict], others: Sequence[Metric], keys: Sequence[str], counters: bool = True) -> DataFrame:
+def _states(sums: DataFrame, masks: list[dict], families: list[dict], keys: Sequence[str], counters: bool = True) -> DataFrame:
     """State rows that add up by name, item and num. Without ``counters``, masks only show which distinct counts may be 0."""
     states, kept = None, []
     for i, g in enumerate(masks):
@@ -236,13 +257,17 @@ def _states(sums: DataFrame, masks: list[dict], others: Sequence[Metric], keys:
     if len(kept) < len(masks):
         sums = sums.where(F.when(F.col("weight").isNotNull(), (F.col("m") >= len(masks)) | F.col("m").isin(kept)))
     code = F.col("m") - len(masks)
-    named = F.struct(F.get(F.array(*[F.lit(m.name) for m in others]), code).alias("name"), F.get(F.array(*[F.lit(type(m).__name__.lower()) for m in others]), code).alias("kind"), F.col("item"), F.col("num"), F.col("weight"))
-    return sums.select(*keys, F.inline(F.array(named) if states is None else states.otherwise(F.array(named))))
+    label = lambda m, i: F.struct(F.lit(m.name).alias("name"), F.lit(type(m).__name__.lower()).alias("kind"), F.lit(i).alias("i"))
+    labels = F.get(F.array(*[F.array(*[label(m, i) for m, i in f["metrics"]]) for f in families]), code)
+    weights = F.array(*[F.col(_weight(i)) for i in range(max(len(f["weights"]) for f in families))])
+    named = F.transform(labels, lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), F.col("item").alias("item"), F.col("num").alias("num"), F.get(weights, x["i"]).alias("weight")))
+    return sums.select(*keys, F.inline(named if states is None else states.otherwise(named)))
 
 
 def _parts(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
     masks, others = _masks(metrics), [m for m in metrics if not isinstance(m, Counter)]
-    return _states(_sums(df, masks, others, keys, dims, ts), masks, others, keys) if others else _counted(df, masks, keys, dims)
+    families = _families(others)
+    return _states(_sums(df, masks, families, keys, dims, ts), masks, families, keys) if others else _counted(df, masks, keys, dims)
 
 
 def _exact(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str, topn: int, threshold: int) -> DataFrame:
@@ -250,8 +275,9 @@ def _exact(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims:
     masks, others = _masks(metrics), [m for m in metrics if not isinstance(m, Counter)]
     if not others:
         return _counted(df, masks, keys, dims).select(*keys, "name", "kind", F.lit("value").alias("stat"), F.col("weight").cast("double").alias("value"))
-    sums = _sums(df, masks, others, keys, dims, ts)
-    rest = statistics(_states(sums, masks, others, keys, counters=False), keys, topn, threshold, {type(m).__name__.lower() for m in others})
+    families = _families(others)
+    sums = _sums(df, masks, families, keys, dims, ts)
+    rest = statistics(_states(sums, masks, families, keys, counters=False), keys, topn, threshold, {type(m).__name__.lower() for m in others})
     return rest if len(others) == len(metrics) else rest.unionByName(_unmasked(sums, masks, keys))
 
 

@@ -57,3 +57,13 @@ def test_arrivals_of_many_files_stay_whole(spark):
     stream.writeStream.foreachBatch(lambda df, n: got.append((n, df.selectExpr("min(seq)", "max(seq)", "count(*)").first(), df.rdd.getNumPartitions()))).trigger(availableNow=True).start().awaitTermination()
     assert [n for n, _, _ in got] == [0, 1, 2] and sum(r[2] for _, r, _ in got) == 6000
     assert got[0][1][1] < 2000 and got[1][1][0] < 2000 <= got[1][1][1] < 4000 and got[2][1][1] == 5999
+
+
+def test_metrics_of_one_item_share_its_row(spark):
+    from meterline.operators import metrics as m
+
+    df = spark.createDataFrame([("a", 3, True), ("a", 4, True), ("b", 9, False), (None, 1, True)], "x string, w long, d boolean").selectExpr("*", "timestamp'2024-01-01' as ts", "timestamp'2024-01-01' as period_start", "60L as period_len")
+    many = [m.TopN("by_w", None, F.col("d"), F.col("x"), F.col("w")), m.TopN("by_n", None, F.col("d"), F.col("x")), m.Cardinality("items", None, F.col("d"), F.col("x")), m.TopN("all", None, None, F.col("x"), F.col("w"))]
+    assert [len(f["metrics"]) for f in m._families(many)] == [3, 1]
+    got = {(r.name, r.stat): r.value for r in m.metric_table(df, many, handler="net", schema="net").collect()}
+    assert got == {("by_w", "a"): 7, ("by_n", "a"): 2, ("items", "value"): 1, ("all", "a"): 7, ("all", "b"): 9}
