@@ -45,16 +45,16 @@ def ipv4_text(number: Column) -> Column:
 
 
 def ipv6_hex(ip: Column) -> Column:
-    """The 32 hex digits of an IPv6 address; null for anything else (embedded dotted tails are not read)."""
-    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
-    halves = F.split(F.lower(ip), "::")
-    left, right = groups(halves[0]), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
-    compressed = F.size(halves) == 2
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    middle = F.when(compressed & (missing > 0), F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>"))
-    whole = F.concat(left, middle, right)
-    good = is_ipv6(ip) & (F.size(halves) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(good, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    """The 32 hex digits of an IPv6 address; null for anything else (embedded dotted tails are not read).
+
+    Written without lambdas and short: code of rows grows with it, and the JVM interprets methods of over 8000 bytes.
+    """
+    fits = ip.rlike(r"(?i)^(?!.*::.*::)(?!.*[0-9a-f]{5})[0-9a-f:]*:[0-9a-f:]*\z")
+    # groups get three zeros in front, of whose digits the last four stay; the gap is one mark, then as many zeros as lack
+    groups = F.regexp_replace(F.replace(F.lower(ip), F.lit("::"), F.lit("!")), "([0-9a-f]+)", "000$1")
+    digits = F.replace(F.regexp_replace(groups, "(?<![0-9a-f])0{0,3}([0-9a-f]{4})(?![0-9a-f])", "$1"), F.lit(":"))
+    filled = F.replace(digits, F.lit("!"), F.repeat(F.lit("0"), F.lit(33) - F.length(digits)))
+    return F.when(fits, F.try_element_at(F.regexp_extract_all(filled, F.lit(r"^(.{32})\z"), F.lit(1)), F.lit(1)))
 
 
 def _hex_prefix(hex_digits: Column, length: int) -> Column:

@@ -16,6 +16,10 @@ from .running import ROWS, latest
 BROADCAST_ROWS = 500_000
 #: Sizes of index blocks are powers of this.
 RADIX = 16
+#: IPv6 ranges under one prefix that rows are tested against in place: more than 15 of them nest or overlap.
+UNDER_PREFIX = 16
+#: Rows that have no key are spread over so many.
+SPREAD = 4096
 
 
 def range_index(ranges: DataFrame, values: Sequence[str], lo: str = "lo", hi: str = "hi", levels: int = 9) -> DataFrame:
@@ -78,6 +82,16 @@ def range_wins(keys: DataFrame, key: str, ranges: DataFrame, values: Sequence[st
     return latest(marks, asked, ["level", "node", "right"], "place", "win", wide=F.col("level") > ROWS.bit_length() - 2).groupBy(key).agg(F.max("win")["v"].alias("_found"))
 
 
+def _found_join(df: DataFrame, key: Column, found: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``df`` left-joined with what was ``found`` for distinct keys (``_key``), written first: broadcast if it is small, else
+    joined by shuffles that AQE may split. Rows without a key find nothing and are spread, so they don't meet in one task."""
+    found = written(found, "found")
+    if found.count() <= broadcast_rows:
+        return df.join(F.broadcast(found), key == F.col("_key"), "left").drop("_key")
+    spread = df.withColumn("_at", F.coalesce(key.cast("string"), F.concat(F.lit("none "), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))))
+    return spread.join(found.withColumn("_key", F.col("_key").cast("string")), F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
+
+
 def range_join(df: DataFrame, key: str, ranges: DataFrame, values: Sequence[str], *, lo: str = "lo", hi: str = "hi", prefix: str = "", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` left-joined with the range that holds ``key`` (whole numbers): ``prefix + value`` columns, null if none.
 
@@ -104,7 +118,7 @@ def range_join(df: DataFrame, key: str, ranges: DataFrame, values: Sequence[str]
         out = out.withColumn("_found", (F.greatest(*wins) if len(wins) > 1 else wins[0])["v"])
     else:
         keys = df.select(at.alias("_key")).where("_key is not null").distinct()
-        out = df.join(range_wins(keys, "_key", ranges, values, lo, hi), at == F.col("_key"), "left")
+        out = _found_join(df, at, range_wins(keys, "_key", ranges, values, lo, hi), broadcast_rows)
     return out.select(*df.columns, *[F.col(f"_found.{v}").alias(prefix + v) for v in values])
 
 
@@ -141,23 +155,41 @@ def subnet_lookup(df: DataFrame, ip: str, subnets: DataFrame, *, subnet: str = "
     address = F.col(ip)
     keys = df.select(address.alias("_ip")).where("_ip is not null").distinct().select("_ip", ipv4_number(F.col("_ip")).alias("n"), F.when(F.col("_ip").contains(":"), ipv6_hex(F.col("_ip"))).alias("x"))
     keys = keys.withColumn("n", F.when(F.col("n") != 0, F.col("n")))  # 0.0.0.0 is in no subnet
-    hits = asked(keys, ["_ip"]).join(first, ["six", "length", "network"]).groupBy("_ip").agg(F.min("first")["subnet"].alias("_hit"))
-    return df.join(hits, address == F.col("_ip"), "left").select(*[c for c in df.columns if c != out], F.col("_hit").alias(out))
+    hits = asked(keys, ["_ip"]).join(first, ["six", "length", "network"]).groupBy(F.col("_ip").alias("_key")).agg(F.min("first")["subnet"].alias("_hit"))
+    return _found_join(df, address, hits, BROADCAST_ROWS).select(*[c for c in df.columns if c != out], F.col("_hit").alias(out))
 
 
-def _v6_lookup(df: DataFrame, digits: str, ranges: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with the value of the IPv6 range (hex digits ``lo``, ``hi``) that holds ``digits``; the latest start wins.
+def _v6_lookup(df: DataFrame, digits: str, ranges: DataFrame, value: str, out: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with the value of the IPv6 range (hex digits ``lo``, ``hi``) that holds ``digits``: the rule is that of :func:`range_join`.
 
     A range is filed under the digits that its ends have in common; an address asks under its first digits, as many
-    as ranges have (at most 33 lengths, read from the table).
+    as ranges have (at most 33 lengths, read from the table). Ranges are counted: if there are at most ``broadcast_rows``,
+    and no prefix has more than ``UNDER_PREFIX``, they are broadcast, one hash probe for each length; else distinct
+    addresses meet them by shuffles.
     """
     same = [F.when(F.substring("lo", 1, n) == F.substring("hi", 1, n), F.lit(n)).otherwise(F.lit(0)) for n in range(33)]
-    filed = ranges.select("lo", "hi", F.col(value).alias("_six"), F.greatest(*same).alias("_length")).withColumn("_prefix", F.substring(F.col("lo"), F.lit(1), F.col("_length")))
-    lengths = sorted(r["_length"] for r in filed.select("_length").distinct().collect())
-    keys = df.select(F.col(digits).alias("_key")).where("_key is not null").distinct().withColumn("_length", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")))
-    hits = keys.withColumn("_prefix", F.substring(F.col("_key"), F.lit(1), F.col("_length"))).join(filed, ["_length", "_prefix"]).where("_key between lo and hi")
-    best = hits.groupBy("_key").agg(F.max_by("_six", "lo").alias(out))
-    return df.join(best, F.col(digits) == F.col("_key"), "left").drop("_key")
+    # the later start, then the earlier end, then the larger value is the greater one
+    win = F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210").alias("to"), F.col(value).alias("v"), "hi").alias("_win")
+    filed = ranges.select("lo", "hi", win, F.greatest(*same).alias("_length")).select("_length", F.substring(F.col("lo"), F.lit(1), F.col("_length")).alias("_prefix"), "_win")
+    filed = written(filed, "ranges")
+    sizes = {r["_length"]: (r["n"], r["most"]) for r in filed.groupBy("_length", "_prefix").count().groupBy("_length").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()}  # a row a length
+    if not sizes:
+        return df.withColumn(out, F.lit(None).cast(ranges.schema[value].dataType))
+    key = F.col(digits)
+    holds = lambda w: key.between(w["lo"], w["hi"])
+    if sum(n for n, _ in sizes.values()) <= broadcast_rows and max(most for _, most in sizes.values()) <= UNDER_PREFIX:
+        listed = filed.groupBy("_length", "_prefix").agg(F.sort_array(F.collect_list("_win"), asc=False).alias("_wins"))
+        found, wins = df, []
+        for n, (_, most) in sorted(sizes.items()):
+            own = listed.where(F.col("_length") == n).select(F.col("_prefix").alias(f"_p{n}"), F.col("_wins").alias(f"_w{n}"))
+            found = found.join(F.broadcast(own), F.substring(key, 1, n) == F.col(f"_p{n}"), "left")
+            each = [F.get(F.col(f"_w{n}"), F.lit(i)) for i in range(most)]
+            wins.append(F.coalesce(*[F.when(holds(w), w) for w in each]))
+        best = (F.greatest(*wins) if len(wins) > 1 else wins[0])["v"]
+        return found.select(*df.columns, best.alias(out))
+    keys = df.select(key.alias("_key")).where("_key is not null").distinct().withColumn("_length", F.explode(F.array(*map(F.lit, sorted(sizes)))))
+    hits = keys.withColumn("_prefix", F.substring(F.col("_key"), F.lit(1), F.col("_length"))).join(filed, ["_length", "_prefix"]).where(F.col("_key").between(F.col("_win.lo"), F.col("_win.hi")))
+    return _found_join(df, key, hits.groupBy("_key").agg(F.max("_win")["v"].alias(out)), broadcast_rows)
 
 
 def geo_lookup(df: DataFrame, ip: str, ranges: DataFrame, *, out: str = "location", ranges_v6: DataFrame | None = None, value: str = "location") -> DataFrame:

@@ -67,3 +67,28 @@ def test_metrics_of_one_item_share_its_row(spark):
     assert [len(f["metrics"]) for f in m._families(many)] == [3, 1]
     got = {(r.name, r.stat): r.value for r in m.metric_table(df, many, handler="net", schema="net").collect()}
     assert got == {("by_w", "a"): 7, ("by_n", "a"): 2, ("items", "value"): 1, ("all", "a"): 7, ("all", "b"): 9}
+
+
+def test_ipv6_ranges_by_both_ways_and_rows_without_key_are_spread(spark):
+    r = random.Random(4)
+    text = lambda n: format(n, "032x")
+    base = 0x20010DB8 << 96
+    rows = [(lo, lo + r.choice([0, 5, 1 << 20, 1 << 70, (1 << 84) - 1]), f"v{i % 7}") for i, lo in enumerate(base + r.randrange(1 << 86) for _ in range(12))]
+    rows += [(base, base + (1 << 90), "all"), (rows[0][0], rows[0][1] + 9, "later end"), (rows[0][0], rows[0][1], "z")]
+    probes = [lo + d for lo, _, _ in rows for d in (-1, 0, 3, 1 << 50)] + [base + (1 << 91)]
+    held = {k: max(((lo, -hi, v) for lo, hi, v in rows if lo <= k <= hi), default=(0, 0, None))[2] for k in probes}
+    df = spark.createDataFrame([(text(k),) for k in held] + [(None,)] * 4000, "x string").repartition(4)
+    table = spark.createDataFrame([(text(lo), text(hi), v) for lo, hi, v in rows], "lo string, hi string, v string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        for most in (1000, 0):
+            out = lookup._v6_lookup(df, "x", table, "v", "found", broadcast_rows=most)
+            parts = out.rdd.glom().map(lambda part: [(x.x, x.found) for x in part]).collect()
+            got = [x for part in parts for x in part]
+            assert len(got) == 4000 + len(held) and {x: v for x, v in got if x} == {text(k): v for k, v in held.items()}
+            assert max(map(len, parts)) < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
