@@ -54,7 +54,7 @@ def ipv6_hex(ip: Column) -> Column:
     groups = F.regexp_replace(F.replace(F.lower(ip), F.lit("::"), F.lit("!")), "([0-9a-f]+)", "000$1")
     digits = F.replace(F.regexp_replace(groups, "(?<![0-9a-f])0{0,3}([0-9a-f]{4})(?![0-9a-f])", "$1"), F.lit(":"))
     filled = F.replace(digits, F.lit("!"), F.repeat(F.lit("0"), F.lit(33) - F.length(digits)))
-    return F.when(fits, F.try_element_at(F.regexp_extract_all(filled, F.lit(r"^(.{32})\z"), F.lit(1)), F.lit(1)))
+    return F.when(is_ipv6(ip) & fits, F.try_element_at(F.regexp_extract_all(filled, F.lit(r"^(.{32})\z"), F.lit(1)), F.lit(1)))
 
 
 def _hex_prefix(hex_digits: Column, length: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,41 @@ def flow_directions(records: DataFrame) -> DataFrame:
     return records.withColumn("side", F.explode(F.filter(sides, lambda s: s["interface"].isNotNull()))).select("*", "side.dir", "side.interface").drop("side")
 
 
+def direction_totals(records: DataFrame) -> DataFrame:
+    """``device, dir, bytes, packets, src_ips, interfaces, all_directions`` of records, by direction and (``dir`` null) over both.
+
+    A record gives one row for its source, with the directions it counts in, and one for each of its interfaces, with the
+    sums. These are added up by item, interfaces before the shuffle already; distinct counts are then counts of rows.
+    """
+    none = F.lit(None).cast("bigint")
+    came, went = F.col("if_in").isNotNull(), F.col("if_out").isNotNull()
+
+    def tag(side: Column, item: Column, ins: Column, outs: Column, sums: Sequence[Column]) -> Column:
+        return F.struct(side.alias("side"), item.cast("string").alias("item"), ins.alias("ins"), outs.alias("outs"), *[s.cast("bigint").alias(n) for s, n in zip(sums, _SUMS)])
+
+    yes, no = F.lit(True), F.lit(False)
+    tags = F.array_compact(F.array(
+        F.when(came | went, tag(no, F.col("src_ip"), came, went, [none] * 4)), F.when(came, tag(yes, F.col("if_in"), yes, no, [F.col("bytes"), F.col("packets"), none, none])),
+        F.when(went, tag(yes, F.col("if_out"), no, yes, [none, none, F.col("bytes"), F.col("packets")])),
+    ))
+    items = records.select(F.col("device_ip").alias("device"), F.inline(tags)).groupBy("device", "side", "item").agg(F.max("ins").alias("ins"), F.max("outs").alias("outs"), *[F.sum(n).alias(n) for n in _SUMS])
+    known, sources = F.col("item").isNotNull(), ~F.col("side")
+    kinds = {"in": F.col("ins"), "out": F.col("outs"), "all": yes}
+    counts = [F.count_if(known & test & mine).alias(f"{n}_{kind}") for kind, mine in kinds.items() for n, test in (("src_ips", sources), ("interfaces", F.col("side")))]
+    per = items.groupBy("device").agg(F.max("ins").alias("ins"), F.max("outs").alias("outs"), *[F.sum(n).alias(n) for n in _SUMS], *counts)
+    both = lambda n: F.coalesce(F.col(f"{n}_in") + F.col(f"{n}_out"), f"{n}_in", f"{n}_out")
+
+    def line(kind: str, dir: Column, all_directions: int) -> Column:
+        sums = [both(n) if kind == "all" else F.col(f"{n}_{kind}") for n in ("bytes", "packets")]
+        return F.struct(dir.alias("dir"), sums[0].alias("bytes"), sums[1].alias("packets"), F.col(f"src_ips_{kind}").alias("src_ips"), F.col(f"interfaces_{kind}").alias("interfaces"), F.lit(all_directions).alias("all_directions"))
+
+    lines = F.array_compact(F.array(F.when(F.col("ins"), line("in", F.lit("in"), 0)), F.when(F.col("outs"), line("out", F.lit("out"), 0)), line("all", F.lit(None).cast("string"), 1)))
+    return per.select("device", F.inline(lines))
+
+
+_SUMS = ("bytes_in", "packets_in", "bytes_out", "packets_out")
+
+
 def deep_flag(rate: int, *key: Column, seed: int = 0) -> Column:
     """True for about ``rate`` per cent (1 to 100) of the keys, the same ones every time."""
     rate = min(100, max(1, rate))

@@ -92,3 +92,17 @@ def test_ipv6_ranges_by_both_ways_and_rows_without_key_are_spread(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_totals_of_directions_shuffle_one_row_a_record(spark):
+    from meterline.functions import flow
+
+    rows = [("a", "s1", 1, 2, 10, 1), ("a", "s1", None, 1, 5, 2), ("a", None, 3, None, 7, 3), ("b", "s2", None, 4, None, None), ("c", "s3", None, None, 9, 9), (None, "s4", 5, 5, 1, 1)]
+    df = spark.createDataFrame(rows, "device_ip string, src_ip string, if_in bigint, if_out bigint, bytes bigint, packets bigint")
+    sides = flow.flow_directions(df).withColumnRenamed("device_ip", "device")
+    want = sides.groupingSets([[F.col("device"), F.col("dir")], [F.col("device")]], "device", "dir").agg(F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.count_distinct("src_ip").alias("src_ips"), F.count_distinct("interface").alias("interfaces"), F.grouping("dir").cast("int").alias("all_directions"))
+    got = flow.direction_totals(df)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    from meterline.plans import queries as q
+
+    assert "Expand" not in q.QUERIES["flow_interfaces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
