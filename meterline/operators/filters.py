@@ -155,15 +155,16 @@ class FlowFilter:
             out = out if side.removeprefix("if_") in self.only_directions else F.lit(None).cast("bigint")
         return out
 
-    def keep(self) -> Column:
-        """Whether a record counts, after ``if_in`` and ``if_out`` went through :meth:`interface`."""
+    def keep(self, if_in: Column | None = None, if_out: Column | None = None) -> Column:
+        """Whether a record counts, after its ``if_in`` and ``if_out`` (columns, unless given) went through :meth:`interface`."""
         parts = []
         if self.only_ips:
             parts.append(cidr_match(F.col("src_ip"), self.only_ips).isNotNull() | cidr_match(F.col("dst_ip"), self.only_ips).isNotNull())
         if self.only_ports:
             parts.append(port_in_ranges(F.col("src_port"), self.only_ports) | port_in_ranges(F.col("dst_port"), self.only_ports))
         if self.only_device_interfaces or self.only_directions is not None:
-            parts.append(F.col("if_in").isNotNull() | F.col("if_out").isNotNull())
+            sides = F.col("if_in") if if_in is None else if_in, F.col("if_out") if if_out is None else if_out
+            parts.append(sides[0].isNotNull() | sides[1].isNotNull())
         if self.geoloc_notfound:
             parts.append((F.col("src_location") == "Unknown") | (F.col("dst_location") == "Unknown"))
         if self.asn_notfound:

@@ -336,6 +336,20 @@ def flow_records(exports: DataFrame, o: Options, d: Dimensions, summaries: Summa
     return r.withColumn("keep", flt.keep()).withColumn("conversation", conversation_key(F.col("src_end"), F.col("dst_end"), F.col("src_port"), F.col("dst_port")))
 
 
+def flow_kept(exports: DataFrame, kinds: dict[str, dict], d: Dimensions | None = None, scale: bool = True) -> DataFrame:
+    """Records with a column for each named set of filter options, whether it keeps them: the ``keep`` of :func:`flow_records`,
+    of all sets in one pass. Places and numbers are looked up if a set asks for those not found."""
+    d, r = d or Dimensions(), explode_flow_records(exports, scale)
+    filters = {n: from_options(FlowFilter, options) for n, options in kinds.items()}
+    for side in ("src", "dst"):
+        for table, six, lookup, out, asked in ((d.geo_v4, d.geo_v6, geo_lookup, "location", "geoloc_notfound"), (d.asn_v4, d.asn_v6, asn_lookup, "asn", "asn_notfound")):
+            if table is not None and any(getattr(f, asked) for f in filters.values()):
+                r = lookup(r, f"{side}_ip", table, out=f"{side}_{out}", ranges_v6=six)
+            else:
+                r = r.withColumn(f"{side}_{out}", F.lit(None).cast("string"))
+    return r.withColumns({n: f.keep(f.interface("if_in"), f.interface("if_out")) for n, f in filters.items()})
+
+
 @counted("flow", "flow")
 def flow(exports: DataFrame, o: Options | None = None, d: Dimensions | None = None, summaries: Summaries | None = None, scale: bool = True) -> DataFrame:
     """Flows by device, and by device and interface."""

@@ -106,3 +106,16 @@ def test_totals_of_directions_shuffle_one_row_a_record(spark):
     from meterline.plans import queries as q
 
     assert "Expand" not in q.QUERIES["flow_interfaces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_of_flows_in_one_pass_keep_what_each_keeps(spark):
+    from meterline.plans import handlers as h, row_queries as q, views as v
+
+    sf = "/root/testdata/sf0.001"
+    kinds = {"ips": {"only_ips": ["10.0.0.0/26", "172.0.1.0/24"]}, "out": {"only_directions": ["out"]}, "device": {"only_device_interfaces": {"10.255.0.1": ["2-4"]}, "only_ports": ["1-500"]}}
+    one = h.flow_kept(v.flows(spark, sf), kinds).select("seq", "src_ip", *kinds).collect()
+    for n, options in kinds.items():
+        each = h.flow_records(v.flows(spark, sf), h.Options(filters=options), h.Dimensions(), h.Summaries()).select("seq", "src_ip", "keep").collect()
+        assert sorted((x.seq, x.src_ip, x[n]) for x in one) == sorted(map(tuple, each)) and any(x.keep for x in each)
+    plan = q.flow_filters(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("l_suppkey" in line and "Relation" in line for line in plan.splitlines()) == 1
