@@ -264,9 +264,14 @@ def dns_metrics(rows: DataFrame, o: Options) -> DataFrame:
 
 
 @counted("dns", "dns")
-def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
-    """DNS wire packets and transactions without dimensions, as the first version reported them."""
+def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000, paired: DataFrame | None = None) -> DataFrame:
+    """DNS wire packets and transactions without dimensions, as the first version reported them.
+
+    ``paired``: what :func:`dns_transactions` gives of the same messages, without filters, if it is at hand already.
+    """
     o, d = o or Options(), d or Dimensions()
+    if paired is not None and o.filters:
+        raise ValueError("pairs of unfiltered messages are not those of filtered ones")
     o = replace(o, filters={**o.filters, "version": 1})
     groups, flt = metric_groups("dns_v1", o.enable, o.disable), from_options(DnsFilter, o.filters)
     df = dns_rows(messages, o, d).withColumn("keep", F.coalesce(flt.keep(), F.lit(False))).withColumn("names", aggregate_domain(F.col("qname_lower"), flt.suffix_size()))
@@ -288,7 +293,8 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
     out = _table(df, [*_on(among(F.col("keep"), metrics), groups), wire("filtered", ~F.col("keep"))], o, "dns", "dns")
     if not {"dns_transaction", "quantiles", "histograms"} & groups:
         return out
-    paired = written(_purged(pair_transactions(kept, _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"]), df, ttl_ms), "transactions")
+    if paired is None:
+        paired = written(_purged(pair_transactions(kept, _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"]), df, ttl_ms), "transactions")
     valid = paired.where("is_response and status = 'valid'")
     if "dns_transaction" in groups:
         valid = slow_rows(valid, "elapsed_us", ["xact_dir"], o.mode)

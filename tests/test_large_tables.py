@@ -119,3 +119,12 @@ def test_filters_of_flows_in_one_pass_keep_what_each_keeps(spark):
         assert sorted((x.seq, x.src_ip, x[n]) for x in one) == sorted(map(tuple, each)) and any(x.keep for x in each)
     plan = q.flow_filters(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("l_suppkey" in line and "Relation" in line for line in plan.splitlines()) == 1
+
+
+def test_timeouts_of_both_dns_handlers_pair_once(spark, monkeypatch):
+    from meterline.plans import handlers as h, queries as q
+
+    made, pair = [], h.purge_timeouts
+    monkeypatch.setattr(h, "purge_timeouts", lambda *a, **k: made.append(1) or pair(*a, **k))
+    got = q.dns_timeouts(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and {x.name for x in got.select("name").distinct().collect()} == {"timeout_queries", "xact_counts_timed_out"}
