@@ -22,10 +22,11 @@ def aggregate_domain(qname: Column, suffix_size: Column | int = 0) -> Column:
     # characters (counted from 1) that may hold the first dot
     upto = F.when((size > 0) & (n > size), n - size + 1).when(qname.endswith("."), n - 1).otherwise(n)
 
-    def last_dot(limit: Column) -> Column:
-        """Place, from 1, of the last dot in the first ``limit`` characters; 0 if none."""
-        head = F.substring(qname, F.lit(1), F.greatest(limit, F.lit(0)))
-        return let(head, lambda h: let(F.position(F.lit("."), F.reverse(h)), lambda back: F.when(back > 0, F.length(h) - back + 1).otherwise(0)))
+    head = F.substring(qname, F.lit(1), F.greatest(upto, F.lit(0)))
+
+    def dot(h: Column, back: int) -> Column:
+        """Place, from 1, of the last dot of ``h``, the one before it, and so on; 0 if none."""
+        return F.length(h) - F.length(F.substring_index(h, ".", -back))
 
     from_ = lambda d: F.substring(qname, d, n)
 
@@ -34,7 +35,7 @@ def aggregate_domain(qname: Column, suffix_size: Column | int = 0) -> Column:
         three = F.when(n < 5, "").when(d1 <= 1, qname).when(d2 == 0, "").when((d2 == 1) | (d3 == 0), qname).otherwise(from_(d3))
         return F.struct(two.alias("qname2"), three.alias("qname3"))
 
-    return let(last_dot(upto), lambda d1: let(last_dot(d1 - 1), lambda d2: let(last_dot(d2 - 1), lambda d3: parts(d1, d2, d3))))
+    return let(head, lambda h: parts(dot(h, 1), dot(h, 2), dot(h, 3)))
 
 
 def suffix_size(qname: Column, suffixes: Sequence[str]) -> Column:

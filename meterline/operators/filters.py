@@ -96,6 +96,11 @@ class DnsFilter:
             parts.append(F.col("msg_type").isin(f"{kind}_QUERY", f"{kind}_RESPONSE"))
         return _all(parts)
 
+    @property
+    def places(self) -> bool:
+        """Whether the filter asks for places of clients."""
+        return self.geoloc_notfound or self.asn_notfound
+
     def suffix_size(self) -> Column:
         """What the suffix filter leaves to name aggregation."""
         return F.coalesce(suffix_size(F.col("qname"), self.only_qname_suffix), F.lit(0)) if self.only_qname_suffix else F.lit(0)

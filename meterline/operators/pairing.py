@@ -26,24 +26,34 @@ def pair_transactions(df: DataFrame, keys: Sequence[str], is_response: str, ts:
     return out.drop("_was", "_then", "_next")
 
 
-def purge_timeouts(paired: DataFrame, starts: DataFrame, keys: Sequence[str], is_response: str, ts: str = "ts", seq: str = "seq", *, ttl_ms: int = 5000, stream: str | None = None) -> DataFrame:
+def due_starts(df: DataFrame, starts: DataFrame, is_response: str, ts: str = "ts", *, ttl_ms: int = 5000, stream: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """``df`` with what :func:`purge_timeouts` needs of ``starts``: the first start at which a query is overdue.
+
+    It depends on the row alone, so it may be joined before pairing: all windows are of one sort and pass then. ``asked``
+    holds a row of each hour in which queries fall due (``_due``, by ``_<stream>``), if it is at hand.
+    """
+    sec = F.unix_seconds(F.col(ts).cast("timestamp"))
+    rows = df.withColumns({"_sec": sec, "_due": F.when(~F.col(is_response), sec + ttl_ms // 1000)})
+    return nearest_start(rows, "_due", starts, stream, after=True, asked=asked).drop("_due")
+
+
+def purge_timeouts(paired: DataFrame, starts: DataFrame | None, keys: Sequence[str], is_response: str, ts: str = "ts", seq: str = "seq", *, ttl_ms: int = 5000, stream: str | None = None) -> DataFrame:
     """Reclassifies what a period shift removes: ``paired`` with ``status`` and, on purged queries, ``purged_at``.
 
     At each period start (``starts(start)``, in seconds, by ``_<stream>`` if given) open queries begun ``ttl_ms``
     (whole seconds of it) or more before it are removed: they are ``purged``, counted in the new period, and a later
-    response is an ``orphan``. Other columns of ``starts`` come along on purged queries.
+    response is an ``orphan``. Other columns of ``starts`` come along on purged queries. Without ``starts``, ``paired``
+    has had :func:`due_starts` before it was paired.
     """
-    sec = F.unix_seconds(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(*keys).orderBy(ts, seq)
-    # the slot's next event, of either side, ends an open query
-    rows = paired.withColumns({"_due": F.when(~F.col(is_response), sec + ttl_ms // 1000), "_end": F.when(~F.col(is_response), F.lead(sec).over(w))})
-    rows = nearest_start(rows, "_due", starts, stream, after=True)
-    gone = F.col("start").isNotNull() & (F.col("_end").isNull() | (F.col("_end") >= F.col("start"))) & ~F.col(is_response)
-    rows = rows.withColumn("_gone", F.coalesce(gone, F.lit(False)))
-    rows = rows.withColumn("_before", F.lag("_gone").over(w))
-    status = F.when(F.col("_gone"), "purged").when(F.col(is_response) & F.coalesce(F.col("_before"), F.lit(False)), "orphan").otherwise(F.col("status"))
+    rows = paired if starts is None else due_starts(paired, starts, is_response, ts, ttl_ms=ttl_ms, stream=stream)
+    # the slot's next event, of either side, ends an open query; responses have no start
+    rows = rows.withColumns({"_end": F.lead("_sec").over(w), "_left": F.lag("start").over(w)})
+    gone = F.col("start").isNotNull() & (F.col("_end").isNull() | (F.col("_end") >= F.col("start")))
+    rows = rows.withColumns({"_gone": gone, "_before": F.col("_left").isNotNull() & F.coalesce(F.col("_sec") >= F.col("_left"), F.lit(True))})
+    status = F.when(F.col("_gone"), "purged").when(F.col(is_response) & F.col("_before"), "orphan").otherwise(F.col("status"))
     out = rows.withColumn("status", status).withColumn("elapsed_us", F.when(F.col("status") != "orphan", F.col("elapsed_us"))).withColumn("purged_at", F.when(F.col("_gone"), F.timestamp_seconds("start")))
-    return out.drop("_due", "_end", "start", "_gone", "_before")
+    return out.drop("_sec", "_end", "_left", "start", "_gone", "_before")
 
 
 def propagate_query_filter(df: DataFrame, keep: Column, keys: Sequence[str], is_response: str, ts: str = "ts", seq: str = "seq", *, ttl_ms: int = 5000, carry: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .running import running_max
 from .selection import percentiles_of, same_keys
 
@@ -99,17 +100,20 @@ def activity_starts(df: DataFrame, keys: Sequence[str], second: str, seconds: in
     return own.join(entered, same).groupBy(*by_day).applyInPandas(listed, fields + "start bigint")
 
 
-def nearest_start(df: DataFrame, second: str, starts: DataFrame, stream: str | None = None, *, after: bool, hour: int = 3600) -> DataFrame:
+def nearest_start(df: DataFrame, second: str, starts: DataFrame, stream: str | None = None, *, after: bool, hour: int = 3600, asked: DataFrame | None = None) -> DataFrame:
     """``df`` with the columns of the first row of ``starts`` at or ``after`` ``second`` (else the last one at or before it), null where there is none.
 
     ``starts(start, ...)`` has a row for each period, by ``_<stream>`` if given. Rows meet the starts of their hour, and
-    the nearest start of other hours; only hours are sorted, not rows.
+    the nearest start of other hours; only hours are sorted, not rows. ``asked``, if at hand, has a row (``second``, by
+    ``_<stream>``) in each hour that rows have; the small table of hours is written then, and its size is known to the join.
     """
     keys = [f"_{stream}"] if stream else []
     more = [c for c in starts.columns if c not in keys and c != "start"]
     in_hour = lambda c: F.floor(F.col(c) / hour).cast("bigint")
     own = starts.select(*keys, in_hour("start").alias("_hour"), F.struct("start", *more).alias("_row"))
-    asked = df.select(*([F.col(stream).alias(f"_{stream}")] if stream else []), in_hour(second).alias("_hour")).where("_hour is not null").distinct()
+    known = asked is not None
+    asked = asked if known else df.select(*([F.col(stream).alias(f"_{stream}")] if stream else []), second)
+    asked = asked.select(*keys, in_hour(second).alias("_hour")).where("_hour is not null").distinct()
     hours = asked.withColumn("_row", F.lit(None).cast(own.schema["_row"].dataType)).unionByName(own).groupBy(*keys, "_hour").agg(F.array_sort(F.collect_list("_row")).alias("_in"))
     by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_hour")
     if after:
@@ -117,6 +121,7 @@ def nearest_start(df: DataFrame, second: str, starts: DataFrame, stream: str | N
     else:
         hours = hours.withColumn("_other", F.last(F.try_element_at("_in", F.lit(-1)), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     hours = hours.withColumnsRenamed({"_hour": "_at", **({f"_{stream}": "_of"} if stream else {})})
+    hours = written(hours, "hours") if known else hours
     same = in_hour(second) == F.col("_at")
     out = df.join(hours, same & F.col(stream).eqNullSafe(F.col("_of")) if stream else same, "left")
     fits = F.filter("_in", lambda s: s["start"] >= F.col(second) if after else s["start"] <= F.col(second))
@@ -246,7 +251,7 @@ def prior_period_p90(df: DataFrame, value: str, keys: Sequence[str], mode: str =
 
 def slow_rows(df: DataFrame, value: str, keys: Sequence[str], mode: str = "exact") -> DataFrame:
     """``df`` with ``is_slow``: the value reaches the p90 of the period before."""
-    marks = prior_period_p90(df, value, keys, mode)
+    marks = written(prior_period_p90(df, value, keys, mode), "marks")  # a row a period, a size that the join knows
     return df.join(marks, [*keys, "period_start"]).withColumn("is_slow", (F.col("slow_mark") > 0) & (F.col(value) >= F.col("slow_mark")))
 
 

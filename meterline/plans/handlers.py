@@ -21,7 +21,7 @@ from ..functions.flow import deep_flag, explode_flow_records, first_ip_roles, fl
 from ..operators.filters import DnsFilter, FlowFilter, NetFilter, from_options, metric_groups
 from ..operators.lookup import asn_lookup, enrich_devices, geo_lookup, join_services
 from ..operators.metrics import Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, among, clamped_running_total, delta_sum, metric_table
-from ..operators.pairing import match_leases, match_probes, pair_transactions, propagate_query_filter, purge_timeouts
+from ..operators.pairing import due_starts, match_leases, match_probes, pair_transactions, propagate_query_filter, purge_timeouts
 from ..operators.periods import as_one, assign_periods, merged_periods, slow_rows
 from ..storage import written
 
@@ -173,19 +173,30 @@ def from_dnstap(messages: DataFrame) -> DataFrame:
     )
 
 
-def dns_rows(dns: DataFrame, o: Options, d: Dimensions) -> DataFrame:
-    """DNS messages with ports, sides, places, periods and the deep flag."""
+def dns_messages(dns: DataFrame, o: Options) -> DataFrame:
+    """DNS messages with ports, sides, periods and the deep flag."""
     df = dns
     if "metric_port" not in df.columns:
-        df = df.withColumn("metric_port", metric_port(F.col("src_port"), F.col("dst_port"))).where("metric_port is not null")
+        # the port leaves a generator of one row, below which its test can't go to work out once more what ports are made of
+        port = F.array(F.struct(metric_port(F.col("src_port"), F.col("dst_port")).alias("metric_port")))
+        df = df.select("*", F.inline(port)).where("metric_port is not null")
     if "xact_dir" not in df.columns:
         df = df.withColumn("xact_dir", xact_direction(F.col("dir"), F.col("is_response")))
-    df = df.withColumn("qname_lower", F.lower("qname"))
-    df = geo_lookup(df, "ecs", d.geo_v4, out="ecs_location", ranges_v6=d.geo_v6) if d.geo_v4 is not None else df.withColumn("ecs_location", F.lit(None).cast("string"))
-    df = asn_lookup(df, "ecs", d.asn_v4, out="ecs_asn", ranges_v6=d.asn_v6) if d.asn_v4 is not None else df.withColumn("ecs_asn", F.lit(None).cast("string"))
     return _prepared(df, o, ("stream", "xact_dir", "flow_key", "txid"))
 
 
+def dns_placed(messages: DataFrame, d: Dimensions) -> DataFrame:
+    """:func:`dns_messages` with lower-case names and places of clients."""
+    df = messages.withColumn("qname_lower", F.lower("qname"))
+    df = geo_lookup(df, "ecs", d.geo_v4, out="ecs_location", ranges_v6=d.geo_v6) if d.geo_v4 is not None else df.withColumn("ecs_location", F.lit(None).cast("string"))
+    return asn_lookup(df, "ecs", d.asn_v4, out="ecs_asn", ranges_v6=d.asn_v6) if d.asn_v4 is not None else df.withColumn("ecs_asn", F.lit(None).cast("string"))
+
+
+def dns_rows(dns: DataFrame, o: Options, d: Dimensions) -> DataFrame:
+    """DNS messages with ports, sides, places, periods and the deep flag."""
+    return dns_placed(dns_messages(dns, o), d)
+
+
 _CARRY = ["bytes", "cd", "ecs", "ecs_location", "ecs_asn", "ts"]
 _SLOT = ["stream", "xact_dir", "flow_key", "txid"]
 
@@ -196,10 +207,23 @@ def _late(purged: DataFrame) -> DataFrame:
     return purged.withColumn("timed_out_start", F.when(F.col("status") == "purged", F.col("opened")).when(F.col("status") == "timed_out", F.col("period_start")))
 
 
-def _purged(paired: DataFrame, rows: DataFrame, ttl_ms: int) -> DataFrame:
-    """Paired rows with what period shifts purge. A shift happens at the first event of a period."""
-    shifts = rows.groupBy("stream", "period_start").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("start"))
-    return _late(purge_timeouts(paired, shifts.select(F.col("stream").alias("_stream"), "start", F.col("period_start").alias("opened")), _SLOT, "is_response", ttl_ms=ttl_ms, stream="stream"))
+def _shifted(rows: DataFrame, messages: DataFrame, ttl_ms: int) -> DataFrame:
+    """Rows, not paired yet, with the period shift that purges a query: ``opened`` is the period that it opens.
+
+    A shift happens at the first event of a period. One pass of the messages gives the starts and the hours in which
+    queries fall due.
+    """
+    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
+    due = sec + ttl_ms // 1000
+    firsts = messages.groupBy(F.col("stream").alias("_stream"), F.col("period_start").alias("opened"), F.floor(due / 3600)).agg(F.min(sec).alias("start"), F.min(due).alias("_due"))
+    firsts = written(firsts.select("_stream", "opened", "start", "_due"), "shifts")
+    starts = firsts.groupBy("_stream", "opened").agg(F.min("start").alias("start")).select("_stream", "start", "opened")
+    return due_starts(rows, starts, "is_response", ttl_ms=ttl_ms, stream="stream", asked=firsts.select("_stream", "_due"))
+
+
+def _purged(paired: DataFrame, ttl_ms: int) -> DataFrame:
+    """Rows of :func:`_shifted`, paired since, with what the shifts purge."""
+    return _late(purge_timeouts(paired, None, _SLOT, "is_response", ttl_ms=ttl_ms, stream="stream"))
 
 
 def _timeouts(rows: DataFrame) -> DataFrame:
@@ -212,8 +236,8 @@ def _timeouts(rows: DataFrame) -> DataFrame:
 def dns_transactions(dns: DataFrame, o: Options | None = None, d: Dimensions | None = None, ttl_ms: int = 5000) -> DataFrame:
     """DNS rows with their pairing: status, elapsed_us, counted, filtered, and the query's columns on responses."""
     o, d = o or Options(), d or Dimensions()
-    df = dns_rows(dns, o, d)
-    return dns_finished(_purged(dns_paired(df, o, ttl_ms), df, ttl_ms), o)
+    messages = dns_messages(dns, o)
+    return dns_finished(_purged(dns_paired(_shifted(dns_placed(messages, d), messages, ttl_ms), o, ttl_ms), ttl_ms), o)
 
 
 def dns_paired(rows: DataFrame, o: Options, ttl_ms: int = 5000) -> DataFrame:
@@ -274,8 +298,8 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
         raise ValueError("pairs of unfiltered messages are not those of filtered ones")
     o = replace(o, filters={**o.filters, "version": 1})
     groups, flt = metric_groups("dns_v1", o.enable, o.disable), from_options(DnsFilter, o.filters)
-    df = dns_rows(messages, o, d).withColumn("keep", F.coalesce(flt.keep(), F.lit(False))).withColumn("names", aggregate_domain(F.col("qname_lower"), flt.suffix_size()))
-    kept = df.where("keep")
+    rows = dns_messages(messages, o)
+    df = dns_placed(rows, d).withColumn("keep", F.coalesce(flt.keep(), F.lit(False))).withColumn("names", aggregate_domain(F.col("qname_lower"), flt.suffix_size()))
     deep, rcode, qname, reply = F.col("deep"), F.col("rcode"), F.col("qname_lower"), F.col("is_response")
     nodata = reply & (rcode == 0) & (F.coalesce(F.col("answer_count"), F.lit(0)) == 0)
     ecs = F.col("ecs").isNotNull() & ~reply
@@ -294,7 +318,9 @@ def dns_v1(messages: DataFrame, o: Options | None = None, d: Dimensions | None =
     if not {"dns_transaction", "quantiles", "histograms"} & groups:
         return out
     if paired is None:
-        paired = written(_purged(pair_transactions(kept, _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"]), df, ttl_ms), "transactions")
+        kept = (df if flt.places else rows).where(flt.keep()).select(*dict.fromkeys([*_SLOT, "ts", "seq", "is_response", "bytes", "qname", "period_start", "period_len", "deep", *o.dims]))
+        paired = pair_transactions(_shifted(kept, rows, ttl_ms), _SLOT, "is_response", ttl_ms=ttl_ms, carry=["bytes"])
+        paired = written(_purged(paired, ttl_ms).drop("flow_key", "txid", "seq", "purged_at", "opened"), "transactions")
     valid = paired.where("is_response and status = 'valid'")
     if "dns_transaction" in groups:
         valid = slow_rows(valid, "elapsed_us", ["xact_dir"], o.mode)

@@ -128,3 +128,80 @@ def test_timeouts_of_both_dns_handlers_pair_once(spark, monkeypatch):
     monkeypatch.setattr(h, "purge_timeouts", lambda *a, **k: made.append(1) or pair(*a, **k))
     got = q.dns_timeouts(spark, "/root/testdata/sf0.001")
     assert len(made) == 1 and {x.name for x in got.select("name").distinct().collect()} == {"timeout_queries", "xact_counts_timed_out"}
+
+
+def test_first_dns_handler_pairs_few_columns_by_one_window(spark, monkeypatch):
+    from meterline.plans import handlers as h, metric_rows as m
+
+    sf, seen, write = "/root/testdata/sf0.001", {}, h.written
+    monkeypatch.setattr(h, "written", lambda df, tag: seen.update({tag: df}) or write(df, tag))
+    o = h.Options(enable=["all"], filters={"only_qtype": ["A", "3"]})
+    h.dns_v1(m._dns(spark, sf), o, m._places(spark, sf), ttl_ms=30_000)
+    plan = seen["transactions"]._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in line for line in plan.splitlines()) == 1
+    assert "prefix" not in plan and "ecs_location" not in plan  # clients' places are not looked up
+    firsts = seen["shifts"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "prefix" not in firsts and "Window [" not in firsts
+    assert not any("Filter" in line and line.count("get_json_object") > 1 for line in firsts.splitlines())
+    # a filter of places still has them
+    odd = h.dns_v1(m._dns(spark, sf), h.Options(enable=["all"], filters={"geoloc_notfound": True}), m._places(spark, sf), ttl_ms=30_000)
+    assert odd.where("name = 'wire_packets_total'").count() and seen["transactions"].where("not is_response").count()
+
+
+def test_timeouts_joined_before_pairing_are_those_joined_after(spark):
+    from meterline.operators import pairing
+
+    r = random.Random(5)
+    rows = [(r.choice("st"), r.randrange(4), i, r.choice([r.randrange(40_000), None]), r.random() < 0.4) for i in range(1500)]
+    df = spark.createDataFrame(rows, "stream string, k int, seq int, t int, is_response boolean").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    starts = spark.createDataFrame([(s, x, x // 60) for s in "st" for x in r.sample(range(40_000), 60)], "_stream string, start long, opened long")
+    keys, order = ["stream", "k"], ["seq", "status", "elapsed_us", "purged_at", "opened"]
+    pair = lambda d: pairing.pair_transactions(d, keys, "is_response", ttl_ms=20_000)
+    after = pairing.purge_timeouts(pair(df), starts, keys, "is_response", ttl_ms=20_000, stream="stream")
+    asked = df.select(F.col("stream").alias("_stream"), (F.unix_seconds("ts") + 20).alias("_due"))
+    before = pairing.purge_timeouts(pair(pairing.due_starts(df, starts, "is_response", ttl_ms=20_000, stream="stream", asked=asked)), None, keys, "is_response", ttl_ms=20_000, stream="stream")
+    assert set(before.columns) == set(after.columns)
+    got = sorted(map(str, before.select(order).collect()))
+    assert got == sorted(map(str, after.select(order).collect()))
+    # brute force: each slot by its events in order
+    first = lambda s, due: min((x for t, x in at[s] if x >= due), default=None)
+    at = {s: [(x.opened, x.start) for x in starts.where(F.col("_stream") == s).collect()] for s in "st"}
+    want = {}
+    for key in {(s, k) for s, k, *_ in rows}:
+        open_ = None
+        for _, _, n, t, reply in sorted((x for x in rows if x[:2] == key), key=lambda x: (x[3] is not None, x[3] or 0, x[2])):
+            shift = open_ and open_[1] is not None and first(key[0], open_[1] + 20)
+            if open_ and shift and t is not None and t >= shift:
+                want[open_[0]], open_ = "purged", None
+            if reply:
+                want[n] = "orphan" if open_ is None else "valid" if t is None or open_[1] is None or t - open_[1] < 20 else "timed_out"
+                if open_:
+                    want[open_[0]], open_ = "answered", None
+            else:
+                if open_:
+                    want[open_[0]] = "replaced"
+                open_ = (n, t)
+        if open_:
+            want[open_[0]] = "purged" if open_[1] is not None and first(key[0], open_[1] + 20) else "open"
+    assert {x.seq: x.status for x in before.collect()} == want
+
+
+def test_last_labels_of_odd_names(spark):
+    from meterline.functions import dns
+
+    def cut(q, size):
+        n = len(q)
+        upto = n - size + 1 if 0 < size < n else n - 1 if q.endswith(".") else n
+        last = lambda limit: q[: max(limit, 0)].rfind(".") + 1
+        d1 = last(upto)
+        d2 = last(d1 - 1)
+        d3 = last(d2 - 1)
+        part = lambda d: q[max(d - 1, 0) :]
+        two = q if n < 5 or d1 <= 1 or d2 == 0 else part(d2)
+        return two, "" if n < 5 else q if d1 <= 1 else "" if d2 == 0 else q if d2 == 1 or d3 == 0 else part(d3)
+
+    r = random.Random(6)
+    names = [("".join(r.choice("ab.é") for _ in range(r.randrange(12))), r.randrange(5)) for _ in range(600)] + [(None, 1)]
+    df = spark.createDataFrame(names, "q string, n int")
+    for x in df.select("q", "n", dns.aggregate_domain(F.col("q"), F.col("n")).alias("r")).collect():
+        assert tuple(x.r) == (cut(x.q, x.n) if x.q is not None else (None, None)), x
