@@ -23,7 +23,8 @@ def l4_name(proto: Column) -> Column:
 def explode_flow_records(exports: DataFrame, scale: bool = True) -> DataFrame:
     """One row a record; sFlow counter samples give none. Protocol becomes tcp, udp or other."""
     kept = exports.where(~((F.lower("flow_type") == "sflow") & (F.coalesce(F.lower("sample_type"), F.lit("")) == "counter")))
-    r = kept.select("device_ip", "ts", "flow_type", *[c for c in ("seq",) if c in exports.columns], F.posexplode("records").alias("record", "r"))
+    # outer, as Spark tests the size of a list else, for which it would make every record twice
+    r = kept.select("device_ip", "ts", "flow_type", *[c for c in ("seq",) if c in exports.columns], F.posexplode_outer("records").alias("record", "r")).where("record is not null")
     packets, octets = sample_rate_scale(F.col("flow_type"), F.col("r.packets"), F.col("r.octets"), F.col("r.mean_skip_count"), F.col("r.sampled_packet_size"), scale)
     fields = [F.col(f"r.{c}").alias(c) for c in ("tos", "src_ip", "dst_ip", "src_port", "dst_port", "if_in", "if_out")]
     return r.select(*[c for c in r.columns if c != "r"], F.when(F.col("r.is_ipv6"), "ipv6").otherwise("ipv4").alias("l3"), l4_name(F.col("r.proto")).alias("l4"), *fields, packets.alias("packets"), octets.alias("bytes"))
@@ -32,7 +33,7 @@ def explode_flow_records(exports: DataFrame, scale: bool = True) -> DataFrame:
 def flow_directions(records: DataFrame) -> DataFrame:
     """Each record once for its input and once for its output interface; a missing interface gives no row."""
     sides = F.array(F.struct(F.lit("in").alias("dir"), F.col("if_in").alias("interface")), F.struct(F.lit("out").alias("dir"), F.col("if_out").alias("interface")))
-    return records.withColumn("side", F.explode(F.filter(sides, lambda s: s["interface"].isNotNull()))).select("*", "side.dir", "side.interface").drop("side")
+    return records.select("*", F.inline(sides)).where("interface is not null")
 
 
 def direction_totals(records: DataFrame) -> DataFrame:

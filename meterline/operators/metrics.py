@@ -123,6 +123,8 @@ def among(rows: Column, metrics: Sequence[Metric]) -> list[Metric]:
 
 #: Counters of one mask at most.
 MASK = 48
+#: Rows that one row gives at most by compiled code; more make a method that the JVM interprets.
+FEW = 9
 
 
 def _shape(c: Column | None) -> str:
@@ -144,19 +146,28 @@ def _masks(metrics: Sequence[Metric]) -> list[dict]:
     return out
 
 
-def _families(metrics: Sequence[Metric]) -> list[dict]:
-    """Metrics of the same item on the same rows, tops of any weight and distinct counts: one row serves them all."""
+def _families(metrics: Sequence[Metric], anywhere: bool = False) -> list[dict]:
+    """Metrics of the same item on the same rows, tops of any weight and distinct counts: one row serves them all.
+    ``anywhere``: on any rows; a weight is null then where no row of its metric has the item."""
     found: dict[tuple, dict] = {}
     for n, m in enumerate(metrics):
         items = isinstance(m, (Cardinality, TopN))
-        key = (m.whole, _shape(m.among), _shape(m.where), _shape(m.item.cast("string"))) if items else (n,)
+        key = (m.whole, _shape(m.among), "" if anywhere else _shape(m.where), _shape(m.item.cast("string"))) if items else (n,)
         at = found.setdefault(key, {"whole": m.whole, "metrics": [], "weights": {}})
         weight = m.weight if isinstance(m, TopN) else None
-        at["weights"].setdefault(_shape(weight), weight)
-        at["metrics"].append((m, list(at["weights"]).index(_shape(weight))))
+        of = _shape(m.where), _shape(weight)
+        at["weights"].setdefault(of, (m, weight))
+        at["metrics"].append((m, list(at["weights"]).index(of)))
+    for f in found.values():
+        f["mixed"] = len({of[0] for of in f["weights"]}) > 1
     return list(found.values())
 
 
+def row_size(metrics: Sequence[Metric]) -> int:
+    """How many rows a row gives at most (:func:`_sums`), if metrics of an item share one."""
+    return len(_masks(metrics)) + len(_families([m for m in metrics if not isinstance(m, Counter)], True))
+
+
 def _state(name: str, kind: str, item: Column | None = None, num: Column | None = None, weight: Column | None = None) -> Column:
     null = F.lit(None)
     return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), (null if item is None else item).cast("string").alias("item"), (null if num is None else num).cast("double").alias("num"), (F.lit(0) if weight is None else weight).cast("bigint").alias("weight"))
@@ -181,45 +192,70 @@ def _counted(df: DataFrame, masks: list[dict], keys: Sequence[str], dims: Sequen
     return out.select(*keys, "name", "kind", "item", "num", "weight")
 
 
-def _sums(df: DataFrame, masks: list[dict], families: list[dict], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
+def _sums(df: DataFrame, masks: list[dict], families: list[dict], keys: Sequence[str], dims: Sequence[str], ts: str, at: Sequence[str] = ()) -> DataFrame:
     """``keys, m, item, num, bits, weight``: what each metric, of code ``m``, counts, summed over the rows of ``df``.
 
     A row of ``df`` becomes one row for each distinct weight of its counters, whose ``bits`` say which ones count it,
     and one for each item, value or second it adds to other metrics; a family of metrics (:func:`_families`) shares it,
-    further weights are ``weight1`` and so on. One aggregation sums these, partly before the shuffle.
+    further weights are ``weight1`` and so on. One aggregation sums these, partly before the shuffle, or without one
+    where ``df`` lies by keys, or by keys and the columns ``at``, which follow from an item.
     """
     weights = [_weight(i) for i in range(max(len(f["weights"]) for f in families))]
 
     def tag(code: int, item: Column, num: Column, bits: Column, *each: Column) -> Column:
         each = (*each, *[F.lit(0)] * (len(weights) - len(each)))
-        return F.struct(F.lit(code).alias("m"), item.cast("string").alias("item"), num.cast("double").alias("num"), bits.cast("bigint").alias("bits"), *[F.coalesce(w.cast("bigint"), F.lit(0)).alias(n) for w, n in zip(each, weights)])
+        return F.struct(F.lit(code).alias("m"), item.cast("string").alias("item"), num.cast("double").alias("num"), bits.cast("bigint").alias("bits"), *[w.cast("bigint").alias(n) for w, n in zip(each, weights)])
 
     null, one = F.lit(None), F.lit(1)
+    few, made = len(masks) + len(families) <= FEW, {}
+
+    def first(c: Column) -> Column:
+        """A column of its own, worked out before the rows are made, where these are few: one method does it all otherwise."""
+        if few:
+            made.setdefault(repr(c), (f"_x{len(made)}", c))
+        return F.col(made[repr(c)][0]) if few else c
+
     tags = []
     for i, g in enumerate(masks):
         bits = F.lit(0).cast("bigint")
         for j, m in enumerate(g["metrics"]):
             if isinstance(m, Counter):
                 bits = bits + (F.lit(1 << j) if m.where is None else F.when(m.where, F.lit(1 << j)).otherwise(F.lit(0))).cast("bigint")
-        t = tag(i, null, null, bits, one if g["weight"] is None else g["weight"])
-        tags.append(t if g["among"] is None else F.when(g["among"], t))
+        t = tag(i, null, null, first(bits), first(_known(g["weight"])))
+        tags.append(t if g["among"] is None else F.when(first(g["among"]), t))
     for k, f in enumerate(families, len(masks)):
-        m, each = f["metrics"][0][0], [one if w is None else w for w in f["weights"].values()]
-        if isinstance(m, (Cardinality, TopN)):
-            item, num = m.of(m.item.cast("string")), null
+        m, each = f["metrics"][0][0], [x.of(_known(w)) if f["mixed"] else _known(w) for x, w in f["weights"].values()]
+        if f["mixed"]:
+            any_of = F.lit(True) if any(x.where is None for x, _ in f["weights"].values()) else reduce(Column.__or__, [F.coalesce(x.where, F.lit(False)) for x, _ in f["weights"].values()])
+            item, num = first(F.when(any_of, m.item.cast("string"))), null
+        elif isinstance(m, (Cardinality, TopN)):
+            item, num = first(m.of(m.item.cast("string"))), null
         elif isinstance(m, Quantile):
-            item, num = null, m.of(m.value)
+            item, num = null, first(m.of(m.value))
         elif isinstance(m, Histogram):
-            item, num = null, m.of(histogram_bound(m.value, m.integer))
+            item, num = null, first(m.of(histogram_bound(m.value, m.integer)))
         else:
             item, num, each = null, F.unix_seconds(F.col(ts).cast("timestamp")), [m.of(one if m.weight is None else m.weight)]
+        each = [first(w) for w in each]
         counts = each[0] if isinstance(m, Rate) else num if isinstance(m, (Quantile, Histogram)) else item
         tags.append(F.when(counts.isNotNull(), tag(k, item, num, null, *each)))
-    rows = df.select(*keys, F.inline(F.array_compact(F.array(*tags))))
+    if few:
+        rows = df.withColumns(dict(made.values())).select(*keys, *at, F.inline(F.array(*tags))).where("m is not null")
+    else:
+        rows = df.select(*keys, *at, F.inline(F.array_compact(F.array(*tags))))
     whole = [i for i, g in enumerate(masks) if g["whole"]] + [k for k, f in enumerate(families, len(masks)) if f["whole"]]
     if whole:
         rows = rows.withColumns({d: F.when(~F.col("m").isin(whole), F.col(d)) for d in dims})
-    return rows.groupBy(*keys, "m", "item", "num", "bits").agg(*[F.sum(n).alias(n) for n in weights])
+    return rows.groupBy(*keys, *at, "m", "item", "num", "bits").agg(*[F.sum(n).alias(n) for n in weights])
+
+
+def _known(weight: Column | None) -> Column:
+    return F.lit(1) if weight is None else F.coalesce(weight.cast("bigint"), F.lit(0))
+
+
+def _summed(sums: DataFrame) -> Column:
+    """True of any row. The test needs all its sums, so what it guards stays above their aggregation, whose shuffle is read again and not made again."""
+    return F.coalesce(*[F.col(c) for c in sums.columns if c.startswith("weight")]).isNotNull()
 
 
 def _weight(i: int) -> str:
@@ -233,16 +269,16 @@ def _bit(j: int) -> Column:
 def _unmasked(sums: DataFrame, masks: list[dict], keys: Sequence[str]) -> DataFrame:
     """The values of all counters, from sums by mask: added up by key first, taken apart then."""
     width = max(len(g["metrics"]) for g in masks)
-    # the test needs the sums, so it stays above their aggregation, whose shuffle is read again and not made again
-    rows = sums.where(F.when(F.col("weight").isNotNull(), F.col("bits").isNotNull()))
+    rows = sums.where(F.when(_summed(sums), F.col("bits").isNotNull()))
     wide = rows.groupBy(*keys, "m").agg(*[F.sum(_bit(j)).alias(f"_c{j}") for j in range(width)])
     one = lambda m, j: F.struct(F.lit(m.name).alias("name"), F.lit("counter").alias("kind"), F.lit("value").alias("stat"), F.col(f"_c{j}").cast("double").alias("value"))
     each = [F.array(*[one(m, j) for j, m in enumerate(g["metrics"]) if isinstance(m, Counter)]) for g in masks]
     return wide.select(*keys, F.inline(F.element_at(F.array(*[e if any(isinstance(m, Counter) for m in g["metrics"]) else F.lit(None).cast("array<struct<name:string,kind:string,stat:string,value:double>>") for e, g in zip(each, masks)]), F.col("m") + 1)))
 
 
-def _states(sums: DataFrame, masks: list[dict], families: list[dict], keys: Sequence[str], counters: bool = True) -> DataFrame:
-    """State rows that add up by name, item and num. Without ``counters``, masks only show which distinct counts may be 0."""
+def _states(sums: DataFrame, masks: list[dict], families: list[dict], keys: Sequence[str], counters: bool = True, codes: Sequence[int] | None = None) -> DataFrame:
+    """State rows that add up by name, item and num. Without ``counters``, masks only show which distinct counts may be 0.
+    ``codes`` of the families, if they don't follow those of the masks; ``sums`` has no others then."""
     states, kept = None, []
     for i, g in enumerate(masks):
         each = []
@@ -254,14 +290,22 @@ def _states(sums: DataFrame, masks: list[dict], families: list[dict], keys: Sequ
         if each:
             kept.append(i)
             states = F.when(F.col("m") == i, F.array(*each)) if states is None else states.when(F.col("m") == i, F.array(*each))
-    if len(kept) < len(masks):
-        sums = sums.where(F.when(F.col("weight").isNotNull(), (F.col("m") >= len(masks)) | F.col("m").isin(kept)))
+    if codes is None and len(kept) < len(masks):
+        sums = sums.where(F.when(_summed(sums), (F.col("m") >= len(masks)) | F.col("m").isin(kept)))
     code = F.col("m") - len(masks)
+    if codes is not None or sum(len(f["metrics"]) for f in families) <= 2 * FEW:  # by compiled code
+        named = None
+        for k, f in zip(codes or range(len(masks), len(masks) + len(families)), families):
+            each = F.array(*[F.struct(F.lit(m.name).alias("name"), F.lit(type(m).__name__.lower()).alias("kind"), F.col("item"), F.col("num"), F.col(_weight(i)).alias("weight")) for m, i in f["metrics"]])
+            named = F.when(F.col("m") == k, each) if named is None else named.when(F.col("m") == k, each)
+        out = sums.select(*keys, F.inline(named if states is None else F.coalesce(states, named)))
+        return out.where("weight is not null") if any(f["mixed"] for f in families) else out
     label = lambda m, i: F.struct(F.lit(m.name).alias("name"), F.lit(type(m).__name__.lower()).alias("kind"), F.lit(i).alias("i"))
     labels = F.get(F.array(*[F.array(*[label(m, i) for m, i in f["metrics"]]) for f in families]), code)
     weights = F.array(*[F.col(_weight(i)) for i in range(max(len(f["weights"]) for f in families))])
     named = F.transform(labels, lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), F.col("item").alias("item"), F.col("num").alias("num"), F.get(weights, x["i"]).alias("weight")))
-    return sums.select(*keys, F.inline(named if states is None else states.otherwise(named)))
+    out = sums.select(*keys, F.inline(named if states is None else states.otherwise(named)))
+    return out.where("weight is not null") if any(f["mixed"] for f in families) else out
 
 
 def _parts(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str) -> DataFrame:
@@ -270,17 +314,43 @@ def _parts(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims:
     return _states(_sums(df, masks, families, keys, dims, ts), masks, families, keys) if others else _counted(df, masks, keys, dims)
 
 
-def _exact(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str, topn: int, threshold: int) -> DataFrame:
+def _exact(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str, topn: int, threshold: int, at: Sequence[str] | None = None, groups: DataFrame | None = None, mixed: bool = False) -> DataFrame:
     """The statistics of all metrics, straight from the sums."""
+    if at is not None:
+        return _placed(df, metrics, keys, dims, ts, topn, threshold, at, groups)
     masks, others = _masks(metrics), [m for m in metrics if not isinstance(m, Counter)]
     if not others:
         return _counted(df, masks, keys, dims).select(*keys, "name", "kind", F.lit("value").alias("stat"), F.col("weight").cast("double").alias("value"))
-    families = _families(others)
+    families = _families(others, mixed)
     sums = _sums(df, masks, families, keys, dims, ts)
     rest = statistics(_states(sums, masks, families, keys, counters=False), keys, topn, threshold, {type(m).__name__.lower() for m in others})
     return rest if len(others) == len(metrics) else rest.unionByName(_unmasked(sums, masks, keys))
 
 
+def _placed(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], dims: Sequence[str], ts: str, topn: int, threshold: int, at: Sequence[str], groups: DataFrame | None) -> DataFrame:
+    """The same of rows that lie by keys, or by keys and ``at``: sums need no further shuffle, and tops share no step with
+    other metrics, so each ranks or counts its own sums alone. With ``at`` there are no counters, and distinct counts take their zeros from ``groups``."""
+    masks, others = [] if at else _masks(metrics), [m for m in metrics if not isinstance(m, Counter)]
+    families = _families(others, True)
+    sums = _sums(df, masks, families, keys, dims, ts, at)
+    parts = []
+    for top in (True, False):
+        mine = [{**f, "metrics": [(m, i) for m, i in f["metrics"] if isinstance(m, TopN) == top]} for f in families]
+        kinds = {type(m).__name__.lower() for f in mine for m, _ in f["metrics"]}
+        if not kinds:
+            continue
+        codes = [k for k, f in enumerate(mine, len(masks)) if f["metrics"]]
+        zeros = [i for i, g in enumerate(masks) if not top and any(isinstance(m, Cardinality) for m in g["metrics"])]
+        states = _states(sums.where(F.col("m").isin(zeros + codes)), [] if top else masks, [f for f in mine if f["metrics"]], keys, counters=False, codes=codes)
+        if groups is not None and "cardinality" in kinds:
+            none = F.array(*[_state(m.name, "cardinality") for m in others if isinstance(m, Cardinality)])
+            states = states.unionByName(groups.select(*keys).distinct().select(*keys, F.inline(none)))
+        parts.append(statistics(states, keys, topn, threshold, kinds))
+    if len(others) < len(metrics):
+        parts.append(_unmasked(sums, masks, keys))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def metric_states(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str] = ("period_start", "period_len"), dims: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """The mergeable form of all metrics: ``keys, dims, name, kind, item, num, weight``.
 
@@ -367,12 +437,17 @@ def _sketched(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], top
     return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(each))
 
 
-def metric_table(df: DataFrame, metrics: Sequence[Metric], *, handler: str, schema: str, policy: str = "default", dims: Sequence[str] = (), topn: int = 10, threshold: int = 0, mode: str = "exact", ts: str = "ts") -> DataFrame:
+def metric_table(df: DataFrame, metrics: Sequence[Metric], *, handler: str, schema: str, policy: str = "default", dims: Sequence[str] = (), topn: int = 10, threshold: int = 0, mode: str = "exact", ts: str = "ts", at: Sequence[str] | None = None, groups: DataFrame | None = None, mixed: bool = False) -> DataFrame:
     """All metrics of ``df`` (with ``period_start``, ``period_len`` and the dimensions) in the long form.
 
     Mode ``exact`` counts distinct values, ranks items and takes percentiles exactly; ``sketch`` uses mergeable sketches
     for distinct counts, quantiles and tops of unit weight, in one more pass; ``states`` gives what :func:`metric_states`
     does, with the labels as ``entries``, for :func:`read_states`. A metric that is ``whole`` has no dimensions.
+
+    ``mixed``: exact metrics of an item share a row though they count other rows of it, for tables of few such metrics.
+    ``at``, of exact tops, distinct counts and counters: rows of a group lie in one partition already (empty), or those of
+    a group with the same values of these columns, which follow from any item; distinct counts then need ``groups``, rows
+    of all groups. Elsewhere a sum is shuffled to where it belongs, so the results are the same wherever rows lie. It implies ``mixed``.
     """
     if not metrics:
         return df.sparkSession.createDataFrame([], STATES if mode == "states" else SCHEMAS["metrics"])
@@ -385,7 +460,7 @@ def metric_table(df: DataFrame, metrics: Sequence[Metric], *, handler: str, sche
         return metric_states(df, metrics, dims=dims, ts=ts).select(*named, entries.alias("entries"), "name", "kind", "item", "num", "weight")
     parts: list[DataFrame] = []
     if exact:
-        parts.append(_exact(df, exact, keys, dims, ts, topn, threshold))
+        parts.append(_exact(df, exact, keys, dims, ts, topn, threshold, at, groups, mixed))
     for whole in (False, True):
         if some := [m for m in by_sketch if m.whole == whole]:
             source = df if some[0].among is None else df.where(some[0].among)

@@ -6,9 +6,9 @@ sampling flag only. Grouping is by stream-independent dimensions: direction, dev
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from functools import wraps
+from functools import reduce, wraps
 from inspect import signature
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from ..functions.dns import aggregate_domain, metric_port, response_ratio, xact_
 from ..functions.flow import deep_flag, explode_flow_records, first_ip_roles, flow_directions
 from ..operators.filters import DnsFilter, FlowFilter, NetFilter, from_options, metric_groups
 from ..operators.lookup import asn_lookup, enrich_devices, geo_lookup, join_services
-from ..operators.metrics import Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, among, clamped_running_total, delta_sum, metric_table
+from ..operators.metrics import FEW, Cardinality, Counter, Histogram, Metric, Quantile, Rate, TopN, among, clamped_running_total, delta_sum, metric_table, row_size
 from ..operators.pairing import due_starts, match_leases, match_probes, pair_transactions, propagate_query_filter, purge_timeouts
 from ..operators.periods import as_one, assign_periods, merged_periods, slow_rows
 from ..storage import written
@@ -41,6 +41,7 @@ class Options:
     mode: str = "exact"
     filters: dict = field(default_factory=dict)
     dims: Sequence[str] = ()
+    only: Sequence[str] = ()  # of the metrics of the groups that are on, these alone; empty: all
     event_counts: bool = True
     merge: int = 1  # report so many of the newest periods as one
     known: DataFrame | None = None  # these periods, once a handler has seen its events
@@ -67,9 +68,10 @@ def _merged(df: DataFrame, o: Options) -> DataFrame:
     return df if o.known is None else as_one(df, F.broadcast(o.known))  # ten rows at most
 
 
-def _table(df: DataFrame, metrics: list[Metric], o: Options, handler: str, schema: str, dims: Sequence[str] = (), merged: bool = False) -> DataFrame:
-    df = df if merged else _merged(df, o)
-    return metric_table(df, metrics, handler=handler, schema=schema, policy=o.policy, dims=[*o.dims, *dims], topn=o.topn_count, threshold=o.topn_percentile_threshold, mode=o.mode)
+def _table(df: DataFrame, metrics: list[Metric], o: Options, handler: str, schema: str, dims: Sequence[str] = (), merged: bool = False, at: Sequence[str] | None = None, groups: DataFrame | None = None, mixed: bool = False) -> DataFrame:
+    df, groups = (df, groups) if merged else (_merged(df, o), groups if groups is None else _merged(groups, o))
+    metrics = [m for m in metrics if not o.only or m.name in o.only]
+    return metric_table(df, metrics, handler=handler, schema=schema, policy=o.policy, dims=[*o.dims, *dims], topn=o.topn_count, threshold=o.topn_percentile_threshold, mode=o.mode, at=at, groups=groups, mixed=mixed)
 
 
 def _prepared(df: DataFrame, o: Options, key: Sequence[str] = ("stream", "seq")) -> DataFrame:
@@ -353,19 +355,33 @@ class Summaries:
         return ip_summarize(ip, asn=asn, exclude_ips=self.exclude_ips, exclude_asns=self.exclude_asns, exclude_unknown=self.exclude_unknown, subnets=self.subnets, by_asn=self.by_asn)
 
 
-def flow_records(exports: DataFrame, o: Options, d: Dimensions, summaries: Summaries, scale: bool = True) -> DataFrame:
-    """Records with filters, lookups, service names and summarised endpoints."""
+def _flow_rows(exports: DataFrame, o: Options, d: Dimensions, summaries: Summaries, scale: bool, places: bool) -> DataFrame:
+    """Records with filters, service names and summarised addresses; ``places`` are looked up where nothing but tops of places needs them, too."""
     flt = from_options(FlowFilter, o.filters)
     r = _prepared(explode_flow_records(exports, scale), o, ("device_ip", "seq", "record"))
+    named = d.services is not None and "top_ports" in metric_groups("flow", o.enable, o.disable)
     for side in ("src", "dst"):
-        r = geo_lookup(r, f"{side}_ip", d.geo_v4, out=f"{side}_location", ranges_v6=d.geo_v6) if d.geo_v4 is not None else r.withColumn(f"{side}_location", F.lit(None).cast("string"))
-        r = asn_lookup(r, f"{side}_ip", d.asn_v4, out=f"{side}_asn", ranges_v6=d.asn_v6) if d.asn_v4 is not None else r.withColumn(f"{side}_asn", F.lit(None).cast("string"))
-        named = d.services is not None and "top_ports" in metric_groups("flow", o.enable, o.disable)
+        for table, six, lookup, out, asked in ((d.geo_v4, d.geo_v6, geo_lookup, "location", flt.geoloc_notfound), (d.asn_v4, d.asn_v6, asn_lookup, "asn", flt.asn_notfound or summaries.by_asn)):
+            if table is not None and (places or asked):
+                r = lookup(r, f"{side}_ip", table, out=f"{side}_{out}", ranges_v6=six)
+            else:
+                r = r.withColumn(f"{side}_{out}", F.lit(None).cast("string"))
         r = join_services(r, f"{side}_port", "l4", d.services, out=f"{side}_service") if named else r.withColumn(f"{side}_service", F.col(f"{side}_port").cast("string"))
         r = r.withColumn(f"{side}_name", summaries.of(F.col(f"{side}_ip"), F.col(f"{side}_asn") if d.asn_v4 is not None else None))
-        r = r.withColumn(f"{side}_end", F.concat_ws(":", f"{side}_name", f"{side}_service"))
     r = r.withColumns({s: flt.interface(s) for s in ("if_in", "if_out")})
-    return r.withColumn("keep", flt.keep()).withColumn("conversation", conversation_key(F.col("src_end"), F.col("dst_end"), F.col("src_port"), F.col("dst_port")))
+    return r.withColumn("keep", flt.keep())
+
+
+def _flow_ends(r: DataFrame) -> DataFrame:
+    """Records with their endpoints and kinds of service as text."""
+    r = r.withColumns({f"{side}_end": F.concat_ws(":", f"{side}_name", f"{side}_service") for side in ("src", "dst")})
+    r = r.withColumns({"dscp": dscp_name(F.col("tos")), "ecn": ecn_name(F.col("tos"))})
+    return r.withColumn("conversation", conversation_key(F.col("src_end"), F.col("dst_end"), F.col("src_port"), F.col("dst_port")))
+
+
+def flow_records(exports: DataFrame, o: Options, d: Dimensions, summaries: Summaries, scale: bool = True) -> DataFrame:
+    """Records with filters, lookups, service names and summarised endpoints."""
+    return _flow_ends(_flow_rows(exports, o, d, summaries, scale, True)).drop("dscp", "ecn")
 
 
 def flow_kept(exports: DataFrame, kinds: dict[str, dict], d: Dimensions | None = None, scale: bool = True) -> DataFrame:
@@ -385,43 +401,50 @@ def flow_kept(exports: DataFrame, kinds: dict[str, dict], d: Dimensions | None =
 @counted("flow", "flow")
 def flow(exports: DataFrame, o: Options | None = None, d: Dimensions | None = None, summaries: Summaries | None = None, scale: bool = True) -> DataFrame:
     """Flows by device, and by device and interface."""
-    o, d = o or Options(), d or Dimensions()
+    o, d, summaries = o or Options(), d or Dimensions(), summaries or Summaries()
     groups = metric_groups("flow", o.enable, o.disable)
-    r = flow_records(exports, o, d, summaries or Summaries(), scale)
-    kept = r.where("keep")
-    sides = flow_directions(kept)
-    if d.devices is not None and d.interfaces is not None:
-        r = enrich_devices(r, d.devices, d.interfaces, interface="if_in").withColumnRenamed("device_name", "device").withColumnRenamed("interface_name", "in_name")
-        r = enrich_devices(r, d.devices, d.interfaces, interface="if_out").drop("device_name").withColumnRenamed("interface_name", "out_name")
-        sides = enrich_devices(sides, d.devices, d.interfaces)
-    else:
-        r = r.withColumns({"device": F.col("device_ip"), "in_name": F.col("if_in").cast("string"), "out_name": F.col("if_out").cast("string")})
-        sides = sides.withColumns({"device_name": F.col("device_ip"), "interface_name": F.col("interface").cast("string")})
-    kept, deep = r.where("keep"), F.col("deep")
-    by_interface: list[Metric] = []
+    rows = _flow_rows(exports, o, d, summaries, scale, False)
+    devices = d.devices is not None and d.interfaces is not None
+
+    def sides(r: DataFrame) -> DataFrame:
+        s = flow_directions(r.where("keep"))
+        s = enrich_devices(s, d.devices, d.interfaces) if devices else s.withColumns({"device_name": F.col("device_ip"), "interface_name": F.col("interface").cast("string")})
+        return s.withColumnsRenamed({"device_name": "device", "interface_name": "device_interface"})
+
+    deep, dims = F.col("deep"), ["device", "device_interface"]
+    # metrics of few items, and of the items that an end or a conversation has
+    by_interface: dict[str, list[Metric]] = {"": [], "src": [], "dst": [], "conversation": []}
     for metric in ("bytes", "packets"):
         w, g = F.col(metric), f"by_{metric}"
         for dir in ("in", "out"):
             mine = F.col("dir") == dir
             for n, test in (("udp", F.col("l4") == "udp"), ("tcp", F.col("l4") == "tcp"), ("other_l4", F.col("l4") == "other"), ("ipv4", F.col("l3") == "ipv4"), ("ipv6", F.col("l3") == "ipv6")):
-                by_interface.append(Counter(f"{dir}_{n}_{metric}", f"counters+{g}", mine & test, w))
-            by_interface.append(Counter(f"{dir}_{metric}", f"counters+{g}", mine, w))
+                by_interface[""].append(Counter(f"{dir}_{n}_{metric}", f"counters+{g}", mine & test, w))
+            by_interface[""].append(Counter(f"{dir}_{metric}", f"counters+{g}", mine, w))
             at = deep & mine
             for side in ("src", "dst"):
                 port = at & (F.col(f"{side}_port") > 0)
-                by_interface += [TopN(f"top_{dir}_{side}_ips_{metric}", f"top_ips+{g}", at, F.col(f"{side}_name"), w), TopN(f"top_{dir}_{side}_ports_{metric}", f"top_ports+{g}", port, F.col(f"{side}_service"), w), TopN(f"top_{dir}_{side}_ip_ports_{metric}", f"top_ips_ports+{g}", port, F.col(f"{side}_end"), w)]
-            by_interface += [TopN(f"top_{dir}_dscp_{metric}", f"top_tos+{g}", at, dscp_name(F.col("tos")), w), TopN(f"top_{dir}_ecn_{metric}", f"top_tos+{g}", at, ecn_name(F.col("tos")), w)]
-        by_interface.append(TopN(f"top_conversations_{metric}", f"conversations+{g}", deep, F.col("conversation"), w))
-    by_interface += [
-        Cardinality("cardinality_conversations", "cardinality+conversations", deep, F.col("conversation")), Cardinality("cardinality_src_ips_in", "cardinality", deep, F.col("src_ip")), Cardinality("cardinality_dst_ips_out", "cardinality", deep, F.col("dst_ip")),
-        Cardinality("cardinality_src_ports_in", "cardinality", deep & (F.col("src_port") > 0), F.col("src_port")), Cardinality("cardinality_dst_ports_out", "cardinality", deep & (F.col("dst_port") > 0), F.col("dst_port")),
-    ]
-    named = sides.withColumnsRenamed({"device_name": "device", "interface_name": "device_interface"})
-    out = _table(named, _on(by_interface, groups), o, "flow", "flow", ["device", "device_interface"])
-    ends = named.where("deep").withColumn("end", F.explode(F.array(F.struct(F.col("src_location").alias("location"), F.col("src_asn").alias("asn")), F.struct(F.col("dst_location").alias("location"), F.col("dst_asn").alias("asn")))))
+                by_interface[side] += [TopN(f"top_{dir}_{side}_ips_{metric}", f"top_ips+{g}", at, F.col(f"{side}_name"), w), TopN(f"top_{dir}_{side}_ip_ports_{metric}", f"top_ips_ports+{g}", port, F.col(f"{side}_end"), w)]
+                by_interface[""].append(TopN(f"top_{dir}_{side}_ports_{metric}", f"top_ports+{g}", port, F.col(f"{side}_service"), w))
+            by_interface[""] += [TopN(f"top_{dir}_dscp_{metric}", f"top_tos+{g}", at, F.col("dscp"), w), TopN(f"top_{dir}_ecn_{metric}", f"top_tos+{g}", at, F.col("ecn"), w)]
+        by_interface["conversation"].append(TopN(f"top_conversations_{metric}", f"conversations+{g}", deep, F.col("conversation"), w))
+    by_interface["conversation"].append(Cardinality("cardinality_conversations", "cardinality+conversations", deep, F.col("conversation")))
+    for side, dir in (("src", "in"), ("dst", "out")):
+        # as the tops have them, where they are the same, so that one row serves both
+        ip, port = f"{side}_name" if summaries == Summaries() else f"{side}_ip", f"{side}_service" if d.services is None else f"{side}_port"
+        by_interface[side].append(Cardinality(f"cardinality_{side}_ips_{dir}", "cardinality", deep, F.col(ip)))
+        by_interface[""].append(Cardinality(f"cardinality_{side}_ports_{dir}", "cardinality", deep & (F.col(f"{side}_port") > 0), F.col(port)))
+    by_interface = {n: [m for m in _on(metrics, groups) if not o.only or m.name in o.only] for n, metrics in by_interface.items()}
+    out = _flow_by_interface(rows, by_interface, sides, o, dims, d.services)
     tops = _on([TopN(f"top_{n}_{m}", f"top_geo+by_{m}", item=F.col(f"end.{c}"), weight=F.col(m)) for m in ("bytes", "packets") for n, c, t in (("geo_loc", "location", d.geo_v4), ("asn", "asn", d.asn_v4)) if t is not None], groups)
     if tops:
-        out = out.unionByName(_table(ends, tops, o, "flow", "flow", ["device", "device_interface"]))
+        ends = sides(_flow_rows(exports, o, d, summaries, scale, True)).where("deep").withColumn("end", F.explode(F.array(F.struct(F.col("src_location").alias("location"), F.col("src_asn").alias("asn")), F.struct(F.col("dst_location").alias("location"), F.col("dst_asn").alias("asn")))))
+        out = out.unionByName(_table(ends, tops, o, "flow", "flow", dims))
+    if devices:
+        r = enrich_devices(rows, d.devices, d.interfaces, interface="if_in").withColumnRenamed("device_name", "device").withColumnRenamed("interface_name", "in_name")
+        r = enrich_devices(r, d.devices, d.interfaces, interface="if_out").drop("device_name").withColumnRenamed("interface_name", "out_name")
+    else:
+        r = rows.withColumns({"device": F.col("device_ip"), "in_name": F.col("if_in").cast("string"), "out_name": F.col("if_out").cast("string")})
     by_device = _on([
         Counter("records_flows", "counters", F.col("keep")), Counter("records_filtered", "counters", ~F.col("keep")),
         *[TopN(f"top_{dir}_interfaces_{m}", f"top_interfaces+by_{m}", F.col("keep") & deep, F.col(f"{dir}_name"), F.col(m)) for m in ("bytes", "packets") for dir in ("in", "out")],
@@ -429,6 +452,39 @@ def flow(exports: DataFrame, o: Options | None = None, d: Dimensions | None = No
     return out.unionByName(_table(r, by_device, o, "flow", "flow", ["device"])) if by_device else out
 
 
+#: Records of a task that adds up items.
+FLOWS_A_TASK = 100_000
+
+
+def _flow_by_interface(rows: DataFrame, metrics: dict[str, list[Metric]], sides: Callable[[DataFrame], DataFrame], o: Options, dims: Sequence[str], services: DataFrame | None) -> DataFrame:
+    """Metrics by device and interface. Nearly every record has items of its own, so records travel once and not a row
+    for each item: to the task of their device and period, or, where one of these has more than a task takes, to those of
+    their source, of their destination and of their conversation; metrics of few items are summed before a shuffle then.
+    Records are counted for this."""
+    table = lambda r, some, **how: _table(sides(_flow_ends(r)), some, o, "flow", "flow", dims, **how)
+    every, ends = [m for some in metrics.values() for m in some], [n for n in ("src", "dst", "conversation") if metrics[n]]
+    # an endpoint as text names its address if no service has a colon
+    if o.mode != "exact" or not ends or services is not None and not services.where(F.col("name").contains(":")).isEmpty():
+        return table(rows, every)
+    n, largest = rows.where("keep").groupBy("period_start", "device_ip").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    tasks = n // FLOWS_A_TASK + 1
+    if largest <= FLOWS_A_TASK:
+        own = rows.where("keep").repartition(tasks, "period_start", "device_ip")
+        parts = [every] if row_size(every) <= FEW else [some for some in metrics.values() if some]
+        return reduce(DataFrame.unionByName, [table(own, some, at=[]) for some in parts])
+    parts = [table(rows, metrics[""], mixed=True)] if metrics[""] else []
+    for n in ends:
+        kept = rows.where("keep")
+        item = _flow_ends(kept).select("*", F.col("conversation").alias("_item")) if n == "conversation" else kept.withColumn("_item", F.col(f"{n}_name"))
+        # part of an item's hash, so that tasks add up items of their own
+        own = item.withColumn("_at", F.pmod(F.hash("_item"), F.lit(1 << 16))).repartition(tasks, "period_start", "device_ip", "_at")
+        if n == "conversation":
+            parts.append(_table(sides(own), metrics[n], o, "flow", "flow", dims, at=["_at"], groups=sides(rows)))
+        else:
+            parts.append(table(own, metrics[n], at=["_at"], groups=sides(rows)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @counted("dhcp", "dhcp")
 def dhcp(events: DataFrame, o: Options | None = None) -> DataFrame:
     o = o or Options()

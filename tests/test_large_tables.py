@@ -205,3 +205,43 @@ def test_last_labels_of_odd_names(spark):
     df = spark.createDataFrame(names, "q string, n int")
     for x in df.select("q", "n", dns.aggregate_domain(F.col("q"), F.col("n")).alias("r")).collect():
         assert tuple(x.r) == (cut(x.q, x.n) if x.q is not None else (None, None)), x
+
+
+def _odd_flows(spark, r, n):
+    ip = lambda: r.choice([None, "", "fe80::1", "fe80::", f"10.0.{r.randrange(3)}.{r.randrange(4)}", "10.0.0.1"])
+    port = lambda: r.choice([None, 0, -1, 80, 443, r.randrange(5)])
+    side = lambda: r.choice([None, 1, 2, 3])
+    rec = lambda: (r.random() < 0.3, r.choice([6, 17, 1, None]), r.randrange(256), ip(), ip(), port(), port(), side(), side(), r.choice([None, r.randrange(9)]), r.choice([None, r.randrange(9000)]), None, None)
+    exports = [(f"r{r.randrange(3)}", r.choice([0, 30, 61, 300]), "netflow", "flow", i, r.choice([None, [], *[[rec() for _ in range(k)] for k in (1, 1, 2, 3)]])) for i in range(n)]
+    record = "is_ipv6 boolean, proto int, tos int, src_ip string, dst_ip string, src_port int, dst_port int, if_in bigint, if_out bigint, packets bigint, octets bigint, mean_skip_count bigint, sampled_packet_size bigint"
+    return spark.createDataFrame(exports, f"device_ip string, t int, flow_type string, sample_type string, seq int, records array<struct<{record}>>").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+
+
+def test_flow_records_travel_once_and_not_a_row_for_each_item(spark, monkeypatch):
+    from meterline.operators import metrics as m
+    from meterline.plans import handlers as h
+
+    df = _odd_flows(spark, random.Random(7), 300).localCheckpoint()
+    rows = lambda out: sorted(map(str, out.select("period_start", F.to_json("labels"), "name", "kind", "stat", "value").collect()))
+    web = spark.createDataFrame([("tcp", 70, 90, "web")], "proto string, port_lo int, port_hi int, name string")
+    for services, summaries, sizes in ((None, None, (10_000, 40)), (web, h.Summaries(subnets=["10.0.1.0/24"]), (40,))):
+        run = lambda **o: h.flow(df, h.Options(enable=["all"], event_counts=False, **o), h.Dimensions(services=services), summaries)  # noqa: B023, E731
+        want = rows(m.read_states(run(mode="states")))
+        for most in sizes:  # by device and period, by item
+            monkeypatch.setattr(h, "FLOWS_A_TASK", most)
+            assert rows(run()) == want
+
+
+def test_flow_steps_are_compiled(spark, monkeypatch):
+    from meterline.plans import handlers as h
+
+    monkeypatch.setattr(h, "FLOWS_A_TASK", 4)
+    df = _odd_flows(spark, random.Random(8), 60).localCheckpoint()
+    plan = h.flow(df, h.Options(enable=["all"], event_counts=False))._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate" in line and ("struct(m," in line or "dir, in" in line)]
+    assert made and not any("filter(" in line for line in made)  # lambdas are interpreted, with all that is inside
+    places = spark.createDataFrame([(10 << 24, (10 << 24) + 257, "near")], "lo bigint, hi bigint, location string")
+    some = ["cardinality", "conversations", "top_ips", "top_ips_ports", "by_bytes", "by_packets"]
+    plan = h.flow(df, h.Options(disable=["all"], enable=some, event_counts=False), h.Dimensions(geo_v4=places))._jdf.queryExecution().optimizedPlan().toString()
+    # once for each end and for conversations, in each of the reads for tops and counts; places are looked up for their own tops alone
+    assert plan.count("RepartitionByExpression") == 6 and "prefix" not in plan
