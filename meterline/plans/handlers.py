@@ -366,14 +366,15 @@ def _flow_rows(exports: DataFrame, o: Options, d: Dimensions, summaries: Summari
                 r = lookup(r, f"{side}_ip", table, out=f"{side}_{out}", ranges_v6=six)
             else:
                 r = r.withColumn(f"{side}_{out}", F.lit(None).cast("string"))
-        r = join_services(r, f"{side}_port", "l4", d.services, out=f"{side}_service") if named else r.withColumn(f"{side}_service", F.col(f"{side}_port").cast("string"))
+        r = join_services(r, f"{side}_port", "l4", d.services, out=f"{side}_service") if named else r
         r = r.withColumn(f"{side}_name", summaries.of(F.col(f"{side}_ip"), F.col(f"{side}_asn") if d.asn_v4 is not None else None))
     r = r.withColumns({s: flt.interface(s) for s in ("if_in", "if_out")})
     return r.withColumn("keep", flt.keep())
 
 
 def _flow_ends(r: DataFrame) -> DataFrame:
-    """Records with their endpoints and kinds of service as text."""
+    """Records with their endpoints and kinds of service as text; ports without names are their numbers, which travel as such."""
+    r = r.withColumns({f"{side}_service": F.col(f"{side}_port").cast("string") for side in ("src", "dst") if f"{side}_service" not in r.columns})
     r = r.withColumns({f"{side}_end": F.concat_ws(":", f"{side}_name", f"{side}_service") for side in ("src", "dst")})
     r = r.withColumns({"dscp": dscp_name(F.col("tos")), "ecn": ecn_name(F.col("tos"))})
     return r.withColumn("conversation", conversation_key(F.col("src_end"), F.col("dst_end"), F.col("src_port"), F.col("dst_port")))

@@ -245,3 +245,16 @@ def test_flow_steps_are_compiled(spark, monkeypatch):
     plan = h.flow(df, h.Options(disable=["all"], enable=some, event_counts=False), h.Dimensions(geo_v4=places))._jdf.queryExecution().optimizedPlan().toString()
     # once for each end and for conversations, in each of the reads for tops and counts; places are looked up for their own tops alone
     assert plan.count("RepartitionByExpression") == 6 and "prefix" not in plan
+
+
+def test_tops_of_small_groups_are_ranked_where_their_records_came_together(spark, monkeypatch):
+    from meterline.plans import handlers as h, row_queries as q, views as v
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(h, "FLOWS_A_TASK", 1000)
+    out = q.flow_tops(spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "top_in_ecn_bytes" not in plan  # no shuffle by item or for ranks, and no metric that isn't asked for
+    some = h.Options(disable=["all"], enable=["top_ips", "top_ips_ports", "top_ports", "top_tos", "by_bytes", "by_packets"], event_counts=False)
+    names = {x.name for x in out.select("name").distinct().collect()}
+    assert len(names) == 7 and sorted(out.collect()) == sorted(q._long(h.flow(v.flows(spark, sf), some).where(F.col("name").isin(*names)), "device", "device_interface").collect())
